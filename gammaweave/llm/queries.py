@@ -25,6 +25,13 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import line_report
+
+    found = line_report(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -40,5 +47,22 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op5_byte_bpe, op6_ngram_jaccard)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op4_line_dedup, op5_byte_bpe, op6_ngram_jaccard)}
+#: Stretches of 50 characters, line ends included, from each line on and up to each line; a line goes if it is in a later copy of one.
+_OP4 = """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
+           FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, pos, line, least(length(line) + 1, 50) AS w, sum(least(length(line) + 1, 50)) OVER (PARTITION BY doc_id ORDER BY pos) AS c FROM l),
+e AS (SELECT doc_id, pos, c, c - w AS b,
+        last(pos) OVER f AS e1, last(c) OVER f AS c1, first(pos) OVER g AS s2, first(c - w) OVER g AS b2
+      FROM w WINDOW f AS (PARTITION BY doc_id ORDER BY c - w RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING),
+                    g AS (PARTITION BY doc_id ORDER BY c RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
+s AS (SELECT doc_id, pos AS a, e1 AS z FROM e WHERE c1 - b >= 50 UNION SELECT doc_id, s2, pos FROM e WHERE c - b2 >= 50),
+k AS (SELECT s.*, array_to_string(list_slice(string_split(d.text, chr(10)), a + 1, z + 1), chr(10)) AS body FROM s JOIN documents d USING (doc_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, a) AS n FROM k),
+r AS (SELECT DISTINCT doc_id, unnest(generate_series(a, z)) AS pos FROM o WHERE n > 1),
+x AS (SELECT doc_id, count(*) AS n, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS p FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(x.n, 0) AS BIGINT) AS n_removed, coalesce(x.p, '') AS removed_lines
+FROM documents d LEFT JOIN x USING (doc_id)
+"""
+ORACLES: dict[str, str] = {"op4_line_dedup": _OP4}
