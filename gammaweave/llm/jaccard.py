@@ -26,6 +26,8 @@ NGRAM, PERCENT = 4, 85
 LOCAL, FREQUENT, MOST_FREQUENT = 3, 24, 1 << 20
 #: Fragments of the global order, and bits of the filter of documents that have candidates.
 FRAGMENTS, FILTER_BITS = 4, 1 << 24
+#: Smaller fragments of which only the sizes are compared: the differences are as many n-grams that a pair doesn't share.
+SIZES = 128
 _PART = 6 << 20
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -64,10 +66,9 @@ def _sorted(code: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def digests(code: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Two 64-bit sums for each set, equal for equal sets; 0 for an empty one."""
-    total = np.zeros((2, len(code) + 1), np.uint64)
+    """A 64-bit sum for each set, equal for equal sets; 0 for an empty one."""
+    total = np.zeros((1, len(code) + 1), np.uint64)
     np.cumsum(mix(code), out=total[0, 1:])
-    np.cumsum(mix(code ^ _C[1]), out=total[1, 1:])
     return total[:, begin[1:]] - total[:, begin[:-1]]
 
 
@@ -95,18 +96,21 @@ def _parts(batches, ngram):
 
 
 def _measured(docs: DataFrame, ngram: int) -> DataFrame:
-    """A row (id, n, a, b) for each document, and rows (null, count, n-gram, 0) for n-grams of many sets."""
+    """A row (id, n, digest, sizes in SIZES fragments) for each document, and rows (null, -count, n-gram, null) for n-grams of many sets."""
 
     def run(batches):
-        names = ["doc_id", "n", "a", "b"]
+        names, kind = ["doc_id", "n", "a", "sizes"], pa.list_(pa.int16())
         for part, code, begin, d in _parts(batches, ngram):
             n = np.diff(begin)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), _signed(d[0]), _signed(d[1])], names)
+            row = np.repeat(np.arange(len(n)), n)
+            sizes = np.bincount(row * SIZES + (code >> np.uint64(64 - SIZES.bit_length() + 1)).astype(np.int64), minlength=len(n) * SIZES).clip(max=(1 << 15) - 1).astype(np.int16)
+            sizes = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * SIZES), pa.array(sizes))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), _signed(d[0]), sizes], names)
             gram, count = np.unique(_take(code, begin, _once(d, n))[0], return_counts=True)
             gram, count = gram[count >= LOCAL], count[count >= LOCAL]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(gram), pa.int64()), pa.array(-count), _signed(gram), pa.array(np.zeros(len(gram), np.int64))], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(gram), pa.int64()), pa.array(-count), _signed(gram), pa.nulls(len(gram), kind)], names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, a long, b long")
+    return docs.mapInArrow(run, "doc_id long, n long, a long, sizes array<short>")
 
 
 def _ordered(code: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -198,10 +202,16 @@ def _frequent(measured: DataFrame) -> np.ndarray:
     return np.sort(grams.where(F.col("c") >= least).select("a").toArrow()["a"].to_numpy().view(np.uint64))
 
 
-def _links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, ngram: int, percent: int) -> DataFrame:
-    """Those of pairs (x, y, nx, ny) whose overlap, summed over the fragments, is large enough."""
-    rep = classes.select("a", "doc")
-    both = (pairs.join(rep.select(F.col("a").alias("x"), F.col("doc").alias("dx")), "x").join(rep.select(F.col("a").alias("y"), F.col("doc").alias("dy")), "y"))
+def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y, nx, ny) that can link by the sizes of their fragments, with the documents (dx, dy) that stand for them."""
+    own = classes.select("a", "p.doc", "p.sizes")
+    both = pairs.join(own.toDF("x", "dx", "sx"), "x").join(own.toDF("y", "dy", "sy"), "y")
+    apart = F.aggregate(F.zip_with("sx", "sy", lambda p, q: F.abs(p.cast("long") - q)), F.lit(0).cast("long"), lambda m, v: m + v)
+    return both.where(F.lit(100 + percent) * apart <= F.lit(100 - percent) * (F.col("nx") + F.col("ny"))).select("x", "y", "nx", "ny", "dx", "dy")
+
+
+def _links(docs: DataFrame, both: DataFrame, ngram: int, percent: int) -> DataFrame:
+    """Those of close pairs whose overlap, summed over the fragments, is large enough."""
     wanted = docs.sparkSession.sparkContext.broadcast(_filter(both.select("dx").union(both.select("dy"))))
     s = _segments(docs, wanted, ngram)
     left, right = (s.select(F.col("a").alias(v), F.col("doc_id").alias(f"d{v}"), "fragment", F.col("grams").alias(f"g{v}")) for v in "xy")
@@ -226,7 +236,7 @@ def linked(documents: DataFrame, *, ngram: int = NGRAM, percent: int = PERCENT,
     docs = documents.select(F.coalesce(F.col(doc).cast("long"), F.lit(_NULL)).alias("doc_id"), F.col(text).cast("string").alias("text"))
     measured = store(_measured(docs, ngram))
     own = measured.where("n >= 0")
-    classes = store(own.where("n > 0").groupBy("a", "n").agg(F.min("doc_id").alias("doc")))
+    classes = store(own.where("n > 0").groupBy("a", "n").agg(F.min(F.struct(F.col("doc_id").alias("doc"), "sizes")).alias("p")))
     frequent = spark.sparkContext.broadcast(_frequent(measured))
     order = Window.partitionBy("token").orderBy("a")
     keys = _prefixes(docs, frequent, ngram, percent)
@@ -235,8 +245,8 @@ def linked(documents: DataFrame, *, ngram: int = NGRAM, percent: int = PERCENT,
     size_fits = f"100L * least(nx, ny) >= {percent}L * greatest(nx, ny)"
     first = shared.groupBy("token").agg(F.min(F.struct("a", "n")).alias("p"))
     pairs = shared.join(first, "token").where("a != p.a").select(F.col("p.a").alias("x"), F.col("a").alias("y"), F.col("p.n").alias("nx"), F.col("n").alias("ny")).where(size_fits).distinct()
-    checked = store(pairs)
-    edges = store(_links(docs, checked, classes, ngram, percent))
+    checked = store(_close(pairs, classes, percent))
+    edges = store(_links(docs, checked, ngram, percent))
     labels = components(edges, store)
     ranked, pivots = None, 2
     while True:
@@ -251,16 +261,16 @@ def linked(documents: DataFrame, *, ngram: int = NGRAM, percent: int = PERCENT,
         x = member.where(f"rank >= {pivots} and rank < {4 * pivots}").select("token", F.col("a").alias("x"), F.col("n").alias("nx"), F.col("rank").alias("rx"), F.col("c").alias("cx"))
         y = member.select("token", F.col("a").alias("y"), F.col("n").alias("ny"), F.col("rank").alias("ry"), F.col("c").alias("cy"))
         pairs = x.join(y, "token").where("ry > rx and cx != cy").where(size_fits).select("x", "y", "nx", "ny").distinct()
-        pairs = store(pairs.join(checked, ["x", "y"], "left_anti").select("x", "y", "nx", "ny"))
+        pairs = store(_close(pairs.join(checked, ["x", "y"], "left_anti").select("x", "y", "nx", "ny"), classes, percent))
         if not pairs.isEmpty():
             checked = checked.unionByName(pairs)
-            more = store(_links(docs, pairs, classes, ngram, percent))
+            more = store(_links(docs, pairs, ngram, percent))
             if not more.isEmpty():
                 edges = edges.unionByName(more)
                 labels = components(edges, store)
         pivots *= 4
     root = classes.join(labels.select(F.col("v").alias("a"), "c"), "a", "left").withColumn("c", F.coalesce("c", "a"))
-    least = root.groupBy("c").agg(F.min("doc").alias("component_id"))
+    least = root.groupBy("c").agg(F.min("p.doc").alias("component_id"))
     of = root.join(least, "c").select("a", "n", "component_id")
     out = own.join(of, ["a", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.select(F.nullif("doc_id", F.lit(_NULL)).alias("doc_id"), "n_shingles", F.nullif("component_id", F.lit(_NULL)).alias("component_id"))
