@@ -91,6 +91,7 @@ def repeated_lines(documents: DataFrame, *, text: str = "text", doc: str = "doc_
     named = store(named)
     place = F.struct("doc", "t", "start")
     first = named.groupBy("m", "x", "y").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").drop("last")
+    first = store(first)  # then both sides of the join are plain shuffles, and a line of very many copies can be split
     later = named.join(first, ["m", "x", "y"]).where(place != F.col("first"))
     cut = later.select("doc", "t", F.explode(F.sequence(F.col("start"), F.col("start") + m - 1)).alias("pos")).distinct()
     return cut.groupBy("doc", "t").agg(F.array_sort(F.collect_list("pos")).alias("removed")).select(F.col("doc").alias("doc_id"), F.col("t").alias("text_hash"), "removed")
