@@ -47,7 +47,13 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op4_line_dedup, op5_byte_bpe, op6_ngram_jaccard)}
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .qrules import apply_rules
+
+    return apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op4_line_dedup, op5_byte_bpe, op6_ngram_jaccard, op7_quality_rules)}
 #: Stretches of 50 characters, line ends included, from each line on and up to each line; a line goes if it is in a later copy of one.
 _OP4 = """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
