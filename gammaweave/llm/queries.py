@@ -53,7 +53,15 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op4_line_dedup, op5_byte_bpe, op6_ngram_jaccard, op7_quality_rules)}
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .qclass import held_out, score, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels"), use=~held_out())
+    return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op4_line_dedup, op5_byte_bpe, op6_ngram_jaccard, op7_quality_rules, op8_quality_classifier)}
 #: Stretches of 50 characters, line ends included, from each line on and up to each line; a line goes if it is in a later copy of one.
 _OP4 = """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
