@@ -68,7 +68,15 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_language_id, op4_line_dedup, op5_byte_bpe, op6_ngram_jaccard, op7_quality_rules, op8_quality_classifier)}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .tokencount import load, token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), load(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_language_id, op4_line_dedup, op5_byte_bpe, op6_ngram_jaccard, op7_quality_rules, op8_quality_classifier, op10_token_counts)}
 #: Stretches of 50 characters, line ends included, from each line on and up to each line; a line goes if it is in a later copy of one.
 _OP4 = """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
