@@ -68,6 +68,15 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import notices, scan
+
+    m = F.col("matches")
+    found = scan(table(spark, sf_dir, "documents"), notices(spark))
+    return found.select("doc_id", F.size(m).cast("long").alias("n_matches"), F.array_join(F.array_sort(F.array_distinct(F.transform(m, lambda x: x["license"]))), ",").alias("licenses"),
+                        F.coalesce(F.array_max(F.transform(m, lambda x: x["dice"])), F.lit(0)).cast("long").alias("best_dice"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -76,7 +85,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), load(public_tokenizers.path("piece_bpe_32k.model")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_language_id, op4_line_dedup, op5_byte_bpe, op6_ngram_jaccard, op7_quality_rules, op8_quality_classifier, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_language_id, op4_line_dedup, op5_byte_bpe, op6_ngram_jaccard, op7_quality_rules, op8_quality_classifier, op9_license_scan, op10_token_counts)}
 #: Stretches of 50 characters, line ends included, from each line on and up to each line; a line goes if it is in a later copy of one.
 _OP4 = """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
@@ -94,4 +103,25 @@ x AS (SELECT doc_id, count(*) AS n, string_agg(CAST(pos AS VARCHAR), ',' ORDER B
 SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(x.n, 0) AS BIGINT) AS n_removed, coalesce(x.p, '') AS removed_lines
 FROM documents d LEFT JOIN x USING (doc_id)
 """
-ORACLES: dict[str, str] = {"op4_line_dedup": _OP4}
+
+
+def _op9() -> str:
+    from .licenses import NOTICES
+
+    rows = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in NOTICES)
+    words = lambda x: f"list_filter(regexp_split_to_array(translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda w: w <> '')"
+    grams = lambda w: f"list_distinct(list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1]))"
+    return f"""
+WITH n(license, text) AS (VALUES {rows}),
+tw AS (SELECT license, {words('text')} AS w FROM n), t AS (SELECT license, {grams('w')} AS g FROM tw),
+u AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS unit, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL
+      UNION ALL SELECT doc_id, -generate_subscripts(b, 1), unnest(b) FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\n{{2,}}'), lambda x: contains(x, chr(10))) AS b FROM documents WHERE contains(text, chr(10) || chr(10)))),
+uw AS (SELECT doc_id, unit, {words('line')} AS w FROM u), ug AS (SELECT doc_id, unit, {grams('w')} AS g FROM uw WHERE len(w) > 1),
+m AS (SELECT doc_id, unit, license, len(list_intersect(ug.g, t.g)) AS k, len(ug.g) + len(t.g) AS total FROM ug, t WHERE len(t.g) > 0),
+b AS (SELECT doc_id, unit, license, max((200 * k) // total) AS dice FROM m WHERE 200 * k >= 80 * total GROUP BY ALL),
+x AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS l, max(dice) AS d FROM b GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_matches, coalesce(l, '') AS licenses, CAST(coalesce(x.d, 0) AS BIGINT) AS best_dice FROM documents d LEFT JOIN x USING (doc_id)
+"""
+
+
+ORACLES: dict[str, str] = {"op9_license_scan": _op9(), "op4_line_dedup": _OP4}
