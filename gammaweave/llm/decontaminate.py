@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import kept_columns
+from .shared import scratch
 from .text import ALNUM, pieces, words
 
 WINDOW = 10
@@ -202,17 +204,17 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, text: str = "te
     repeated rows of documents each give a row; no documents, no rows; other columns of either table are not read.
     """
     spark = documents.sparkSession
-    state = documents.select(*(F.col(c).alias(f"k_{c}") for c in keep), F.col(text).cast("string").alias("text"))
+    (state, read), store = kept_columns(documents, keep, text), scratch(spark)
     for k, (names, texts) in enumerate(_blocks(benchmark, item, item_text, block_words)):
         if k:
-            state = state.checkpoint()  # one block in memory at a time
+            state = store(state)  # one block in memory at a time
         items = spark.sparkContext.broadcast(index_items(names, texts))
         schema = state.schema if k else state.select("*", *(F.expr(f"cast(null as {t})").alias(n) for n, t in _ADDED)).schema
 
         def run(batches, items=items, k=k):
             for batch in batches:
-                for part in pieces(batch, "text", _SHARD):
-                    yield _scored(part, items.value, window, bool(k))
+                for part in pieces(batch, read, _SHARD):
+                    yield _scored(part, read, items.value, window, bool(k))
 
         state = state.mapInArrow(run, schema)
     return state.select(*(F.col(f"k_{c}").alias(c) for c in keep), *(n for n, _ in _ADDED))
@@ -221,10 +223,10 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, text: str = "te
 _ADDED = (("n_words", "bigint"), ("n_hit", "bigint"), ("item_ids", "array<string>"), ("spans", "array<struct<word:bigint,n_words:bigint>>"))
 
 
-def _scored(part: pa.RecordBatch, items: Items, window: int, again: bool) -> pa.RecordBatch:
+def _scored(part: pa.RecordBatch, read: str, items: Items, window: int, again: bool) -> pa.RecordBatch:
     """The rows with what this block of items adds to the results of the blocks before it, if there are any."""
     rows = part.num_rows
-    n_words, n_hit, both, runs, row_of, first = match_shard(part, "text", items, window)
+    n_words, n_hit, both, runs, row_of, first = match_shard(part, read, items, window)
     row = row_of[runs[:, 0]]
     at = runs[:, 0] - row - first[row]
     ids = sorted({(int(r), items.names[i]) for r, i in both})

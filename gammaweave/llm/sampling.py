@@ -46,3 +46,11 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
 
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def kept_columns(documents: DataFrame, keep: tuple[str, ...], text: str) -> tuple[DataFrame, str]:
+    """documents' columns keep, each as k_<name>, and the name there of the text, which is not sent twice."""
+    kept = [F.col(f"`{c}`").alias(f"k_{c}") for c in keep]
+    if text in keep and documents.schema[text].dataType.simpleString() == "string":
+        return documents.select(*kept), f"k_{text}"
+    return documents.select(*kept, F.col(text).cast("string").alias("text")), "text"
