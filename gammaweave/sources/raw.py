@@ -21,9 +21,12 @@ _SQL = {"i2": "smallint", "i4": "int", "i8": "bigint", "f4": "float", "f8": "dou
 def records(spark: SparkSession, path: str, kind: np.dtype, id_name: str) -> DataFrame:
     """One row for each fixed-length record, numbered by its place in the file, which is split among tasks; what follows the last whole record is not read.
 
-    Only the number of records of each split comes to the driver.
+    Only the number of records of each split comes to the driver. A file that ends within a record can't be split, and is read by one task.
     """
     names = kind.names or ("val",)
+    fields = [f"{id_name} bigint", *(f"{n} {_SQL[(kind[n] if kind.names else kind).str[1:]]}" for n in names)]
+    if file_length(spark, path) % kind.itemsize:
+        return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_whole(kind, names, id_name), ", ".join(fields))
     rdd = spark.sparkContext.binaryRecords(path, kind.itemsize)
     counts = rdd.mapPartitionsWithIndex(lambda k, it: [(k, sum(1 for _ in it))]).collect()
     start, total = {}, 0
@@ -35,10 +38,19 @@ def records(spark: SparkSession, path: str, kind: np.dtype, id_name: str) -> Dat
         columns = [np.arange(start[k], start[k] + len(a)).tolist(), *((a[n] if kind.names else a).tolist() for n in names)]
         return zip(*columns, strict=True)
 
-    fields = [f"{id_name} bigint", *(f"{n} {_SQL[(kind[n] if kind.names else kind).str[1:]]}" for n in names)]
     return spark.createDataFrame(rdd.mapPartitionsWithIndex(decode), ", ".join(fields))
 
 
+def _whole(kind: np.dtype, names: tuple, id_name: str):
+    def decode(batches):
+        for batch in batches:
+            for content in batch.column(0):
+                a = np.frombuffer(content.as_py(), kind, len(content.as_py()) // kind.itemsize)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(a))), *(pa.array(np.ascontiguousarray(a[n] if kind.names else a)) for n in names)], [id_name, *names])
+
+    return decode
+
+
 def read_events(spark: SparkSession, prefix: str, suffix: str = ".lm") -> DataFrame:
     """event_id and the five fields; a file without events is an error."""
     events = records(spark, prefix + suffix, EVENT, "event_id")
