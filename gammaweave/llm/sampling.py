@@ -54,3 +54,11 @@ def kept_columns(documents: DataFrame, keep: tuple[str, ...], text: str) -> tupl
     if text in keep and documents.schema[text].dataType.simpleString() == "string":
         return documents.select(*kept), f"k_{text}"
     return documents.select(*kept, F.col(text).cast("string").alias("text")), "text"
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that isn't taken, whatever the case."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name

@@ -1,41 +1,5 @@
 """Intermediate tables in the folder that the driver and all executors share."""
 
-from __future__ import annotations
+from ..plans.store import Scratch, scratch, shared_folder
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset, as in tests, a folder of this machine."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    if not hasattr(shared_folder, "own"):
-        shared_folder.own = tempfile.mkdtemp(prefix="shared-")
-    return f"file://{shared_folder.own}"
-
-
-class Scratch:
-    """Writes tables to a folder of its own and reads them again: cuts lineage, and lost executors lose nothing of them."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.folder, self.n = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", 0
-
-    def __call__(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.folder}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, k: int) -> None:
-        """Deletes the k-th table."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{k}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def scratch(spark: SparkSession) -> Scratch:
-    return Scratch(spark)
+__all__ = ["Scratch", "scratch", "shared_folder"]
