@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.scanner import Scanner
 from .geometry import small
-from .rays import TINY, TRACERS, segments
+from .rays import TINY, TRACERS
 
 
 def with_subset(events: DataFrame, subsets: int) -> DataFrame:
@@ -48,9 +48,9 @@ def back(lines: DataFrame, s: Scanner, weight: str = "w", tracer: str = "siddon"
     return seg.groupBy("vox").agg(F.sum(F.pow("len", F.lit(power)) * F.col("_w") if power != 1 else F.col("len") * F.col("_w")).alias("val"))
 
 
-def system_matrix(lines: DataFrame, s: Scanner) -> DataFrame:
+def system_matrix(lines: DataFrame, s: Scanner, tracer: str = "siddon") -> DataFrame:
     """event_id, vox, len: a row of the system matrix for each line and voxel; worth writing when it is used again and again."""
-    return segments(lines, s, "event_id").groupBy("event_id", "vox").agg(F.sum("len").alias("len"))
+    return TRACERS[tracer](lines, s, "event_id").groupBy("event_id", "vox").agg(F.sum("len").alias("len"))
 
 
 def attenuation(lines: DataFrame, image: DataFrame, s: Scanner) -> DataFrame:

@@ -104,9 +104,10 @@ def em(p: Problem, x: DataFrame, iterations: int, save: Callable[[int, DataFrame
     return x
 
 
-def likelihoods(p: Problem) -> DataFrame:
+def likelihoods(log: list) -> DataFrame | None:
+    """phase, iter, subset, l1, l2 and ll of a problem's log."""
     out = None
-    for phase, n, m, frame in p.log:
+    for phase, n, m, frame in log:
         row = frame.selectExpr(f"'{phase}' AS phase", f"{n} AS iter", f"{m} AS subset", "*")
         out = row if out is None else out.union(row)
     return out

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gammaweave import queries as Q
 from gammaweave.functions.formulas import POTENTIALS, phi, slope, slope_over_t
 from gammaweave.operators import geometry, knn, penalty, project, rays, sparse
-from gammaweave.plans import config, recon
+from gammaweave.plans import config, recon, run
 from gammaweave.plans.scanner import SMALL, Scanner
 from gammaweave.sources import raw, sinks
 from gammaweave.streaming import live
@@ -77,7 +77,7 @@ def test_subsets_add_up(spark):
 def test_em_raises_the_likelihood_and_keeps_counts(spark):
     p = recon.Problem(Q.events(spark, D), SMALL)
     x = recon.em(p, recon.ones(p), 3)
-    ll = [r["ll"] for r in recon.likelihoods(p).orderBy("iter").collect()]
+    ll = [r["ll"] for r in recon.likelihoods(p.log).orderBy("iter").collect()]
     assert ll == sorted(ll) and len(ll) == 3
     s, v = by(p.s, "vox", "val"), by(x, "vox", "val")
     assert sum(v[k] * s[k] for k in s) == pytest.approx(p.project(x).where("y > 0").count())
@@ -176,3 +176,21 @@ def test_admm_and_saved_images(spark):
     saved = []
     x = recon.em(p, recon.ones(p), 2, lambda n, v: saved.append(n), 2)
     assert saved == [2] and x.where("val < 0 OR isnan(val)").isEmpty()
+
+
+def test_whole_runs(spark, tmp_path):
+    e = np.zeros(200, raw.EVENT)
+    for r, (k, x) in zip(e, enumerate(Q.events(spark, D).orderBy("event_id").limit(200).collect()), strict=True):
+        r["xtal_id_1"], r["ring_id_1"], r["xtal_id_2"], r["ring_id_2"], r["tbin_id"] = x["xtal_id_1"], x["ring_id_1"], x["xtal_id_2"], x["ring_id_2"], x["tbin_id"]
+    for name in ("scan.lm", "scan"):
+        (tmp_path / name).write_bytes(e.tobytes())
+    text = GOOD + f"input_raw_data_file = {tmp_path}/scan\ninput_raw_data_format_type = 0\niteration_setting = 2,1,1\nwarmup_setting = 1,1\nregularizer_model_type = 0\n"
+    for kind in (0, 1):
+        x, rows = run.reconstruct(spark, config.parse(text + f"iterative_algorithm_type = {kind}\nregularizer_strength = 0.1\n"), f"{tmp_path}/out{kind}")
+        assert x.count() == SMALL.voxels and x.where("isnan(val) OR val < 0").isEmpty()
+        assert {(r["phase"], r["iter"], r["subset"]) for r in rows.collect()} == {("warmup", 1, 0)} | ({("main", 1, 0), ("main", 1, 1)} if kind == 0 else set())
+    assert spark.read.parquet(f"{tmp_path}/out0/intermediate/iter=1").count() == SMALL.voxels
+    y = run.lines(spark, config.parse(text), True, folder=f"{tmp_path}/out")
+    assert y.count() == 200 and y.where("factor > 1 OR factor < 0").isEmpty()
+    with pytest.raises(config.SettingsError):
+        run.reconstruct(spark, config.parse(text.replace("format_type = 0", "format_type = 1")))
