@@ -1,12 +1,12 @@
 """Exact Jaccard join of documents on word n-grams by vertical partitioning.
 
 All n-grams have one global order: by hash, those found to be frequent after the others. Two sets that link must share one
-of the first n - ceil(t n) + 1 n-grams of each in this order, which gives the candidates. For these the global order
+of the first n - ceil(t n) + 1 n-grams of each in this order, with few enough before it, which gives the candidates. For these the global order
 is cut into fragments; the overlap of a pair is counted in each fragment separately and summed per pair.
 
 Equal sets are one class from the start, and only classes are compared. Classes that share a prefix n-gram are not paired with
 each other: in each round, those of the group's first classes (its pivots) are paired with the rest, links found are
-contracted, and groups that lie in one component are done. The next round takes four times as many pivots, so a group whose classes
+contracted, and groups that lie in one component are done. The next round takes sixteen times as many pivots, so a group whose classes
 do link ends after a round or two with as many pairs as members, and any other group has had all its pairs when its pivots
 run out: no link is lost, nothing is capped.
 """
@@ -26,8 +26,9 @@ NGRAM, PERCENT = 4, 85
 LOCAL, FREQUENT, MOST_FREQUENT = 3, 24, 1 << 20
 #: Fragments of the global order, and bits of the filter of documents that have candidates.
 FRAGMENTS, FILTER_BITS = 4, 1 << 24
-#: Smaller fragments of which only the sizes are compared: the differences are as many n-grams that a pair doesn't share.
-SIZES = 128
+#: Smaller fragments, more for larger sets (from 1024 and 4096 n-grams on), of which only the sizes are compared (up to 127, more counts as that):
+#: the differences are as many n-grams that a pair doesn't share.
+SIZE_BITS = [6, 8, 10]
 _PART = 6 << 20
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -96,47 +97,53 @@ def _parts(batches, ngram):
 
 
 def _measured(docs: DataFrame, ngram: int) -> DataFrame:
-    """A row (id, n, digest, sizes in SIZES fragments) for each document, and rows (null, -count, n-gram, null) for n-grams of many sets."""
+    """A row (id, n, digest, sizes of fragments) for each document, and rows (null, -count, n-gram, null) for n-grams of many sets."""
 
     def run(batches):
-        names, kind = ["doc_id", "n", "a", "sizes"], pa.list_(pa.int16())
+        names, kind = ["doc_id", "n", "a", "sizes"], pa.list_(pa.int8())
         for part, code, begin, d in _parts(batches, ngram):
             n = np.diff(begin)
-            row = np.repeat(np.arange(len(n)), n)
-            sizes = np.bincount(row * SIZES + (code >> np.uint64(64 - SIZES.bit_length() + 1)).astype(np.int64), minlength=len(n) * SIZES).clip(max=(1 << 15) - 1).astype(np.int16)
-            sizes = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * SIZES), pa.array(sizes))
+            bits = np.select([n < 1024, n < 4096], SIZE_BITS[:2], SIZE_BITS[2]).astype(np.uint64)
+            at = np.append(0, np.cumsum(1 << bits.astype(np.int64)))
+            sizes = np.bincount(np.repeat(at[:-1], n) + (code >> (np.uint64(64) - np.repeat(bits, n))).astype(np.int64), minlength=at[-1]).clip(max=127).astype(np.int8)
+            sizes = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(sizes))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), _signed(d[0]), sizes], names)
             gram, count = np.unique(_take(code, begin, _once(d, n))[0], return_counts=True)
             gram, count = gram[count >= LOCAL], count[count >= LOCAL]
             yield pa.RecordBatch.from_arrays([pa.nulls(len(gram), pa.int64()), pa.array(-count), _signed(gram), pa.nulls(len(gram), kind)], names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, a long, sizes array<short>")
-
-
-def _ordered(code: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Numbers that sort in the global order; the hash's lowest bit gives way to the mark of the frequent ones."""
-    late = np.zeros(len(code), bool)
-    if len(frequent):
-        k = np.minimum(np.searchsorted(frequent, code), len(frequent) - 1)
-        late = frequent[k] == code
-    return (code >> np.uint64(1)) | (late.astype(np.uint64) << np.uint64(63))
+    return docs.mapInArrow(run, "doc_id long, n long, a long, sizes array<tinyint>")
 
 
 def _prefixes(docs: DataFrame, frequent, ngram: int, percent: int) -> DataFrame:
-    """(token, a, n) for the prefix of each set."""
+    """(token, a, n, i), i the place in the order, for the prefix of each set: its first n - ceil(percent n) + 1 n-grams, those that aren't frequent before the others."""
 
     def run(batches):
+        known = frequent.value
         for _, code, begin, d in _parts(batches, ngram):
             rows = _once(d, np.diff(begin))
             own, begin = _take(code, begin, rows)
-            token, begin = _sorted(_ordered(own, frequent.value), begin)
+            late = np.zeros(len(own), bool)
+            if len(known) and len(own):
+                late = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
             n = np.diff(begin)
             size = n - (n * percent + 99) // 100 + 1
-            at = np.cumsum(size) - size
-            pick = np.arange(int(size.sum())) + np.repeat(begin[:-1] - at, size)
-            yield pa.RecordBatch.from_arrays([_signed(token[pick]), _signed(np.repeat(d[0][rows], size)), pa.array(np.repeat(n, size).astype(np.int32))], ["token", "a", "n"])
+            early = np.append(0, np.cumsum(~late))
+            place = early[1:] - np.repeat(early[begin[:-1]], n)  # among the early ones of the row
+            first = early[begin[1:]] - early[begin[:-1]]
+            after = np.arange(1, len(own) + 1) - np.repeat(begin[:-1], n) - place  # among the late ones
+            pick = np.flatnonzero(np.where(late, after <= np.repeat(size - first, n), place <= np.repeat(size, n)))
+            row = np.repeat(np.arange(len(rows)), n)[pick]
+            at = np.where(late, np.repeat(first, n) + after, place)[pick] - 1
+            yield pa.RecordBatch.from_arrays([_signed(own[pick]), _signed(d[0][rows][row]), pa.array(n[row].astype(np.int32)), pa.array(at.astype(np.int32))], ["token", "a", "n", "i"])
+
+    return docs.mapInArrow(run, "token long, a long, n int, i int")
 
-    return docs.mapInArrow(run, "token long, a long, n int")
+
+def _shared(keys: DataFrame) -> DataFrame:
+    """The distinct rows of prefix n-grams that two sets have."""
+    order = Window.partitionBy("token").orderBy("a")
+    return keys.select("token", "a", "n", "i", F.lag("a").over(order).alias("before"), F.lead("a").over(order).alias("after")).where("before != a or after != a").select("token", "a", "n", "i").distinct()
 
 
 def _segments(docs: DataFrame, wanted, ngram: int) -> DataFrame:
@@ -190,30 +197,35 @@ def components(edges: DataFrame, store) -> DataFrame:
             return labels
 
 
-def _frequent(measured: DataFrame) -> np.ndarray:
-    """The most frequent n-grams, MOST_FREQUENT at most, sorted."""
-    grams = measured.where("n < 0").groupBy("a").agg(F.sum(-F.col("n")).alias("c")).where(F.col("c") >= FREQUENT)
-    least, total = FREQUENT, 0
+def _frequent(counted: DataFrame, least: int) -> np.ndarray:
+    """The most frequent n-grams of (gram, c), MOST_FREQUENT at most and c >= least, sorted."""
+    grams, total = counted.where(F.col("c") >= least), 0
     for r in sorted(grams.groupBy(F.floor(F.log2("c")).alias("l")).count().collect(), reverse=True):
         total += r["count"]
         if total > MOST_FREQUENT:
             least = 2 ** (r["l"] + 1)
             break
-    return np.sort(grams.where(F.col("c") >= least).select("a").toArrow()["a"].to_numpy().view(np.uint64))
+    return np.sort(grams.where(F.col("c") >= least).select("gram").toArrow()["gram"].to_numpy().view(np.uint64))
+
+
+def _apart(percent: int):
+    """Whether the sizes of the fragments, sx and sy, leave room for a link."""
+    differ = F.aggregate(F.zip_with("sx", "sy", lambda p, q: F.abs(p.cast("int") - q)), F.lit(0), lambda m, v: m + v)
+    near = F.lit(100 + percent) * differ <= F.lit(100 - percent) * (F.col("nx") + F.col("ny"))
+    return F.when(F.size("sx") == F.size("sy"), near).otherwise(True)
 
 
 def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (x, y, nx, ny) that can link by the sizes of their fragments, with the documents (dx, dy) that stand for them."""
     own = classes.select("a", "p.doc", "p.sizes")
     both = pairs.join(own.toDF("x", "dx", "sx"), "x").join(own.toDF("y", "dy", "sy"), "y")
-    apart = F.aggregate(F.zip_with("sx", "sy", lambda p, q: F.abs(p.cast("long") - q)), F.lit(0).cast("long"), lambda m, v: m + v)
-    return both.where(F.lit(100 + percent) * apart <= F.lit(100 - percent) * (F.col("nx") + F.col("ny"))).select("x", "y", "nx", "ny", "dx", "dy")
+    return both.where(_apart(percent)).select("x", "y", "nx", "ny", "dx", "dy")
 
 
-def _links(docs: DataFrame, both: DataFrame, ngram: int, percent: int) -> DataFrame:
+def _links(docs: DataFrame, both: DataFrame, ngram: int, percent: int, store) -> DataFrame:
     """Those of close pairs whose overlap, summed over the fragments, is large enough."""
     wanted = docs.sparkSession.sparkContext.broadcast(_filter(both.select("dx").union(both.select("dy"))))
-    s = _segments(docs, wanted, ngram)
+    s = store(_segments(docs, wanted, ngram))
     left, right = (s.select(F.col("a").alias(v), F.col("doc_id").alias(f"d{v}"), "fragment", F.col("grams").alias(f"g{v}")) for v in "xy")
     cut = both.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
     met = cut.join(left, ["x", "dx", "fragment"]).join(right, ["y", "dy", "fragment"])
@@ -237,38 +249,37 @@ def linked(documents: DataFrame, *, ngram: int = NGRAM, percent: int = PERCENT,
     measured = store(_measured(docs, ngram))
     own = measured.where("n >= 0")
     classes = store(own.where("n > 0").groupBy("a", "n").agg(F.min(F.struct(F.col("doc_id").alias("doc"), "sizes")).alias("p")))
-    frequent = spark.sparkContext.broadcast(_frequent(measured))
-    order = Window.partitionBy("token").orderBy("a")
-    keys = _prefixes(docs, frequent, ngram, percent)
-    near = F.lag("a").over(order), F.lead("a").over(order)
-    shared = store(keys.select("token", "a", "n", near[0].alias("before"), near[1].alias("after")).where("before != a or after != a").select("token", "a", "n").distinct())
-    size_fits = f"100L * least(nx, ny) >= {percent}L * greatest(nx, ny)"
-    first = shared.groupBy("token").agg(F.min(F.struct("a", "n")).alias("p"))
-    pairs = shared.join(first, "token").where("a != p.a").select(F.col("p.a").alias("x"), F.col("a").alias("y"), F.col("p.n").alias("nx"), F.col("n").alias("ny")).where(size_fits).distinct()
+    send = spark.sparkContext.broadcast
+    common = _frequent(measured.where("n < 0").groupBy(F.col("a").alias("gram")).agg(F.sum(-F.col("n")).alias("c")), FREQUENT)
+    shared = store(_shared(_prefixes(docs, send(common), ngram, percent)))
+    # sets whose first common n-gram this is don't share what comes before it
+    fits = f"100L * least(nx, ny) >= {percent}L * greatest(nx, ny) and {100 + percent}L * (ix + iy) <= {100 - percent}L * (nx + ny)"
+    first = store(shared.groupBy("token").agg(F.min(F.struct("i", "a", "n")).alias("p")).select("token", F.col("p.a").alias("x"), F.col("p.n").alias("nx"), F.col("p.i").alias("ix")))
+    pairs = shared.select("token", F.col("a").alias("y"), F.col("n").alias("ny"), F.col("i").alias("iy")).join(first, "token").where("x != y").where(fits).select("x", "y", "nx", "ny").distinct()
     checked = store(_close(pairs, classes, percent))
-    edges = store(_links(docs, checked, ngram, percent))
+    edges = store(_links(docs, checked, ngram, percent, store))
     labels = components(edges, store)
-    ranked, pivots = None, 2
-    while True:
-        member = (ranked if ranked is not None else shared).join(labels.select(F.col("v").alias("a"), "c"), "a", "left").withColumn("c", F.coalesce("c", "a"))
-        open_ = member.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).where(f"lo != hi and k >= {pivots}").select("token")
-        if ranked is None:  # only groups that are open after the first round are ranked
-            ranked = store(member.join(open_, "token").select("token", "a", "n", F.row_number().over(order).alias("rank")))
-            continue
-        if open_.isEmpty():
-            break
-        member = member.join(open_, "token")
-        x = member.where(f"rank >= {pivots} and rank < {4 * pivots}").select("token", F.col("a").alias("x"), F.col("n").alias("nx"), F.col("rank").alias("rx"), F.col("c").alias("cx"))
-        y = member.select("token", F.col("a").alias("y"), F.col("n").alias("ny"), F.col("rank").alias("ry"), F.col("c").alias("cy"))
-        pairs = x.join(y, "token").where("ry > rx and cx != cy").where(size_fits).select("x", "y", "nx", "ny").distinct()
-        pairs = store(_close(pairs.join(checked, ["x", "y"], "left_anti").select("x", "y", "nx", "ny"), classes, percent))
+    # each group's first member has met all others; of the rest, those stay that can link with the second or one after it
+    by = Window.partitionBy("token").orderBy("i", "a")
+    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rest = shared.select("*", F.row_number().over(by).alias("rank"), F.nth_value("i", 2).over(whole).alias("i2"), F.count("*").over(whole).alias("k"))
+    rest = rest.where("rank > 1 and k > 2").where(f"{100 + percent}L * (i + i2) <= {100 - percent}L * (n + n * 100L div {percent})")
+    ranked = store(rest.join(classes.select("a", "p.doc", "p.sizes"), "a").select("token", "a", "n", "i", "rank", "doc", "sizes"))
+    last, pivots = ranked.agg(F.max("rank")).first()[0] or 0, 2
+    while pivots < last:
+        member = ranked.where(f"rank >= {pivots}").join(labels.select(F.col("v").alias("a"), "c"), "a", "left").withColumn("c", F.coalesce("c", "a"))
+        x = member.where(f"rank < {16 * pivots}").select("token", F.col("a").alias("x"), F.col("n").alias("nx"), F.col("i").alias("ix"), F.col("doc").alias("dx"), F.col("sizes").alias("sx"), F.col("rank").alias("rx"), F.col("c").alias("cx"))
+        y = member.select("token", F.col("a").alias("y"), F.col("n").alias("ny"), F.col("i").alias("iy"), F.col("doc").alias("dy"), F.col("sizes").alias("sy"), F.col("rank").alias("ry"), F.col("c").alias("cy"))
+        # all conditions are part of the join, so it gives out only what is close and not in one component
+        pairs = x.join(y, (x.token == y.token) & (y.ry > x.rx) & (x.cx != y.cy) & F.expr(fits) & _apart(percent)).select("x", "y", "nx", "ny", "dx", "dy").distinct()
+        pairs = store(pairs.join(checked, ["x", "y"], "left_anti").select("x", "y", "nx", "ny", "dx", "dy"))
         if not pairs.isEmpty():
             checked = checked.unionByName(pairs)
-            more = store(_links(docs, pairs, ngram, percent))
+            more = store(_links(docs, pairs, ngram, percent, store))
             if not more.isEmpty():
                 edges = edges.unionByName(more)
                 labels = components(edges, store)
-        pivots *= 4
+        pivots *= 16
     root = classes.join(labels.select(F.col("v").alias("a"), "c"), "a", "left").withColumn("c", F.coalesce("c", "a"))
     least = root.groupBy("c").agg(F.min("p.doc").alias("component_id"))
     of = root.join(least, "c").select("a", "n", "component_id")
