@@ -103,7 +103,7 @@ def test_slopes_are_derivatives(spark, kind):
     t = spark.createDataFrame([(x,) for x in (0.05, 0.2, 0.7, 1.9)], "t double")
     e = 1e-6
     for r in t.selectExpr("t", f"({phi(kind, f'(t + {e})', 0.3)}) - ({phi(kind, f'(t - {e})', 0.3)}) AS d", f"{slope(kind, 't', 0.3)} AS s", f"{slope_over_t(kind, 't', 0.3)} AS w").collect():
-        # the reference semantics keep a factor of their own for three potentials: fair, hw (2 / delta squared)
+        # hw has a factor of its own (2 / delta squared), and fair a signed first term
         scale = {"fair": None, "hw": 2 / 0.09}.get(kind, 1.0)
         if scale:
             assert r["d"] / (2 * e) == pytest.approx(r["s"] * scale, rel=1e-4)
