@@ -118,9 +118,10 @@ def dedup_lines(documents: DataFrame, *, text: str = "text", doc: str = "doc_id"
     A text that loses all its lines becomes empty; null stays null.
     """
     rows = _with_removed(documents, text, doc, min_chars)
-    lines = F.split(F.col(f"d.{text}"), "\n")
     gone = F.col("removed")
+    # a column of its own, so that looking up a line doesn't split the text again
+    rows = rows.withColumn("lines", F.when(F.size(gone) > 0, F.split(F.col(f"d.{text}"), "\n")))
     # places to keep, as an array difference: in linear time
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.element_at(lines, i + 1))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), gone), lambda i: F.element_at("lines", i + 1))
     new = F.when(F.size(gone) == 0, F.col(f"d.{text}")).otherwise(F.array_join(kept, "\n"))
     return rows.select(*((new if c == text else F.col(f"d.`{c}`")).alias(c) for c in documents.columns))
