@@ -11,6 +11,11 @@ from ..plans.scanner import LUT_SIZE, Scanner
 TINY = 1e-30
 
 
+def computed(rows: DataFrame) -> DataFrame:
+    """The same rows, but with their columns computed once: what follows doesn't repeat the expressions, as it would in merged projections."""
+    return rows.selectExpr("inline(array(named_struct(" + ", ".join(f"'{c}', `{c}`" for c in rows.columns) + ")))")
+
+
 def fov_hits(lines: DataFrame, s: Scanner, kind: str = "box") -> DataFrame:
     """The lines that pass the field of view, with t0 and t1: box (3D), square (its x and y only) or cylinder."""
     if kind == "cylinder":
@@ -28,7 +33,7 @@ def segments(lines: DataFrame, s: Scanner, *keep: str) -> DataFrame:
     """
     plane = lambda p, d, n, v: f"transform(sequence(0, {n}), m -> ((m - {_num(n / 2)}) * {_num(v)} - {p}) / nullif({d}, 0e0))"
     crossings = f"concat(array(t0, t1), {plane('x0', 'dx', s.n, s.voxel)}, {plane('y0', 'dy', s.n, s.voxel)}, {plane('z0', 'dz', s.nk, s.voxel_k)})"
-    rows = fov_hits(lines, s).selectExpr("*", f"array_sort(array_distinct(filter({crossings}, t -> t BETWEEN t0 AND t1))) AS ts")
+    rows = computed(fov_hits(lines, s)).selectExpr("*", f"array_sort(array_distinct(filter({crossings}, t -> t BETWEEN t0 AND t1))) AS ts")
     rows = rows.selectExpr("*", "explode(zip_with(slice(ts, 1, size(ts) - 1), slice(ts, 2, size(ts) - 1), (a, b) -> named_struct('a', a, 'b', b))) AS cut")
     rows = rows.selectExpr("*", "(cut.a + cut.b) / 2e0 AS tm", "(cut.b - cut.a) * sqrt(dx * dx + dy * dy + dz * dz) AS len")
     i, j, k = voxel_of(s, "x0 + tm * dx", "y0 + tm * dy", "z0 + tm * dz")
@@ -62,7 +67,7 @@ def tof_lines(lines: DataFrame, s: Scanner) -> DataFrame:
     ends = {f"{a}{e}": f"c{a} + (off {'-' if e == '0' else '+'} {reach}) * u{a}" for a in "xyz" for e in "01"}
     rest = [c for c in lines.columns if c not in {*ends, "dx", "dy", "dz"}]
     rows = rows.selectExpr(*rest, *(f"{x} AS {c}" for c, x in ends.items()), "ux", "uy", "uz", "ux * (cx + off * ux) + uy * (cy + off * uy) + uz * (cz + off * uz) AS uc")
-    return rows.selectExpr("*", "x1 - x0 AS dx", "y1 - y0 AS dy", "z1 - z0 AS dz")
+    return computed(computed(rows).selectExpr("*", "x1 - x0 AS dx", "y1 - y0 AS dy", "z1 - z0 AS dz"))
 
 
 def tof_segments(lines: DataFrame, s: Scanner, *keep: str) -> DataFrame:
