@@ -9,6 +9,10 @@ on its context only, and two tables of ratios are all that scoring needs.
 A word's evidence is the difference of its two log-likelihoods. A document's is length-normalised: the mean over its words, the mean of
 what exceeds STRONG, the largest mean over WINDOW consecutive words, and the mean of its strongest words; a logistic fit on
 documents that the counts haven't seen turns these into a score.
+
+The counts are of all labelled documents, whole texts: a grouped sum, whose table grows with the input. The models are fitted to it by
+joins and grouped sums, level by level, and sent out in blocks of BLOCK n-grams, each with the contexts of its n-grams. Only the
+logistic fit has a bounded sample.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import chosen, fold, kept_columns, label_rows, logistic, sigmoid
+from .shared import scratch
 from .text import LETTERS, Words, pieces, words
 
 ORDER = 7
@@ -29,8 +34,10 @@ DISCOUNT, CLASS_DISCOUNT = 0.75, 2.0
 #: A word's evidence counts as strong beyond this.
 STRONG = 2.0
 WINDOW = 24
-#: The sample that is learned from: documents of either label, and bytes of a document beyond which it isn't taken.
-TOXIC_DOCS, OTHER_DOCS, MOST_BYTES = 2500, 5000, 16_384
+#: The sample of the logistic fit: documents of either label.
+TOXIC_DOCS, OTHER_DOCS = 2500, 5000
+#: N-grams in a block of a model, blocks that a worker keeps in memory, and labels that are broadcast to the documents.
+BLOCK, KEPT, MOST_LABELS = 1 << 20, 4, 1 << 20
 _SHARD, FEATURES = 6 << 20, 5
 
 
@@ -63,8 +70,7 @@ class Ratios:
     context: np.ndarray
     of_context: np.ndarray
 
-    def words(self, w: Words, index: np.ndarray) -> np.ndarray:
-        code, n = grams(w, index)
+    def of(self, code: np.ndarray) -> np.ndarray:
         out = np.zeros(len(code), np.float32)
         if len(self.gram) and len(code):
             k = np.minimum(np.searchsorted(self.gram, code), len(self.gram) - 1)
@@ -74,7 +80,34 @@ class Ratios:
             c = code[rest] >> np.uint64(8)
             k = np.minimum(np.searchsorted(self.context, c), len(self.context) - 1)
             out[rest] = np.where(self.context[k] == c, self.of_context[k], 0)
-        return np.add.reduceat(out, np.cumsum(n) - n) if len(n) else np.zeros(0, np.float32)
+        return out
+
+    def words(self, w: Words, index: np.ndarray) -> np.ndarray:
+        code, n = grams(w, index)
+        return np.add.reduceat(self.of(code), np.cumsum(n) - n) if len(n) else np.zeros(0, np.float32)
+
+
+class Blocks:
+    """Ratios as broadcasts: an n-gram is in the block that its context's number names, modulo how many there are."""
+
+    def __init__(self, sent: list):
+        self.sent = sent
+
+    def of(self, code: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(code), np.float32)
+        if len(self.sent) == 1:
+            return self.sent[0].value.of(code)
+        block = (code >> np.uint64(8)) % np.uint64(max(len(self.sent), 1))
+        order = np.argsort(block, kind="stable")
+        ends = np.searchsorted(block[order], np.arange(len(self.sent) + 1))
+        for b, sent in enumerate(self.sent):
+            mine = order[ends[b] : ends[b + 1]]
+            out[mine] = sent.value.of(code[mine])
+            if len(self.sent) > KEPT:
+                vars(sent).pop("_value", None)  # read again from the worker's disk
+        return out
+
+    words = Ratios.words
 
 
 def _groups(keys: np.ndarray, values: np.ndarray):
@@ -110,7 +143,7 @@ def fit_ratios(code: np.ndarray, counts: np.ndarray) -> Ratios:
     return Ratios(code, of_gram.astype(np.float32), context, of_context.astype(np.float32))
 
 
-def evidence(w: Words, ratios: Ratios) -> np.ndarray:
+def evidence(w: Words, ratios: Ratios | Blocks) -> np.ndarray:
     """Of each row: mean log ratio of its words, largest mean of WINDOW words, means of its 1 and 3 strongest distinct words; zeros without words."""
     rows = len(w.first) - 1
     out = np.zeros((rows, FEATURES))
@@ -138,7 +171,7 @@ def evidence(w: Words, ratios: Ratios) -> np.ndarray:
 
 @dataclass
 class Model:
-    ratios: Ratios
+    ratios: Blocks
     fit: tuple
 
     def scores(self, w: Words) -> np.ndarray:
@@ -146,61 +179,135 @@ class Model:
         return sigmoid(((evidence(w, self.ratios) - mean) / scale) @ b[:-1] + b[-1])
 
 
-def _counted(docs: DataFrame):
-    """Of the sample: n-gram counts by label and half, over whole texts."""
+def _counted(docs: DataFrame) -> DataFrame:
+    """(code, n0, n1, n2, n3): how often each n-gram is in the ordinary documents of either half, and in the toxic ones, over whole texts."""
+
+    def merged(parts):
+        code, inverse = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+        n = np.concatenate([n for _, n in parts], axis=1)
+        return code, np.stack([np.bincount(inverse, row, len(code)).astype(np.int64) for row in n])
+
+    def rows(code, n):
+        return pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), *(pa.array(row) for row in n)], ["code", "n0", "n1", "n2", "n3"])
 
     def run(batches):
+        parts, held = [], 0
         for batch in batches:
-            label, half = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("label", "half"))
-            w = lower_words(batch.column("text"))
-            code, n = grams(w, np.arange(len(w)))
-            key = np.repeat((label * 2 + half)[w.row], n)
-            for k in range(4):
-                got, count = np.unique(code[key == k], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), k, np.int32)), pa.array(got.astype(np.int64)), pa.array(count.astype(np.int64))], ["k", "code", "n"])
-
-    t = docs.mapInArrow(run, "k int, code long, n long").groupBy("k", "code").agg(F.sum("n").alias("n")).toArrow()
-    return t["k"].to_numpy(), t["code"].to_numpy().astype(np.uint64), t["n"].to_numpy()
+            for part in pieces(batch, "text", _SHARD):
+                kind = part.column("label").to_numpy(zero_copy_only=False) * 2 + part.column("half").to_numpy(zero_copy_only=False)
+                w = lower_words(part.column("text"))
+                if not len(w):
+                    continue
+                _, index, inverse = np.unique(w.hashes(), return_index=True, return_inverse=True)
+                seen = np.stack([np.bincount(inverse[kind[w.row] == k], minlength=len(index)) for k in range(4)])
+                code, n = grams(w, index)
+                parts.append((code, np.repeat(seen, n, axis=1)))
+                held += len(code)
+                if held > 1 << 20:
+                    parts = [merged(parts)]
+                    held = len(parts[0][0])
+                    if held > 1 << 19:
+                        yield rows(*parts[0])
+                        parts, held = [], 0
+        if parts:
+            yield rows(*merged(parts))
+
+    t = docs.mapInArrow(run, "code long, n0 long, n1 long, n2 long, n3 long")
+    return t.groupBy("code").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "n2", "n3")))
+
+
+def _fitted(counts: DataFrame, models: list[tuple[int, ...]], store) -> tuple[DataFrame, DataFrame]:
+    """(code, r0, r1, ...) and (context, r0, r1, ...): what fit_ratios gives for each model, a tuple of halves; null where the model lacks the n-gram."""
+    each = range(len(models))
+    of_class = lambda c, m: sum((F.col(f"n{2 * c + h}") for h in models[m]), F.lit(0))
+    level = counts.select("code", *(of_class(c, m).cast("double").alias(f"c{c}{m}") for c in (0, 1) for m in each))
+    level = store(level.select("*", *((F.col(f"c0{m}") + F.col(f"c1{m}")).alias(f"n{m}") for m in each)))
+    levels = [level]
+    for order in range(ORDER - 1, 0, -1):
+        shorter = levels[-1].select(F.col("code").bitwiseAND(F.lit((1 << 8 * order) - 1)).alias("code"), *(F.col(f"n{m}") for m in each))
+        levels.append(store(shorter.groupBy("code").agg(*(F.sum((F.col(f"n{m}") > 0).cast("double")).alias(f"n{m}") for m in each))))
+    below = None
+    context = F.shiftright("code", 8)
+    for order, level in enumerate(reversed(levels), 1):
+        sums = [x for m in each for x in (F.sum(f"n{m}").alias(f"t{m}"), F.sum((F.col(f"n{m}") > 0).cast("double")).alias(f"k{m}"))]
+        if order == ORDER:
+            sums += [x for m in each for c in (0, 1) for x in (F.sum(f"c{c}{m}").alias(f"t{c}{m}"), F.sum(F.least(f"c{c}{m}", F.lit(CLASS_DISCOUNT))).alias(f"d{c}{m}"))]
+        of = level.groupBy(context.alias("context")).agg(*sums)
+        met = level.withColumn("context", context).join(of, "context")
+        if below is None:
+            met = met.select("*", *(F.lit(1 / 256).alias(f"b{m}") for m in each))
+        else:
+            met = met.withColumn("tail", F.col("code").bitwiseAND(F.lit((1 << 8 * (order - 1)) - 1))).join(below.withColumnRenamed("code", "tail"), "tail")
+        p = lambda m: F.when(F.col(f"n{m}") > 0, F.expr(f"(greatest(n{m} - {DISCOUNT}D, 0D) + {DISCOUNT}D * k{m} * b{m}) / t{m}"))
+        if order < ORDER:
+            below = store(met.select("code", *(p(m).alias(f"b{m}") for m in each)))
+    lam = lambda c, m: F.when(F.col(f"t{c}{m}") > 0, F.col(f"d{c}{m}") / F.greatest(f"t{c}{m}", F.lit(1.0))).otherwise(1.0)
+    top = lambda c, m: F.when(F.col(f"t{c}{m}") > 0, F.greatest(F.col(f"c{c}{m}") - CLASS_DISCOUNT, F.lit(0.0)) / F.greatest(f"t{c}{m}", F.lit(1.0))).otherwise(0.0)
+    met = met.select("*", *(p(m).alias(f"p{m}") for m in each))
+    gram = met.select("code", *((F.log(top(1, m) + lam(1, m) * F.col(f"p{m}")) - F.log(top(0, m) + lam(0, m) * F.col(f"p{m}"))).cast("float").alias(f"r{m}") for m in each))
+    contexts = of.select("context", *(F.when(F.col(f"t{m}") > 0, F.log(lam(1, m)) - F.log(lam(0, m))).cast("float").alias(f"r{m}") for m in each))
+    return store(gram), store(contexts)
+
+
+def _blocks(gram: DataFrame, contexts: DataFrame, models: int) -> list[Blocks]:
+    """The models in blocks; one block at a time comes to the driver."""
+    count = -(-gram.count() // BLOCK) | 1
+    send, out = gram.sparkSession.sparkContext.broadcast, [[] for _ in range(models)]
+
+    def table(rows, key, number, b):
+        t = (rows.where(F.pmod(number, F.lit(count)) == b) if count > 1 else rows).toArrow()
+        k = t[key].to_numpy().astype(np.uint64)
+        order = np.argsort(k)
+        k, found = k[order], []
+        for m in range(models):
+            r = t[f"r{m}"].to_numpy().astype(np.float32)[order]
+            found.append((k[~np.isnan(r)], r[~np.isnan(r)]))
+        return found
+
+    for b in range(count):
+        for m, (g, c) in enumerate(zip(table(gram, "code", F.shiftright("code", 8), b), table(contexts, "context", F.col("context"), b), strict=True)):
+            out[m].append(send(Ratios(*g, *c)))
+    return [Blocks(x) for x in out]
 
 
 def train(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", text: str = "text", doc: str = "doc_id", use=None,
-          toxic_docs: int = TOXIC_DOCS, other_docs: int = OTHER_DOCS, most_bytes: int = MOST_BYTES) -> Model:
-    """Fits on at most toxic_docs and other_docs labelled documents (those with the smallest hash of their id) of at most most_bytes bytes.
+          toxic_docs: int = TOXIC_DOCS, other_docs: int = OTHER_DOCS) -> Model:
+    """Counts n-grams over all labelled documents, and fits the score on at most toxic_docs and other_docs of them (those with the smallest hash of their id).
 
     use: a condition on labels' doc_id that learning is held to. Without labelled texts of both kinds, all scores are the share of toxic labels.
     """
+    store = scratch(documents.sparkSession)
     rows = label_rows(labels, label, doc)
     rows = rows if use is None else rows.where(use)
     share = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    sample = chosen(rows, [1, 0], {1: toxic_docs, 0: other_docs})
-    docs = (documents.select(F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.octet_length("text") <= most_bytes)
-            .join(F.broadcast(sample), "doc_id").select("label", "text", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).cast("int").alias("half")))
-    k, code, n = _counted(docs)
+    texts = documents.select(F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    half = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).cast("int").alias("half")
+    labelled = texts.join(F.broadcast(rows) if sum(share.values()) <= MOST_LABELS else rows, "doc_id").select("label", "text", half)
+    counts = store(_counted(labelled))
     rate = (share.get(1, 0) + 0.5) / (sum(share.values()) + 1)
-
-    def ratios(halves):
-        got, inverse = np.unique(code[np.isin(k % 2, halves)], return_inverse=True)
-        use, m = k[np.isin(k % 2, halves)] // 2, n[np.isin(k % 2, halves)]
-        return fit_ratios(got, np.stack([np.bincount(inverse[use == c], m[use == c], len(got)) for c in (0, 1)]))
-
-    if not {*(k // 2).tolist()} >= {0, 1}:
-        empty = np.zeros(0, np.uint64)
-        return Model(Ratios(empty, empty.astype(np.float32), empty, empty.astype(np.float32)), (np.zeros(FEATURES), np.ones(FEATURES), np.append(np.zeros(FEATURES), np.log(rate / (1 - rate)))))
-    both = [ratios([0]), ratios([1])] if {*k.tolist()} == {0, 1, 2, 3} else [ratios([0, 1])] * 2
-    sent = docs.sparkSession.sparkContext.broadcast(both)
+    found = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n0", "n1", "n2", "n3"))).first()
+    if not (found[0] + found[1] and found[2] + found[3]):
+        return Model(Blocks([]), (np.zeros(FEATURES), np.ones(FEATURES), np.append(np.zeros(FEATURES), np.log(rate / (1 - rate)))))
+    models = [(0, 1), (0,), (1,)] if all(found) else [(0, 1)]
+    ratios = _blocks(*_fitted(counts, models, store), len(models))
+    unseen = (ratios[2], ratios[1]) if all(found) else (ratios[0], ratios[0])
+    sample = chosen(rows, [1, 0], {1: toxic_docs, 0: other_docs})
+    docs = texts.join(F.broadcast(sample), "doc_id").select("label", "text", half)
 
     def run(batches):
         for batch in batches:
-            half, w = batch.column("half").to_numpy(zero_copy_only=False), lower_words(batch.column("text"))
-            x = np.where((half == 0)[:, None], evidence(w, sent.value[1]), evidence(w, sent.value[0]))
-            yield pa.RecordBatch.from_arrays([batch.column("label"), *(pa.array(c) for c in x.T)], ["label", *"abcde"])
+            for part in pieces(batch, "text", _SHARD):
+                for h in (0, 1):
+                    mine = part.filter(pc.equal(part.column("half"), h))
+                    x = evidence(lower_words(mine.column("text")), unseen[h])
+                    yield pa.RecordBatch.from_arrays([mine.column("label"), *(pa.array(c) for c in x.T)], ["label", *"abcde"])
 
     t = docs.mapInArrow(run, "label int, a double, b double, c double, d double, e double").toArrow()
     y = t["label"].to_numpy().astype(float)
     x = np.column_stack([t[c].to_numpy() for c in "abcde"])
     # the classes weigh as they do among all labels, not as in the sample
     weight = np.where(y == 1, rate / max(y.mean(), 1e-9), (1 - rate) / max(1 - y.mean(), 1e-9))
-    return Model(ratios([0, 1]), logistic(x, y, weight))
+    return Model(ratios[0], logistic(x, y, weight))
 
 
 def score(documents: DataFrame, model: Model, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "score") -> DataFrame:
@@ -208,13 +315,12 @@ def score(documents: DataFrame, model: Model, *, text: str = "text", keep: tuple
 
     Repeated rows each give a row, no rows give none, and columns not in keep are not read.
     """
-    sent = documents.sparkSession.sparkContext.broadcast(model)
     docs, read = kept_columns(documents, keep, text)
 
     def run(batches):
         for batch in batches:
             for part in pieces(batch, read, _SHARD):
-                own = sent.value.scores(lower_words(part.column(read)))
+                own = model.scores(lower_words(part.column(read)))
                 yield pa.RecordBatch.from_arrays([*(part.column(f"k_{c}") for c in keep), pa.array(own)], [*(f"k_{c}" for c in keep), "score"])
 
     schema = docs.select(*(f"k_{c}" for c in keep), F.lit(None).cast("double").alias("score")).schema

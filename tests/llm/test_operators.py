@@ -95,6 +95,28 @@ def test_toxicity(spark):
     assert toxicity.score(d, none).where("score >= 0.5").isEmpty()
 
 
+def test_toxicity_counts_all_labelled_documents(spark, monkeypatch):
+    r = random.Random(41)
+    docs = [(k, sentence(r, 40) + (" vileness" if k % 2 else "")) for k in range(80)] + [(80, sentence(r, 9000) + " qwzzk" * 9), (81, "qwzzk " * 9 + sentence(r, 30))]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    lab = spark.createDataFrame([(k, k % 2) for k in range(80)] + [(80, 1), (81, 1)], "doc_id long, toxic int")
+    w = toxicity.lower_words(pa.array([t for _, t in docs]))
+    toxic = np.array([k % 2 if k < 80 else 1 for k, _ in docs])[w.row]
+    code, n = toxicity.grams(w, np.arange(len(w)))
+    got, inverse = np.unique(code, return_inverse=True)
+    want = toxicity.fit_ratios(got, np.stack([np.bincount(inverse, np.repeat(toxic == c, n), len(got)) for c in (0, 1)]))
+    words = toxicity.lower_words(pa.array(["qwzzk vileness mat cat unheard qwzzx"]))
+    for size in (toxicity.BLOCK, 16):  # as one block, and as many
+        monkeypatch.setattr(toxicity, "BLOCK", size)
+        # a sample of 5 and 5 for the logistic fit; the counts are of all, the long text as well
+        model = toxicity.train(d, lab, toxic_docs=5, other_docs=5)
+        assert (len(model.ratios.sent) > 4) == (size == 16)
+        for some in (w, words):
+            assert model.ratios.words(some, np.arange(len(some))) == pytest.approx(want.words(some, np.arange(len(some))), abs=1e-4)
+        assert toxicity.score(d, model).count() == len(docs)
+    assert want.words(words, np.arange(1))[0] > 2
+
+
 def test_evidence_has_the_right_sign():
     w = toxicity.lower_words(pa.array(["ab abc abd bcd", "zz ab"]))
     code, n = toxicity.grams(w, np.arange(len(w)))
