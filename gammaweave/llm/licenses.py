@@ -61,9 +61,10 @@ def scan(documents: DataFrame, templates: DataFrame, *, text: str = "text", doc:
     """
     spark = documents.sparkSession
     t = templates.select("license", _bigrams(_words(F.coalesce("text", F.lit("")))).alias("g")).where("size(g) > 0").distinct()
-    rows = [(i, r["license"], g, len(r["g"])) for i, r in enumerate(sorted(t.limit(1 << 16).collect(), key=lambda r: (str(r["license"]), r["g"]))) for g in r["g"]]
-    if sum(len(r[2]) for r in rows) > MOST_TEMPLATE_BYTES:
+    # before any template comes to the driver; each has a bigram of three bytes at least, so this bounds their number too
+    if (t.agg(F.sum(F.aggregate("g", F.lit(0).cast("long"), lambda m, v: m + F.char_length(v)))).first()[0] or 0) > MOST_TEMPLATE_BYTES:
         raise ValueError("too many templates for one broadcast")
+    rows = [(i, r["license"], g, len(r["g"])) for i, r in enumerate(sorted(t.collect(), key=lambda r: (str(r["license"]), r["g"]))) for g in r["g"]]
     index = spark.createDataFrame(rows, "template int, license string, g string, size int")
     sizes = [r[3] for r in rows] or [1]
     low, high = -(-percent * min(sizes) // (200 - percent)), (200 - percent) * max(sizes) // percent

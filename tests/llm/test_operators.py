@@ -373,6 +373,13 @@ def test_license_scan(spark):
     assert licenses.scan(docs, licenses.notices(spark).limit(0)).where("size(matches) > 0").isEmpty()
 
 
+def test_license_scan_checks_all_templates(spark):
+    # 62 bytes of bigrams each: 65,536 of them would be under the limit
+    many = spark.range(70_000).select(F.lit("own").alias("license"), F.concat(F.lit("own notice "), F.lpad(F.col("id").cast("string"), 45, "0")).alias("text"))
+    with pytest.raises(ValueError):
+        licenses.scan(documents(spark), many)
+
+
 def test_token_counts(spark):
     r = random.Random(14)
     pieces = {c: -10.0 - k for k, c in enumerate("▁abcd")}
