@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,20 +11,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset, as in tests, a folder of this machine."""
+    """spark.checkpoint.dir; where that is unset and all runs in one process, as in tests, a folder of this machine. A cluster must name one."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not (spark.sparkContext.master + "[").startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not hasattr(shared_folder, "own"):
         shared_folder.own = tempfile.mkdtemp(prefix="shared-")
+        atexit.register(shutil.rmtree, shared_folder.own, ignore_errors=True)
     return f"file://{shared_folder.own}"
 
 
 class Scratch:
-    """Writes tables to a folder of its own and reads them again: cuts lineage, and lost executors lose nothing of them."""
+    """Writes tables to a folder of its own and reads them again: cuts lineage, and lost executors lose nothing of them. The folder goes when the driver's JVM ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.folder, self.n = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", 0
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
 
     def __call__(self, df: DataFrame) -> DataFrame:
         self.n += 1
