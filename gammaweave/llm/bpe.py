@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import carried, kept_columns, restored
 from .text import pieces
 
 _NONE = np.iinfo(np.int32).max
@@ -198,31 +199,31 @@ def encode(documents: DataFrame, ranks_path: str, pattern: str, *, text: str = "
     """documents' columns keep, n_tokens, and ids, the token ids as little-endian unsigned 32-bit integers; with decode
     also decoded, the bytes that the ids stand for, found from the ids alone.
 
-    No special tokens. Null texts are empty, and empty ones have no ids; repeated rows each give a row; no rows give no rows;
-    columns not in keep are not read. ranks_path is a file on the driver; its content is broadcast.
+    No special tokens. Null texts are empty, and empty ones have no ids; repeated rows each give a row; no rows give no rows; a very long
+    text is encoded whole; columns not in keep are not read, and one of keep that has a result's name gets _ at its end. ranks_path is a file on the driver; its content is broadcast.
     """
     with open(ranks_path, "rb") as f:
         data = documents.sparkSession.sparkContext.broadcast(f.read())
-    docs = documents.select(*(F.col(c).alias(f"k_{c}") for c in keep), F.col(text).cast("string").alias("text"))
+    docs, read = kept_columns(documents, keep, text)
     extra = [("n_tokens", "bigint", pa.int64()), ("ids", "binary", pa.binary())] + [("decoded", "binary", pa.binary())] * decode
 
     def run(batches):
         enc = encoder(data.value, pattern)
         for batch in batches:
-            for part in pieces(batch, "text", _PART):
-                ids = enc.encode([x or "" for x in part.column("text").to_pylist()])
+            for part in pieces(batch, read, _PART):
+                ids = enc.encode([x or "" for x in part.column(read).to_pylist()])
                 for a in range(0, len(ids), 512):  # small batches to the JVM
                     some = ids[a : a + 512]
                     own = [pa.array([len(x) for x in some], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in some], pa.binary())]
                     own += [pa.array([enc.decode(x) for x in some], pa.binary())] * decode
-                    yield pa.RecordBatch.from_arrays([*(part.column(f"k_{c}").slice(a, len(some)) for c in keep), *own], [*(f"k_{c}" for c in keep), *(n for n, _, _ in extra)])
+                    yield pa.RecordBatch.from_arrays([*(part.column(c).slice(a, len(some)) for c in carried(keep)), *own], [*carried(keep), *(n for n, _, _ in extra)])
 
-    schema = docs.select(*(f"k_{c}" for c in keep), *(F.expr(f"cast(null as {t})").alias(n) for n, t, _ in extra)).schema
-    return docs.mapInArrow(run, schema).select(*(F.col(f"k_{c}").alias(c) for c in keep), *(n for n, _, _ in extra))
+    schema = docs.select(*carried(keep), *(F.expr(f"cast(null as {t})").alias(n) for n, t, _ in extra)).schema
+    return restored(docs.mapInArrow(run, schema), keep, *(n for n, _, _ in extra))
 
 
 def decode(encoded: DataFrame, ranks_path: str, *, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """encoded and a column of the bytes its ids stand for; null ids give null."""
+    """encoded and a column `out` (instead of one of that name) of the bytes its ids stand for; null ids give null, empty ones no bytes; repeated rows stay."""
     with open(ranks_path, "rb") as f:
         data = encoded.sparkSession.sparkContext.broadcast(f.read())
 

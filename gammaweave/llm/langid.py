@@ -13,17 +13,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sampling import fold
+from .sampling import carried, column, fold, kept_columns, restored
 from .text import Words, mix, pieces
 from .toxicity import lower_words
 
 BUCKETS = 1 << 18
 ORDERS = (2, 3, 4)
-#: The sample that is learned from: documents in all (as many of each language), and bytes beyond which one isn't taken.
-SAMPLE_DOCS, MOST_BYTES = 2000, 16_384
+#: The sample that is learned from: documents in all (as many of each language), and words of each, which are stretches spread evenly over the whole text.
+SAMPLE_DOCS, SAMPLE_WORDS = 2000, 2400
+#: Languages; more are an error, as each has its weights.
+MOST_LANGS = 500
 #: Training sequences: words in each, most words of a stretch, sequences, steps, and the penalty on weights.
 LENGTH, STRETCH, SEQUENCES, STEPS, PENALTY = 48, 24, 6000, 40, 1e-4
 _SHARD = 6 << 20
@@ -175,20 +178,45 @@ def _pairs(potential, trans, first, inner) -> np.ndarray:
     return (joint / joint.sum((2, 3), keepdims=True)).sum((0, 1))
 
 
-def train(documents: DataFrame, *, text: str = "text", lang: str = "lang", doc: str = "doc_id", use=None, sample_docs: int = SAMPLE_DOCS, most_bytes: int = MOST_BYTES) -> Field:
-    """Fits on at most sample_docs documents of known language, as many of each, with the smallest hashes of their ids; use is a condition on doc."""
-    rows = documents.select(F.col(doc).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null and doc_id is not null")
+def spread_words(column: pa.Array, most: int) -> pa.Array:
+    """Of each text at most so many words, blanks between: all, or stretches of STRETCH words at even distances from the first word to the last."""
+    w, out = lower_words(column), []
+    for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
+        n = b - a
+        at = np.arange(n)
+        if n > most:
+            k = max(1, most // STRETCH)
+            at = (np.linspace(0, n - STRETCH, k).astype(np.int64)[:, None] + np.arange(STRETCH)).ravel()
+        out.append(b" ".join(w.text(a + i) for i in at.tolist()).decode())
+    return pa.array(out, pa.string())
+
+
+def train(documents: DataFrame, *, text: str = "text", lang: str = "lang", doc: str = "doc_id", use=None, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> Field:
+    """Fits on at most sample_docs documents of known language, as many of each, with the smallest hashes of their ids; use is a condition on doc_id.
+
+    Of a longer text sample_words words count, from all over it. Rows of null language, id or text are left out, so are texts without letters; ties go by id;
+    rows that share an id and a text are learned from once. Without any rows nothing is learned.
+    """
+    rows = documents.select(column(doc).alias("doc_id"), column(lang).cast("string").alias("lang"), column(text).cast("string").alias("text")).where("lang is not null and doc_id is not null")
     rows = rows if use is None else rows.where(use)
-    langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    langs = [r["lang"] for r in rows.select("lang").distinct().limit(MOST_LANGS + 1).collect()]
+    if len(langs) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
     if not langs:
         return Field([], np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0)))
     each = max(1, sample_docs // len(langs))
-    ids = None
-    for x in langs:
-        part = rows.where(F.col("lang") == x).select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(each)
-        ids = part if ids is None else ids.union(part)
-    chosen = documents.sparkSession.createDataFrame([(r["doc_id"],) for r in ids.collect()], "doc_id long").distinct()
-    t = rows.join(F.broadcast(chosen), "doc_id").where(F.octet_length("text") <= most_bytes).select("doc_id", "lang", "text").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    # those of a text with a letter; a limit within the window's tasks, so that a language of very many documents isn't sorted by one
+    fit_for = rows.where(F.col("text").rlike(r"\p{L}")).select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
+    first = fit_for.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= each).select("lang", "doc_id").distinct()
+    chosen = documents.sparkSession.createDataFrame([tuple(r) for r in first.collect()], first.schema)
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, "text", _SHARD):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), spread_words(part.column("text"), sample_words)], ["doc_id", "lang", "text"])
+
+    sample = rows.join(F.broadcast(chosen), ["lang", "doc_id"]).where("text is not null").select("doc_id", "lang", "text")
+    t = sample.mapInArrow(run, sample.schema).distinct().toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
     return fit(t["text"].to_pylist(), t["lang"].to_pylist())
 
 
@@ -198,32 +226,30 @@ _SPAN = pa.struct([("lang", pa.string()), ("word", pa.int64()), ("n_words", pa.i
 def label(documents: DataFrame, field: Field, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """documents' columns keep, lang_pred, score, and spans: the stretches of words that are likeliest in one language.
 
-    Words are runs of letters. lang_pred has the largest summed probability over the words, and score is its mean. A text that is null or
-    has no letter gives `und`, 0 and no spans, and so does any text if nothing was learned; repeated rows each give a row; no rows
-    give none; columns not in keep are not read.
+    Words are runs of letters. lang_pred has the largest summed probability over the words (of equal ones the first by name), and score is
+    its mean. A text that is null or has no letter gives `und`, 0 and no spans, and so does any text if nothing was learned; a very long text
+    is labelled whole; repeated rows each give a row; no rows give none; columns not in keep are not read, and one of them that has a
+    result's name gets _ at its end.
     """
     sent = documents.sparkSession.sparkContext.broadcast(field)
-    docs = documents.select(*(F.col(c).alias(f"k_{c}") for c in keep), F.col(text).cast("string").alias("text"))
+    docs, read = kept_columns(documents, keep, text)
 
     def run(batches):
-        import regex
-
-        letter, own = regex.compile(r"\p{L}"), sent.value
         for batch in batches:
-            for part in pieces(batch, "text", _SHARD):
-                yield _labelled(part, own, letter, keep)
+            for part in pieces(batch, read, _SHARD):
+                yield _labelled(part, read, sent.value, carried(keep))
 
-    schema = docs.select(*(f"k_{c}" for c in keep), F.expr("cast(null as string) as lang_pred"), F.expr("cast(null as double) as score"), F.expr("cast(null as array<struct<lang:string,word:bigint,n_words:bigint>>) as spans")).schema
-    return docs.mapInArrow(run, schema).select(*(F.col(f"k_{c}").alias(c) for c in keep), "lang_pred", "score", "spans")
+    schema = docs.select(*carried(keep), F.expr("cast(null as string) as lang_pred"), F.expr("cast(null as double) as score"), F.expr("cast(null as array<struct<lang:string,word:bigint,n_words:bigint>>) as spans")).schema
+    return restored(docs.mapInArrow(run, schema), keep, "lang_pred", "score", "spans")
 
 
-def _labelled(part: pa.RecordBatch, field: Field, letter, keep) -> pa.RecordBatch:
+def _labelled(part: pa.RecordBatch, read: str, field: Field, kept: list[str]) -> pa.RecordBatch:
     rows = part.num_rows
-    known = np.array([x is not None and letter.search(x) is not None for x in part.column("text").to_pylist()], bool)
+    known = pc.match_substring_regex(part.column(read), r"\p{L}").fill_null(False).to_numpy(zero_copy_only=False).copy()
     names, score = np.full(rows, "und", object), np.zeros(rows)
     spans = pa.array([[]] * rows, pa.list_(_SPAN))
     if field.labels and rows:
-        w = lower_words(part.column("text"))
+        w = lower_words(part.column(read))
         p = field.probabilities(w)
         n = w.counts()
         total = np.stack([np.bincount(w.row, p[:, j], rows) for j in range(len(field.labels))], 1)
@@ -239,7 +265,7 @@ def _labelled(part: pa.RecordBatch, field: Field, letter, keep) -> pa.RecordBatc
             size = np.diff(np.append(np.flatnonzero(new), len(w)))[known[w.row[np.flatnonzero(new)]]]
             values = pa.StructArray.from_arrays([pa.DictionaryArray.from_arrays(pa.array(of[at].astype(np.int32)), pa.array(field.labels, pa.string())).dictionary_decode(), pa.array(at - w.first[w.row[at]]), pa.array(size)], fields=list(_SPAN))
             spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(w.row[at], np.arange(rows + 1)), pa.int32()), values)
-    return pa.RecordBatch.from_arrays([*(part.column(f"k_{c}") for c in keep), pa.array(names, pa.string()), pa.array(score), spans], [*(f"k_{c}" for c in keep), "lang_pred", "score", "spans"])
+    return pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(names, pa.string()), pa.array(score), spans], [*kept, "lang_pred", "score", "spans"])
 
 
 def held_out(doc: str = "doc_id"):

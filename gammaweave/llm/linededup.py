@@ -3,11 +3,14 @@
 All documents' lines, in the order of (document, place), are one sequence of ids. Only lines that occur twice take part; the others
 end a run. Prefix doubling gives each place, for k = 0, 1, ..., the rank of the 2**k lines from there on in the order of the
 suffixes: a range-partitioned sort of the distinct pairs of earlier ranks, whose numbers keep the order. Places of equal rank
-are an interval of the suffix array with a common prefix of 2**k lines; two overlapping ranks name one of any other length.
+are an interval of the suffix array with a common prefix of 2**k lines; two overlapping ranks name one of any other length. A place that is
+alone in its interval is tied with none, and takes no part in what is longer.
 
-A repeated run counts from MIN_CHARS characters (line ends included). A line lies in a later copy of a maximal run of at least
+A repeated run counts from MIN_CHARS characters (line ends included), so a line of a few words counts alone, and shorter ones with their
+neighbours. A line lies in a later copy of a maximal run of at least
 that size exactly if it does in a later copy of a shortest stretch of that size that begins at, or ends with, some line; so
-doubling goes only as far as the longest of these (MIN_CHARS lines at most, each having its line end), however long the runs are.
+doubling goes only as far as the longest of these (MIN_CHARS lines at most, each having its line end), however long the runs are. Stretches
+that follow each other in a document, and whose first copies follow each other just so, make one maximal run.
 """
 
 from __future__ import annotations
@@ -15,9 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sampling import column
 from .shared import scratch
 
-MIN_CHARS = 50
+MIN_CHARS = 20
 
 
 def _lines(docs: DataFrame, most: int) -> DataFrame:
@@ -27,8 +31,8 @@ def _lines(docs: DataFrame, most: int) -> DataFrame:
 
 
 def _numbers(rows: DataFrame, columns: list[str], name: str, store) -> DataFrame:
-    """The distinct rows of the columns with numbers that keep their order."""
-    return store(rows.select(*columns).distinct().repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn(name, F.monotonically_increasing_id()))
+    """The rows of the columns that occur twice or more, with numbers that keep their order."""
+    return store(rows.groupBy(*columns).count().where("count > 1").select(*columns).repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn(name, F.monotonically_increasing_id()))
 
 
 def _rank(m: Column, top: int, prefix: str) -> Column:
@@ -57,17 +61,22 @@ def _null_safe(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
     return left.join(r, F.col("doc").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t")) & (F.col(column) == F.col("_c"))).drop("_d", "_t", "_c")
 
 
+def _texts(documents: DataFrame, text: str, doc: str) -> DataFrame:
+    return documents.select(column(doc).alias("doc"), F.xxhash64(column(text)).alias("t"), column(text).alias("text"))
+
+
 def repeated_lines(documents: DataFrame, *, text: str = "text", doc: str = "doc_id", min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, text_hash, removed): for each document with such lines, the places (from 0, sorted) of those in later copies of repeated runs.
+    """(doc_id, text_hash, removed, runs): for each document with such lines, the places (from 0, sorted) of those in later copies of repeated runs,
+    and the maximal runs, each with its start, n_lines, and doc_id and start of its first copy.
 
     Copies are in the order of doc_id (null first), then of the texts' hash, then of place; copies may lie in one document and overlap,
     and a line is removed if any later copy has it. Rows equal in doc_id and text are one document. Null and empty texts have
-    no lines to remove; no documents, no rows; other columns are not read.
+    no lines to remove; a very long text's lines are rows like all others; no documents, no rows; other columns are not read.
     """
     store = scratch(documents.sparkSession)
-    docs = documents.select(F.col(doc).alias("doc"), F.xxhash64(text).alias("t"), F.col(text).alias("text")).where("text is not null")
+    docs = _texts(documents, text, doc).where("text is not null")
     lines = store(_lines(docs, min_chars))
-    ids = _numbers(lines.groupBy("h", "g").count().where("count > 1"), ["h", "g"], "r0", store)
+    ids = _numbers(lines, ["h", "g"], "r0", store)
     active = store(lines.join(ids, ["h", "g"]).select("doc", "t", "pos", "w", "r0").distinct())
     store.drop(1)
     spans = store(_stretches(active, min_chars))
@@ -77,7 +86,7 @@ def repeated_lines(documents: DataFrame, *, text: str = "text", doc: str = "doc_
     while 2 ** (top + 1) <= longest:
         step = 2**top
         follows = F.lead("pos", step).over(order) == F.col("pos") + step
-        pairs = ranks.withColumn("next", F.when(follows, F.lead(f"r{top}", step).over(order)))
+        pairs = ranks.withColumn("next", F.when(follows & F.col(f"r{top}").isNotNull(), F.lead(f"r{top}", step).over(order)))
         own, top = f"r{top}", top + 1
         pairs = store(pairs)
         ranks = store(pairs.join(_numbers(pairs.where("next is not null"), [own, "next"], f"r{top}", store), [own, "next"], "left").drop("next"))
@@ -87,41 +96,50 @@ def repeated_lines(documents: DataFrame, *, text: str = "text", doc: str = "doc_
         size = F.when(m >= 2**k, 2**k).otherwise(size)
     renamed = lambda p: ranks.select("doc", "t", F.col("pos").alias("start" if p == "a" else "other"), *(F.col(f"r{k}").alias(f"{p}{k}") for k in range(top + 1)))
     named = _null_safe(spans, renamed("a"), "start").withColumn("other", F.col("start") + m - size)
-    named = _null_safe(named.select("doc", "t", "start", "m", "other", _rank(m, top, "a").alias("x")), renamed("b"), "other").select("doc", "t", "start", "m", "x", _rank(m, top, "b").alias("y"))
-    named = store(named)
+    named = _null_safe(named.select("doc", "t", "start", "m", "other", _rank(m, top, "a").alias("x")).where("x is not null"), renamed("b"), "other").select("doc", "t", "start", "m", "x", _rank(m, top, "b").alias("y"))
+    named = store(named.where("y is not null"))
     place = F.struct("doc", "t", "start")
     first = named.groupBy("m", "x", "y").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").drop("last")
     first = store(first)  # then both sides of the join are plain shuffles, and a line of very many copies can be split
-    later = named.join(first, ["m", "x", "y"]).where(place != F.col("first"))
-    cut = later.select("doc", "t", F.explode(F.sequence(F.col("start"), F.col("start") + m - 1)).alias("pos")).distinct()
-    return cut.groupBy("doc", "t").agg(F.array_sort(F.collect_list("pos")).alias("removed")).select(F.col("doc").alias("doc_id"), F.col("t").alias("text_hash"), "removed")
+    later = named.join(first, ["m", "x", "y"]).where(place != F.col("first")).select("doc", "t", "start", F.expr("start + m - 1").alias("end"), F.col("first.doc").alias("fd"), F.col("first.t").alias("ft"), F.expr("start - first.start").alias("shift"))
+    # stretches of one shift from one text that overlap or adjoin are one run; all is within a document, by which the rows are dealt once
+    along = Window.partitionBy("doc", "t", "fd", "ft", "shift").orderBy("start", "end")
+    before = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    later = later.repartition("doc", "t").withColumn("new", F.when(before >= F.col("start") - 1, 0).otherwise(1)).withColumn("run", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = later.groupBy("doc", "t", "fd", "ft", "shift", "run").agg(F.min("start").alias("a"), F.max("end").alias("z"))
+    each = F.struct(F.col("a").alias("start"), F.expr("z - a + 1").alias("n_lines"), F.col("fd").alias("first_doc"), F.expr("a - shift").alias("first_start"))
+    out = runs.groupBy("doc", "t").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("a", "z"))))).alias("removed"), F.array_sort(F.collect_list(each)).alias("runs"))
+    return out.select(F.col("doc").alias("doc_id"), F.col("t").alias("text_hash"), "removed", "runs")
 
 
-def _with_removed(documents: DataFrame, text: str, doc: str, min_chars: int) -> DataFrame:
-    """documents as struct d, their lines and the places removed."""
-    removed = repeated_lines(documents, text=text, doc=doc, min_chars=min_chars).withColumnRenamed("doc_id", "_doc")
-    rows = documents.select(F.struct(*documents.columns).alias("d"), F.col(doc).alias("_id"), F.xxhash64(text).alias("_t"))
-    return rows.join(removed, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_t") == F.col("text_hash")), "left").select("d", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+def _joined(rows: DataFrame, documents: DataFrame, text: str, doc: str, min_chars: int) -> DataFrame:
+    """rows (with doc and t of documents), removed and runs."""
+    found = repeated_lines(documents, text=text, doc=doc, min_chars=min_chars).withColumnsRenamed({"doc_id": "_doc", "text_hash": "_t"})
+    out = rows.join(found, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("t") == F.col("_t")), "left")
+    return out.withColumns({"removed": F.coalesce("removed", F.array().cast("array<int>")), "runs": F.coalesce("runs", F.array().cast(found.schema["runs"].dataType))})
 
 
 def line_report(documents: DataFrame, *, text: str = "text", doc: str = "doc_id", min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, n_lines (0 for null) and removed for each row of documents; the texts stay where they are."""
-    slim = documents.select(F.col(doc).alias("doc_id"), F.xxhash64(text).alias("_t"), F.coalesce(F.size(F.split(F.col(text), "\n")), F.lit(0)).alias("n_lines"))
-    removed = repeated_lines(documents, text=text, doc=doc, min_chars=min_chars).withColumnRenamed("doc_id", "_doc")
-    out = slim.join(removed, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_t") == F.col("text_hash")), "left")
-    return out.select("doc_id", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    """doc_id, n_lines (0 for null), removed and runs for each row of documents; the texts stay where they are.
+
+    Repeated rows get equal results, each its own row; null and empty texts have nothing removed; no documents, no rows.
+    """
+    slim = _texts(documents, text, doc).select("doc", "t", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
+    return _joined(slim, documents, text, doc, min_chars).select(F.col("doc").alias("doc_id"), "n_lines", "removed", "runs")
 
 
 def dedup_lines(documents: DataFrame, *, text: str = "text", doc: str = "doc_id", min_chars: int = MIN_CHARS) -> DataFrame:
-    """documents with the later copies of repeated runs of lines taken out of the texts; all rows and columns stay.
+    """documents with the later copies of repeated runs of lines taken out of the texts; all rows and columns stay, whatever their names.
 
-    A text that loses all its lines becomes empty; null stays null.
+    A text that loses all its lines becomes empty; null stays null; repeated rows stay, with equal texts.
     """
-    rows = _with_removed(documents, text, doc, min_chars)
-    gone = F.col("removed")
+    names = documents.columns
+    rows = documents.select(F.struct(*(column(c).alias(f"k_{i}") for i, c in enumerate(names))).alias("d"), column(doc).alias("doc"), F.xxhash64(column(text)).alias("t"))
+    rows = _joined(rows, documents, text, doc, min_chars).select("d", "removed")
+    own, gone = F.col(f"d.k_{names.index(text)}"), F.col("removed")
     # a column of its own, so that looking up a line doesn't split the text again
-    rows = rows.withColumn("lines", F.when(F.size(gone) > 0, F.split(F.col(f"d.{text}"), "\n")))
+    rows = rows.withColumn("lines", F.when(F.size(gone) > 0, F.split(own, "\n")))
     # places to keep, as an array difference: in linear time
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), gone), lambda i: F.element_at("lines", i + 1))
-    new = F.when(F.size(gone) == 0, F.col(f"d.{text}")).otherwise(F.array_join(kept, "\n"))
-    return rows.select(*((new if c == text else F.col(f"d.`{c}`")).alias(c) for c in documents.columns))
+    new = F.when(F.size(gone) == 0, own).otherwise(F.array_join(kept, "\n"))
+    return rows.select(*((new if c == text else F.col(f"d.k_{i}")).alias(c) for i, c in enumerate(names)))

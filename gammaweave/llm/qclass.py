@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .jaccard import _sorted
-from .sampling import chosen, fold, label_rows, sigmoid
+from .sampling import carried, chosen, column, fold, kept_columns, label_rows, restored, sigmoid
 from .text import NONBLANK, buffers, pieces, words
 
-#: The sample that is learned from: documents of each label, and bytes beyond which a document isn't taken.
-DOCS_PER_LABEL, MOST_BYTES = 6000, 65_536
+#: The sample that is learned from: documents of each label. Only their statistics come to the driver, so texts of any length are learned from.
+DOCS_PER_LABEL = 6000
 TREES, DEPTH, BINS, RATE, RIDGE, LEAST_LEAF = 80, 4, 64, 0.15, 2.0, 8
 _SHARD = 6 << 20
 _CLASSES = ["upper", "lower", "digit", "beyond", "symbol", "stop", "newline", "other"]
@@ -148,18 +148,22 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Trees:
     return Trees(base, np.array(roots, int), np.array(c[0], int), np.array(c[1], float), np.array(c[2], int), np.array(c[3], int), np.array(c[4], float))
 
 
-def train(documents: DataFrame, labels: DataFrame, *, label: str = "quality", text: str = "text", doc: str = "doc_id", use=None, per_label: int = DOCS_PER_LABEL, most_bytes: int = MOST_BYTES) -> Trees:
-    """Fits on at most per_label documents of each label (smallest hash of the id) of at most most_bytes bytes; use is a condition on doc_id."""
+def train(documents: DataFrame, labels: DataFrame, *, label: str = "quality", text: str = "text", doc: str = "doc_id", use=None, per_label: int = DOCS_PER_LABEL) -> Trees:
+    """Fits on the whole texts of at most per_label documents of each label (smallest hash of the id, ties by the id); use is a condition on doc_id.
+
+    Null ids and labels are left out; a null text counts as empty; a document that stands twice is learned from twice. Without labels of both kinds there are no trees.
+    """
     rows = label_rows(labels, label, doc)
     rows = rows if use is None else rows.where(use)
     share = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     sample = chosen(rows, [1, 0], {1: per_label, 0: per_label})
-    docs = documents.select(F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.octet_length("text") <= most_bytes).join(F.broadcast(sample), "doc_id")
+    docs = documents.select(column(doc).alias("doc_id"), column(text).cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
 
     def run(batches):
         for batch in batches:
-            x = statistics(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *(pa.array(c) for c in x.T)], ["doc_id", "label", *FEATURES])
+            for part in pieces(batch, "text", _SHARD):
+                x = statistics(part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), *(pa.array(c) for c in x.T)], ["doc_id", "label", *FEATURES])
 
     t = docs.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, " + ", ".join(f"{f} double" for f in FEATURES)).toArrow().sort_by([("doc_id", "ascending"), (FEATURES[9], "ascending")])
     y = t["label"].to_numpy().astype(float)
@@ -172,19 +176,19 @@ def train(documents: DataFrame, labels: DataFrame, *, label: str = "quality", te
 def score(documents: DataFrame, model: Trees, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """documents' columns keep and score, 0 to 1, of whole texts.
 
-    A null or empty text has all statistics zero and is scored as such; repeated rows each give a row, no rows give none, and columns
-    not in keep are not read. Without labels of both kinds all scores are equal.
+    A null or empty text has all statistics zero and is scored as such; a very long text is one part of its own; rows of equal texts get equal
+    scores, each row its own; no rows give none; columns not in keep are not read, and one of them named score becomes score_. Without labels of both kinds all scores are equal.
     """
     sent = documents.sparkSession.sparkContext.broadcast(model)
-    docs = documents.select(*(F.col(c).alias(f"k_{c}") for c in keep), F.col(text).cast("string").alias("text"))
+    docs, read = kept_columns(documents, keep, text)
 
     def run(batches):
         for batch in batches:
-            for part in pieces(batch, "text", _SHARD):
-                yield pa.RecordBatch.from_arrays([*(part.column(f"k_{c}") for c in keep), pa.array(sent.value.scores(statistics(part.column("text"))))], [*(f"k_{c}" for c in keep), "score"])
+            for part in pieces(batch, read, _SHARD):
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried(keep)), pa.array(sent.value.scores(statistics(part.column(read))))], [*carried(keep), "score"])
 
-    schema = docs.select(*(f"k_{c}" for c in keep), F.lit(None).cast("double").alias("score")).schema
-    return docs.mapInArrow(run, schema).select(*(F.col(f"k_{c}").alias(c) for c in keep), "score")
+    schema = docs.select(*carried(keep), F.lit(None).cast("double").alias("score")).schema
+    return restored(docs.mapInArrow(run, schema), keep, "score")
 
 
 def held_out(doc: str = "doc_id"):

@@ -36,7 +36,8 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linededup import line_report
 
     found = line_report(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"))
+    return found.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"),
+                        F.size("runs").cast("long").alias("n_runs"), F.coalesce(F.array_max(F.transform("runs", lambda x: x["n_lines"])), F.lit(0)).cast("long").alias("longest_run"))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +75,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.col("matches")
     found = scan(table(spark, sf_dir, "documents"), notices(spark))
     return found.select("doc_id", F.size(m).cast("long").alias("n_matches"), F.array_join(F.array_sort(F.array_distinct(F.transform(m, lambda x: x["license"]))), ",").alias("licenses"),
+                        F.array_join(F.transform(m, lambda x: F.concat_ws(":", x["license"], x["line"].cast("string"), x["n_lines"].cast("string"))), ",").alias("units"),
                         F.coalesce(F.array_max(F.transform(m, lambda x: x["dice"])), F.lit(0)).cast("long").alias("best_dice"))
 
 
@@ -86,26 +88,31 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_language_id, op4_line_dedup, op5_byte_bpe, op6_ngram_jaccard, op7_quality_rules, op8_quality_classifier, op9_license_scan, op10_token_counts)}
-#: Stretches of 50 characters, line ends included, from each line on and up to each line; a line goes if it is in a later copy of one.
+#: Stretches of 20 characters, line ends included, from each line on and up to each line; a line goes if it is in a later copy of one. Stretches that adjoin, as their first copies do, are a run.
 _OP4 = """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
            FROM documents WHERE text IS NOT NULL),
-w AS (SELECT doc_id, pos, line, least(length(line) + 1, 50) AS w, sum(least(length(line) + 1, 50)) OVER (PARTITION BY doc_id ORDER BY pos) AS c FROM l),
+w AS (SELECT doc_id, pos, line, least(length(line) + 1, 20) AS w, sum(least(length(line) + 1, 20)) OVER (PARTITION BY doc_id ORDER BY pos) AS c FROM l),
 e AS (SELECT doc_id, pos, c, c - w AS b,
         last(pos) OVER f AS e1, last(c) OVER f AS c1, first(pos) OVER g AS s2, first(c - w) OVER g AS b2
-      FROM w WINDOW f AS (PARTITION BY doc_id ORDER BY c - w RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING),
-                    g AS (PARTITION BY doc_id ORDER BY c RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
-s AS (SELECT doc_id, pos AS a, e1 AS z FROM e WHERE c1 - b >= 50 UNION SELECT doc_id, s2, pos FROM e WHERE c - b2 >= 50),
+      FROM w WINDOW f AS (PARTITION BY doc_id ORDER BY c - w RANGE BETWEEN CURRENT ROW AND 19 FOLLOWING),
+                    g AS (PARTITION BY doc_id ORDER BY c RANGE BETWEEN 19 PRECEDING AND CURRENT ROW)),
+s AS (SELECT doc_id, pos AS a, e1 AS z FROM e WHERE c1 - b >= 20 UNION SELECT doc_id, s2, pos FROM e WHERE c - b2 >= 20),
 k AS (SELECT s.*, array_to_string(list_slice(string_split(d.text, chr(10)), a + 1, z + 1), chr(10)) AS body FROM s JOIN documents d USING (doc_id)),
-o AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, a) AS n FROM k),
+o AS (SELECT *, row_number() OVER q AS n, first_value(doc_id) OVER q AS fd, a - first_value(a) OVER q AS shift FROM k WINDOW q AS (PARTITION BY body ORDER BY doc_id, a)),
+i AS (SELECT *, sum(CASE WHEN before >= a - 1 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, fd, shift ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
+      FROM (SELECT *, max(z) OVER (PARTITION BY doc_id, fd, shift ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM o WHERE n > 1)),
+g AS (SELECT doc_id, count(*) AS n_runs, max(size) AS longest FROM (SELECT doc_id, fd, shift, run, max(z) - min(a) + 1 AS size FROM i GROUP BY ALL) GROUP BY doc_id),
 r AS (SELECT DISTINCT doc_id, unnest(generate_series(a, z)) AS pos FROM o WHERE n > 1),
 x AS (SELECT doc_id, count(*) AS n, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS p FROM r GROUP BY doc_id)
-SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(x.n, 0) AS BIGINT) AS n_removed, coalesce(x.p, '') AS removed_lines
-FROM documents d LEFT JOIN x USING (doc_id)
+SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(x.n, 0) AS BIGINT) AS n_removed, coalesce(x.p, '') AS removed_lines,
+  CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(coalesce(longest, 0) AS BIGINT) AS longest_run
+FROM documents d LEFT JOIN x USING (doc_id) LEFT JOIN g USING (doc_id)
 """
 
 
 def _op9() -> str:
+    """Texts and templates whose common bigrams are enough for any unit, then all units of the text's lines with words; s and f: a line's first word, and the one after its last."""
     from .licenses import NOTICES
 
     rows = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in NOTICES)
@@ -113,14 +120,20 @@ def _op9() -> str:
     grams = lambda w: f"list_distinct(list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1]))"
     return f"""
 WITH n(license, text) AS (VALUES {rows}),
-tw AS (SELECT license, {words('text')} AS w FROM n), t AS (SELECT license, {grams('w')} AS g FROM tw),
-u AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS unit, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL
-      UNION ALL SELECT doc_id, -generate_subscripts(b, 1), unnest(b) FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\n{{2,}}'), lambda x: contains(x, chr(10))) AS b FROM documents WHERE contains(text, chr(10) || chr(10)))),
-uw AS (SELECT doc_id, unit, {words('line')} AS w FROM u), ug AS (SELECT doc_id, unit, {grams('w')} AS g FROM uw WHERE len(w) > 1),
-m AS (SELECT doc_id, unit, license, len(list_intersect(ug.g, t.g)) AS k, len(ug.g) + len(t.g) AS total FROM ug, t WHERE len(t.g) > 0),
-b AS (SELECT doc_id, unit, license, max((200 * k) // total) AS dice FROM m WHERE 200 * k >= 80 * total GROUP BY ALL),
-x AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS l, max(dice) AS d FROM b GROUP BY doc_id)
-SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_matches, coalesce(l, '') AS licenses, CAST(coalesce(x.d, 0) AS BIGINT) AS best_dice FROM documents d LEFT JOIN x USING (doc_id)
+tw AS (SELECT license, {words('text')} AS w FROM n), t AS (SELECT row_number() OVER () AS template, license, len(w) AS size, {grams('w')} AS g FROM tw),
+dw AS (SELECT doc_id, {words('text')} AS w FROM documents WHERE text IS NOT NULL), dg AS (SELECT doc_id, w, {grams('w')} AS g FROM dw WHERE len(w) > 1),
+c AS MATERIALIZED (SELECT doc_id, template, license, size, dg.w, t.g FROM dg, t WHERE 120 * len(list_intersect(dg.g, t.g)) >= 80 * len(t.g)),
+l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents SEMI JOIN c USING (doc_id)),
+l1 AS (SELECT doc_id, line, len({words('x')}) AS k FROM l0), l2 AS (SELECT *, sum(k) OVER p AS f, row_number() OVER p - 1 AS a, sum(k) OVER (PARTITION BY doc_id) AS total FROM l1 WHERE k > 0 WINDOW p AS (PARTITION BY doc_id ORDER BY line)),
+l AS MATERIALIZED (SELECT *, f - k AS s FROM l2),
+e AS (SELECT c.*, x.a, x.line, x.s, y.a AS z FROM c JOIN l x USING (doc_id) JOIN l y ON y.doc_id = x.doc_id AND y.s <= least(x.s + size, x.total) - 1 AND least(x.s + size, x.total) - 1 < y.f),
+u AS (SELECT DISTINCT * FROM (SELECT doc_id, template, a, unnest([a, z, greatest(a, z - 1)]) AS z FROM e)),
+v AS (SELECT u.*, e.license, e.line, e.g, e.w[CAST(e.s AS BIGINT) + 1:CAST(y.f AS BIGINT)] AS w FROM u JOIN e USING (doc_id, template, a) JOIN l y ON y.doc_id = u.doc_id AND y.a = u.z),
+vg AS (SELECT doc_id, license, line, a, z, g, {grams('w')} AS o FROM v WHERE len(w) > 1),
+m AS (SELECT doc_id, license, line, a, z, max((200 * len(list_intersect(o, g))) // (len(o) + len(g))) AS dice FROM vg WHERE 200 * len(list_intersect(o, g)) >= 80 * (len(o) + len(g)) GROUP BY ALL),
+b AS (SELECT * FROM m WHERE NOT EXISTS (FROM m o WHERE o.doc_id = m.doc_id AND o.license = m.license AND o.a <= m.z AND m.a <= o.z AND (o.dice > m.dice OR o.dice = m.dice AND (o.z - o.a < m.z - m.a OR o.z - o.a = m.z - m.a AND o.a < m.a)))),
+x AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS l, string_agg(license || ':' || line || ':' || z - a + 1, ',' ORDER BY license, line) AS s, max(dice) AS d FROM b GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_matches, coalesce(l, '') AS licenses, coalesce(s, '') AS units, CAST(coalesce(x.d, 0) AS BIGINT) AS best_dice FROM documents d LEFT JOIN x USING (doc_id)
 """
 
 

@@ -48,12 +48,30 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def column(name: str) -> Column:
+    """The column of just this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def kept_columns(documents: DataFrame, keep: tuple[str, ...], text: str) -> tuple[DataFrame, str]:
-    """documents' columns keep, each as k_<name>, and the name there of the text, which is not sent twice."""
-    kept = [F.col(f"`{c}`").alias(f"k_{c}") for c in keep]
+    """documents' columns keep by their places, as k_0, k_1, ..., so that no name can clash, and the name there of the text, which is not sent twice."""
+    kept = [column(c).alias(f"k_{i}") for i, c in enumerate(keep)]
     if text in keep and documents.schema[text].dataType.simpleString() == "string":
-        return documents.select(*kept), f"k_{text}"
-    return documents.select(*kept, F.col(text).cast("string").alias("text")), "text"
+        return documents.select(*kept), f"k_{keep.index(text)}"
+    return documents.select(*kept, column(text).cast("string").alias("text")), "text"
+
+
+def carried(keep: tuple[str, ...]) -> list[str]:
+    return [f"k_{i}" for i in range(len(keep))]
+
+
+def restored(rows: DataFrame, keep: tuple[str, ...], *added: str) -> DataFrame:
+    """The kept columns by their own names, and the added ones; a kept one that an added one's name clashes with gets _ at its end."""
+    taken, names = list(added), []
+    for c in keep:
+        names.append(fresh(c, taken))
+        taken.append(names[-1])
+    return rows.select(*(F.col(f"k_{i}").alias(c) for i, c in enumerate(names)), *added)
 
 
 def fresh(name: str, taken: list[str]) -> str:

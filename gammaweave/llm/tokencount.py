@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import carried, kept_columns, restored
 from .text import pieces
 
 MARK = "▁"
@@ -148,7 +149,7 @@ def token_counts(documents: DataFrame, scored: list[tuple[str, float]], *, text:
     Null and empty texts have none; repeated rows each give a row; no rows give none; columns not in keep are not read.
     """
     sent = documents.sparkSession.sparkContext.broadcast(scored)
-    docs = documents.select(*(F.col(c).alias(f"k_{c}") for c in keep), F.col(text).cast("string").alias("text"))
+    docs, read = kept_columns(documents, keep, text)
 
     def run(batches):
         key = hash(tuple(sent.value))
@@ -156,9 +157,9 @@ def token_counts(documents: DataFrame, scored: list[tuple[str, float]], *, text:
             _COUNTERS.clear()
             _COUNTERS[key] = Counter(sent.value)
         for batch in batches:
-            for part in pieces(batch, "text", _PART):
-                pre, n = _COUNTERS[key].count(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*(part.column(f"k_{c}") for c in keep), pa.array(pre), pa.array(n)], [*(f"k_{c}" for c in keep), "n_pretokens", "n_tokens"])
+            for part in pieces(batch, read, _PART):
+                pre, n = _COUNTERS[key].count(part.column(read).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried(keep)), pa.array(pre), pa.array(n)], [*carried(keep), "n_pretokens", "n_tokens"])
 
-    schema = docs.select(*(f"k_{c}" for c in keep), F.lit(None).cast("long").alias("n_pretokens"), F.lit(None).cast("long").alias("n_tokens")).schema
-    return docs.mapInArrow(run, schema).select(*(F.col(f"k_{c}").alias(c) for c in keep), "n_pretokens", "n_tokens")
+    schema = docs.select(*carried(keep), F.lit(None).cast("long").alias("n_pretokens"), F.lit(None).cast("long").alias("n_tokens")).schema
+    return restored(docs.mapInArrow(run, schema), keep, "n_pretokens", "n_tokens")

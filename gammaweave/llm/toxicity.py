@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import chosen, fold, kept_columns, label_rows, logistic, sigmoid
+from .sampling import carried, chosen, column, fold, kept_columns, label_rows, logistic, restored, sigmoid
 from .shared import scratch
 from .text import LETTERS, Words, pieces, words
 
@@ -280,7 +280,7 @@ def train(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", text
     rows = label_rows(labels, label, doc)
     rows = rows if use is None else rows.where(use)
     share = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    texts = documents.select(F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    texts = documents.select(column(doc).alias("doc_id"), column(text).cast("string").alias("text"))
     half = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).cast("int").alias("half")
     labelled = texts.join(F.broadcast(rows) if sum(share.values()) <= MOST_LABELS else rows, "doc_id").select("label", "text", half)
     counts = store(_counted(labelled))
@@ -313,7 +313,8 @@ def train(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", text
 def score(documents: DataFrame, model: Model, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "score") -> DataFrame:
     """documents' columns keep and out, a score from 0 to 1. Whole texts; a null or wordless text has the score of no evidence.
 
-    Repeated rows each give a row, no rows give none, and columns not in keep are not read.
+    Repeated rows each give a row and equal scores, no rows give none, a very long text is one part of its own, and columns not in keep are not
+    read; one of keep named as out gets _ at its end.
     """
     docs, read = kept_columns(documents, keep, text)
 
@@ -321,10 +322,10 @@ def score(documents: DataFrame, model: Model, *, text: str = "text", keep: tuple
         for batch in batches:
             for part in pieces(batch, read, _SHARD):
                 own = model.scores(lower_words(part.column(read)))
-                yield pa.RecordBatch.from_arrays([*(part.column(f"k_{c}") for c in keep), pa.array(own)], [*(f"k_{c}" for c in keep), "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried(keep)), pa.array(own)], [*carried(keep), "score"])
 
-    schema = docs.select(*(f"k_{c}" for c in keep), F.lit(None).cast("double").alias("score")).schema
-    return docs.mapInArrow(run, schema).select(*(F.col(f"k_{c}").alias(c) for c in keep), F.col("score").alias(out))
+    schema = docs.select(*carried(keep), F.lit(None).cast("double").alias("score")).schema
+    return restored(docs.mapInArrow(run, schema).withColumnRenamed("score", out), keep, out)
 
 
 def held_out(doc: str = "doc_id"):

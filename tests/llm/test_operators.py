@@ -64,8 +64,52 @@ def test_decontamination(spark):
     assert clean.columns == docs.columns and clean.count() == sum(1 for x in want if not x[2])
     assert decontaminate.contamination(empty(spark), bench).count() == 0
     assert decontaminate.contamination(docs, bench.limit(0)).where("n_hit > 0").isEmpty()
-    longest = {(x["item_id"], x["item_word"]): x["n_words"] for x in decontaminate.longest_matches(docs, bench).collect()}
-    assert longest["1", 0] == 35 and longest["1", 30] == 5
+
+
+def test_longest_matches(spark):
+    r = random.Random(31)
+    texts = {k: " ".join(r.choice("abcde") for _ in range(r.randrange(0, 60))) for k in range(30)} | {30: None, 31: ""}
+    items = [("x", " ".join(texts[3].split() + texts[4].split())), ("y", "a b c zz a b"), ("z", "zz"), ("n", None), ("e", "")]
+    d = spark.createDataFrame([*texts.items(), (3, texts[3])], "doc_id long, text string").repartition(3)
+    got = {(x["item_id"], x["item_word"]): (x["n_words"], x["doc_id"], x["doc_word"], x["n_places"]) for x in decontaminate.longest_matches(d, spark.createDataFrame(items, "item_id string, text string")).collect()}
+    want, split = {}, [(k, (x or "").split()) for k, x in [*texts.items(), (3, texts[3])]]
+    for name, t in items:
+        w = (t or "").split()
+        for a in range(len(w)):
+            for n in range(len(w) - a, 0, -1):
+                places = [(k, b) for k, v in split for b in range(len(v) - n + 1) if v[b : b + n] == w[a : a + n]]
+                if places:
+                    want[name, a] = (n, *min(places), len(places))
+                    break
+    assert got == want
+
+
+def test_long_items_take_time_in_proportion():
+    import time
+
+    r = np.random.default_rng(8)
+    long_ = [f"w{x}" for x in r.integers(0, 3000, 64_000)]
+    took = []
+    for n in (8000, 64_000):
+        text = " ".join(long_[:n])
+        items = decontaminate.index_items(["a"], [text])
+        part = pa.record_batch([pa.array(["x y", text])], ["text"])
+        began = time.perf_counter()
+        n_words, n_hit, ids, _ = decontaminate.match_shard(part, "text", [items], 10)
+        w = words(part.column("text"), ALNUM)
+        length, _, many = decontaminate.longest(decontaminate._ids(w, w.hashes(), 2, items), items)
+        took.append(time.perf_counter() - began)
+        assert n_hit.tolist() == [0, n] and ids == [(1, "a")] and (length == np.arange(n, 0, -1)).all() and (many >= 1).all()
+    assert took[1] < 8 * 2.5 * max(took[0], 0.05)
+
+
+def test_suffix_array_of_large_numbers():
+    r = np.random.default_rng(6)
+    for top in (1 << 22, 1 << 40):
+        ids = np.append(r.choice(r.integers(1, top, 20), 2000), 0)
+        sa = decontaminate.suffix_array(ids, 50)
+        keys = [tuple(ids[x : x + 50].tolist()) for x in sa.tolist()]
+        assert keys == sorted(keys)
 
 
 def test_suffix_array_against_sorting():
@@ -149,6 +193,15 @@ def test_language_id(spark):
     assert langid.label(d, langid.train(d.limit(0))).where("lang_pred != 'und'").isEmpty()
 
 
+def test_a_language_of_long_texts_is_learned(spark):
+    docs = [(k, " ".join(f"sch{k % 7}ung zu{j % 11}heit" for j in range(4000)), "aa") for k in range(12)] + [(100 + k, " ".join(f"whi{k % 5}ng the{j % 9}" for j in range(30)), "bb") for k in range(12)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    field = langid.train(d)
+    assert field.labels == ["aa", "bb"] and langid.label(d, field).join(d, "doc_id").where("lang != lang_pred").isEmpty()
+    got = langid.spread_words(pa.array([docs[0][1], "One two 3", None, ""]), 2400).to_pylist()
+    assert len(got[0].split()) == 2400 and got[1:] == ["one two", "", ""] and got[0].split()[:24] == re.findall("[a-z]+", docs[0][1])[:24] and got[0].split()[-24:] == re.findall("[a-z]+", docs[0][1])[-24:]
+
+
 def test_forward_backward_against_all_paths():
     r = np.random.default_rng(1)
     p, t = r.random((7, 3)) + 0.1, r.random((3, 3)) + 0.1
@@ -189,9 +242,18 @@ def test_line_dedup(spark):
     docs += [docs[3], docs[3], (None, docs[5][1]), (7001, None), (7002, ""), (7003, "\n\n\n"), (7004, "same\n" * 40)]
     d = spark.createDataFrame([(*x, 1, "t") for x in docs], "doc_id long, text string, pos int, removed string").repartition(3)
     # one text a doc_id here, so the order by the hash of the text doesn't matter
-    want = brute_lines(docs, 50)
+    want = brute_lines(docs, linededup.MIN_CHARS)
     got = linededup.line_report(d).join(d.select("doc_id", "text").distinct(), "doc_id").collect()
     assert {(x["doc_id"], tuple(x["removed"])) for x in got} == {(i, tuple(sorted(want[i, t]))) for i, t in docs if i is not None}
+    rows_of = {(x["doc_id"], x["text"]): x for x in got}
+    for (i, t), x in rows_of.items():
+        own = (t or "").split("\n")
+        covered = set()
+        for a, n, first, b in x["runs"]:
+            source = next(u for j, u in docs if j == first).split("\n")
+            assert own[a : a + n] == source[b : b + n] and (first is None or first < i or first == i and b < a)
+            covered |= set(range(a, a + n))
+        assert covered == want[i, t]
     texts = Counter((x["doc_id"], x["text"]) for x in linededup.dedup_lines(d).collect())
     cut = lambda i, t: t if t is None or not want[i, t] else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i, t])
     assert texts == Counter((i, cut(i, t)) for i, t in docs)
@@ -200,6 +262,19 @@ def test_line_dedup(spark):
     assert linededup.dedup_lines(documents(spark)).count() == len(rows())
 
 
+def test_a_copied_passage_is_one_run(spark):
+    lines = [f"line {k} of a passage that is copied whole" for k in range(300)]
+    docs = [(1, "\n".join(["alone here", *lines])), (2, "\n".join([*lines[100:], "a line of its own", *lines[:50]])), (3, "short\nline 7 of a passage that is copied whole"), (4, "short")]
+    got = {x["doc_id"]: [tuple(y) for y in x["runs"]] for x in linededup.line_report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [(0, 200, 1, 101), (201, 50, 1, 1)], 3: [(1, 1, 1, 8)], 4: []}
+
+
+def test_short_repeated_lines_go(spark):
+    docs = [(k, f"text number {k} alone\nAnd there is the end of it.\nTo.\nmore of {k} " + "x" * k) for k in range(6)]
+    got = {x["doc_id"]: list(x["removed"]) for x in linededup.line_report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {k: [1, 2] if k else [] for k in range(6)}  # a line of 27 characters, and with it the shorter one that always follows it
+
+
 def test_bpe(spark):
     import public_tokenizers as P
     import tiktoken
@@ -346,31 +421,46 @@ def test_trees_against_a_walk():
         assert m.scores(x[k : k + 1])[0] == pytest.approx(1 / (1 + np.exp(-total)))
 
 
-def test_license_scan(spark):
-    def grams(t):
-        w = re.findall("[a-z0-9]+", low(t))
-        return {*zip(w, w[1:], strict=False)}
+def brute_licences(t, templates):
+    """All units of the text's lines with words, for each template; of overlapping ones the best."""
+    grams = lambda w: {*zip(w, w[1:], strict=False)}
+    lines = [(k, w) for k, x in enumerate((t or "").split("\n")) if (w := re.findall("[a-z0-9]+", low(x)))]
+    found = {}
+    for name, y in templates:
+        y = re.findall("[a-z0-9]+", low(y))
+        m = grams(y)
+        for a in range(len(lines)):
+            z = a
+            while z < len(lines) - 1 and sum(len(w) for _, w in lines[a : z + 1]) < len(y):
+                z += 1
+            for e in {a, z, max(a, z - 1)}:
+                o = grams([x for _, w in lines[a : e + 1] for x in w])
+                if m and o and 200 * len(o & m) >= 80 * (len(o) + len(m)):
+                    found[name, a, e] = max(found.get((name, a, e), 0), 200 * len(o & m) // (len(o) + len(m)))
+    key = lambda x: (-x[1], x[0][2] - x[0][1], x[0][1])
+    out = [x for x in found.items() if not any(y[0][0] == x[0][0] and y[0][1] <= x[0][2] and x[0][1] <= y[0][2] and key(y) < key(x) for y in found.items())]
+    return tuple(sorted((name, lines[a][0], z - a + 1, v) for (name, a, z), v in out))
 
+
+def test_license_scan(spark):
+    notice = {x: [t for n, t in licenses.NOTICES if n == x] for x, _ in licenses.NOTICES}
+    wrap = lambda t, n, mark="": "\n".join(mark + " ".join(t.split()[k : k + n]) for k in range(0, len(t.split()), n))
+    r = random.Random(15)
     texts = ["Released under the MIT License.", "x\n  released UNDER the mit licence, license.\ny", "All rights\nreserved.", "\n\nLicensed under\nCC BY-NC 4.0.\n\nText", "MIT", None, "", "All rights reserved. " * 3]
-    texts += [licenses.NOTICES[10][1].replace(",", "\n"), licenses.NOTICES[1][1] + "\n" + licenses.NOTICES[2][1]]
+    texts += [notice["MIT"][1].replace(",", "\n"), notice["Apache-2.0"][1] + "\n" + notice["BSD"][0], "All rights reserved.\n" * 40, notice["GPL-3.0"][2].replace(". ", ".\n\n")]
+    texts += ["\r\n \r\n".join([sentence(r, 20), wrap(notice["MIT"][2], 9, "// "), sentence(r, 20)]), sentence(r, 9) + "\n" + wrap(notice["BSD"][1], 12, " * ") + "\n" + sentence(r, 9), wrap(notice["BSD"][0], 11), sentence(r, 12) + "\n" + wrap(notice["ISC"][0], 7) + "\n" + sentence(r, 12)]
+    texts += [wrap(notice["zlib"][0], 10), wrap(notice["zlib"][0].replace("software", "library"), 8), "\n".join([notice["MIT"][0], sentence(r, 4)] * 3)]
     docs = documents(spark, [(900 + k, t, *[None] * 11) for k, t in enumerate(texts)])
-
-    def brute(t):
-        out = {}
-        if t is None:
-            return ()
-        units = t.split("\n") + [b for b in re.split("\n{2,}", t) if "\n" in b] * ("\n\n" in t)
-        for u, x in enumerate(units):
-            for name, y in licenses.NOTICES:
-                a, b = grams(x), grams(y)
-                if a and 200 * len(a & b) >= 80 * (len(a) + len(b)):
-                    out[name, u] = max(out.get((name, u), 0), 200 * len(a & b) // (len(a) + len(b)))
-        return tuple((n, u, v) for (n, u), v in sorted(out.items()))
-
     got = licenses.scan(docs, licenses.notices(spark)).collect()
-    assert Counter((x["doc_id"], tuple(tuple(m) for m in x["matches"])) for x in got) == Counter((x["doc_id"], brute(x["text"])) for x in docs.collect())
+    assert Counter((x["doc_id"], tuple(tuple(m) for m in x["matches"])) for x in got) == Counter((x["doc_id"], brute_licences(x["text"], licenses.NOTICES)) for x in docs.collect())
+    found = {x["doc_id"]: {m["license"] for m in x["matches"]} for x in got}
+    for k, name in ((2, "proprietary"), (3, "CC-BY-NC-4.0"), (11, "GPL-3.0"), (12, "MIT"), (13, "BSD"), (14, "BSD"), (15, "ISC"), (16, "zlib"), (17, "zlib")):
+        assert name in found[900 + k], name
     assert licenses.scan(empty(spark), licenses.notices(spark)).count() == 0
     assert licenses.scan(docs, licenses.notices(spark).limit(0)).where("size(matches) > 0").isEmpty()
+    two = [("own", notice["zlib"][0] + "\n\n" + notice["ISC"][0])]  # a template of two paragraphs, and a text that is just it
+    same = spark.createDataFrame([(1, two[0][1])], "doc_id long, text string")
+    assert licenses.scan(same, spark.createDataFrame(two, "license string, text string")).first()["matches"][0]["dice"] == 100
 
 
 def test_license_scan_checks_all_templates(spark):
