@@ -9,6 +9,10 @@ each other: in each round, those of the group's first classes (its pivots) are p
 contracted, and groups that lie in one component are done. The next round takes sixteen times as many pivots, so a group whose classes
 do link ends after a round or two with as many pairs as members, and any other group has had all its pairs when its pivots
 run out: no link is lost, nothing is capped.
+
+No task holds a group that may be large. The members of an n-gram that is not frequent lie together, and are numbered there. Those of a frequent one are
+dealt by (n-gram, salt); its first member and its size are grouped sums, and its other members' numbers are drawn from the hash of the
+class, which is as good an order of pivots as any.
 """
 
 from __future__ import annotations
@@ -18,17 +22,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sampling import column
 from .shared import scratch
 from .text import NONBLANK, mix, pieces, words
 
 NGRAM, PERCENT = 4, 85
 #: An n-gram in so many sets of a part is counted; in so many in all, it is frequent. Any choice gives the same links.
 LOCAL, FREQUENT, MOST_FREQUENT = 3, 24, 1 << 20
-#: Fragments of the global order, and bits of the filter of documents that have candidates.
-FRAGMENTS, FILTER_BITS = 4, 1 << 24
-#: Smaller fragments, more for larger sets (from 1024 and 4096 n-grams on), of which only the sizes are compared (up to 127, more counts as that):
-#: the differences are as many n-grams that a pair doesn't share.
-SIZE_BITS = [6, 8, 10]
+#: Fragments of the global order, salts of a frequent n-gram, and the most bits of a filter of documents that have candidates; a full one lets more through, no less.
+FRAGMENTS, SALTS, MOST_FILTER_BITS = 4, 64, 1 << 30
+#: Bits of a set's sketch, from 1.5 for each n-gram on (powers of two). A bit tells whether the n-grams that fall on it are odd in number, so where two sketches
+#: differ, there are at least as many n-grams that the pair doesn't share. A coarse sketch is the same, folded to a quarter.
+LEAST_SKETCH, MOST_SKETCH = 256, 1 << 15
 _PART = 6 << 20
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -96,27 +101,40 @@ def _parts(batches, ngram):
             yield part, code, begin, digests(code, begin)
 
 
+def sketches(code: np.ndarray, n: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """The fine and the coarse sketch of each set."""
+    bits = np.clip(2 ** np.ceil(np.log2(np.maximum(1.5 * n, 1))).astype(np.int64), LEAST_SKETCH, MOST_SKETCH)
+    at = np.append(0, np.cumsum(bits))
+    odd = np.bincount(np.repeat(at[:-1], n) + (code & np.repeat(bits - 1, n).astype(np.uint64)).astype(np.int64), minlength=at[-1]) & 1
+    fine, size = np.packbits(odd.astype(bool), bitorder="little").view(np.int64), bits // 64
+    small = np.maximum(2, size // 4)
+    begin = np.append(0, np.cumsum(small))
+    coarse = np.zeros(begin[-1], np.int64)
+    for w in np.unique(size).tolist():
+        rows = np.flatnonzero(size == w)
+        own = fine[at[rows][:, None] // 64 + np.arange(w)].reshape(len(rows), -1, small[rows[0]])
+        coarse[begin[rows][:, None] + np.arange(own.shape[2])] = np.bitwise_xor.reduce(own, 1)
+    lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+    return lists(at // 64, fine), lists(begin, coarse)
+
+
 def _measured(docs: DataFrame, ngram: int) -> DataFrame:
-    """A row (id, n, digest, sizes of fragments) for each document, and rows (null, -count, n-gram, null) for n-grams of many sets."""
+    """A row (id, text hash, n, digest, fine and coarse sketch) for each document, and rows (null, null, -count, n-gram, null, null) for n-grams of many sets."""
 
     def run(batches):
-        names, kind = ["doc_id", "n", "a", "sizes"], pa.list_(pa.int8())
+        names, kind = ["doc_id", "t", "n", "a", "fine", "coarse"], pa.list_(pa.int64())
         for part, code, begin, d in _parts(batches, ngram):
             n = np.diff(begin)
-            bits = np.select([n < 1024, n < 4096], SIZE_BITS[:2], SIZE_BITS[2]).astype(np.uint64)
-            at = np.append(0, np.cumsum(1 << bits.astype(np.int64)))
-            sizes = np.bincount(np.repeat(at[:-1], n) + (code >> (np.uint64(64) - np.repeat(bits, n))).astype(np.int64), minlength=at[-1]).clip(max=127).astype(np.int8)
-            sizes = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(sizes))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), _signed(d[0]), sizes], names)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("t"), pa.array(n), _signed(d[0]), *sketches(code, n)], names)
             gram, count = np.unique(_take(code, begin, _once(d, n))[0], return_counts=True)
             gram, count = gram[count >= LOCAL], count[count >= LOCAL]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(gram), pa.int64()), pa.array(-count), _signed(gram), pa.nulls(len(gram), kind)], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(gram), pa.int64()), pa.nulls(len(gram), pa.int64()), pa.array(-count), _signed(gram), pa.nulls(len(gram), kind), pa.nulls(len(gram), kind)], names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, a long, sizes array<tinyint>")
+    return docs.mapInArrow(run, "doc_id long, t long, n long, a long, fine array<long>, coarse array<long>")
 
 
 def _prefixes(docs: DataFrame, frequent, ngram: int, percent: int) -> DataFrame:
-    """(token, a, n, i), i the place in the order, for the prefix of each set: its first n - ceil(percent n) + 1 n-grams, those that aren't frequent before the others."""
+    """(token, a, n, i, hot), i the place in the order, for the prefix of each set: its first n - ceil(percent n) + 1 n-grams, those that aren't frequent (hot) before the others."""
 
     def run(batches):
         known = frequent.value
@@ -135,50 +153,73 @@ def _prefixes(docs: DataFrame, frequent, ngram: int, percent: int) -> DataFrame:
             pick = np.flatnonzero(np.where(late, after <= np.repeat(size - first, n), place <= np.repeat(size, n)))
             row = np.repeat(np.arange(len(rows)), n)[pick]
             at = np.where(late, np.repeat(first, n) + after, place)[pick] - 1
-            yield pa.RecordBatch.from_arrays([_signed(own[pick]), _signed(d[0][rows][row]), pa.array(n[row].astype(np.int32)), pa.array(at.astype(np.int32))], ["token", "a", "n", "i"])
-
-    return docs.mapInArrow(run, "token long, a long, n int, i int")
-
-
-def _shared(keys: DataFrame) -> DataFrame:
-    """The distinct rows of prefix n-grams that two sets have."""
-    order = Window.partitionBy("token").orderBy("a")
-    return keys.select("token", "a", "n", "i", F.lag("a").over(order).alias("before"), F.lead("a").over(order).alias("after")).where("before != a or after != a").select("token", "a", "n", "i").distinct()
-
-
-def _segments(docs: DataFrame, wanted, ngram: int) -> DataFrame:
-    """(a, doc_id, fragment, n-grams) for the documents that the filter lets through."""
+            yield pa.RecordBatch.from_arrays([_signed(own[pick]), _signed(d[0][rows][row]), pa.array(n[row].astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(late[pick])], ["token", "a", "n", "i", "hot"])
+
+    return docs.mapInArrow(run, "token long, a long, n int, i int, hot boolean")
+
+
+def _shared(keys: DataFrame, store) -> DataFrame:
+    """The distinct rows of prefix n-grams that two sets have, with k, how many have it, rank, from 1, and the first one's x, nx and ix; i2: the second's i, or something less."""
+    salt = F.when(F.col("hot"), F.pmod("a", F.lit(SALTS))).otherwise(0)
+    order = Window.partitionBy("token", "salt").orderBy("i", "a")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = keys.withColumn("salt", salt).withColumn("before", F.lag("a").over(order)).where("before is null or before != a")
+    me = F.struct("i", "a", "n")
+    rows = rows.select("token", "a", "n", "i", "hot", F.count("*").over(whole).alias("k"), F.row_number().over(order).alias("rank"), F.first(me).over(order).alias("p"), F.nth_value("i", 2).over(whole).alias("i2"))
+    rows = store(rows.where("hot or k > 1"))
+    names = ["token", "a", "n", "i", "k", "rank", "x", "nx", "ix", "i2"]
+    cold = rows.where("not hot").selectExpr("token", "a", "n", "i", "k", "rank", "p.a AS x", "p.n AS nx", "p.i AS ix", "i2")
+    hot = rows.where("hot").select("token", "a", "n", "i")
+    first = hot.groupBy("token").agg(F.count("*").alias("k"), F.min(me).alias("p")).where("k > 1")
+    drawn = "2 + CAST(floor((k - 1) * (xxhash64(a) / 18446744073709551616D + 0.5D)) AS BIGINT)"
+    hot = hot.join(first, "token").selectExpr("token", "a", "n", "i", "k", f"CASE WHEN a = p.a THEN 1 ELSE {drawn} END AS rank", "p.a AS x", "p.n AS nx", "p.i AS ix", "p.i AS i2")
+    return cold.select(*names).unionByName(hot.select(*names))
+
+
+def _segments(docs: DataFrame, left: np.ndarray, right: np.ndarray, ngram: int) -> DataFrame:
+    """(a, doc_id, left, right, fragment, n-grams) for the documents that either side's filter lets through; the others aren't read further."""
     cut = np.array([k << 64 >> FRAGMENTS.bit_length() - 1 for k in range(1, FRAGMENTS)], np.uint64)
+    sent = docs.sparkSession.sparkContext.broadcast((left, right))
 
     def run(batches):
-        bits = wanted.value
-        for part, code, begin, d in _parts(batches, ngram):
-            ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-            k = mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)
-            rows = np.flatnonzero(((bits[(k >> np.uint64(3)).astype(np.int64)] >> (k & np.uint64(7)).astype(np.uint8)) & 1) == 1)
-            for at in range(0, len(rows), 256):
-                some = rows[at : at + 256]
-                own, first = _take(code, begin, some)
-                ends = np.stack([np.searchsorted(own[x:y], cut) + x for x, y in zip(first[:-1], first[1:], strict=True)]).reshape(len(some), -1)
-                begins = np.column_stack([first[:-1], ends]).ravel()
-                grams = pa.ListArray.from_arrays(pa.array(np.append(begins, len(own)), pa.int32()), _signed(own))
-                each = lambda x: pa.array(np.repeat(x, FRAGMENTS))
-                yield pa.RecordBatch.from_arrays([each(d[0][some].view(np.int64)), each(ids[some].astype(np.int64)), pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(some))), grams], ["a", "doc_id", "fragment", "grams"])
-
-    return docs.mapInArrow(run, "a long, doc_id long, fragment int, grams array<long>")
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            sides = np.stack([_passes(f, ids) for f in sent.value])
+            some = np.flatnonzero(sides.any(0))
+            wanted = batch.take(pa.array(some))
+            at = 0
+            for part, code, begin, d in _parts([wanted], ngram):
+                for a in range(0, part.num_rows, 256):
+                    rows = np.arange(a, min(a + 256, part.num_rows))
+                    own, first = _take(code, begin, rows)
+                    ends = np.stack([np.searchsorted(own[x:y], cut) + x for x, y in zip(first[:-1], first[1:], strict=True)]).reshape(len(rows), -1)
+                    begins = np.column_stack([first[:-1], ends]).ravel()
+                    grams = pa.ListArray.from_arrays(pa.array(np.append(begins, len(own)), pa.int32()), _signed(own))
+                    each = lambda x: pa.array(np.repeat(x, FRAGMENTS))
+                    place = some[at + rows]
+                    yield pa.RecordBatch.from_arrays([each(d[0][rows].view(np.int64)), each(ids[place]), each(sides[0, place]), each(sides[1, place]), pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(rows))), grams], ["a", "doc_id", "left", "right", "fragment", "grams"])
+                at += part.num_rows
+
+    return docs.select("doc_id", "text").mapInArrow(run, "a long, doc_id long, left boolean, right boolean, fragment int, grams array<long>")
+
+
+def _passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    k = mix(ids.view(np.uint64).copy()) & np.uint64(len(bits) * 8 - 1)
+    return ((bits[(k >> np.uint64(3)).astype(np.int64)] >> (k & np.uint64(7)).astype(np.uint8)) & 1) == 1
 
 
 def _filter(ids: DataFrame) -> np.ndarray:
-    """A bitmap of FILTER_BITS bits with those of the ids; at most FILTER_BITS / 64 rows come to the driver."""
+    """A bitmap with those of the ids, 16 bits for each of them but no more than MOST_FILTER_BITS; at most a 64th as many rows come to the driver."""
+    size = 1 << max(16, min((16 * ids.count()).bit_length(), MOST_FILTER_BITS.bit_length() - 1))
 
     def run(batches):
         for batch in batches:
-            k = np.unique(mix(batch.column(0).to_numpy().view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+            k = np.unique(mix(batch.column(0).to_numpy().view(np.uint64).copy()) & np.uint64(size - 1)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(k)], ["k"])
 
     bit = ids.mapInArrow(run, "k long")
     t = bit.groupBy(F.shiftright("k", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k & 63 as int))")).alias("bits")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out = np.zeros(size // 64, np.int64)
     out[t["w"].to_numpy()] = t["bits"].to_numpy()
     return out.view(np.uint8)
 
@@ -209,24 +250,23 @@ def _frequent(counted: DataFrame, least: int) -> np.ndarray:
 
 
 def _apart(percent: int):
-    """Whether the sizes of the fragments, sx and sy, leave room for a link."""
-    differ = F.aggregate(F.zip_with("sx", "sy", lambda p, q: F.abs(p.cast("int") - q)), F.lit(0), lambda m, v: m + v)
-    near = F.lit(100 + percent) * differ <= F.lit(100 - percent) * (F.col("nx") + F.col("ny"))
-    return F.when(F.size("sx") == F.size("sy"), near).otherwise(True)
+    """Whether the sketches, sx and sy, leave room for a link; of two sizes, the larger is folded."""
+    size = "least(size(sx), size(sy))"
+    folded = lambda v: f"zip_with(slice({v}, 1, {size}), slice({v}, {size} + 1, {size}), (p, q) -> p ^ coalesce(q, 0L))"
+    return F.expr(f"{100 + percent} * aggregate(zip_with({folded('sx')}, {folded('sy')}, (p, q) -> bit_count(p ^ q)), 0, (m, v) -> m + v) <= {100 - percent} * (nx + ny)")
 
 
 def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y, nx, ny) that can link by the sizes of their fragments, with the documents (dx, dy) that stand for them."""
-    own = classes.select("a", "p.doc", "p.sizes")
+    """Pairs (x, y, nx, ny) that can link by their fine sketches, with the documents (dx, dy) that stand for them."""
+    own = classes.select("a", "p.doc", "p.fine")
     both = pairs.join(own.toDF("x", "dx", "sx"), "x").join(own.toDF("y", "dy", "sy"), "y")
     return both.where(_apart(percent)).select("x", "y", "nx", "ny", "dx", "dy")
 
 
 def _links(docs: DataFrame, both: DataFrame, ngram: int, percent: int, store) -> DataFrame:
     """Those of close pairs whose overlap, summed over the fragments, is large enough."""
-    wanted = docs.sparkSession.sparkContext.broadcast(_filter(both.select("dx").union(both.select("dy"))))
-    s = store(_segments(docs, wanted, ngram))
-    left, right = (s.select(F.col("a").alias(v), F.col("doc_id").alias(f"d{v}"), "fragment", F.col("grams").alias(f"g{v}")) for v in "xy")
+    s = store(_segments(docs, _filter(both.select("dx")), _filter(both.select("dy")), ngram))
+    left, right = (s.where(side).select(F.col("a").alias(v), F.col("doc_id").alias(f"d{v}"), "fragment", F.col("grams").alias(f"g{v}")) for v, side in zip("xy", ("left", "right"), strict=True))
     cut = both.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
     met = cut.join(left, ["x", "dx", "fragment"]).join(right, ["y", "dy", "fragment"])
     part = met.select("x", "y", "nx", "ny", "fragment", F.size(F.array_intersect("gx", "gy")).cast("long").alias("overlap"))
@@ -235,44 +275,43 @@ def _links(docs: DataFrame, both: DataFrame, ngram: int, percent: int, store) ->
     return summed.where(f"100 * both >= {percent} * (nx + ny - both)").select("x", "y")
 
 
-def linked(documents: DataFrame, *, ngram: int = NGRAM, percent: int = PERCENT, text: str = "text", doc: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles and component_id for each row of documents.
+def linked(documents: DataFrame, *, ngram: int = NGRAM, percent: int = PERCENT, text: str = "text", doc: str = "doc_id", detail: bool = False) -> DataFrame:
+    """doc_id, n_shingles and component_id for each row of documents; with detail also text_hash (xxhash64) and component, a number that rows share if links join them.
 
     Two documents link when 100 * intersection >= percent * union of their sets of word n-grams (words between ASCII blanks, A-Z
-    lower-cased); one of fewer words has one n-gram, all of it; one without words, or null, has none and links with nothing.
+    lower-cased); one of fewer words has one n-gram, all of it; one without words, or null, has none and links with nothing (its component is null).
     component_id is the smallest doc_id that links reach, a null one counting as the smallest; rows that share a doc_id are told
-    apart by their texts. Repeated rows each give a row; no rows give none; other columns are not read.
+    apart by their texts. Repeated rows each give a row; a very long text is a part of its own; no rows give none; other columns are not read.
     """
     spark = documents.sparkSession
     store = scratch(spark)
-    docs = documents.select(F.coalesce(F.col(doc).cast("long"), F.lit(_NULL)).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    docs = documents.select(F.coalesce(column(doc).cast("long"), F.lit(_NULL)).alias("doc_id"), F.xxhash64(column(text).cast("string")).alias("t"), column(text).cast("string").alias("text"))
     measured = store(_measured(docs, ngram))
     own = measured.where("n >= 0")
-    classes = store(own.where("n > 0").groupBy("a", "n").agg(F.min(F.struct(F.col("doc_id").alias("doc"), "sizes")).alias("p")))
+    classes = store(own.where("n > 0").groupBy("a", "n").agg(F.min(F.struct(F.col("doc_id").alias("doc"), "fine", "coarse")).alias("p")))
     send = spark.sparkContext.broadcast
     common = _frequent(measured.where("n < 0").groupBy(F.col("a").alias("gram")).agg(F.sum(-F.col("n")).alias("c")), FREQUENT)
-    shared = store(_shared(_prefixes(docs, send(common), ngram, percent)))
+    shared = _shared(_prefixes(docs, send(common), ngram, percent), store)
     # sets whose first common n-gram this is don't share what comes before it
     fits = f"100L * least(nx, ny) >= {percent}L * greatest(nx, ny) and {100 + percent}L * (ix + iy) <= {100 - percent}L * (nx + ny)"
-    first = store(shared.groupBy("token").agg(F.min(F.struct("i", "a", "n")).alias("p")).select("token", F.col("p.a").alias("x"), F.col("p.n").alias("nx"), F.col("p.i").alias("ix")))
-    pairs = shared.select("token", F.col("a").alias("y"), F.col("n").alias("ny"), F.col("i").alias("iy")).join(first, "token").where("x != y").where(fits).select("x", "y", "nx", "ny").distinct()
+    pairs = shared.selectExpr("x", "nx", "ix", "a AS y", "n AS ny", "i AS iy").where("x != y").where(fits).select("x", "y", "nx", "ny").distinct()
     checked = store(_close(pairs, classes, percent))
     edges = store(_links(docs, checked, ngram, percent, store))
     labels = components(edges, store)
-    # each group's first member has met all others; of the rest, those stay that can link with the second or one after it
-    by = Window.partitionBy("token").orderBy("i", "a")
-    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rest = shared.select("*", F.row_number().over(by).alias("rank"), F.nth_value("i", 2).over(whole).alias("i2"), F.count("*").over(whole).alias("k"))
-    rest = rest.where("rank > 1 and k > 2").where(f"{100 + percent}L * (i + i2) <= {100 - percent}L * (n + n * 100L div {percent})")
-    ranked = store(rest.join(classes.select("a", "p.doc", "p.sizes"), "a").select("token", "a", "n", "i", "rank", "doc", "sizes"))
+    # each group's first member has met all others; of the rest, those stay that can link with the second or one after it, in groups that are not in one component yet
+    rest = shared.where("rank > 1 and k > 2").where(f"{100 + percent}L * (i + i2) <= {100 - percent}L * (n + n * 100L div {percent})").select("token", "a", "n", "i", "rank")
+    rest = store(_labelled(rest, labels))
+    open_ = rest.groupBy("token").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least != most").select("token")
+    ranked = store(rest.drop("c").join(open_, "token").join(classes.select("a", "p.coarse"), "a").select("token", "a", "n", "i", "rank", "coarse"))
     last, pivots = ranked.agg(F.max("rank")).first()[0] or 0, 2
     while pivots < last:
-        member = ranked.where(f"rank >= {pivots}").join(labels.select(F.col("v").alias("a"), "c"), "a", "left").withColumn("c", F.coalesce("c", "a"))
-        x = member.where(f"rank < {16 * pivots}").select("token", F.col("a").alias("x"), F.col("n").alias("nx"), F.col("i").alias("ix"), F.col("doc").alias("dx"), F.col("sizes").alias("sx"), F.col("rank").alias("rx"), F.col("c").alias("cx"))
-        y = member.select("token", F.col("a").alias("y"), F.col("n").alias("ny"), F.col("i").alias("iy"), F.col("doc").alias("dy"), F.col("sizes").alias("sy"), F.col("rank").alias("ry"), F.col("c").alias("cy"))
+        member = _labelled(ranked.where(f"rank >= {pivots}"), labels)
+        side = lambda v: member.select("token", *(F.col(c).alias(f"{d}{v}") for c, d in (("n", "n"), ("i", "i"), ("coarse", "s"), ("rank", "r"), ("c", "c"))), F.col("a").alias(v))  # noqa: B023, E731
+        x, y = side("x").where(f"rx < {16 * pivots}"), side("y")
         # all conditions are part of the join, so it gives out only what is close and not in one component
-        pairs = x.join(y, (x.token == y.token) & (y.ry > x.rx) & (x.cx != y.cy) & F.expr(fits) & _apart(percent)).select("x", "y", "nx", "ny", "dx", "dy").distinct()
-        pairs = store(pairs.join(checked, ["x", "y"], "left_anti").select("x", "y", "nx", "ny", "dx", "dy"))
+        later = (y.ry > x.rx) | ((y.ry == x.rx) & (y.y > x.x))
+        pairs = x.join(y, (x.token == y.token) & later & (x.cx != y.cy) & F.expr(fits) & _apart(percent)).select("x", "y", "nx", "ny").distinct()
+        pairs = store(_close(pairs.join(checked, ["x", "y"], "left_anti"), classes, percent))
         if not pairs.isEmpty():
             checked = checked.unionByName(pairs)
             more = store(_links(docs, pairs, ngram, percent, store))
@@ -280,11 +319,17 @@ def linked(documents: DataFrame, *, ngram: int = NGRAM, percent: int = PERCENT,
                 edges = edges.unionByName(more)
                 labels = components(edges, store)
         pivots *= 16
-    root = classes.join(labels.select(F.col("v").alias("a"), "c"), "a", "left").withColumn("c", F.coalesce("c", "a"))
+    root = _labelled(classes, labels)
     least = root.groupBy("c").agg(F.min("p.doc").alias("component_id"))
-    of = root.join(least, "c").select("a", "n", "component_id")
-    out = own.join(of, ["a", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.select(F.nullif("doc_id", F.lit(_NULL)).alias("doc_id"), "n_shingles", F.nullif("component_id", F.lit(_NULL)).alias("component_id"))
+    of = root.join(least, "c").select("a", "n", "component_id", "c")
+    back = lambda c: F.nullif(c, F.lit(_NULL)).alias(c)
+    out = own.join(of, ["a", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("t").alias("text_hash"), F.col("c").alias("component"))
+    return out.select(back("doc_id"), "n_shingles", back("component_id"), *(["text_hash", "component"] if detail else []))
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with c, the label of a: that of its component, or itself."""
+    return rows.join(labels.select(F.col("v").alias("a"), "c"), "a", "left").withColumn("c", F.coalesce("c", "a"))
 
 
 _NULL = -(1 << 63)
