@@ -41,19 +41,23 @@ def grid(spark: SparkSession, s: Scanner) -> DataFrame:
 
 
 def unknown_ids(events: DataFrame, s: Scanner) -> int:
-    """How many events name a crystal or ring that the scanner lacks; lines_of_response leaves them out."""
+    """How many events name a crystal or ring that the scanner lacks; lines_of_response fails on them."""
     return events.where(f"NOT (xtal_id_1 BETWEEN 0 AND {s.per_ring - 1} AND xtal_id_2 BETWEEN 0 AND {s.per_ring - 1} AND ring_id_1 BETWEEN 0 AND {s.rings - 1} AND ring_id_2 BETWEEN 0 AND {s.rings - 1})").count()
 
 
 def lines_of_response(events: DataFrame, s: Scanner) -> DataFrame:
-    """events with both ends x0, y0, z0 and x1, y1, z1 and the differences dx, dy, dz. The dimension tables are broadcast."""
+    """events with both ends x0, y0, z0 and x1, y1, z1 and the differences dx, dy, dz. The dimension tables are broadcast.
+
+    An event that names a crystal or ring that the scanner lacks, or none, is an error where its ends are used.
+    """
     spark = events.sparkSession
-    xy, z = crystal_positions(spark, s), ring_positions(spark, s)
+    xy, z, names = crystal_positions(spark, s), ring_positions(spark, s), events.columns
     for end in ("0", "1"):
         id_ = str(int(end) + 1)
-        events = events.join(small(xy.toDF(f"xtal_id_{id_}", f"x{end}", f"y{end}"), s.per_ring), f"xtal_id_{id_}")
-        events = events.join(small(z.toDF(f"ring_id_{id_}", f"z{end}"), s.rings), f"ring_id_{id_}")
-    return events.selectExpr("*", "x1 - x0 AS dx", "y1 - y0 AS dy", "z1 - z0 AS dz")
+        events = events.join(small(xy.toDF(f"xtal_id_{id_}", f"x{end}", f"y{end}"), s.per_ring), f"xtal_id_{id_}", "left")
+        events = events.join(small(z.toDF(f"ring_id_{id_}", f"z{end}"), s.rings), f"ring_id_{id_}", "left")
+    known = lambda c: f"coalesce({c}, CAST(raise_error('an event names a crystal or ring that the scanner lacks') AS DOUBLE)) AS {c}"
+    return events.selectExpr(*(f"`{c}`" for c in names), *(known(f"{a}{e}") for e in "01" for a in "xyz")).selectExpr("*", "x1 - x0 AS dx", "y1 - y0 AS dy", "z1 - z0 AS dz")
 
 
 def crystal_pairs(spark: SparkSession, s: Scanner, bins: int, compressed: bool = False) -> DataFrame:

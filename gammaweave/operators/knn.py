@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.formulas import _num, inside, linear
 from ..plans.scanner import Scanner
+from . import stencil, trace
 from .geometry import small
 
 
@@ -23,6 +24,14 @@ class Matching:
     stride: int = 2
     stride_k: int = 2
 
+    @property
+    def patches(self) -> tuple[int, int, int]:
+        return self.patch, self.patch, self.patch_k
+
+    @property
+    def search(self) -> list[tuple[int, int, int]]:
+        return stencil.window(self.window, self.window_k)
+
 
 def _cube(name: str, h: int, hk: int) -> str:
     cells = ", ".join(f"named_struct('di', {i}, 'dj', {j}, 'dk', {k})" for k in range(-hk, hk + 1) for j in range(-h, h + 1) for i in range(-h, h + 1))
@@ -35,7 +44,7 @@ def blocks(image: DataFrame, m: Matching) -> DataFrame:
 
 
 def distances(image: DataFrame, centres: DataFrame, s: Scanner, m: Matching) -> DataFrame:
-    """vox, nbr and d: the squared difference of the patches (zero outside the volume) of each centre and each place of its window."""
+    """vox, nbr and d: the squared difference of the patches (zero outside the volume) of each centre and each place of its window, by joins; for images that fit no array."""
     rows = centres.selectExpr("vox", "i", "j", "k", _cube("o", m.window, m.window_k)).where(inside(s, "i + o.di", "j + o.dj", "k + o.dk"))
     rows = rows.selectExpr("*", f"CAST({linear(s, '(i + o.di)', '(j + o.dj)', '(k + o.dk)')} AS INT) AS nbr").selectExpr("*", _cube("p", m.patch, m.patch_k))
     at = lambda *c: f"CASE WHEN {inside(s, *c)} THEN CAST({linear(s, *(f'({x})' for x in c))} AS INT) END"
@@ -47,11 +56,14 @@ def distances(image: DataFrame, centres: DataFrame, s: Scanner, m: Matching) ->
 
 def kernel_weights(image: DataFrame, s: Scanner, m: Matching, h: float) -> DataFrame:
     """vox, nbr and w = exp(-d / h) for every voxel and place of its window."""
-    return distances(image, image.select("vox", "i", "j", "k"), s, m).select("vox", "nbr", F.expr(f"exp(-d / {_num(h)})").alias("w"))
+    d = stencil.distances(image, s, m.patches, m.search, (1, 1, 1)) if trace.fits(s) else distances(image, image.select("vox", "i", "j", "k"), s, m)
+    return d.select("vox", "nbr", F.expr(f"exp(-d / {_num(h)})").alias("w"))
 
 
 def nearest(image: DataFrame, s: Scanner, m: Matching, k: int) -> DataFrame:
     """vox, rank (from 1), nbr and d: the k places of least d for each sampled block, itself included; ties go by place (on d to nine decimals)."""
+    if trace.fits(s):
+        return stencil.distances(image, s, m.patches, m.search, (m.stride, m.stride, m.stride_k), k).select("vox", "rank", "nbr", "d")
     d = distances(image, blocks(image, m), s, m).withColumn("d", F.round("d", 9))
     return d.withColumn("rank", F.row_number().over(Window.partitionBy("vox").orderBy("d", "nbr"))).where(F.col("rank") <= k).select("vox", "rank", "nbr", "d")
 

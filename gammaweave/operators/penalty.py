@@ -1,4 +1,4 @@
-"""Neighbourhood and patch penalties: stencils as offset tables, met by equi-joins on the shifted voxel."""
+"""Neighbourhood and patch penalties. Of an image that fits an array they are numpy stencils over slabs; beyond that, offset tables met by equi-joins on the shifted voxel."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.formulas import inside, linear, slope, slope_over_t
 from ..plans.scanner import Scanner
+from . import stencil, trace
 from .geometry import small, with_vox
 
 
@@ -44,6 +45,8 @@ def _spread(rows: DataFrame, size: int, name: str = "o") -> DataFrame:
 def surrogate(image: DataFrame, s: Scanner, kind: str = "quad", delta: float = 1.0, size: int = 0, isotropic: bool = False) -> DataFrame:
     """vox, t1 and t2 of the penalty's quadratic surrogate. Each unordered pair counts from both sides: a difference of two
     voxels adds its weight four times (t1), and its weighted difference twice (t2), to each where the weight is symmetric."""
+    if trace.fits(s):
+        return stencil.surrogate(image, s, kind, delta, offset_list(size), isotropic, False)
     p = pairs(image, s, size)
     if isotropic:
         total = p.groupBy("vox").agg(F.sum((F.col("x") - F.col("xn")) ** 2 * F.col("gk")).alias("q")).selectExpr("vox", f"{slope_over_t(kind, 'sqrt(q)', delta)} AS w")
@@ -56,8 +59,8 @@ def surrogate(image: DataFrame, s: Scanner, kind: str = "quad", delta: float = 1
 
 def gradient(image: DataFrame, s: Scanner, kind: str = "quad", delta: float = 1.0, size: int = 0, isotropic: bool = False) -> DataFrame:
     """vox and grad of the penalty; a pair counts from both sides."""
-    if isotropic:
-        return surrogate(image, s, kind, delta, size, True).select("vox", F.col("t2").alias("grad"))
+    if isotropic or trace.fits(s):
+        return surrogate(image, s, kind, delta, size, isotropic).select("vox", F.col("t2").alias("grad"))
     p = pairs(image, s, size).selectExpr("vox", "nbr", f"({slope(kind, '(x - xn)', delta)}) * gk AS d")
     both = p.selectExpr("explode(array(named_struct('vox', vox, 'd', d), named_struct('vox', nbr, 'd', -d))) AS r").select("r.*")
     return both.groupBy("vox").agg(F.sum("d").alias("grad"))
@@ -85,6 +88,8 @@ def patch_pairs(image: DataFrame, s: Scanner, size: int) -> DataFrame:
 
 def patch_surrogate(image: DataFrame, s: Scanner, kind: str = "quad", delta: float = 1.0, size: int = 0, isotropic: bool = False) -> DataFrame:
     """vox, t1 and t2 for differences of 3 x 3 x 3 patches, zero outside the volume."""
+    if trace.fits(s):
+        return stencil.surrogate(image, s, kind, delta, offset_list(size), isotropic, True)
     p = patch_pairs(image, s, size)
     if isotropic:
         w = p.groupBy("vox").agg(F.sum(F.col("kk") * F.col("d") ** 2).alias("q")).selectExpr("vox", f"{slope_over_t(kind, 'sqrt(q)', delta)} AS w")

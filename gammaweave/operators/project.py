@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scanner import Scanner
-from .geometry import small
+from . import trace
 from .rays import TINY, TRACERS
 
 
 def with_subset(events: DataFrame, subsets: int) -> DataFrame:
     """Adds subset_id and pos, the place in the subset."""
-    return events.selectExpr("*", f"CAST(event_id % {subsets} AS INT) AS subset_id", f"event_id div {subsets} AS pos")
+    kept = [f"`{c}`" for c in events.columns if c not in ("subset_id", "pos")]
+    return events.selectExpr(*kept, f"CAST(event_id % {subsets} AS INT) AS subset_id", f"event_id div {subsets} AS pos")
 
 
 def subset_sizes(events: DataFrame, subsets: int) -> DataFrame:
@@ -29,28 +30,37 @@ def with_factors(events: DataFrame, add: DataFrame | None = None, mul: DataFrame
     return events
 
 
-def forward(lines: DataFrame, image: DataFrame, s: Scanner, tracer: str = "siddon") -> DataFrame:
-    """event_id and y, the image's line integral; 0 for lines that miss. Sums are combined before their shuffle, one row an event."""
+def forward(lines: DataFrame, image: DataFrame, s: Scanner, tracer: str = "siddon", keep: tuple[str, ...] = ()) -> DataFrame:
+    """event_id, y, the image's line integral, and the lines' columns keep; 0 for lines that miss.
+
+    With an image that fits an array, each line sums its own integral and nothing is shuffled. Beyond that segments are joined with the image, and sums are combined before
+    their shuffle, one row an event.
+    """
+    if trace.fits(s):
+        return trace.forward(lines, image, s, tracer, keep)
     seg = TRACERS[tracer](lines, s, "event_id")
-    sums = seg.join(small(image.select("vox", "val"), s.voxels), "vox").groupBy("event_id").agg(F.sum(F.col("len") * F.col("val")).alias("y"))
-    return lines.select("event_id").join(sums, "event_id", "left").select("event_id", F.coalesce("y", F.lit(0.0)).alias("y"))
+    sums = seg.join(image.select("vox", "val"), "vox").groupBy("event_id").agg(F.sum(F.col("len") * F.col("val")).alias("y"))
+    return lines.select("event_id", *keep).join(sums, "event_id", "left").select("event_id", F.coalesce("y", F.lit(0.0)).alias("y"), *keep)
 
 
 def back(lines: DataFrame, s: Scanner, weight: str = "w", tracer: str = "siddon", power: int = 1) -> DataFrame:
     """vox and val: the sum over lines of length (to the power) times the line's weight, a column of lines; voxels without any have no row.
 
-    The weight goes along with its line, so there is no join, and lines of no weight are dropped before they are traced.
+    The weight goes along with its line, so there is no join, and lines of no weight are dropped before they are traced. With an image that fits an array, a task
+    shuffles one row for each voxel that its lines meet.
     """
-    if power == 2 and tracer == "tof":
+    if power == 2 and tracer.startswith("tof"):
         raise ValueError("squared lengths have no time-of-flight form")
+    if trace.fits(s):
+        return trace.back(lines, s, weight, tracer, power)
     rows = lines.withColumn("_w", F.col(weight).cast("double")).where(F.abs("_w") >= TINY)
     seg = TRACERS[tracer](rows, s, "_w")
     return seg.groupBy("vox").agg(F.sum(F.pow("len", F.lit(power)) * F.col("_w") if power != 1 else F.col("len") * F.col("_w")).alias("val"))
 
 
 def system_matrix(lines: DataFrame, s: Scanner, tracer: str = "siddon") -> DataFrame:
-    """event_id, vox, len: a row of the system matrix for each line and voxel; worth writing when it is used again and again."""
-    return TRACERS[tracer](lines, s, "event_id").groupBy("event_id", "vox").agg(F.sum("len").alias("len"))
+    """event_id, vox, len: a row of the system matrix for each line and voxel, made in the line's own row; worth writing when it is used again and again."""
+    return trace.matrix(lines, s, tracer)
 
 
 def attenuation(lines: DataFrame, image: DataFrame, s: Scanner) -> DataFrame:

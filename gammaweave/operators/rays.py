@@ -70,12 +70,21 @@ def tof_lines(lines: DataFrame, s: Scanner) -> DataFrame:
     return computed(computed(rows).selectExpr("*", "x1 - x0 AS dx", "y1 - y0 AS dy", "z1 - z0 AS dz"))
 
 
-def tof_segments(lines: DataFrame, s: Scanner, *keep: str) -> DataFrame:
-    """As segments, with each length times the share of the Gaussian at its voxel's distance from the time bin; beyond three sigma there is no row."""
-    rows = segments(tof_lines(lines, s), s, *keep, "ux", "uy", "uz", "uc")
+def _weighted(rows: DataFrame, s: Scanner, keep: tuple[str, ...]) -> DataFrame:
+    """Lengths times the share of the Gaussian at their voxel's distance from the time bin; beyond three sigma there is no row."""
     far = f"abs(ux * {centre(s.n, s.voxel, 'j')} + uy * {centre(s.n, s.voxel, 'i', True)} + uz * {centre(s.nk, s.voxel_k, 'k')} - uc)"
     rows = rows.selectExpr(*keep, "i", "j", "k", "vox", "len", f"CAST(floor({far} / {_num(s.lut_step)}) AS INT) AS bin").where(f"bin < {LUT_SIZE}")
-    return rows.join(F.broadcast(tof_lut(lines.sparkSession, s)), "bin").selectExpr(*keep, "i", "j", "k", "vox", "len * w AS len")
+    return rows.join(F.broadcast(tof_lut(rows.sparkSession, s)), "bin").selectExpr(*keep, "i", "j", "k", "vox", "len * w AS len")
+
+
+def tof_segments(lines: DataFrame, s: Scanner, *keep: str) -> DataFrame:
+    """As segments, weighted by time of flight."""
+    return _weighted(segments(tof_lines(lines, s), s, *keep, "ux", "uy", "uz", "uc"), s, keep)
+
+
+def tof_samples(lines: DataFrame, s: Scanner, *keep: str) -> DataFrame:
+    """As samples, weighted by time of flight."""
+    return _weighted(samples(tof_lines(lines, s), s, *keep, "ux", "uy", "uz", "uc"), s, keep)
 
 
-TRACERS = {"siddon": segments, "bresenham": samples, "tof": tof_segments}
+TRACERS = {"siddon": segments, "bresenham": samples, "tof": tof_segments, "tof_bresenham": tof_samples}

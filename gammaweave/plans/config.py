@@ -86,7 +86,7 @@ class Settings:
         t, a = v["crystal_array_size"][:2]
         mt, ma = v["number_of_detector_modules"][:2]
         tof = v.get("TOF_information", [-1.0, -1.0])
-        return Scanner(mt, t, a * ma, v["detector_ring_diameter"][0], depth, front + gap[0], axial + gap[1], ni, nk, vi, vk, bool(v.get("detector_module_angular_offset", [0.0])[0]), tof[0], tof[1])
+        return Scanner(mt, t, a * ma, v["detector_ring_diameter"][0], depth, front + gap[0], axial + gap[2], ni, nk, vi, vk, bool(v.get("detector_module_angular_offset", [0.0])[0]), tof[0], tof[1])
 
     @property
     def subsets(self) -> int:

@@ -1,7 +1,8 @@
 """Iterative reconstruction. Each subset's update is one plan over DataFrames; its image is written before the next, so plans stay short.
 
 events: event_id, the four ids, tbin_id, and maybe add_fac and mul_fac. Images: vox and val. Subsets follow each other, as each
-needs the image of the one before; within one, everything is distributed.
+needs the image of the one before; within one, everything is distributed. Iterations deal the events into their subsets once, by a write; an update then reads its own
+subset, and traces each ray once for both directions.
 """
 
 from __future__ import annotations
@@ -12,12 +13,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.formulas import _num
+from ..operators import trace
 from ..operators.geometry import grid, lines_of_response, with_vox
 from ..operators.penalty import mean_surrogate, patch_surrogate, surrogate
 from ..operators.project import back, forward, sensitivity, with_factors, with_subset
 from ..operators.sparse import blur, product
 from .scanner import Scanner
-from .store import scratch
+from .store import Scratch, scratch
 
 
 @dataclass
@@ -39,68 +42,115 @@ class Problem:
         s = self.scanner
         if not {"add_fac", "mul_fac"} <= {*self.events.columns}:
             self.events = with_factors(self.events)
-        self.lines = with_subset(lines_of_response(self.events, s), self.subsets)
-        ones = sensitivity(self.lines, s) if self.sens is None else self.sens
-        self.s = self._blur(ones, True)
+        self.events = with_subset(self.events, self.subsets)
+        if self.sens is None:
+            self.sens = sensitivity(self.lines, s)
+        self.s = self._blur(self.sens, True)
+
+    @property
+    def lines(self) -> DataFrame:
+        return lines_of_response(self.events, self.scanner)
+
+    def dealt(self, store: Scratch) -> None:
+        """Writes the events by subset, and the sensitivity, for iterations to read."""
+        self.events, self.s = store(self.events, "subset_id"), store(self.s)
 
     def _blur(self, image: DataFrame, transposed: bool) -> DataFrame:
         return image if self.transaxial is None and self.axial is None else blur(image, self.scanner, self.transaxial, self.axial, transposed)
 
-    def project(self, x: DataFrame, subset: int | None = None) -> DataFrame:
-        lines = self.lines if subset is None else self.lines.where(F.col("subset_id") == subset)
-        return forward(lines, self._blur(x, False), self.scanner, self.tracer)
+    def _lines(self, subset: int | None) -> DataFrame:
+        return lines_of_response(self.events if subset is None else self.events.where(F.col("subset_id") == subset), self.scanner)
+
+    def project(self, x: DataFrame, subset: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+        return forward(self._lines(subset), self._blur(x, False), self.scanner, self.tracer, keep)
 
     def ratios(self, x: DataFrame, subset: int) -> DataFrame:
         """event_id, y, expected = y + add_fac and ratio = mul_fac / expected where that is positive, else 0."""
-        y = self.project(x, subset)
-        rows = self.events.select("event_id", "add_fac", "mul_fac").join(y, "event_id").selectExpr("event_id", "y", "y + add_fac AS expected", "mul_fac")
-        rows = rows.selectExpr("event_id", "y", "expected", "CASE WHEN expected > 0e0 THEN mul_fac / expected ELSE 0e0 END AS ratio")
-        return rows.withColumn("ratio", F.expr("CASE WHEN isnan(ratio) OR abs(ratio) = double('infinity') THEN 1e-20 ELSE ratio END"))
+        rows = self.project(x, subset, ("add_fac", "mul_fac")).selectExpr("event_id", "y", "y + add_fac AS expected", "mul_fac")
+        return rows.selectExpr("event_id", "y", "expected", "CASE WHEN expected > 0e0 THEN mul_fac / expected ELSE 0e0 END AS ratio")
 
     def backproject(self, ratios: DataFrame, subset: int) -> DataFrame:
-        lines = self.lines.where(F.col("subset_id") == subset).join(ratios.select("event_id", "ratio"), "event_id")
+        lines = self._lines(subset).join(ratios.select("event_id", "ratio"), "event_id")
         return self._blur(back(lines, self.scanner, "ratio", self.tracer), True)
 
-    def likelihood(self, x: DataFrame, ratios: DataFrame) -> DataFrame:
-        """l1 = sum of x s, l2 = sum of log(expected + 1e-20), and ll = l2 - l1."""
-        l1 = x.join(self.s.withColumnRenamed("val", "sv"), "vox").agg(F.coalesce(F.sum(F.col("val") * F.col("sv")), F.lit(0.0)).alias("l1"))
-        l2 = ratios.agg(F.coalesce(F.sum(F.log(F.greatest(F.col("expected"), F.lit(0.0)) + 1e-20)), F.lit(0.0)).alias("l2"))
-        return l1.withColumn("_k", F.lit(1)).join(F.broadcast(l2.withColumn("_k", F.lit(1))), "_k").selectExpr("l1", "l2", "l2 - l1 AS ll")
+    def update(self, x: DataFrame, subset: int, store: Scratch) -> tuple[DataFrame, DataFrame]:
+        """The back projected ratios (vox, val) of a subset at x, and the sum l2 of log(expected + 1e-20)."""
+        if trace.fits(self.scanner):
+            done = store(trace.em_pass(self._lines(subset), self._blur(x, False), self.scanner, self.tracer))
+            return self._blur(done.where("vox >= 0"), True), done.where("vox < 0").agg(F.coalesce(F.sum("val"), F.lit(0.0)).alias("l2"))
+        r = store(self.ratios(x, subset))
+        return self.backproject(r, subset), log_sum(r)
+
+    def likelihood(self, x: DataFrame, l2: DataFrame) -> DataFrame:
+        """l1 = sum of x s, whose terms count as 1e-20 where they aren't finite, l2 as given, and ll = l2 - l1: one row each, which are put side by side."""
+        term = "val * sv"
+        l1 = x.join(self.s.withColumnRenamed("val", "sv"), "vox").selectExpr(f"CASE WHEN isnan({term}) OR abs({term}) = double('infinity') THEN 1e-20 ELSE {term} END AS term")
+        both = l1.selectExpr("term AS a", "CAST(NULL AS DOUBLE) AS b").unionByName(l2.selectExpr("CAST(NULL AS DOUBLE) AS a", "l2 AS b"))
+        return both.agg(F.coalesce(F.sum("a"), F.lit(0.0)).alias("l1"), F.coalesce(F.sum("b"), F.lit(0.0)).alias("l2")).selectExpr("l1", "l2", "l2 - l1 AS ll")
+
+
+def log_sum(ratios: DataFrame) -> DataFrame:
+    """l2 of what ratios() gives: log(expected + 1e-20), 0 where that isn't positive; 1e-20 stands for what isn't finite."""
+    x = "CASE WHEN isnan(expected) OR abs(expected) = double('infinity') THEN 1e-20 ELSE expected + 1e-20 END"
+    return ratios.selectExpr(f"{x} AS x").selectExpr("CASE WHEN x > 0e0 THEN ln(x) ELSE 0e0 END AS x").agg(F.coalesce(F.sum("x"), F.lit(0.0)).alias("l2"))
 
 
 def ones(p: Problem) -> DataFrame:
     return grid(p.events.sparkSession, p.scanner).selectExpr("vox", "1e0 AS val")
 
 
-def em_step(p: Problem, x: DataFrame, subset: int = 0, ratios: DataFrame | None = None) -> DataFrame:
-    """One (penalised) update of x by a subset."""
-    r = p.ratios(x, subset) if ratios is None else ratios
-    z = p.backproject(r, subset).withColumnRenamed("val", "z")
-    rows = x.join(z, "vox", "left").join(p.s.withColumnRenamed("val", "s"), "vox", "left").selectExpr("vox", "val AS x", "val * coalesce(z, 0e0) AS xem", "coalesce(s, 0e0) AS s")
+def em_step(p: Problem, x: DataFrame, subset: int = 0, z: DataFrame | None = None) -> DataFrame:
+    """One (penalised) update of x by a subset, whose back projected ratios are z."""
+    z = p.update(x, subset, scratch(x.sparkSession))[0] if z is None else z
+    rows = x.join(z.withColumnRenamed("val", "z"), "vox", "left").join(p.s.withColumnRenamed("val", "s"), "vox", "left").selectExpr("vox", "val AS x", "val * coalesce(z, 0e0) AS xem", "coalesce(s, 0e0) AS s")
     if p.beta > 0 and p.penalty is not None:
         t = p.penalty(with_ijk(x, p))
-        rows = rows.join(t, "vox", "left").selectExpr("vox", f"{p.beta!r}e0 * coalesce(t1, 0e0) AS a", f"s - {p.beta!r}e0 * (coalesce(t1, 0e0) * x - coalesce(t2, 0e0)) AS b", f"{p.subsets} * xem AS c")
+        rows = rows.join(t, "vox", "left").selectExpr("vox", f"{_num(p.beta)} * coalesce(t1, 0e0) AS a", f"s - {_num(p.beta)} * (coalesce(t1, 0e0) * x - coalesce(t2, 0e0)) AS b", f"{p.subsets} * xem AS c")
         rows = rows.selectExpr("*", "sqrt(b * b + 4e0 * a * c) AS det")
         return rows.selectExpr("vox", "CASE WHEN a = 0e0 THEN CASE WHEN b <> 0e0 THEN c / nullif(b, 0e0) ELSE 0e0 END WHEN b + det > 0e0 THEN 2e0 * c / nullif(b + det, 0e0) ELSE 0e0 END AS val")
     return rows.selectExpr("vox", f"CASE WHEN s > 0e0 THEN xem / nullif(s / {p.subsets}, 0e0) ELSE 0e0 END AS val")
 
 
 def with_ijk(x: DataFrame, p: Problem) -> DataFrame:
-    g = grid(x.sparkSession, p.scanner)
-    return g.join(x, "vox")
+    n = p.scanner.n
+    return x.selectExpr("vox", f"CAST(vox % {n} AS INT) AS i", f"CAST(vox div {n} % {n} AS INT) AS j", f"CAST(vox div {n * n} AS INT) AS k", "val")
 
 
-def em(p: Problem, x: DataFrame, iterations: int, save: Callable[[int, DataFrame], None] | None = None, save_step: int = 0, phase: str = "main") -> DataFrame:
-    """Passes over all subsets; p.log gets (phase, iteration, subset, likelihood frame), save each save_step-th image."""
-    store = scratch(p.events.sparkSession)
-    p.s = store(p.s)
+@dataclass
+class Outputs:
+    """What iterations give out on their way, each if there is a function for it: image(n, x), alpha(n, x), both each step-th time, and projection(name, n, subset, rows)."""
+
+    step: int = 0
+    image: Callable[[int, DataFrame], None] | None = None
+    alpha: Callable[[int, DataFrame], None] | None = None
+    projection: Callable[[str, int, int, DataFrame], None] | None = None
+
+    def iteration(self, n: int, x: DataFrame, alpha: DataFrame | None = None) -> None:
+        if self.step > 0 and n % self.step == 0:
+            if self.image:
+                self.image(n, x)
+            if self.alpha and alpha is not None:
+                self.alpha(n, alpha)
+
+    def subset(self, p: Problem, x: DataFrame, n: int, m: int) -> None:
+        """Line integrals at x, and those with the background."""
+        if self.projection:
+            rows = p.ratios(x, m)
+            self.projection("Px", n, m, rows.select("event_id", F.col("y").alias("val")))
+            self.projection("Px_r_s", n, m, rows.select("event_id", F.col("expected").alias("val")))
+
+
+def em(p: Problem, x: DataFrame, iterations: int, outputs: Outputs | None = None, phase: str = "main") -> DataFrame:
+    """Passes over all subsets; p.log gets (phase, iteration, subset, likelihood frame)."""
+    store, outputs = scratch(p.events.sparkSession), outputs or Outputs()
+    p.dealt(store)
     for n in range(1, iterations + 1):
         for m in range(p.subsets):
-            r = store(p.ratios(x, m))
-            p.log.append((phase, n, m, p.likelihood(x, r)))
-            x = store(em_step(p, x, m, r))
-        if save and save_step > 0 and n % save_step == 0:
-            save(n, x)
+            outputs.subset(p, x, n, m)
+            z, l2 = p.update(x, m, store)
+            p.log.append((phase, n, m, p.likelihood(x, l2)))
+            x = store(em_step(p, x, m, z))
+        outputs.iteration(n, x)
     return x
 
 
@@ -113,37 +163,40 @@ def likelihoods(log: list) -> DataFrame | None:
     return out
 
 
-def kem(p: Problem, kernel: DataFrame, x: DataFrame, iterations: int) -> DataFrame:
+def kem(p: Problem, kernel: DataFrame, x: DataFrame, iterations: int, outputs: Outputs | None = None) -> DataFrame:
     """Kernel EM: alpha from 1; x = K alpha. kernel: row, col, val, symmetric. The first projection uses x as given."""
-    store = scratch(p.events.sparkSession)
+    store, outputs = scratch(p.events.sparkSession), outputs or Outputs()
     if kernel.isEmpty():
         raise ValueError("the kernel matrix is missing or empty")
-    p.s = store(p.s)
+    p.dealt(store)
     alpha, as_id = ones(p), lambda v: v.select(F.col("vox").alias("id"), "val")
-    for _ in range(iterations):
+    for n in range(1, iterations + 1):
         for m in range(p.subsets):
-            z = p.backproject(p.ratios(x, m), m)
+            z, l2 = p.update(x, m, store)
+            p.log.append(("kernel", n, m, p.likelihood(x, l2)))
             ab = product(kernel, as_id(z)).select(F.col("id").alias("vox"), F.col("val").alias("ab"))
             rows = alpha.join(ab, "vox", "left").join(p.s.withColumnRenamed("val", "s"), "vox", "left")
             alpha = store(rows.selectExpr("vox", f"CASE WHEN s > 0e0 THEN val * coalesce(ab, 0e0) / nullif(s / {p.subsets}, 0e0) ELSE 0e0 END AS val"))
             x = store(product(kernel, as_id(alpha)).select(F.col("id").cast("int").alias("vox"), "val"))
+        outputs.iteration(n, x, alpha)
     return x
 
 
-def admm(p: Problem, x: DataFrame, iterations: int, penalty: Callable[[DataFrame], DataFrame], beta: float, inner: int = 10) -> DataFrame:
+def admm(p: Problem, x: DataFrame, iterations: int, penalty: Callable[[DataFrame], DataFrame], beta: float, inner: int = 10, outputs: Outputs | None = None) -> DataFrame:
     """u follows the penalty by `inner` fixed-point steps, x an EM pass held to u + d, and d gathers what is left; mu is 2 beta."""
-    store, mu = scratch(p.events.sparkSession), 2 * beta
-    u, d = x, x.selectExpr("vox", "0e0 AS val")
+    store, mu, outputs = scratch(p.events.sparkSession), 2 * beta, outputs or Outputs()
+    u, d, sens = x, x.selectExpr("vox", "0e0 AS val"), store(p.sens)
     join = lambda a, b, e: a.join(b.select("vox", F.col("val").alias("w")), "vox").selectExpr("vox", f"{e} AS val")
-    for _ in range(iterations):
+    for n in range(1, iterations + 1):
         m = store(join(x, d, "val - w"))
         for _ in range(inner):
             t = penalty(with_ijk(u, p))
-            u = store(u.join(m.withColumnRenamed("val", "m"), "vox").join(t, "vox", "left").selectExpr("vox", f"({mu!r}e0 * m + {beta!r}e0 * (coalesce(t1, 0e0) * val - coalesce(t2, 0e0))) / ({mu!r}e0 + {beta!r}e0 * coalesce(t1, 0e0)) AS val"))
+            u = store(u.join(m.withColumnRenamed("val", "m"), "vox").join(t, "vox", "left").selectExpr("vox", f"({_num(mu)} * m + {_num(beta)} * (coalesce(t1, 0e0) * val - coalesce(t2, 0e0))) / ({_num(mu)} + {_num(beta)} * coalesce(t1, 0e0)) AS val"))
         target = store(join(u, d, "val + w"))
-        held = Problem(p.events, p.scanner, p.subsets, p.tracer, p.transaxial, p.axial, p.sens, mu / 2, lambda v, t=target: mean_surrogate(v, t))
-        x = em(held, x, 1)
+        held = Problem(p.events, p.scanner, p.subsets, p.tracer, p.transaxial, p.axial, sens, mu / 2, lambda v, t=target: mean_surrogate(v, t), p.log)
+        x = em(held, x, 1, phase=f"admm {n}")
         d = store(d.join(x.withColumnRenamed("val", "x"), "vox").join(u.withColumnRenamed("val", "u"), "vox").selectExpr("vox", "val - (x - u) AS val"))
+        outputs.iteration(n, x)
     return x
 
 
@@ -161,4 +214,4 @@ def patch(s: Scanner, kind: str = "quad", delta: float = 1.0, size: int = 0, iso
     return lambda x: patch_surrogate(x, s, kind, delta, size, isotropic)
 
 
-__all__ = ["Problem", "admm", "em", "em_step", "kem", "likelihoods", "line_integrals", "mrf", "ones", "patch", "with_ijk", "with_vox"]
+__all__ = ["Outputs", "Problem", "admm", "em", "em_step", "kem", "likelihoods", "line_integrals", "mrf", "ones", "patch", "with_ijk", "with_vox"]

@@ -11,6 +11,7 @@ from ..operators.project import with_factors
 from ..sources import raw, sinks
 from . import recon
 from .config import PENALTIES, Settings, SettingsError
+from .log import timed
 
 
 def load_events(spark: SparkSession, settings: Settings, suffix: str = ".lm") -> DataFrame:
@@ -28,12 +29,15 @@ def _volume(spark: SparkSession, settings: Settings, key: str, missing: float =
 
 
 def penalty(spark: SparkSession, settings: Settings):
-    """The penalty's surrogate as a function of an image, with the spatial weight if there is one; by default quadratic over the faces."""
+    """The penalty's surrogate as a function of an image, with the spatial weight if there is one; by default quadratic over the faces. The other potentials need a parameter."""
     kind = settings.get("regularizer_model_type", [-1])[0]
     if kind not in PENALTIES:
         raise SettingsError(f"no penalty {kind}")
     name = POTENTIALS[settings.get("regularizer_potential_function_type", [0])[0]]
-    delta = settings.get("regularizer_buildin_parameter_list", [1.0])[0]
+    parameters = settings.get("regularizer_buildin_parameter_list", [])
+    if name != "quad" and not parameters:
+        raise SettingsError(f"{name} needs a parameter in regularizer_buildin_parameter_list")
+    delta = parameters[0] if parameters else 1.0
     size, isotropic = settings.get("regularizer_neighborhood_properties", [0, 0])[:2]
     make = recon.mrf if PENALTIES[kind] == "mrf" else recon.patch
     plain = make(settings.scanner, name, delta, size, bool(isotropic))
@@ -51,28 +55,42 @@ def problem(spark: SparkSession, settings: Settings, events: DataFrame, subsets:
     return recon.Problem(events, settings.scanner, subsets, tracer, read(trans), read(axial), _volume(spark, settings, "sensitivity"), beta, penalty(spark, settings) if beta > 0 else None, **options)
 
 
-def reconstruct(spark: SparkSession, settings: Settings, folder: str | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """The image, and the likelihoods by phase, iteration and subset; with folder, both and the images between are written there."""
-    events, x = load_events(spark, settings), _volume(spark, settings, "initial_guess")
+def _outputs(folder: str | None, step: int, projections: bool, phase: str = "main") -> recon.Outputs:
+    if not folder:
+        return recon.Outputs()
+    return recon.Outputs(
+        step, lambda n, x: sinks.write_image(x, folder, "intermediate", n), lambda n, x: sinks.write_image(x, folder, "intermediate_alpha", n),
+        (lambda name, n, m, rows: sinks.write_projection(rows, folder, n, m, phase, name)) if projections else None,
+    )
+
+
+def reconstruct(spark: SparkSession, settings: Settings, folder: str | None = None, projections: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """The image, and the likelihoods by phase, iteration and subset; with folder, both and the images between are written there.
+
+    projections: also each subset's line integrals, without and with the background; they take another pass of its events.
+    """
+    with timed("reading"):
+        events, x = load_events(spark, settings), _volume(spark, settings, "initial_guess")
     logs: list = []
     warm = settings.get("warmup_setting")
     if warm and warm[0] > 0 and warm[1] > 0:
-        p = problem(spark, settings, events, warm[0], log=logs)
-        x = recon.em(p, x, warm[1], phase="warmup")
-        if folder:
-            sinks.write_image(x, folder, "warmup")
+        with timed("warm-up"):
+            p = problem(spark, settings, events, warm[0], log=logs)
+            x = recon.em(p, x, warm[1], _outputs(folder, 0, projections, "warmup"), "warmup")
+            if folder:
+                sinks.write_image(x, folder, "warmup")
     subsets, step, iterations = settings.get("iteration_setting", [1, 0, 1])[:3]
-    beta = settings.get("regularizer_strength", [0.0])[0]
-    save = (lambda n, v: sinks.write_image(v, folder, "intermediate", n)) if folder else None
-    if settings.algorithm == "em":
-        x = recon.em(problem(spark, settings, events, subsets, beta, log=logs), x, iterations, save, step)
-    elif settings.algorithm == "kem":
-        matrix = settings.get("kernel_matrix")
-        if not matrix:
-            raise SettingsError("kernel EM needs kernel_matrix")
-        x = recon.kem(problem(spark, settings, events, subsets), raw.read_sparse(spark, matrix[0]), x, iterations)
-    else:
-        x = recon.admm(problem(spark, settings, events, subsets), x, iterations, penalty(spark, settings), beta)
+    beta, outputs = settings.get("regularizer_strength", [0.0])[0], _outputs(folder, step, projections)
+    with timed(settings.algorithm):
+        if settings.algorithm == "em":
+            x = recon.em(problem(spark, settings, events, subsets, beta, log=logs), x, iterations, outputs)
+        elif settings.algorithm == "kem":
+            matrix = settings.get("kernel_matrix")
+            if not matrix:
+                raise SettingsError("kernel EM needs kernel_matrix")
+            x = recon.kem(problem(spark, settings, events, subsets, log=logs), raw.read_sparse(spark, matrix[0]), x, iterations, outputs)
+        else:
+            x = recon.admm(problem(spark, settings, events, subsets, log=logs), x, iterations, penalty(spark, settings), beta, outputs=outputs)
     rows = recon.likelihoods(logs)
     if folder:
         sinks.write_image(x, folder, "image")
@@ -81,10 +99,20 @@ def reconstruct(spark: SparkSession, settings: Settings, folder: str | None = No
     return x, rows
 
 
+def line_section(spark: SparkSession, settings: Settings, folder: str) -> DataFrame:
+    """A reconstruction by EM or ADMM whose image is also written as a headerless file, <folder>/<prefix>.img."""
+    if settings.algorithm == "kem":
+        raise SettingsError("kernel EM has no line section run")
+    x, _ = reconstruct(spark, settings, folder)
+    raw.write_raw(x, f"{folder}/{settings.get('reconstruction_output_setting', ['', 'image'])[1]}.img", "vox")
+    return x
+
+
 def lines(spark: SparkSession, settings: Settings, exponential: bool = False, suffix: str = "", folder: str | None = None) -> DataFrame:
     """Line integrals of the initial guess (or attenuation factors, exp(-y)) for the warm-up's first subset; the events' file has no suffix."""
     p = problem(spark, settings, load_events(spark, settings, suffix), settings.warmup_subsets)
     out = recon.line_integrals(p, _volume(spark, settings, "initial_guess"), exponential)
     if folder:
-        raw.write_raw(out, f"{folder}/{settings.get('reconstruction_output_setting', ['', 'lines'])[1]}", "event_id", "factor" if exponential else "y")
+        place = out.withColumn("pos", F.expr(f"event_id div {p.subsets}"))
+        raw.write_raw(place, f"{folder}/{settings.get('reconstruction_output_setting', ['', 'lines'])[1]}", "pos", "factor" if exponential else "y")
     return out

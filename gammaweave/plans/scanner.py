@@ -29,6 +29,11 @@ class Scanner:
     tof_fwhm_ps: float = 300.0
     tof_bin_ps: float = 200.0
 
+    def __post_init__(self):
+        for name in ("modules", "crystals", "rings", "ring_diameter", "ring_pitch", "n", "nk", "voxel", "voxel_k"):
+            if not getattr(self, name) > 0:
+                raise ValueError(f"{name} must be positive, not {getattr(self, name)}")
+
     @property
     def per_ring(self) -> int:
         return self.modules * self.crystals

@@ -33,10 +33,11 @@ class Scratch:
         files.mkdirs(path)
         files.deleteOnExit(path)
 
-    def __call__(self, df: DataFrame) -> DataFrame:
+    def __call__(self, df: DataFrame, *by: str) -> DataFrame:
+        """The table written, in a folder for each value of the columns by, and read again."""
         self.n += 1
         path = f"{self.folder}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, k: int) -> None:

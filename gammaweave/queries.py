@@ -1,7 +1,7 @@
 """Registered queries of the tomography engine and their DuckDB oracles.
 
 Events, images and matrices follow from the driver's `events` by formulas that hold in both engines. The oracles are written with
-joins, windows and unions; the engine's own plans are not.
+joins, windows and unions, and with formulas and numbers of their own for the small scanner; the engine's own plans and formulas are not.
 """
 
 from __future__ import annotations
@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.formulas import POTENTIALS, _num, centre, cylinder, hit, inside, linear, phi, slope, slope_over_t, voxel_of
+from .functions import formulas
+from .functions.formulas import POTENTIALS, _num
 from .operators import geometry as G
 from .operators import knn as N
 from .operators import penalty as R
@@ -87,6 +88,45 @@ def problem(spark, d, **options) -> recon.Problem:
     return recon.Problem(full_events(spark, d), S, **options)
 
 
+# --- the oracles' own formulas, for the small scanner: 16 x 16 x 8 voxels of 4 mm around the origin
+_HALF = {"x": "30e0", "y": "30e0", "z": "14e0"}
+
+
+def hit(axes: str = "xyz") -> tuple[str, str]:
+    enter = [f"CASE WHEN d{a} <> 0 THEN least((-{_HALF[a]} - {a}0) / d{a}, ({_HALF[a]} - {a}0) / d{a}) WHEN abs({a}0) <= {_HALF[a]} THEN 0e0 ELSE 9e0 END" for a in axes]
+    leave = [f"CASE WHEN d{a} <> 0 THEN greatest((-{_HALF[a]} - {a}0) / d{a}, ({_HALF[a]} - {a}0) / d{a}) WHEN abs({a}0) <= {_HALF[a]} THEN 1e0 ELSE -9e0 END" for a in axes]
+    return f"greatest(0e0, {', '.join(enter)})", f"least(1e0, {', '.join(leave)})"
+
+
+#: A circle of 30 mm: roots of a t^2 + 2 b t + c.
+_A, _B, _C = "(dx * dx + dy * dy)", "(dx * x0 + dy * y0)", "(x0 * x0 + y0 * y0 - 900e0)"
+_DISC = f"({_B} * {_B} - {_A} * {_C})"
+_IJK = "CAST(floor((32e0 - (y0 + tm * dy)) / 4e0) AS INT)", "CAST(floor((x0 + tm * dx + 32e0) / 4e0) AS INT)", "CAST(floor((z0 + tm * dz + 16e0) / 4e0) AS INT)"
+_INSIDE, _VOX = "i >= 0 AND i < 16 AND j >= 0 AND j < 16 AND k >= 0 AND k < 8", "CAST(i + 16 * j + 256 * k AS INT)"
+_CENTRES = "((j - 7.5e0) * 4e0)", "((7.5e0 - i) * 4e0)", "((k - 3.5e0) * 4e0)"
+#: Time of flight: 300 ps of resolution and bins of 200 ps, at 0.15 mm a ps; 512 steps to three sigma.
+_SIGMA, _BIN = "(45e0 / 2.355e0)", "30e0"
+_ERF = "(2e0 / sqrt(pi()) * list_sum(list_transform(range(0, 80), lambda n: CASE WHEN n % 2 = 0 THEN 1e0 ELSE -1e0 END * pow({x}, 2 * n + 1) / (gamma(n + 1e0) * (2 * n + 1)))))"
+_LUT = f"lut AS MATERIALIZED (SELECT CAST(b AS INT) AS bin, ({_ERF.format(x=f'((b * 3e0 * {_SIGMA} / 512e0 + 15e0) / ({_SIGMA} * sqrt(2e0)))')} - {_ERF.format(x=f'((b * 3e0 * {_SIGMA} / 512e0 - 15e0) / ({_SIGMA} * sqrt(2e0)))')}) / 2e0 AS w FROM range(512) t(b))"
+
+
+def phi(kind: str, t: str, d: float) -> str:
+    return {
+        "quad": f"pow({t}, 2)", "hyperbola": f"sqrt(pow({t}, 2) + {d})", "fair": f"{t} - {d} * ln(1 + abs({t}) / {d})", "huber": f"CASE WHEN abs({t}) > {d} THEN {d} * (abs({t}) - {d} / 2) ELSE pow({t}, 2) / 2 END",
+        "hl": f"{d} * {d} * ln(1 + pow({t} / {d}, 2)) / 2", "hw": f"1 - exp(-pow({t} / {d}, 2))",
+    }[kind]
+
+
+def slope_over_t(kind: str, t: str, d: float) -> str:
+    return {
+        "quad": "2e0", "hyperbola": f"pow(pow({t}, 2) + {d}, -0.5)", "fair": f"1e0 / ({d} + abs({t}))", "huber": f"least(1e0, {d} / nullif(abs({t}), 0))", "hl": f"{d} * {d} / ({d} * {d} + pow({t}, 2))", "hw": f"exp(-pow({t} / {d}, 2))",
+    }[kind]
+
+
+def slope(kind: str, t: str, d: float) -> str:
+    return f"greatest(-{d}, least({d}, {t}))" if kind == "huber" else f"({t}) * {slope_over_t(kind, t, d)}"
+
+
 # --- oracle parts -------------------------------------------------------------------------------------------------------
 _CR = f"cr AS (SELECT CAST(id AS INT) AS xtal_id, {_num((S.ring_diameter + S.depth) / 2)} * cos(radians(id // {S.crystals} * 30e0)) + {_num(S.pitch)} * (id % {S.crystals} - 1.5e0) * cos(radians(id // {S.crystals} * 30e0 + 90e0)) AS x, {_num((S.ring_diameter + S.depth) / 2)} * sin(radians(id // {S.crystals} * 30e0)) + {_num(S.pitch)} * (id % {S.crystals} - 1.5e0) * sin(radians(id // {S.crystals} * 30e0 + 90e0)) AS y FROM range({S.per_ring}) t(id))"
 _RG = f"rg AS (SELECT CAST(id AS INT) AS ring_id, (id - 3.5e0) * {_num(S.ring_pitch)} AS z FROM range({S.rings}) t(id))"
@@ -98,33 +138,32 @@ _FAC = f"fac AS (SELECT ev.event_id, coalesce(add_fac, 0e0) AS add_fac, coalesce
 
 def _seg(source: str = "ln") -> str:
     """h and seg: crossings as rows, neighbours by a window."""
-    t0, t1 = hit(S)
+    t0, t1 = hit()
     cross = " UNION ALL ".join(f"SELECT event_id, t0, t1, ((m - {_num(n / 2)}) * {_num(v)} - {a}0) / nullif(d{a}, 0e0) AS t FROM h, range({n + 1}) g(m)" for a, n, v in (("x", S.n, S.voxel), ("y", S.n, S.voxel), ("z", S.nk, S.voxel_k)))
-    i, j, k = voxel_of(S, "x0 + tm * dx", "y0 + tm * dy", "z0 + tm * dz")
+    i, j, k = _IJK
     return (f"h AS (SELECT * FROM (SELECT *, {t0} AS t0, {t1} AS t1 FROM {source}) WHERE t0 < t1), "
             f"cx AS (SELECT event_id, t0 AS t FROM h UNION SELECT event_id, t1 FROM h UNION SELECT event_id, t FROM ({cross}) WHERE t BETWEEN t0 AND t1), "
             "nx AS (SELECT event_id, t AS a, lead(t) OVER (PARTITION BY event_id ORDER BY t) AS b FROM cx), "
             "sg_ AS (SELECT h.*, (a + b) / 2e0 AS tm, (b - a) * sqrt(dx * dx + dy * dy + dz * dz) AS len FROM nx JOIN h USING (event_id) WHERE (b - a) * sqrt(dx * dx + dy * dy + dz * dz) > 1e-9), "
-            f"sg AS (SELECT *, {i} AS i, {j} AS j, {k} AS k FROM sg_), seg AS MATERIALIZED (SELECT *, CAST({linear(S)} AS INT) AS vox FROM sg WHERE {inside(S)})")
+            f"sg AS (SELECT *, {i} AS i, {j} AS j, {k} AS k FROM sg_), seg AS MATERIALIZED (SELECT *, {_VOX} AS vox FROM sg WHERE {_INSIDE})")
 
 
-def _bres() -> str:
-    t0, t1 = hit(S, "xy")
+def _bres(source: str = "ln") -> str:
+    t0, t1 = hit("xy")
     n, v, h = S.n, _num(S.voxel), _num(S.n * S.voxel / 2)
     part = lambda a, o, flat: (
         f"SELECT event_id, i, j, k, len FROM (SELECT event_id, m, {'m' if flat else 'jj'} AS j, {'ii' if flat else f'{n - 1} - m'} AS i, kk AS k, len FROM (SELECT event_id, m, "
-        + ", ".join(f"{e} AS {c}" for e, c in zip(voxel_of(S, "x0 + tm * dx", "y0 + tm * dy", "z0 + tm * dz"), ("ii", "jj", "kk"), strict=True))
-        + f", sqrt(1e0 + pow(d{o} / d{a}, 2)) AS len FROM (SELECT *, ({centre(n, S.voxel, 'm')} - {a}0) / d{a} AS tm FROM b, range({n}) g(m) WHERE {'' if flat else 'NOT '}(abs(dx) > abs(dy)) AND m BETWEEN least(floor(({a}0 + t0 * d{a} + {h}) / {v}), floor(({a}0 + t1 * d{a} + {h}) / {v})) AND greatest(floor(({a}0 + t0 * d{a} + {h}) / {v}), floor(({a}0 + t1 * d{a} + {h}) / {v})))))"
+        + ", ".join(f"{e} AS {c}" for e, c in zip(_IJK, ("ii", "jj", "kk"), strict=True))
+        + f", sqrt(1e0 + pow(d{o} / d{a}, 2)) AS len FROM (SELECT *, ((m - 7.5e0) * 4e0 - {a}0) / d{a} AS tm FROM b, range({n}) g(m) WHERE {'' if flat else 'NOT '}(abs(dx) > abs(dy)) AND m BETWEEN least(floor(({a}0 + t0 * d{a} + {h}) / {v}), floor(({a}0 + t1 * d{a} + {h}) / {v})) AND greatest(floor(({a}0 + t0 * d{a} + {h}) / {v}), floor(({a}0 + t1 * d{a} + {h}) / {v})))))"
     )
-    return f"b AS (SELECT * FROM (SELECT *, {t0} AS t0, {t1} AS t1 FROM ln) WHERE t0 < t1), bs AS ({part('x', 'y', True)} UNION ALL {part('y', 'x', False)}), seg AS (SELECT *, CAST({linear(S)} AS INT) AS vox FROM bs WHERE {inside(S)})"
+    return f"b AS (SELECT * FROM (SELECT *, {t0} AS t0, {t1} AS t1 FROM {source}) WHERE t0 < t1), bs AS ({part('x', 'y', True)} UNION ALL {part('y', 'x', False)}), seg AS (SELECT *, {_VOX} AS vox FROM bs WHERE {_INSIDE})"
 
 
-def _tof() -> str:
-    reach, far = _num(3 * S.sigma), f"abs(ux * {centre(S.n, S.voxel, 'j')} + uy * {centre(S.n, S.voxel, 'i', True)} + uz * {centre(S.nk, S.voxel_k, 'k')} - uc)"
-    return (f"lut(bin, w) AS (VALUES {', '.join(f'({i}, {_num(w)})' for i, w in enumerate(S.lut()))}), "
-            f"un AS (SELECT event_id, tbin_id, (x0 + x1) / 2e0 AS cx, (y0 + y1) / 2e0 AS cy, (z0 + z1) / 2e0 AS cz, dx / l AS ux, dy / l AS uy, dz / l AS uz, tbin_id * {_num(S.spacing)} AS off FROM (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS l FROM ln)), "
-            f"te AS (SELECT event_id, {', '.join(f'c{a} + (off - {reach}) * u{a} AS {a}0, c{a} + (off + {reach}) * u{a} AS {a}1' for a in 'xyz')}, ux, uy, uz, ux * (cx + off * ux) + uy * (cy + off * uy) + uz * (cz + off * uz) AS uc FROM un), "
-            f"tl AS (SELECT *, x1 - x0 AS dx, y1 - y0 AS dy, z1 - z0 AS dz FROM te), {_seg('tl')}, ts AS (SELECT event_id, vox, len * w AS len FROM (SELECT *, CAST(floor({far} / {_num(S.lut_step)}) AS INT) AS bin FROM seg) JOIN lut USING (bin))")
+def _tof(trace=None) -> str:
+    far = f"abs(ux * {_CENTRES[0]} + uy * {_CENTRES[1]} + uz * {_CENTRES[2]} - uc)"
+    return (f"{_LUT}, un AS (SELECT event_id, tbin_id, (x0 + x1) / 2e0 AS cx, (y0 + y1) / 2e0 AS cy, (z0 + z1) / 2e0 AS cz, dx / l AS ux, dy / l AS uy, dz / l AS uz, tbin_id * {_BIN} AS off FROM (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS l FROM ln)), "
+            f"te AS (SELECT event_id, {', '.join(f'c{a} + (off - 3e0 * {_SIGMA}) * u{a} AS {a}0, c{a} + (off + 3e0 * {_SIGMA}) * u{a} AS {a}1' for a in 'xyz')}, ux, uy, uz, ux * (cx + off * ux) + uy * (cy + off * uy) + uz * (cz + off * uz) AS uc FROM un), "
+            f"tl AS (SELECT *, x1 - x0 AS dx, y1 - y0 AS dy, z1 - z0 AS dz FROM te), {(trace or _seg)('tl')}, ts AS (SELECT event_id, vox, len * w AS len FROM (SELECT g.event_id, vox, len, CAST(floor({far.replace('ux', 'te.ux').replace('uy', 'te.uy').replace('uz', 'te.uz').replace('uc', 'te.uc')} / (3e0 * {_SIGMA} / 512e0)) AS INT) AS bin FROM seg g JOIN te ON te.event_id = g.event_id) JOIN lut USING (bin))")
 
 
 def _r(x: str, name: str, digits: int = 4) -> str:
@@ -155,10 +194,9 @@ query("ring_positions", f"WITH {_RG} SELECT {_id('ring_id')}, {_r('z', 'z')} FRO
 query("image_planes", f"SELECT 'x' AS axis, CAST(m AS BIGINT) AS index, (m - 7.5e0) * 4 AS centre FROM range(16) g(m) UNION ALL SELECT 'y', m, (7.5e0 - m) * 4 FROM range(16) g(m) UNION ALL SELECT 'z', m, (m - 3.5e0) * 4 FROM range(8) g(m)")(lambda spark, d: out(G.planes(spark, S)))
 query("lor_endpoints", f"WITH {_LN} {_SPAN} FROM ln")(lambda spark, d: out(lines(spark, d), "event_id", "x0", "y0", "z0", "x1", "y1", "z1"))
 for _kind, _name, _axes in (("box", "fov_hit_box3d", "xyz"), ("square", "fov_hit_box2d", "xy")):
-    _a, _b = hit(S, _axes)
+    _a, _b = hit(_axes)
     query(_name, f"WITH {_LN} SELECT {_id('event_id')}, {_r('t0', 't0')}, {_r('t1', 't1')} FROM (SELECT *, {_a} AS t0, {_b} AS t1 FROM ln) WHERE t0 < t1")(lambda spark, d, k=_kind: out(T.fov_hits(lines(spark, d), S, k), "event_id", "t0", "t1"))
-_det, _a, _b = cylinder(S)
-query("fov_hit_cylinder", f"WITH {_LN} SELECT {_id('event_id')}, {_r(_a, 't0')}, {_r(_b, 't1')} FROM ln WHERE {_det} > 0")(lambda spark, d: out(T.fov_hits(lines(spark, d), S, "cylinder"), "event_id", "t0", "t1"))
+query("fov_hit_cylinder", f"WITH {_LN} SELECT {_id('event_id')}, {_r(f'(-{_B} - sqrt({_DISC})) / {_A}', 't0')}, {_r(f'(-{_B} + sqrt({_DISC})) / {_A}', 't1')} FROM (SELECT * FROM ln WHERE {_DISC} > 0)")(lambda spark, d: out(T.fov_hits(lines(spark, d), S, "cylinder"), "event_id", "t0", "t1"))
 query("siddon_segments", f"WITH {_LN}, {_seg()} SELECT {_id('event_id', 'i', 'j', 'k')}, {_r('len', 'len')} FROM seg")(lambda spark, d: out(T.segments(lines(spark, d), S, "event_id"), "event_id", "i", "j", "k", "len"))
 query("sysmat_rows", f"WITH {_LN}, {_seg()} SELECT {_id('event_id', 'vox')}, {_r('sum(len)', 'len')} FROM seg GROUP BY event_id, vox")(lambda spark, d: out(A.system_matrix(lines(spark, d), S)))
 query("sysmat_nnz", f"WITH {_LN}, {_seg()} SELECT {_id('event_id')}, count(DISTINCT vox) AS nnz, {_r('sum(len)', 'len')} FROM seg GROUP BY event_id")(lambda spark, d: out(A.system_matrix(lines(spark, d), S).groupBy("event_id").agg(F.count("*").alias("nnz"), F.sum("len").alias("len"))))
@@ -166,16 +204,17 @@ _FWD = "SELECT " + _id("ev.event_id").replace("AS ev.event_id", "AS event_id") +
 query("siddon_forward", f"WITH {_LN}, {_IMG}, {_seg()} {_FWD.format('seg')}")(lambda spark, d: out(A.forward(lines(spark, d), image(spark), S)))
 query("bresenham_forward", f"WITH {_LN}, {_IMG}, {_bres()} {_FWD.format('seg')}")(lambda spark, d: out(A.forward(lines(spark, d), image(spark), S, "bresenham")))
 query("tof_forward", f"WITH {_LN}, {_IMG}, {_tof()} {_FWD.format('ts')}")(lambda spark, d: out(A.forward(lines(spark, d), image(spark), S, "tof")))
+query("tof_bresenham_forward", f"WITH {_LN}, {_IMG}, {_tof(_bres)} {_FWD.format('ts')}")(lambda spark, d: out(A.forward(lines(spark, d), image(spark), S, "tof_bresenham")))
 query("attenuation_factors", f"WITH {_LN}, {_IMG}, {_seg()} SELECT CAST(ev.event_id AS BIGINT) AS event_id, {_r('exp(-coalesce(y, 0e0) / 100e0)', 'factor', 6)} FROM ev LEFT JOIN (SELECT event_id, sum(val * len) AS y FROM seg JOIN img USING (vox) GROUP BY event_id) f USING (event_id)")(
     lambda spark, d: out(A.attenuation(lines(spark, d), image(spark).withColumn("val", F.col("val") / 100), S), digits=6))
 query("line_integrals", f"WITH {_LN}, {_IMG}, {_seg()} SELECT * FROM ({_FWD.format('seg')}) WHERE event_id % 2 = 0")(lambda spark, d: out(recon.line_integrals(problem(spark, d, subsets=2), image(spark))))
 _W = "(0.5e0 + event_id % 4)"
-for _name, _extra, _from, _len, _trace in (("siddon_back", _seg(), "seg", "len", ("siddon", 1)), ("siddon_back_square", _seg(), "seg", "len * len", ("siddon", 2)), ("bresenham_back", _bres(), "seg", "len", ("bresenham", 1)), ("tof_back", _tof(), "ts", "len", ("tof", 1))):
+for _name, _extra, _from, _len, _trace in (("siddon_back", _seg(), "seg", "len", ("siddon", 1)), ("siddon_back_square", _seg(), "seg", "len * len", ("siddon", 2)), ("bresenham_back", _bres(), "seg", "len", ("bresenham", 1)), ("tof_back", _tof(), "ts", "len", ("tof", 1)), ("tof_bresenham_back", _tof(_bres), "ts", "len", ("tof_bresenham", 1))):
     query(_name, f"WITH {_LN}, {_extra} SELECT {_id('vox')}, {_r(f'sum({_len} * {_W})', 'val', 3)} FROM {_from} GROUP BY vox")(lambda spark, d, t=_trace: out(A.back(lines(spark, d).withColumn("w", F.expr(_W)), S, "w", *t), digits=3))
 query("sensitivity", f"WITH {_LN}, {_seg()} SELECT {_id('vox')}, {_r('sum(len)', 'val', 3)} FROM seg GROUP BY vox")(lambda spark, d: out(A.sensitivity(lines(spark, d), S), digits=3))
 query("bresenham_samples", f"WITH {_LN}, {_bres()} SELECT {_id('event_id', 'i', 'j', 'k')}, {_r('len', 'len')} FROM seg")(lambda spark, d: out(T.samples(lines(spark, d), S, "event_id"), "event_id", "i", "j", "k", "len"))
 query("tof_endpoints", f"WITH {_LN}, {_tof()} {_SPAN} FROM te")(lambda spark, d: out(T.tof_lines(lines(spark, d), S), "event_id", "x0", "y0", "z0", "x1", "y1", "z1"))
-query("tof_lut", f"SELECT CAST(bin AS BIGINT) AS bin, {_r('w', 'w', 9)} FROM (VALUES {', '.join(f'({i}, {_num(w)})' for i, w in enumerate(S.lut()))}) t(bin, w)")(lambda spark, d: out(T.tof_lut(spark, S), digits=9))
+query("tof_lut", f"WITH {_LUT} SELECT CAST(bin AS BIGINT) AS bin, {_r('w', 'w', 9)} FROM lut")(lambda spark, d: out(T.tof_lut(spark, S), digits=9))
 query("subset_sizes", f"WITH {_EV} SELECT CAST(event_id % 3 AS BIGINT) AS subset_id, count(*) AS n_events FROM ev GROUP BY ALL")(lambda spark, d: out(A.subset_sizes(events(spark, d), 3)))
 query("factor_join", f"WITH {_EV}, {_FAC} SELECT {_id('event_id')}, {_r('add_fac', 'add_fac')}, {_r('mul_fac', 'mul_fac')} FROM fac")(lambda spark, d: out(full_events(spark, d), "event_id", "add_fac", "mul_fac"))
 query("crystal_pairs", "SELECT CAST(a AS BIGINT) AS angle, CAST(b AS BIGINT) AS bin, CAST(((13 - (b + 13) // 2 + 48) % 48 + a) % 48 AS BIGINT) AS xtal_1, CAST((14 + (b + 14) // 2 + a) % 48 AS BIGINT) AS xtal_2 FROM range(24) x(a), range(21) y(b)")(lambda spark, d: out(G.crystal_pairs(spark, S, 20)))
@@ -211,7 +250,7 @@ _IW = lambda kind: f"iw AS (SELECT v, {slope_over_t(kind, 'sqrt(q)', _DELTA)} AS
 for _kind in POTENTIALS:
     query(f"mrf_{_kind}", f"WITH {_IMG}, {_NB[0]}, {_PR} {_AN(_kind)}")(lambda spark, d, k=_kind: out(R.surrogate(image(spark), S, k, _DELTA)))
     query(f"potential_{_kind}", f"WITH {_IMG} SELECT vox, {_r(phi(_kind, 't', _DELTA), 'phi')}, {_r(slope(_kind, 't', _DELTA), 'slope')}, {_r(slope_over_t(_kind, 't', _DELTA), 'ratio')} FROM (SELECT CAST(vox AS BIGINT) AS vox, val - 1.4e0 AS t FROM img)")(
-        lambda spark, d, k=_kind: out(image(spark).selectExpr("vox", "val - 1.4e0 AS t").selectExpr("vox", f"{phi(k, 't', _DELTA)} AS phi", f"{slope(k, 't', _DELTA)} AS slope", f"{slope_over_t(k, 't', _DELTA)} AS ratio")))
+        lambda spark, d, k=_kind: out(image(spark).selectExpr("vox", "val - 1.4e0 AS t").selectExpr("vox", f"{formulas.phi(k, 't', _DELTA)} AS phi", f"{formulas.slope(k, 't', _DELTA)} AS slope", f"{formulas.slope_over_t(k, 't', _DELTA)} AS ratio")))
 query("mrf_t1t2_aniso", f"WITH {_IMG}, {_NB[1]}, {_PR} {_AN('huber')}")(lambda spark, d: out(R.surrogate(image(spark), S, "huber", _DELTA, 1)))
 _ISO = "SELECT CAST(pr.v AS BIGINT) AS vox, " + _r("sum(2e0 * (a.w + b.w) * gk)", "t1") + ", " + _r("sum((a.w + b.w) * gk * d)", "t2") + " FROM pr JOIN iw a ON a.v = pr.v JOIN iw b ON b.v = pr.u GROUP BY pr.v"
 query("mrf_t1t2_iso", f"WITH {_IMG}, {_NB[1]}, {_PR}, {_IW('hyperbola')} {_ISO}")(lambda spark, d: out(R.surrogate(image(spark), S, "hyperbola", _DELTA, 1, True)))
@@ -264,7 +303,7 @@ query("em_update", f"{_START}{_ONE}, {_em('x0', 'xn')} {_OUT}xn")(lambda spark,
 query("osem_2x2", f"{_START}{_ONE}, {_em('x0', 'x1', 2, 0)}, {_em('x1', 'x2', 2, 1)}, {_em('x2', 'x3', 2, 0)}, {_em('x3', 'x4', 2, 1)} {_OUT}x4")(lambda spark, d: (lambda p: out(recon.em(p, recon.ones(p), 2)))(problem(spark, d, subsets=2)))
 _IM = "x0 AS (SELECT vox, val FROM img)"
 query("loglik", f"{_START}{_IM}, {_em('x0', 'xn')} SELECT {_r('l1', 'l1', 2)}, {_r('l2', 'l2', 2)}, {_r('l2 - l1', 'll', 2)} FROM (SELECT (SELECT sum(val * s) FROM x0 JOIN sn USING (vox)) AS l1, (SELECT sum(ln(e + 1e-20)) FROM qxn) AS l2)")(
-    lambda spark, d: (lambda p: out(p.likelihood(image(spark).select("vox", "val"), p.ratios(image(spark).select("vox", "val"), 0)), digits=2))(problem(spark, d)))
+    lambda spark, d: (lambda p: out(p.likelihood(image(spark).select("vox", "val"), recon.log_sum(p.ratios(image(spark).select("vox", "val"), 0))), digits=2))(problem(spark, d)))
 _FLAT = "im AS (SELECT vox, i, j, k, val, 1e0 AS kappa FROM img)"
 _PEN = f"{_NB[0]}, pq AS (SELECT a.vox AS v, a.val - b.val AS d FROM im a, nb, im b WHERE b.i = a.i + di AND b.j = a.j + dj AND b.k = a.k + dk), tt AS (SELECT v AS vox, sum(4e0 * 2) AS t1, sum(2e0 * 2 * d) AS t2 FROM pq GROUP BY v)"
 query("map_em_update", f"{_START}{_IM}, {_em('x0', 'xn')}, {_FLAT}, {_PEN}, ab AS (SELECT vox, {_BETA} * t1 AS a, coalesce(s, 0e0) - {_BETA} * (t1 * x0.val - t2) AS b, x0.val * coalesce(z, 0e0) AS c FROM x0 JOIN tt USING (vox) LEFT JOIN sn USING (vox) LEFT JOIN zxn USING (vox)) SELECT CAST(vox AS BIGINT) AS vox, {_r('CASE WHEN b + sqrt(b * b + 4 * a * c) > 0 THEN 2 * c / (b + sqrt(b * b + 4 * a * c)) ELSE 0e0 END', 'val')} FROM ab")(
@@ -296,3 +335,5 @@ def _config(spark: SparkSession) -> DataFrame:
 
 
 assert LUT_SIZE == len(S.lut())
+
+from . import run_queries  # noqa: E402, F401; registers queries of files and whole runs

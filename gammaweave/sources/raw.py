@@ -1,54 +1,63 @@
-"""Headerless little-endian files: events, factors, volumes and sparse matrices, read into DataFrames and written from them."""
+"""Headerless little-endian files: events, factors, volumes and sparse matrices, read into DataFrames and written from them.
+
+Files are read by ranges of records, each by a task that opens the file at its range; neither the driver nor any task holds a file. A written file has one
+writer, the driver, which gets packed blocks in their order, one partition at a time.
+"""
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable
+import shutil
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.scanner import Scanner
 
 EVENT = np.dtype([("xtal_id_1", "<i2"), ("ring_id_1", "<i2"), ("xtal_id_2", "<i2"), ("ring_id_2", "<i2"), ("tbin_id", "<i2")])
-#: A packed entry of a quantised matrix: bits of i, j, k and weight, lowest first.
-PACKED_BITS = (11, 11, 9, 17)
+#: Bits of i, j, k and weight in an entry of a quantised matrix, lowest first; 48 in all, without padding. By whether the axial field of view is long.
+PACKED_BITS = {False: (11, 11, 9, 17), True: (11, 11, 17, 9)}
+ENTRY_BYTES = 6
+#: Records of a task's range, and of a batch.
+RANGE, BATCH = 1 << 22, 1 << 18
 _SQL = {"i2": "smallint", "i4": "int", "i8": "bigint", "f4": "float", "f8": "double"}
 
 
-def records(spark: SparkSession, path: str, kind: np.dtype, id_name: str) -> DataFrame:
-    """One row for each fixed-length record, numbered by its place in the file, which is split among tasks; what follows the last whole record is not read.
+def _opened(path: str):
+    """The file, by the file systems that workers can open themselves: this machine's or a shared folder's, and those of the Arrow library."""
+    if "://" not in path and not path.startswith("file:"):
+        return pafs.LocalFileSystem().open_input_file(path)
+    system, inner = pafs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+    return system.open_input_file(inner)
 
-    Only the number of records of each split comes to the driver. A file that ends within a record can't be split, and is read by one task.
-    """
-    names = kind.names or ("val",)
-    fields = [f"{id_name} bigint", *(f"{n} {_SQL[(kind[n] if kind.names else kind).str[1:]]}" for n in names)]
-    if file_length(spark, path) % kind.itemsize:
-        return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_whole(kind, names, id_name), ", ".join(fields))
-    rdd = spark.sparkContext.binaryRecords(path, kind.itemsize)
-    counts = rdd.mapPartitionsWithIndex(lambda k, it: [(k, sum(1 for _ in it))]).collect()
-    start, total = {}, 0
-    for k, n in sorted(counts):
-        start[k], total = total, total + n
 
-    def decode(k: int, it: Iterable[bytes]):
-        a = np.frombuffer(b"".join(it), kind)
-        columns = [np.arange(start[k], start[k] + len(a)).tolist(), *((a[n] if kind.names else a).tolist() for n in names)]
-        return zip(*columns, strict=True)
+def _read(f, offset: int, kind: np.dtype, n: int) -> np.ndarray:
+    return np.frombuffer(f.read_at(n * kind.itemsize, offset), kind)
 
-    return spark.createDataFrame(rdd.mapPartitionsWithIndex(decode), ", ".join(fields))
 
+def records(spark: SparkSession, path: str, kind: np.dtype, id_name: str) -> DataFrame:
+    """One row for each fixed-length record, numbered by its place in the file, which is split among tasks; what follows the last whole record is not read."""
+    names = kind.names or ("val",)
+    fields = [f"{id_name} bigint", *(f"{n} {_SQL[(kind[n] if kind.names else kind).str[1:]]}" for n in names)]
+    total = file_length(spark, path) // kind.itemsize
 
-def _whole(kind: np.dtype, names: tuple, id_name: str):
-    def decode(batches):
+    def run(batches):
         for batch in batches:
-            for content in batch.column(0):
-                a = np.frombuffer(content.as_py(), kind, len(content.as_py()) // kind.itemsize)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(a))), *(pa.array(np.ascontiguousarray(a[n] if kind.names else a)) for n in names)], [id_name, *names])
+            with _opened(path) as f:
+                for first in batch.column(0).to_pylist():
+                    for at in range(first, min(first + RANGE, total), BATCH):
+                        a = _read(f, at * kind.itemsize, kind, min(BATCH, first + RANGE - at, total - at))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(a))), *(pa.array(np.ascontiguousarray(a[n] if kind.names else a)) for n in names)], [id_name, *names])
+
+    return _ranges(spark, total).mapInArrow(run, ", ".join(fields))
+
 
-    return decode
+def _ranges(spark: SparkSession, total: int) -> DataFrame:
+    return spark.range(0, total, RANGE, numPartitions=max(1, -(-total // RANGE)))
 
 
 def read_events(spark: SparkSession, prefix: str, suffix: str = ".lm") -> DataFrame:
@@ -87,79 +96,168 @@ def file_length(spark: SparkSession, path: str) -> int:
     return fs.getFileStatus(p).getLen() if fs.exists(p) else 0
 
 
-def _frame(spark: SparkSession, columns: dict) -> DataFrame:
-    return spark.createDataFrame(pa.table({k: pa.array(v) for k, v in columns.items()}))
+def _row_ranges(ends: Iterator[np.ndarray]) -> list[tuple[int, int, int]]:
+    """(first row, rows, first entry) of ranges of about RANGE entries or rows, from the running numbers of entries up to each row, block by block."""
+    out, row, first, entry, last = [], 0, 0, 0, 0
+    for block in ends:
+        for at in range(0, len(block), BATCH):
+            row += len(block[at : at + BATCH])
+            last = int(block[at : at + BATCH][-1])
+            if last - entry >= RANGE or row - first >= RANGE:
+                out.append((first, row - first, entry))
+                first, entry = row, last
+    return [*out, (first, row - first, entry)] if row > first else out
+
+
+def _blocks(f, offset: int, kind: np.dtype, n: int) -> Iterator[np.ndarray]:
+    for at in range(0, n, RANGE):
+        yield _read(f, offset + at * kind.itemsize, kind, min(RANGE, n - at))
 
 
 def read_sparse(spark: SparkSession, path: str) -> DataFrame:
     """row, col (from 0) and val of: int32 rows, int32 columns, int64 entries, int32 entries of each row, int32 columns from 1, float32 values."""
-    with open(path, "rb") as f:
-        rows, _ = np.fromfile(f, "<i4", 2)
-        n = int(np.fromfile(f, "<i8", 1)[0])
-        counts, col, val = np.fromfile(f, "<i4", rows), np.fromfile(f, "<i4", n), np.fromfile(f, "<f4", n)
-    if len(val) < n or counts.sum() != n:
+    i4, f4 = np.dtype("<i4"), np.dtype("<f4")
+    with _opened(path) as f:
+        (rows, _), n = _read(f, 0, i4, 2).tolist(), int(_read(f, 8, np.dtype("<i8"), 1)[0])
+        base, total = 16 + 4 * rows, 0
+
+        def ends():
+            nonlocal total
+            for block in _blocks(f, 16, i4, rows):
+                sums = total + np.cumsum(block, dtype=np.int64)
+                total = int(sums[-1])
+                yield sums
+
+        ranges = _row_ranges(ends())
+    if total != n or file_length(spark, path) < base + 8 * n:
         raise ValueError(f"{path} is cut short")
-    return _frame(spark, {"row": np.repeat(np.arange(rows, dtype=np.int32), counts), "col": col - 1, "val": val})
+
+    def run(batches):
+        for batch in batches:
+            with _opened(path) as f:
+                for r in batch.to_pylist():
+                    counts = _read(f, 16 + 4 * r["first"], i4, r["rows"])
+                    row = np.repeat(np.arange(r["first"], r["first"] + r["rows"], dtype=np.int32), counts)
+                    col, val = (_read(f, base + skip + 4 * r["entry"], kind, len(row)) for skip, kind in ((0, i4), (4 * n, f4)))
+                    for at in range(0, len(row), BATCH):
+                        yield pa.RecordBatch.from_arrays([pa.array(x[at : at + BATCH]) for x in (row, col - 1, val)], ["row", "col", "val"])
+
+    return _planned(spark, ranges).mapInArrow(run, "row int, col int, val float")
+
+
+def _planned(spark: SparkSession, ranges: list) -> DataFrame:
+    return spark.createDataFrame(ranges, "first long, rows long, entry long").repartition(max(1, len(ranges)))
+
+
+def _in_order(df: DataFrame, order: list[str], columns: dict[str, str]) -> Iterator[tuple[bytes, ...]]:
+    """Packed blocks of the columns (name and numpy type), in the order given; one partition at a time is with the driver."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column(c).to_numpy(zero_copy_only=False).astype(t).tobytes()], pa.binary()) for c, t in columns.items()], list(columns))
+
+    packed = df.select(*dict.fromkeys([*order, *columns])).orderBy(*order).mapInArrow(run, ", ".join(f"`{c}` binary" for c in columns))
+    for r in packed.toLocalIterator(prefetchPartitions=True):
+        yield tuple(bytes(x) for x in r)
+
+
+def _write_rows(path: str, blocks: Iterator[tuple[bytes, ...]], rows: int, head) -> None:
+    """head(counts of each row, entries), then the second column's blocks, then the third's, and so on; the first column is the row."""
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    counts, parts = np.zeros(rows, np.int64), []
+    for row, *rest in blocks:
+        at, n = np.unique(np.frombuffer(row, "<i4"), return_counts=True)
+        counts[at] += n
+        parts = parts or [open(f"{path}.{k}", "w+b") for k in range(len(rest))]  # noqa: SIM115
+        for f, block in zip(parts, rest, strict=True):
+            f.write(block)
+    with open(path, "wb") as out:
+        out.write(head(counts))
+        for f in parts:
+            f.seek(0)
+            shutil.copyfileobj(f, out)
+            f.close()
+            os.unlink(f.name)
 
 
 def write_sparse(matrix: DataFrame, path: str, rows: int, cols: int) -> None:
-    t = matrix.orderBy("row", "col").toArrow()
-    row = t["row"].to_numpy()
-    with open(path, "wb") as f:
-        np.array([rows, cols], "<i4").tofile(f)
-        np.array([len(row)], "<i8").tofile(f)
-        np.bincount(row, minlength=rows).astype("<i4").tofile(f)
-        (t["col"].to_numpy() + 1).astype("<i4").tofile(f)
-        t["val"].to_numpy().astype("<f4").tofile(f)
+    """The format that read_sparse reads."""
+    one = matrix.selectExpr("CAST(row AS INT) AS row", "CAST(col + 1 AS INT) AS col", "CAST(val AS FLOAT) AS val")
+    head = lambda n: np.array([rows, cols], "<i4").tobytes() + np.array([n.sum()], "<i8").tobytes() + n.astype("<i4").tobytes()
+    _write_rows(path, _in_order(one, ["row", "col"], {"row": "<i4", "col": "<i4", "val": "<f4"}), rows, head)
 
 
-def pack(i, j, k, w) -> np.ndarray:
-    out, at = np.zeros(len(i), np.uint64), 0
-    for x, bits in zip((i, j, k, w), PACKED_BITS, strict=True):
-        out |= np.asarray(x).astype(np.uint64) << np.uint64(at)
+def pack(i, j, k, w, long_axial: bool = False) -> np.ndarray:
+    """Entries as rows of six bytes."""
+    out, at = np.zeros(len(i), "<u8"), 0
+    for x, bits in zip((i, j, k, w), PACKED_BITS[long_axial], strict=True):
+        out |= (np.asarray(x).astype("<u8") & np.uint64((1 << bits) - 1)) << np.uint64(at)
         at += bits
-    return out
+    return out.view(np.uint8).reshape(-1, 8)[:, :ENTRY_BYTES]
 
 
-def unpack(entries: DataFrame, column: str = "entry") -> DataFrame:
-    """Adds i, j, k and w from packed entries."""
-    at = 0
-    for name, bits in zip("ijkw", PACKED_BITS, strict=True):
-        entries = entries.withColumn(name, F.expr(f"CAST(shiftrightunsigned({column}, {at}) & {(1 << bits) - 1}L AS INT)"))
+def unpack(entries: np.ndarray, long_axial: bool = False) -> list[np.ndarray]:
+    """i, j, k and w of rows of six bytes."""
+    wide = np.zeros((len(entries), 8), np.uint8)
+    wide[:, :ENTRY_BYTES] = entries
+    x, at, out = wide.view("<u8").ravel(), 0, []
+    for bits in PACKED_BITS[long_axial]:
+        out.append(((x >> np.uint64(at)) & np.uint64((1 << bits) - 1)).astype(np.int32))
         at += bits
-    return entries
+    return out
 
 
-def read_quantised(spark: SparkSession, path: str) -> tuple[DataFrame, float]:
-    """row, i, j, k, w and the scale of: int32 rows, columns, entries, float32 scale, int32[rows + 1] offsets, 64-bit packed entries."""
-    with open(path, "rb") as f:
-        rows, _, n = np.fromfile(f, "<i4", 3)
-        scale = float(np.fromfile(f, "<f4", 1)[0])
-        offsets, entry = np.fromfile(f, "<i4", rows + 1), np.fromfile(f, "<u8", n)
-    if len(entry) < n:
+def read_quantised(spark: SparkSession, path: str, long_axial: bool = False) -> tuple[DataFrame, float]:
+    """row, i, j, k, w and the scale of: int32 rows, columns, entries, float32 scale, int32[rows + 1] offsets, entries of 48 bits."""
+    i4 = np.dtype("<i4")
+    with _opened(path) as f:
+        rows, _, n = _read(f, 0, i4, 3).tolist()
+        scale, base = float(_read(f, 12, np.dtype("<f4"), 1)[0]), 16 + 4 * (rows + 1)
+        ranges = _row_ranges(block.astype(np.int64) for block in _blocks(f, 20, i4, rows))
+    if file_length(spark, path) < base + ENTRY_BYTES * n:
         raise ValueError(f"{path} is cut short")
-    flat = _frame(spark, {"row": np.repeat(np.arange(rows, dtype=np.int32), np.diff(offsets)), "entry": entry.astype(np.int64)})
-    return unpack(flat).drop("entry"), scale
 
+    def run(batches):
+        for batch in batches:
+            with _opened(path) as f:
+                for r in batch.to_pylist():
+                    offsets = _read(f, 16 + 4 * r["first"], i4, r["rows"] + 1).astype(np.int64)
+                    row = np.repeat(np.arange(r["first"], r["first"] + r["rows"], dtype=np.int32), np.diff(offsets))
+                    own = np.frombuffer(f.read_at(ENTRY_BYTES * len(row), base + ENTRY_BYTES * int(offsets[0])), np.uint8).reshape(-1, ENTRY_BYTES)
+                    for at in range(0, len(row), BATCH):
+                        yield pa.RecordBatch.from_arrays([pa.array(row[at : at + BATCH]), *(pa.array(x) for x in unpack(own[at : at + BATCH], long_axial))], ["row", "i", "j", "k", "w"])
 
-def write_quantised(matrix: DataFrame, path: str, rows: int, cols: int) -> None:
-    t = matrix.orderBy("row", "k", "j", "i").toArrow()
-    row = t["row"].to_numpy()
-    with open(path, "wb") as f:
-        np.array([rows, cols, len(row)], "<i4").tofile(f)
-        np.array([t["scale"][0].as_py() if len(row) else 0], "<f4").tofile(f)
-        np.append(0, np.bincount(row, minlength=rows).cumsum()).astype("<i4").tofile(f)
-        pack(*(t[c].to_numpy() for c in "ijkw")).tofile(f)
+    return _planned(spark, ranges).mapInArrow(run, "row int, i int, j int, k int, w int"), scale
+
+
+def write_quantised(matrix: DataFrame, path: str, rows: int, cols: int, long_axial: bool = False) -> None:
+    """The format that read_quantised reads; the scale is that of the rows, 0 without any."""
+    scale = matrix.agg(F.max("scale")).first()[0] or 0.0
+
+    def entries(blocks):
+        for row, *ijkw in blocks:
+            yield row, pack(*(np.frombuffer(x, "<i4") for x in ijkw), long_axial).tobytes()
+
+    head = lambda n: np.array([rows, cols, n.sum()], "<i4").tobytes() + np.array([scale], "<f4").tobytes() + np.append(0, n.cumsum()).astype("<i4").tobytes()
+    _write_rows(path, entries(_in_order(matrix, ["row", "k", "j", "i"], {c: "<i4" for c in ("row", "i", "j", "k", "w")})), rows, head)
 
 
 def write_raw(df: DataFrame, path: str, id_name: str, value: str = "val") -> None:
-    """float32 values in the order of their ids, one after another; rows come to the driver a partition at a time."""
+    """float32 values, that of id k at place k; 0 for ids between that have no row.
+
+    Blocks of ids are dealt by their numbers, so df is computed once, and no order over all of it is needed: the driver puts each run of values where it belongs.
+    """
+    rows = df.select(F.col(id_name).cast("long").alias("id"), F.col(value).cast("float").alias("val")).repartition(F.floor(F.col("id") / BATCH)).sortWithinPartitions("id")
+
+    def run(batches):
+        for batch in batches:
+            ids, val = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype("<f4")
+            cuts = np.append(0, np.flatnonzero(np.diff(ids) != 1) + 1)
+            ends = np.append(cuts[1:], len(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[cuts] if len(ids) else ids), pa.array([val[x:y].tobytes() for x, y in zip(cuts, ends, strict=True)] if len(ids) else [], pa.binary())], ["first", "block"])
+
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     with open(path, "wb") as f:
-        block: list = []
-        for r in df.select(value).sort(df[id_name]).toLocalIterator(prefetchPartitions=True):
-            block.append(r[0])
-            if len(block) == 1 << 16:
-                np.array(block, "<f4").tofile(f)
-                block = []
-        np.array(block, "<f4").tofile(f)
+        for r in rows.mapInArrow(run, "first long, block binary").toLocalIterator(prefetchPartitions=True):
+            f.seek(4 * r["first"])
+            f.write(r["block"])

@@ -6,8 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_projection(y: DataFrame, folder: str, iteration: int, subset: int, phase: str = "main") -> None:
-    y.withColumns({"phase": F.lit(phase), "iter": F.lit(iteration), "subset": F.lit(subset)}).write.mode("append").partitionBy("phase", "iter", "subset").parquet(f"{folder}/projection")
+def write_projection(y: DataFrame, folder: str, iteration: int, subset: int, phase: str = "main", name: str = "Px") -> None:
+    """A subset's values by event: line integrals (Px), or those with the background (Px_r_s)."""
+    y.withColumns({"name": F.lit(name), "phase": F.lit(phase), "iter": F.lit(iteration), "subset": F.lit(subset)}).write.mode("append").partitionBy("name", "phase", "iter", "subset").parquet(f"{folder}/projection")
+
+
+def write_kernel(weights: DataFrame, nearest: DataFrame, folder: str) -> None:
+    """Patch matching's weights (vox, nbr, w) and nearest places (vox, rank, nbr, d)."""
+    weights.write.mode("overwrite").parquet(f"{folder}/ker_weight")
+    nearest.write.mode("overwrite").parquet(f"{folder}/ker_ind")
 
 
 def write_likelihood(rows: DataFrame, folder: str) -> None:

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from gammaweave import queries as Q
 from gammaweave.functions.formulas import POTENTIALS, phi, slope, slope_over_t
-from gammaweave.operators import geometry, knn, penalty, project, rays, sparse
-from gammaweave.plans import config, recon, run
+from gammaweave.operators import geometry, knn, penalty, project, rays, sparse, stencil, trace
+from gammaweave.plans import config, log, recon, run, session, store
 from gammaweave.plans.scanner import SMALL, Scanner
 from gammaweave.sources import raw, sinks
 from gammaweave.streaming import live
@@ -20,7 +20,7 @@ def by(df, key, value):
     return {r[key]: r[value] for r in df.collect()}
 
 
-@pytest.mark.parametrize("tracer", ["siddon", "bresenham", "tof"])
+@pytest.mark.parametrize("tracer", ["siddon", "bresenham", "tof", "tof_bresenham"])
 def test_projection_and_back_projection_are_adjoint(spark, tracer):
     lines = Q.lines(spark, D).withColumn("w", F.expr("1e0 + event_id % 7"))
     x = Q.image(spark)
@@ -29,6 +29,48 @@ def test_projection_and_back_projection_are_adjoint(spark, tracer):
     assert sum(y[e] * w[e] for e in w) == pytest.approx(sum(v[k] * z.get(k, 0) for k in v))
 
 
+@pytest.mark.parametrize("tracer", ["siddon", "bresenham", "tof", "tof_bresenham"])
+def test_arrays_and_joins_agree(spark, monkeypatch, tracer):
+    lines, x = Q.lines(spark, D).withColumn("w", F.expr("event_id % 3")), Q.image(spark)
+    run = lambda: (by(project.forward(lines, x, SMALL, tracer), "event_id", "y"), by(project.back(lines, SMALL, "w", tracer), "vox", "val"))
+    one = run()
+    monkeypatch.setattr(trace, "MOST_ARRAY", 0)
+    two = run()
+    assert one[0] == pytest.approx(two[0]) and one[1] == pytest.approx(two[1])
+
+
+def test_stencils_and_joins_agree(spark, monkeypatch):
+    x, m = Q.image(spark), knn.Matching(1, 0, 1, 1, 3, 2)
+    def run():
+        rows = [penalty.surrogate(x, SMALL, "fair", 0.3, 2), penalty.surrogate(x, SMALL, "hl", 0.3, 1, True), penalty.patch_surrogate(x, SMALL, "hw", 0.3, 1), penalty.patch_surrogate(x, SMALL, "huber", 0.3, 0, True)]
+        out = [{r["vox"]: (r["t1"], r["t2"]) for r in t.collect()} for t in rows]
+        near = {(r["vox"], r["rank"]): (r["nbr"], r["d"]) for r in knn.nearest(x, SMALL, m, 5).collect()}
+        return [*out, by(penalty.gradient(x, SMALL, "huber", 0.3, 1), "vox", "grad"), near, by(knn.kernel_weights(x, SMALL, m, 2.0).groupBy("vox").agg(F.sum("w").alias("w")), "vox", "w")]
+
+    one = run()
+    monkeypatch.setattr(trace, "MOST_ARRAY", 0)
+    monkeypatch.setattr(stencil, "PLANES", 256)
+    for a, b in zip(one, run(), strict=True):
+        assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
+
+
+def test_a_large_array_is_sent_as_floats(spark, monkeypatch):
+    lines, x = Q.lines(spark, D), Q.image(spark)
+    want = by(project.forward(lines, x, SMALL), "event_id", "y")
+    monkeypatch.setattr(trace, "EXACT", 0)
+    assert by(project.forward(lines, x, SMALL), "event_id", "y") == pytest.approx(want, rel=1e-5)
+
+
+def test_em_by_joins(spark, monkeypatch):
+    p = lambda: recon.Problem(Q.full_events(spark, D), SMALL, subsets=2)
+    a, b = p(), p()
+    one = by(recon.em(a, recon.ones(a), 1), "vox", "val")
+    monkeypatch.setattr(trace, "MOST_ARRAY", 0)
+    assert by(recon.em(b, recon.ones(b), 1), "vox", "val") == pytest.approx(one)
+    ll = [[r["ll"] for r in recon.likelihoods(x.log).orderBy("subset").collect()] for x in (a, b)]
+    assert ll[0] == pytest.approx(ll[1])
+
+
 def test_blur_is_adjoint(spark):
     x, y = Q.image(spark), Q.image(spark).withColumn("val", F.expr("1e0 + vox % 13"))
     t, a = Q.psf(spark)
@@ -87,6 +129,11 @@ def test_mixed_up_inputs(spark):
     events = Q.events(spark, D)
     assert geometry.unknown_ids(events, SMALL) == 0
     assert geometry.unknown_ids(events.withColumn("xtal_id_1", F.lit(48)), SMALL) == events.count()
+    with pytest.raises(Exception, match="lacks"):
+        geometry.lines_of_response(events.withColumn("ring_id_2", F.lit(8)), SMALL).agg(F.sum("z1")).collect()
+    for bad in ({"rings": 0}, {"voxel": -1.0}, {"ring_diameter": 0}):
+        with pytest.raises(ValueError):
+            Scanner(**bad)
     with pytest.raises(ValueError):
         recon.kem(recon.Problem(events, SMALL), Q.kernel(spark).limit(0), geometry.grid(spark, SMALL), 1)
     with pytest.raises(ValueError):
@@ -158,6 +205,65 @@ def test_raw_files(spark, tmp_path):
         raw.read_events(spark, f"{tmp_path}/e")
 
 
+def test_packed_entries_by_hand(spark, tmp_path):
+    # i 5, j 1027, k 300, w 70000, lowest bits first: 11, 11, 9 and 17 bits in six bytes
+    bits = 5 | 1027 << 11 | 300 << 22 | 70000 << 31
+    entry = bits.to_bytes(6, "little")
+    assert raw.pack([5], [1027], [300], [70000]).tobytes() == entry
+    long_ = (5 | 1027 << 11 | 70000 << 22 | 300 << 39).to_bytes(6, "little")
+    assert raw.pack([5], [1027], [70000], [300], True).tobytes() == long_
+    for name, e in (("q", entry), ("l", long_)):
+        (tmp_path / name).write_bytes(np.array([3, 9, 2], "<i4").tobytes() + np.array([0.5], "<f4").tobytes() + np.array([0, 1, 1, 2], "<i4").tobytes() + e + e)
+    got, scale = raw.read_quantised(spark, f"{tmp_path}/q")
+    assert scale == 0.5 and sorted(map(tuple, got.collect())) == [(0, 5, 1027, 300, 70000), (2, 5, 1027, 300, 70000)]
+    assert sorted(map(tuple, raw.read_quantised(spark, f"file://{tmp_path}/l", True)[0].collect())) == [(0, 5, 1027, 70000, 300), (2, 5, 1027, 70000, 300)]
+    with pytest.raises(ValueError):
+        (tmp_path / "q").write_bytes((tmp_path / "q").read_bytes()[:-1])
+        raw.read_quantised(spark, f"{tmp_path}/q")
+
+
+def test_files_in_many_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(raw, "RANGE", 7)
+    monkeypatch.setattr(raw, "BATCH", 3)
+    m = spark.range(60).selectExpr("CAST(id % 23 AS INT) AS row", "CAST(id AS INT) AS col", "CAST(id + 0.5 AS DOUBLE) AS val").where("row not in (4, 5, 22)")
+    raw.write_sparse(m, f"{tmp_path}/m", 23, 60)
+    assert sorted(map(tuple, raw.read_sparse(spark, f"{tmp_path}/m").collect())) == sorted(map(tuple, m.collect()))
+    q = sparse.quantise(m, SMALL)
+    raw.write_quantised(q, f"{tmp_path}/q", 23, 60)
+    assert sorted(map(tuple, raw.read_quantised(spark, f"{tmp_path}/q")[0].collect())) == sorted(map(tuple, q.drop("scale").collect()))
+    raw.write_raw(spark.range(100).selectExpr("id", "id * 2 AS val"), f"{tmp_path}/v", "id")
+    assert by(raw.records(spark, f"{tmp_path}/v", np.dtype("<f4"), "id"), "id", "val") == {k: 2.0 * k for k in range(100)}
+    raw.write_sparse(m.limit(0), f"{tmp_path}/none", 5, 5)
+    assert raw.read_sparse(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_log_and_session(spark, tmp_path):
+    with log.log_file(str(tmp_path / "scanner.log"), screen=False), log.timed("a step"):
+        pass
+    text = (tmp_path / "scanner.log").read_text()
+    assert "log opened" in text and "a step ..." in text and " ms" in text and "log closed" in text
+    assert session.session().sparkContext.applicationId == spark.sparkContext.applicationId
+    with pytest.raises(ValueError):
+        session.session(0)
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    class Context:
+        master = "local-cluster[2,1,1024]"
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError):
+        store.shared_folder(Session())
+    Context.master = "local[2]"
+    assert store.shared_folder(Session()).startswith("file://")
+
+
 def test_sinks_and_stream(spark, tmp_path):
     sinks.write_projection(Q.QUERIES["siddon_forward"](spark, D), str(tmp_path), 1, 0)
     sinks.write_image(Q.image(spark), str(tmp_path), "x", 2)
@@ -174,8 +280,13 @@ def test_sinks_and_stream(spark, tmp_path):
 def test_admm_and_saved_images(spark):
     p = recon.Problem(Q.full_events(spark, D), SMALL, beta=0.1, penalty=recon.patch(SMALL))
     saved = []
-    x = recon.em(p, recon.ones(p), 2, lambda n, v: saved.append(n), 2)
+    x = recon.em(p, recon.ones(p), 2, recon.Outputs(2, lambda n, v: saved.append(n)))
     assert saved == [2] and x.where("val < 0 OR isnan(val)").isEmpty()
+    seen = []
+    out = recon.Outputs(1, lambda n, v: seen.append(("image", n)), lambda n, v: seen.append(("alpha", n, v.count())))
+    recon.kem(recon.Problem(Q.full_events(spark, D), SMALL), Q.kernel(spark), recon.ones(p), 1, out)
+    recon.admm(recon.Problem(Q.full_events(spark, D), SMALL), recon.ones(p), 1, recon.mrf(SMALL), 0.1, 1, out)
+    assert seen == [("image", 1), ("alpha", 1, SMALL.voxels), ("image", 1)]
 
 
 def test_whole_runs(spark, tmp_path):
@@ -188,9 +299,12 @@ def test_whole_runs(spark, tmp_path):
     for kind in (0, 1):
         x, rows = run.reconstruct(spark, config.parse(text + f"iterative_algorithm_type = {kind}\nregularizer_strength = 0.1\n"), f"{tmp_path}/out{kind}")
         assert x.count() == SMALL.voxels and x.where("isnan(val) OR val < 0").isEmpty()
-        assert {(r["phase"], r["iter"], r["subset"]) for r in rows.collect()} == {("warmup", 1, 0)} | ({("main", 1, 0), ("main", 1, 1)} if kind == 0 else set())
+        phase = "main" if kind == 0 else "admm 1"
+        assert {(r["phase"], r["iter"], r["subset"]) for r in rows.collect()} == {("warmup", 1, 0), (phase, 1, 0), (phase, 1, 1)}
     assert spark.read.parquet(f"{tmp_path}/out0/intermediate/iter=1").count() == SMALL.voxels
     y = run.lines(spark, config.parse(text), True, folder=f"{tmp_path}/out")
     assert y.count() == 200 and y.where("factor > 1 OR factor < 0").isEmpty()
     with pytest.raises(config.SettingsError):
         run.reconstruct(spark, config.parse(text.replace("format_type = 0", "format_type = 1")))
+    with pytest.raises(config.SettingsError):
+        run.line_section(spark, config.parse(text + "iterative_algorithm_type = 2\n"), str(tmp_path))
