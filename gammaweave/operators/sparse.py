@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scanner import Scanner
+from .geometry import small
 
 LEVELS = (1 << 17) - 1
 
@@ -36,13 +37,14 @@ def nonempty_rows(matrix: DataFrame) -> DataFrame:
     # rank within a block of row numbers, and how many rows the blocks before it have
     before = per.withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")
     ranked = rows.withColumn("b", block).withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy("row")) - 1)
+    # rows are int32, so there are 32,768 blocks at most
     return ranked.join(F.broadcast(before), "b").select((F.col("k") + F.col("before")).cast("int").alias("nz_row"), "row", "n")
 
 
 def quantise(matrix: DataFrame, s: Scanner, levels: int = LEVELS) -> DataFrame:
     """row, i, j, k, w and scale: whole weights w with val about w * scale, and the column as a voxel's indices; scale is the largest value by levels."""
-    top = matrix.agg((F.max("val") / levels).alias("scale"))
-    return matrix.withColumn("_k", F.pmod(F.col("row"), F.lit(1))).join(F.broadcast(top.withColumn("_k", F.lit(0))), "_k").selectExpr("row", f"CAST(col % {s.n} AS INT) AS i", f"CAST(col div {s.n} % {s.n} AS INT) AS j", f"CAST(col div {s.n * s.n} AS INT) AS k", "CAST(floor(val / nullif(scale, 0e0)) AS INT) AS w", "scale")
+    top = matrix.agg(F.max("val")).first()[0]  # one number, without which no row can be made
+    return matrix.withColumn("scale", F.lit(None if top is None else float(top) / levels).cast("double")).selectExpr("row", f"CAST(col % {s.n} AS INT) AS i", f"CAST(col div {s.n} % {s.n} AS INT) AS j", f"CAST(col div {s.n * s.n} AS INT) AS k", "CAST(floor(val / nullif(scale, 0e0)) AS INT) AS w", "scale")
 
 
 def quantised_product(matrix: DataFrame, x: DataFrame, s: Scanner) -> DataFrame:
@@ -58,6 +60,7 @@ def blur(image: DataFrame, s: Scanner, transaxial: DataFrame | None, axial: Data
     for matrix, on, other in ((transaxial, "ij", "k"), (axial, "k", "ij")):
         if matrix is not None:
             m = transpose(matrix) if transposed else matrix
-            met = rows.join(F.broadcast(m.select(F.col("col").alias(on), F.col("row").alias("_to"), F.col("val").alias("_a"))) if on == "k" else m.select(F.col("col").alias(on), F.col("row").alias("_to"), F.col("val").alias("_a")), on)
+            m = m.select(F.col("col").alias(on), F.col("row").alias("_to"), F.col("val").alias("_a"))
+            met = rows.join(small(m, s.nk**2 if on == "k" else plane**2), on)  # no matrix has more entries than that
             rows = met.groupBy(F.col("_to").alias(on), other).agg(F.sum(F.col("val") * F.col("_a")).alias("val"))
     return rows.selectExpr(f"CAST(ij + k * {plane} AS INT) AS vox", "val")

@@ -270,11 +270,17 @@ def test_sinks_and_stream(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/projection").where("phase = 'main' AND iter = 1 AND subset = 0").count() == 1000
     events = Q.events(spark, D).selectExpr("event_id", *(f"CAST({c} AS SMALLINT) AS {c}" for c in ("xtal_id_1", "ring_id_1", "xtal_id_2", "ring_id_2", "tbin_id")), "1e0 AS w")
     events.repartition(3).write.parquet(f"{tmp_path}/events")
-    q = live.start(live.event_stream(spark, f"{tmp_path}/events"), SMALL, "live_back", f"{tmp_path}/state")
+    assert live.latest(spark, f"{tmp_path}/live") is None
+    q = live.start(live.event_stream(spark, f"{tmp_path}/events"), SMALL, f"{tmp_path}/live", f"{tmp_path}/state")
     q.processAllAvailable()
-    got = by(spark.table("live_back"), "vox", "val")
+    for k in range(3):  # more files, a batch each
+        events.where(f"event_id % 3 = {k}").write.mode("append").parquet(f"{tmp_path}/events")
+        q.processAllAvailable()
+    got = by(live.latest(spark, f"{tmp_path}/live"), "vox", "val")
+    assert len(live.versions(spark, f"{tmp_path}/live")) == live.KEPT
     q.stop()
-    assert got == pytest.approx(by(project.back(geometry.lines_of_response(events, SMALL), SMALL), "vox", "val"))
+    want = by(project.back(geometry.lines_of_response(events, SMALL), SMALL), "vox", "val")
+    assert got == pytest.approx({k: 2 * v for k, v in want.items()})
 
 
 def test_admm_and_saved_images(spark):
