@@ -95,7 +95,7 @@ def scan(documents: DataFrame, templates: DataFrame, *, text: str = "text", doc:
     met = met.selectExpr("doc_id", "t", "xxhash64(`0`, `1`) AS h").join(F.broadcast(first), "h")
     likely = met.groupBy("doc_id", "t", "template", "need").agg(F.size(F.collect_set("h")).alias("k")).where("k >= need")
     likely = likely.groupBy(F.col("doc_id").alias("_d"), F.col("t").alias("_t")).agg(F.collect_list("template").alias("templates"))
-    some = texts.join(likely, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t"))).select("doc_id", "t", "text", "templates").dropDuplicates(["doc_id", "t"])
+    some = texts.join(likely, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t"))).select("doc_id", "t", "text", "templates")  # of equal rows, the units meet below
     units = _units(some.select("doc_id", "t", "text", F.explode("templates").alias("template")).join(F.broadcast(known), "template"), percent)
     best = units.groupBy("doc_id", "t", "license", "a", "z", "line").agg(F.max("dice").alias("dice"))
     # in each line the best of those that hold it; what is the best in all of its lines stays

@@ -3,7 +3,8 @@
 A text's spaces become the space mark, one is put before it, and it is cut before each mark that follows another character; no piece
 goes over such a cut. The distinct pre-tokens of a large part of a task's rows are put in a trie, level by level. The best score of the
 pieces up to a node needs only its ancestors, so what pre-tokens share is computed once, for all nodes of a level together;
-a pre-token's count is that of its last node. Counts are remembered by the worker, up to a bounded number. There is no shuffle.
+a pre-token's count is that of its last node. A pre-token beyond ALONE characters shares little with others, so it goes by itself: one step a character, in
+bounded memory. Counts are remembered by the worker, up to a bounded number. There is no shuffle.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from .text import pieces
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
+ALONE = 256
 _PART, _REMEMBER, _LONG = 24 << 20, 600_000, 4 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 _CUT = re.compile(" *[^ ]+| +")
@@ -39,6 +41,7 @@ class Unigram:
                 by.setdefault(len(p), {})[self.key(p)] = s
         self.by = {n: (np.array(sorted(d), np.uint64), np.array([d[k] for k in sorted(d)])) for n, d in sorted(by.items())}
         self.longest = max(self.by, default=1)
+        self.scores = {p: s for p, s in scored if p}
 
     @staticmethod
     def key(piece: str) -> int:
@@ -49,6 +52,14 @@ class Unigram:
 
     def counts(self, words: list[str]) -> np.ndarray:
         """How many tokens the best segmentation of each of the distinct words has; of equal ones the one with the longer last piece."""
+        if any(len(w) > ALONE for w in words):
+            out = np.zeros(len(words), np.int64)
+            short = [i for i, w in enumerate(words) if len(w) <= ALONE]
+            out[short] = self.counts([words[i] for i in short])
+            for i, w in enumerate(words):
+                if len(w) > ALONE:
+                    out[i] = self.count_alone(w)
+            return out
         order = sorted(range(len(words)), key=words.__getitem__)
         text = "".join(words[i] for i in order)
         code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -77,6 +88,22 @@ class Unigram:
         back[order] = out
         return back
 
+    def count_alone(self, word: str) -> int:
+        """The same for one word, of which only the last places are kept."""
+        get, lengths = self.scores.get, [n for n in sorted(self.by, reverse=True)]
+        size = self.longest + 1
+        best, count = [0.0] * size, [0] * size
+        for end in range(1, len(word) + 1):
+            top, tokens = -np.inf, 0
+            for n in lengths:
+                if n <= end and (s := get(word[end - n : end])) is not None and (s := best[(end - n) % size] + s) > top:
+                    top, tokens = s, count[(end - n) % size] + 1
+            c = word[end - 1]
+            if c not in self.scores and (s := best[(end - 1) % size] + self.unknown) > top:
+                top, tokens = s, count[(end - 1) % size] + len(c.encode("utf-8", "surrogatepass"))
+            best[end % size], count[end % size] = top, tokens
+        return count[len(word) % size]
+
     def _level(self, own, chars, depth, parent, prefix, best, count):
         """Best scores and counts of the nodes of a level; pieces from long to short, as a longer last piece wins a tie."""
         up = [own]
@@ -146,7 +173,8 @@ _COUNTERS: dict = {}
 def token_counts(documents: DataFrame, scored: list[tuple[str, float]], *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """documents' columns keep, n_pretokens and n_tokens of whole texts under the pieces and scores, which are broadcast.
 
-    Null and empty texts have none; repeated rows each give a row; no rows give none; columns not in keep are not read.
+    Null and empty texts have none; of two segmentations of equal score that with the longer last piece counts; a very long text takes time in proportion, without blanks as well;
+    repeated rows each give a row; no rows give none; columns not in keep are not read, and one of them that has a result's name gets _ at its end.
     """
     sent = documents.sparkSession.sparkContext.broadcast(scored)
     docs, read = kept_columns(documents, keep, text)

@@ -365,6 +365,45 @@ def test_jaccard_with_many_frequent_grams(spark, monkeypatch):
         assert got == brute_jaccard(docs, 4, 85)
 
 
+def test_jaccard_with_salted_groups(spark, monkeypatch):
+    """N-grams that are frequent, in groups that don't link as a whole, dealt by few salts and met in several rounds of pivots."""
+    r = random.Random(19)
+    common, docs = sentence(r, 30).split(), []
+    for k in range(120):
+        base = random.Random(k // 6)
+        w = common + [base.choice("abcdefgh") + str(base.randrange(50)) for _ in range(60)]
+        for _ in range(k % 4):
+            w[30 + r.randrange(60)] = "new" + str(r.randrange(99))
+        docs.append((k, " ".join(w)))
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(jaccard, "SALTS", 3)
+    for least in (2, 10**9):
+        monkeypatch.setattr(jaccard, "FREQUENT", least)
+        monkeypatch.setattr(jaccard, "LOCAL", 1)
+        for n, percent in ((4, 85), (1, 60), (2, 70)):
+            got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.linked(d, ngram=n, percent=percent).collect()}
+            assert got == brute_jaccard(docs, n, percent)
+
+
+def test_sketches_never_exclude_a_link():
+    r = np.random.default_rng(7)
+    for n in (3, 60, 170, 400, 5000):
+        a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: int(0.93 * len(a))], r.integers(0, 2**63, max(1, n // 20)).astype(np.uint64)]))
+        differ = len(np.setxor1d(a, b))
+        for kind in jaccard.sketches(np.concatenate([a, b]), np.array([len(a), len(b)])):
+            x, y = (np.array(v, np.int64) for v in kind.to_pylist())
+            if len(x) == len(y):
+                assert sum(bin(int(v) & (2**64 - 1)).count("1") for v in x ^ y) <= differ
+
+
+def test_jaccard_detail_tells_rows_of_one_id_apart(spark):
+    docs = [(3, "p q r s t u"), (5, "p q r s t u"), (5, "other words stand in this text"), (5, "and again others are in that one"), (6, None), (None, "p q r s t u")]
+    got = jaccard.linked(spark.createDataFrame(docs, "doc_id long, text string"), detail=True).join(spark.createDataFrame(docs, "doc_id long, text string").select(F.xxhash64("text").alias("text_hash"), "text").distinct(), "text_hash").collect()
+    assert {(x["doc_id"], x["text"], x["component_id"]) for x in got} == {(3, docs[0][1], None), (5, docs[0][1], None), (None, docs[0][1], None), (5, docs[2][1], 5), (5, docs[3][1], 5), (6, None, 6)}
+    assert len({x["component"] for x in got if x["text"] == docs[0][1]}) == 1 and len({x["component"] for x in got if x["text"]}) == 3
+
+
 def base_rules(t):
     w, lines = BLANK.findall(t or ""), (t or "").split("\n")
     c = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
