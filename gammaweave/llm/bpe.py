@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import carried, kept_columns, restored
-from .text import pieces
+from .text import lean, pieces
 
 _NONE = np.iinfo(np.int32).max
 #: Text bytes of a part, distinct pre-tokens that a worker remembers, and a text's characters beyond which matches are not listed at once.
-_PART, _REMEMBER, _LONG = 24 << 20, 600_000, 4 << 20
+_PART, _REMEMBER, _LONG = 12 << 20, 300_000, 4 << 20
 
 
 class Vocabulary:
@@ -219,7 +219,7 @@ def encode(documents: DataFrame, ranks_path: str, pattern: str, *, text: str = "
                     yield pa.RecordBatch.from_arrays([*(part.column(c).slice(a, len(some)) for c in carried(keep)), *own], [*carried(keep), *(n for n, _, _ in extra)])
 
     schema = docs.select(*carried(keep), *(F.expr(f"cast(null as {t})").alias(n) for n, t, _ in extra)).schema
-    return restored(docs.mapInArrow(run, schema), keep, *(n for n, _, _ in extra))
+    return restored(docs.mapInArrow(lean(run), schema), keep, *(n for n, _, _ in extra))
 
 
 def decode(encoded: DataFrame, ranks_path: str, *, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -235,4 +235,4 @@ def decode(encoded: DataFrame, ranks_path: str, *, ids: str = "ids", out: str =
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(got, pa.binary())], [*names, out])
 
     base = encoded.drop(out)
-    return base.mapInArrow(run, base.select("*", F.expr("cast(null as binary)").alias(out)).schema)
+    return base.mapInArrow(lean(run), base.select("*", F.expr("cast(null as binary)").alias(out)).schema)

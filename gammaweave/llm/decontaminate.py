@@ -22,12 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import carried, column, kept_columns, restored
-from .text import ALNUM, Words, pieces, words
+from .text import ALNUM, Words, lean, pieces, words
 
 WINDOW = 10
 #: Words of the benchmark in one broadcast, about; and blocks that a worker keeps in memory.
 BLOCK_WORDS, KEPT = 1_000_000, 4
-_SHARD = 6 << 20
+_SHARD = 4 << 20
 
 
 @dataclass
@@ -303,7 +303,7 @@ def _contamination(documents: DataFrame, benchmark: DataFrame, text: str, item:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried(keep)), *own], [*carried(keep), *_ADDED])
 
     kinds = ("bigint", "bigint", "array<string>", "array<struct<word:bigint,n_words:bigint>>")
-    return docs.mapInArrow(run, docs.select(*carried(keep), *(F.expr(f"cast(null as {t})").alias(n) for n, t in zip(_ADDED, kinds, strict=True))).schema)
+    return docs.mapInArrow(lean(run), docs.select(*carried(keep), *(F.expr(f"cast(null as {t})").alias(n) for n, t in zip(_ADDED, kinds, strict=True))).schema)
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text",
@@ -346,7 +346,7 @@ def longest_matches(documents: DataFrame, benchmark: DataFrame, *, text: str = "
                         [pa.array([own.names[i] for i in own.item[some]], pa.string()), pa.array((own.size - own.left)[some], pa.int64()), pa.array(length[some], pa.int64()), part.column("doc_id").take(pa.array(row)), pa.array(at - row - w.first[row], pa.int64()), pa.array(many[some], pa.int64())],
                         ["item_id", "item_word", "n_words", "doc_id", "doc_word", "n_places"])
 
-        got = docs.mapInArrow(run, "item_id string, item_word long, n_words long, doc_id long, doc_word long, n_places long")
+        got = docs.mapInArrow(lean(run), "item_id string, item_word long, n_words long, doc_id long, doc_word long, n_places long")
         out = got if out is None else out.unionByName(got)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc_word")
     return out.groupBy("item_id", "item_word", "n_words").agg(F.min(place).alias("p"), F.sum("n_places").alias("n_places")).groupBy("item_id", "item_word").agg(F.max_by(F.struct("p", "n_places"), "n_words").alias("x"), F.max("n_words").alias("n_words")).select("item_id", "item_word", "n_words", "x.p.doc_id", "x.p.doc_word", "x.n_places")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .sampling import column
 from .shared import scratch
-from .text import NONBLANK, mix, pieces, words
+from .text import NONBLANK, lean, mix, pieces, words
 
 NGRAM, PERCENT = 4, 85
 #: An n-gram in so many sets of a part is counted; in so many in all, it is frequent. Any choice gives the same links.
@@ -33,8 +33,9 @@ LOCAL, FREQUENT, MOST_FREQUENT = 3, 24, 1 << 20
 FRAGMENTS, SALTS, MOST_FILTER_BITS = 4, 64, 1 << 30
 #: Bits of a set's sketch, from 1.5 for each n-gram on (powers of two). A bit tells whether the n-grams that fall on it are odd in number, so where two sketches
 #: differ, there are at least as many n-grams that the pair doesn't share. A coarse sketch is the same, folded to a quarter.
-LEAST_SKETCH, MOST_SKETCH = 256, 1 << 15
-_PART = 6 << 20
+LEAST_SKETCH, MOST_SKETCH = 64, 1 << 15
+#: Text bytes of a part, and words of sketches that are made at once.
+_PART, _SKETCHED = 3 << 20, 1 << 13
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -104,18 +105,23 @@ def _parts(batches, ngram):
 def sketches(code: np.ndarray, n: np.ndarray) -> tuple[pa.Array, pa.Array]:
     """The fine and the coarse sketch of each set."""
     bits = np.clip(2 ** np.ceil(np.log2(np.maximum(1.5 * n, 1))).astype(np.int64), LEAST_SKETCH, MOST_SKETCH)
-    at = np.append(0, np.cumsum(bits))
-    odd = np.bincount(np.repeat(at[:-1], n) + (code & np.repeat(bits - 1, n).astype(np.uint64)).astype(np.int64), minlength=at[-1]) & 1
-    fine, size = np.packbits(odd.astype(bool), bitorder="little").view(np.int64), bits // 64
-    small = np.maximum(2, size // 4)
-    begin = np.append(0, np.cumsum(small))
-    coarse = np.zeros(begin[-1], np.int64)
+    size = bits // 64
+    small = np.maximum(1, size // 4)
+    at, begin, first = np.append(0, np.cumsum(size)), np.append(0, np.cumsum(small)), np.append(0, np.cumsum(n))
+    fine, coarse = np.zeros(at[-1], np.int64), np.zeros(begin[-1], np.int64)
+    a = 0
+    while a < len(n):  # as many sets at once as have some thousands of words of sketches
+        b = max(a + 1, int(np.searchsorted(at, at[a] + _SKETCHED, "right")) - 1)
+        own = 64 * (at[a:b] - at[a])
+        odd = np.bincount(np.repeat(own, n[a:b]) + (code[first[a] : first[b]] & np.repeat(bits[a:b] - 1, n[a:b]).astype(np.uint64)).astype(np.int64), minlength=64 * (at[b] - at[a])) & 1
+        fine[at[a] : at[b]] = np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+        a = b
     for w in np.unique(size).tolist():
         rows = np.flatnonzero(size == w)
-        own = fine[at[rows][:, None] // 64 + np.arange(w)].reshape(len(rows), -1, small[rows[0]])
+        own = fine[at[rows][:, None] + np.arange(w)].reshape(len(rows), -1, small[rows[0]])
         coarse[begin[rows][:, None] + np.arange(own.shape[2])] = np.bitwise_xor.reduce(own, 1)
     lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
-    return lists(at // 64, fine), lists(begin, coarse)
+    return lists(at, fine), lists(begin, coarse)
 
 
 def _measured(docs: DataFrame, ngram: int) -> DataFrame:
@@ -130,7 +136,7 @@ def _measured(docs: DataFrame, ngram: int) -> DataFrame:
             gram, count = gram[count >= LOCAL], count[count >= LOCAL]
             yield pa.RecordBatch.from_arrays([pa.nulls(len(gram), pa.int64()), pa.nulls(len(gram), pa.int64()), pa.array(-count), _signed(gram), pa.nulls(len(gram), kind), pa.nulls(len(gram), kind)], names)
 
-    return docs.mapInArrow(run, "doc_id long, t long, n long, a long, fine array<long>, coarse array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, t long, n long, a long, fine array<long>, coarse array<long>")
 
 
 def _prefixes(docs: DataFrame, frequent, ngram: int, percent: int) -> DataFrame:
@@ -155,7 +161,7 @@ def _prefixes(docs: DataFrame, frequent, ngram: int, percent: int) -> DataFrame:
             at = np.where(late, np.repeat(first, n) + after, place)[pick] - 1
             yield pa.RecordBatch.from_arrays([_signed(own[pick]), _signed(d[0][rows][row]), pa.array(n[row].astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(late[pick])], ["token", "a", "n", "i", "hot"])
 
-    return docs.mapInArrow(run, "token long, a long, n int, i int, hot boolean")
+    return docs.mapInArrow(lean(run), "token long, a long, n int, i int, hot boolean")
 
 
 def _shared(keys: DataFrame, store) -> DataFrame:
@@ -200,7 +206,7 @@ def _segments(docs: DataFrame, left: np.ndarray, right: np.ndarray, ngram: int)
                     yield pa.RecordBatch.from_arrays([each(d[0][rows].view(np.int64)), each(ids[place]), each(sides[0, place]), each(sides[1, place]), pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(rows))), grams], ["a", "doc_id", "left", "right", "fragment", "grams"])
                 at += part.num_rows
 
-    return docs.select("doc_id", "text").mapInArrow(run, "a long, doc_id long, left boolean, right boolean, fragment int, grams array<long>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "a long, doc_id long, left boolean, right boolean, fragment int, grams array<long>")
 
 
 def _passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -217,7 +223,7 @@ def _filter(ids: DataFrame) -> np.ndarray:
             k = np.unique(mix(batch.column(0).to_numpy().view(np.uint64).copy()) & np.uint64(size - 1)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(k)], ["k"])
 
-    bit = ids.mapInArrow(run, "k long")
+    bit = ids.mapInArrow(lean(run), "k long")
     t = bit.groupBy(F.shiftright("k", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k & 63 as int))")).alias("bits")).toArrow()
     out = np.zeros(size // 64, np.int64)
     out[t["w"].to_numpy()] = t["bits"].to_numpy()

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .sampling import carried, column, fold, kept_columns, restored
-from .text import Words, mix, pieces
+from .text import Words, lean, mix, pieces
 from .toxicity import lower_words
 
 BUCKETS = 1 << 18
@@ -29,7 +29,7 @@ SAMPLE_DOCS, SAMPLE_WORDS = 2000, 2400
 MOST_LANGS = 500
 #: Training sequences: words in each, most words of a stretch, sequences, steps, and the penalty on weights.
 LENGTH, STRETCH, SEQUENCES, STEPS, PENALTY = 48, 24, 6000, 40, 1e-4
-_SHARD = 6 << 20
+_SHARD = 4 << 20
 
 
 def features(w: Words, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,7 +216,7 @@ def train(documents: DataFrame, *, text: str = "text", lang: str = "lang", doc:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), spread_words(part.column("text"), sample_words)], ["doc_id", "lang", "text"])
 
     sample = rows.join(F.broadcast(chosen), ["lang", "doc_id"]).where("text is not null").select("doc_id", "lang", "text")
-    t = sample.mapInArrow(run, sample.schema).distinct().toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
+    t = sample.mapInArrow(lean(run), sample.schema).distinct().toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
     return fit(t["text"].to_pylist(), t["lang"].to_pylist())
 
 
@@ -240,7 +240,7 @@ def label(documents: DataFrame, field: Field, *, text: str = "text", keep: tuple
                 yield _labelled(part, read, sent.value, carried(keep))
 
     schema = docs.select(*carried(keep), F.expr("cast(null as string) as lang_pred"), F.expr("cast(null as double) as score"), F.expr("cast(null as array<struct<lang:string,word:bigint,n_words:bigint>>) as spans")).schema
-    return restored(docs.mapInArrow(run, schema), keep, "lang_pred", "score", "spans")
+    return restored(docs.mapInArrow(lean(run), schema), keep, "lang_pred", "score", "spans")
 
 
 def _labelled(part: pa.RecordBatch, read: str, field: Field, kept: list[str]) -> pa.RecordBatch:

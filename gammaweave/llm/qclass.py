@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 
 from .jaccard import _sorted
 from .sampling import carried, chosen, column, fold, kept_columns, label_rows, restored, sigmoid
-from .text import NONBLANK, buffers, pieces, words
+from .text import NONBLANK, buffers, lean, pieces, words
 
 #: The sample that is learned from: documents of each label. Only their statistics come to the driver, so texts of any length are learned from.
 DOCS_PER_LABEL = 6000
 TREES, DEPTH, BINS, RATE, RIDGE, LEAST_LEAF = 80, 4, 64, 0.15, 2.0, 8
-_SHARD = 6 << 20
+_SHARD = 4 << 20
 _CLASSES = ["upper", "lower", "digit", "beyond", "symbol", "stop", "newline", "other"]
 
 
@@ -165,7 +165,7 @@ def train(documents: DataFrame, labels: DataFrame, *, label: str = "quality", te
                 x = statistics(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), *(pa.array(c) for c in x.T)], ["doc_id", "label", *FEATURES])
 
-    t = docs.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, " + ", ".join(f"{f} double" for f in FEATURES)).toArrow().sort_by([("doc_id", "ascending"), (FEATURES[9], "ascending")])
+    t = docs.select("doc_id", "label", "text").mapInArrow(lean(run), "doc_id long, label int, " + ", ".join(f"{f} double" for f in FEATURES)).toArrow().sort_by([("doc_id", "ascending"), (FEATURES[9], "ascending")])
     y = t["label"].to_numpy().astype(float)
     rate = (share.get(1, 0) + 0.5) / (sum(share.values()) + 1)
     # the classes weigh as they do among all labels, not as in the sample
@@ -188,7 +188,7 @@ def score(documents: DataFrame, model: Trees, *, text: str = "text", keep: tuple
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried(keep)), pa.array(sent.value.scores(statistics(part.column(read))))], [*carried(keep), "score"])
 
     schema = docs.select(*carried(keep), F.lit(None).cast("double").alias("score")).schema
-    return restored(docs.mapInArrow(run, schema), keep, "score")
+    return restored(docs.mapInArrow(lean(run), schema), keep, "score")
 
 
 def held_out(doc: str = "doc_id"):

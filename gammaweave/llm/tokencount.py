@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import carried, kept_columns, restored
-from .text import pieces
+from .text import lean, pieces
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 ALONE = 256
-_PART, _REMEMBER, _LONG = 24 << 20, 600_000, 4 << 20
+_PART, _REMEMBER, _LONG = 12 << 20, 300_000, 4 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 _CUT = re.compile(" *[^ ]+| +")
 
@@ -190,4 +190,4 @@ def token_counts(documents: DataFrame, scored: list[tuple[str, float]], *, text:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried(keep)), pa.array(pre), pa.array(n)], [*carried(keep), "n_pretokens", "n_tokens"])
 
     schema = docs.select(*carried(keep), F.lit(None).cast("long").alias("n_pretokens"), F.lit(None).cast("long").alias("n_tokens")).schema
-    return restored(docs.mapInArrow(run, schema), keep, "n_pretokens", "n_tokens")
+    return restored(docs.mapInArrow(lean(run), schema), keep, "n_pretokens", "n_tokens")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .sampling import carried, chosen, column, fold, kept_columns, label_rows, logistic, restored, sigmoid
 from .shared import scratch
-from .text import LETTERS, Words, pieces, words
+from .text import LETTERS, Words, lean, pieces, words
 
 ORDER = 7
 DISCOUNT, CLASS_DISCOUNT = 0.75, 2.0
@@ -38,7 +38,7 @@ WINDOW = 24
 TOXIC_DOCS, OTHER_DOCS = 2500, 5000
 #: N-grams in a block of a model, blocks that a worker keeps in memory, and labels that are broadcast to the documents.
 BLOCK, KEPT, MOST_LABELS = 1 << 20, 4, 1 << 20
-_SHARD, FEATURES = 6 << 20, 5
+_SHARD, FEATURES = 3 << 20, 5
 
 
 def lower_words(column: pa.Array) -> Words:
@@ -212,7 +212,7 @@ def _counted(docs: DataFrame) -> DataFrame:
         if parts:
             yield rows(*merged(parts))
 
-    t = docs.mapInArrow(run, "code long, n0 long, n1 long, n2 long, n3 long")
+    t = docs.mapInArrow(lean(run), "code long, n0 long, n1 long, n2 long, n3 long")
     return t.groupBy("code").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "n2", "n3")))
 
 
@@ -274,7 +274,8 @@ def train(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", text
           toxic_docs: int = TOXIC_DOCS, other_docs: int = OTHER_DOCS) -> Model:
     """Counts n-grams over all labelled documents, and fits the score on at most toxic_docs and other_docs of them (those with the smallest hash of their id).
 
-    use: a condition on labels' doc_id that learning is held to. Without labelled texts of both kinds, all scores are the share of toxic labels.
+    use: a condition on labels' doc_id that learning is held to. Null ids and labels are left out, of several labels of an id the largest counts; null texts are empty, whole
+    texts count however long, repeated rows each; ties in the sample go by id. Without labelled texts of both kinds, all scores are the share of toxic labels.
     """
     store = scratch(documents.sparkSession)
     rows = label_rows(labels, label, doc)
@@ -302,7 +303,7 @@ def train(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", text
                     x = evidence(lower_words(mine.column("text")), unseen[h])
                     yield pa.RecordBatch.from_arrays([mine.column("label"), *(pa.array(c) for c in x.T)], ["label", *"abcde"])
 
-    t = docs.mapInArrow(run, "label int, a double, b double, c double, d double, e double").toArrow()
+    t = docs.mapInArrow(lean(run), "label int, a double, b double, c double, d double, e double").toArrow()
     y = t["label"].to_numpy().astype(float)
     x = np.column_stack([t[c].to_numpy() for c in "abcde"])
     # the classes weigh as they do among all labels, not as in the sample
@@ -325,7 +326,7 @@ def score(documents: DataFrame, model: Model, *, text: str = "text", keep: tuple
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried(keep)), pa.array(own)], [*carried(keep), "score"])
 
     schema = docs.select(*carried(keep), F.lit(None).cast("double").alias("score")).schema
-    return restored(docs.mapInArrow(run, schema).withColumnRenamed("score", out), keep, out)
+    return restored(docs.mapInArrow(lean(run), schema).withColumnRenamed("score", out), keep, out)
 
 
 def held_out(doc: str = "doc_id"):
