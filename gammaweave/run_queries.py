@@ -7,6 +7,7 @@ that names it. What the files hold as floats, the oracles cast to floats.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from dataclasses import replace
 
@@ -34,7 +35,7 @@ def scan(spark: SparkSession, d: str) -> str:
     key = spark.sparkContext.applicationId, d
     if key not in _WRITTEN:
         _WRITTEN.clear()
-        f = shared_folder(spark).removeprefix("file://") + f"/scan-{uuid.uuid4().hex}"
+        f = re.sub("^file:/+", "/", shared_folder(spark)) + f"/scan-{uuid.uuid4().hex}"
         os.makedirs(f)
         t = Q.full_events(spark, d).orderBy("event_id").toPandas()
         e = np.zeros(len(t), raw.EVENT)
