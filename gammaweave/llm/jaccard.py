@@ -6,8 +6,8 @@ is cut into fragments; the overlap of a pair is counted in each fragment separat
 
 Equal sets are one class from the start, and only classes are compared. Classes that share a prefix n-gram are not paired with
 each other: in each round, those of the group's first classes (its pivots) are paired with the rest, links found are
-contracted, and groups that lie in one component are done. The next round takes sixteen times as many pivots, so a group whose classes
-do link ends after a round or two with as many pairs as members, and any other group has had all its pairs when its pivots
+contracted, and groups that lie in one component are done. The first rounds take one and two pivots, later ones many times more, so a group whose classes
+do link ends after a round or two with about as many pairs as members, and any other group has had all its pairs when its pivots
 run out: no link is lost, nothing is capped.
 
 No task holds a group that may be large. The members of an n-gram that is not frequent lie together, and are numbered there. Those of a frequent one are
@@ -32,7 +32,7 @@ LOCAL, FREQUENT, MOST_FREQUENT = 3, 24, 1 << 20
 #: Fragments of the global order, salts of a frequent n-gram, and the most bits of a filter of documents that have candidates; a full one lets more through, no less.
 FRAGMENTS, SALTS, MOST_FILTER_BITS = 4, 64, 1 << 30
 #: Bits of a set's sketch, from 1.5 for each n-gram on (powers of two). A bit tells whether the n-grams that fall on it are odd in number, so where two sketches
-#: differ, there are at least as many n-grams that the pair doesn't share. A coarse sketch is the same, folded to a quarter.
+#: differ, there are at least as many n-grams that the pair doesn't share. A coarse sketch is the same, folded to a half; small ones stay as they are.
 LEAST_SKETCH, MOST_SKETCH = 64, 1 << 15
 #: Text bytes of a part, and words of sketches that are made at once.
 _PART, _SKETCHED = 3 << 20, 1 << 13
@@ -106,7 +106,7 @@ def sketches(code: np.ndarray, n: np.ndarray) -> tuple[pa.Array, pa.Array]:
     """The fine and the coarse sketch of each set."""
     bits = np.clip(2 ** np.ceil(np.log2(np.maximum(1.5 * n, 1))).astype(np.int64), LEAST_SKETCH, MOST_SKETCH)
     size = bits // 64
-    small = np.maximum(1, size // 4)
+    small = np.maximum(np.minimum(size, 4), size // 2)
     at, begin, first = np.append(0, np.cumsum(size)), np.append(0, np.cumsum(small)), np.append(0, np.cumsum(n))
     fine, coarse = np.zeros(at[-1], np.int64), np.zeros(begin[-1], np.int64)
     a = 0
@@ -311,9 +311,10 @@ def linked(documents: DataFrame, *, ngram: int = NGRAM, percent: int = PERCENT,
     ranked = store(rest.drop("c").join(open_, "token").join(classes.select("a", "p.coarse"), "a").select("token", "a", "n", "i", "rank", "coarse"))
     last, pivots = ranked.agg(F.max("rank")).first()[0] or 0, 2
     while pivots < last:
+        until = 2 * pivots if pivots == 2 else 8 * pivots
         member = _labelled(ranked.where(f"rank >= {pivots}"), labels)
         side = lambda v: member.select("token", *(F.col(c).alias(f"{d}{v}") for c, d in (("n", "n"), ("i", "i"), ("coarse", "s"), ("rank", "r"), ("c", "c"))), F.col("a").alias(v))  # noqa: B023, E731
-        x, y = side("x").where(f"rx < {16 * pivots}"), side("y")
+        x, y = side("x").where(f"rx < {until}"), side("y")
         # all conditions are part of the join, so it gives out only what is close and not in one component
         later = (y.ry > x.rx) | ((y.ry == x.rx) & (y.y > x.x))
         pairs = x.join(y, (x.token == y.token) & later & (x.cx != y.cy) & F.expr(fits) & _apart(percent)).select("x", "y", "nx", "ny").distinct()
@@ -324,7 +325,7 @@ def linked(documents: DataFrame, *, ngram: int = NGRAM, percent: int = PERCENT,
             if not more.isEmpty():
                 edges = edges.unionByName(more)
                 labels = components(edges, store)
-        pivots *= 16
+        pivots = until
     root = _labelled(classes, labels)
     least = root.groupBy("c").agg(F.min("p.doc").alias("component_id"))
     of = root.join(least, "c").select("a", "n", "component_id", "c")
