@@ -325,7 +325,7 @@ def longest_matches(documents: DataFrame, benchmark: DataFrame, *, text: str = "
     """For each word of each item, the longest verbatim match of the suffix from there on in any document, and one place of it.
 
     Columns: item_id, item_word, n_words, doc_id and doc_word of a match (of equal ones that with the smallest doc_id, null last, and word)
-    and n_places, in how many places it occurs, those in repeated rows included. Suffixes without any match have no row, nor have null and
+    and n_places, in how many places it occurs, those in repeated rows included; of one doc_id's several texts, the place is in any. Suffixes without any match have no row, nor have null and
     empty texts or items; items that share an id and differ in text give rows of that id each. Items aren't cut here, so a block is as large as its longest item.
     """
     out = None
@@ -336,6 +336,7 @@ def longest_matches(documents: DataFrame, benchmark: DataFrame, *, text: str = "
             own = sent.value
             for batch in batches:
                 for part in pieces(batch, "text", _SHARD):
+                    part = part.sort_by("doc_id")  # a shard's first place is then in the smallest doc_id, null last
                     w = words(part.column("text"), ALNUM)
                     length, place, many = longest(_ids(w, w.hashes(), part.num_rows, own), own)
                     row_of = np.repeat(np.arange(part.num_rows), w.counts() + 1)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .sampling import column
 
 PERCENT = 80
-#: Bytes of all templates together.
+#: Bytes of all templates' bigrams together.
 MOST_TEMPLATE_BYTES = 4 << 20
 #: Short notices of well-known licences, and the full texts of the shorter ones.
 NOTICES = [
@@ -67,7 +67,8 @@ def _templates(templates: DataFrame, percent: int) -> tuple[DataFrame, DataFrame
     spark = templates.sparkSession
     words = templates.select("license", _words(F.coalesce(column("text").cast("string"), F.lit(""))).alias("w")).where("size(w) > 1").distinct()
     # before any template comes to the driver; this bounds their number too
-    if (words.agg(F.sum(F.char_length(F.array_join("w", " ")) + 1)).first()[0] or 0) > MOST_TEMPLATE_BYTES:
+    size = f"aggregate(array_distinct(transform({_pairs('w')}, x -> concat(x.`0`, ' ', x.`1`))), 0L, (m, v) -> m + char_length(v))"
+    if (words.agg(F.sum(F.expr(size))).first()[0] or 0) > MOST_TEMPLATE_BYTES:
         raise ValueError("too many templates for one broadcast")
     found = words.selectExpr("license", "size(w) AS n_words", f"array_sort(array_distinct(transform({_pairs('w')}, x -> named_struct('size', -length(x.`0`) - length(x.`1`), 'h', xxhash64(x.`0`, x.`1`))))) AS g").collect()
     rows, first = [], []
