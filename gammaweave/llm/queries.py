@@ -87,7 +87,35 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), load(public_tokenizers.path("piece_bpe_32k.model")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_language_id, op4_line_dedup, op5_byte_bpe, op6_ngram_jaccard, op7_quality_rules, op8_quality_classifier, op9_license_scan, op10_token_counts)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic import periodic_runs, with_periodic_tails
+
+    found = periodic_runs(with_periodic_tails(table(spark, sf_dir, "documents")))
+    stronger = "b IS NULL OR r.length * b.period > b.length * r.period"  # of equally strong ones the first, as runs go by start and period
+    found = found.selectExpr("*", f"aggregate(runs, CAST(NULL AS struct<start:long,length:long,period:long>), (b, r) -> CASE WHEN {stronger} THEN r ELSE b END) AS best")
+    lines = "concat_ws('', transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, chr(10))))"
+    return found.selectExpr("doc_id", "CAST(size(runs) AS BIGINT) AS n_runs", "best.start", "best.length", "best.period", "1000 * best.length div best.period AS exponent_milli",
+                            f"sha2({lines}, 256) AS runs_sha256", "sha2(collapsed, 256) AS collapsed_sha256")
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import cluster
+
+    done = cluster(table(spark, sf_dir, "embeddings"), 16, 3)
+    return done.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
+
+
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .imatch import edited_and_next
+
+    return edited_and_next(table(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_decontamination, op2_toxicity, op3_language_id, op4_line_dedup, op5_byte_bpe, op6_ngram_jaccard, op7_quality_rules, op8_quality_classifier, op9_license_scan,
+    op10_token_counts, op11_periodic_runs, op12_centroid_clustering, op13_document_fingerprints,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 #: Stretches of 20 characters, line ends included, from each line on and up to each line; a line goes if it is in a later copy of one. Stretches that adjoin, as their first copies do, are a run.
 _OP4 = """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
@@ -158,4 +186,30 @@ e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
 r AS (SELECT doc_id, doc_id AS c FROM s UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.c = e.a)
 SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, min(c) AS component_id FROM s JOIN r USING (doc_id) GROUP BY s.doc_id, g
 """
-ORACLES: dict[str, str] = {"op1_decontamination": _OP1, "op6_ngram_jaccard": _OP6, "op9_license_scan": _op9(), "op4_line_dedup": _OP4}
+
+
+def _op12() -> str:
+    """Three rounds and one more assignment, all pairs of vectors and centroids: c0 to c3 are centroids, d0 to d3 distances, a0 to a3 assignments."""
+    floor = "CAST((s - ((s % n) + n) % n) / n AS BIGINT)".replace(" / ", " // ")
+    parts = []
+    for r in range(4):
+        parts.append(f"d{r} AS (SELECT vec_id, cluster, sum((q.x - c.x) * (q.x - c.x)) AS d FROM q JOIN c{r} c USING (dim) GROUP BY vec_id, cluster)")
+        parts.append(f"a{r} AS (SELECT vec_id, min(d) AS distance, arg_min(cluster, (d, cluster)) AS cluster FROM d{r} GROUP BY vec_id)")
+        if r < 3:
+            parts.append(f"s{r} AS (SELECT cluster, dim, sum(x) AS s, count(*) AS n FROM q JOIN a{r} USING (vec_id) GROUP BY cluster, dim)")
+            parts.append(f"c{r + 1} AS (SELECT cluster, dim, coalesce({floor}, x) AS x FROM c{r} LEFT JOIN s{r} USING (cluster, dim))")
+    return f"""
+WITH k AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+q AS MATERIALIZED (SELECT vec_id, unnest(v) AS x, unnest(range(64)) AS dim FROM k),
+h AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS cluster FROM k),
+c0 AS (SELECT cluster, dim, x FROM h JOIN q USING (vec_id) WHERE cluster < 16),
+{", ".join(parts)},
+i AS (SELECT cluster, sum(distance) AS n FROM a3 GROUP BY cluster), t AS (SELECT cluster, string_agg(CAST(x AS VARCHAR), ',' ORDER BY dim) AS x FROM c3 GROUP BY cluster)
+SELECT vec_id, CAST(cluster AS INT) AS cluster, CAST(distance AS BIGINT) AS distance, CAST(i.n AS BIGINT) AS cluster_inertia, CAST((SELECT sum(n) FROM i) AS BIGINT) AS inertia,
+  sha256(t.x) AS centroid_sha256
+FROM a3 JOIN i USING (cluster) JOIN t USING (cluster)
+"""
+
+
+ORACLES: dict[str, str] = {"op12_centroid_clustering": _op12(), "op1_decontamination": _OP1, "op6_ngram_jaccard": _OP6, "op9_license_scan": _op9(), "op4_line_dedup": _OP4}
