@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formulas import _num, inside, linear
 from ..plans.scanner import Scanner
-from . import stencil, trace
+from . import stencil
 from .geometry import small
 
 
@@ -43,29 +43,14 @@ def blocks(image: DataFrame, m: Matching) -> DataFrame:
     return image.where(f"i % {m.stride} = 0 AND j % {m.stride} = 0 AND k % {m.stride_k} = 0").select("vox", "i", "j", "k")
 
 
-def distances(image: DataFrame, centres: DataFrame, s: Scanner, m: Matching) -> DataFrame:
-    """vox, nbr and d: the squared difference of the patches (zero outside the volume) of each centre and each place of its window, by joins; for images that fit no array."""
-    rows = centres.selectExpr("vox", "i", "j", "k", _cube("o", m.window, m.window_k)).where(inside(s, "i + o.di", "j + o.dj", "k + o.dk"))
-    rows = rows.selectExpr("*", f"CAST({linear(s, '(i + o.di)', '(j + o.dj)', '(k + o.dk)')} AS INT) AS nbr").selectExpr("*", _cube("p", m.patch, m.patch_k))
-    at = lambda *c: f"CASE WHEN {inside(s, *c)} THEN CAST({linear(s, *(f'({x})' for x in c))} AS INT) END"
-    rows = rows.selectExpr("vox", "nbr", f"{at('i + p.di', 'j + p.dj', 'k + p.dk')} AS a", f"{at('i + o.di + p.di', 'j + o.dj + p.dj', 'k + o.dk + p.dk')} AS b")
-    for c in "ab":
-        rows = rows.join(small(image.select(F.col("vox").alias(c), F.col("val").alias(f"v{c}")), s.voxels), c, "left")
-    return rows.groupBy("vox", "nbr").agg(F.sum(F.expr("pow(coalesce(va, 0e0) - coalesce(vb, 0e0), 2)")).alias("d"))
-
-
 def kernel_weights(image: DataFrame, s: Scanner, m: Matching, h: float) -> DataFrame:
     """vox, nbr and w = exp(-d / h) for every voxel and place of its window."""
-    d = stencil.distances(image, s, m.patches, m.search, (1, 1, 1)) if trace.fits(s) else distances(image, image.select("vox", "i", "j", "k"), s, m)
-    return d.select("vox", "nbr", F.expr(f"exp(-d / {_num(h)})").alias("w"))
+    return stencil.distances(image, s, m.patches, m.search, (1, 1, 1)).select("vox", "nbr", F.expr(f"exp(-d / {_num(h)})").alias("w"))
 
 
 def nearest(image: DataFrame, s: Scanner, m: Matching, k: int) -> DataFrame:
     """vox, rank (from 1), nbr and d: the k places of least d for each sampled block, itself included; ties go by place (on d to nine decimals)."""
-    if trace.fits(s):
-        return stencil.distances(image, s, m.patches, m.search, (m.stride, m.stride, m.stride_k), k).select("vox", "rank", "nbr", "d")
-    d = distances(image, blocks(image, m), s, m).withColumn("d", F.round("d", 9))
-    return d.withColumn("rank", F.row_number().over(Window.partitionBy("vox").orderBy("d", "nbr"))).where(F.col("rank") <= k).select("vox", "rank", "nbr", "d")
+    return stencil.distances(image, s, m.patches, m.search, (m.stride, m.stride, m.stride_k), k).select("vox", "rank", "nbr", "d")
 
 
 def coverage(image: DataFrame, s: Scanner, m: Matching) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Neighbourhood and patch penalties. Of an image that fits an array they are numpy stencils over slabs; beyond that, offset tables met by equi-joins on the shifted voxel."""
+"""Neighbourhood and patch penalties, numpy stencils over tiles of the image with a halo."""
 
 from __future__ import annotations
 
@@ -8,10 +8,8 @@ from math import sqrt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.formulas import inside, linear, slope, slope_over_t
 from ..plans.scanner import Scanner
-from . import stencil, trace
-from .geometry import small, with_vox
+from . import stencil
 
 
 def offsets(spark: SparkSession, size: int) -> DataFrame:
@@ -24,46 +22,15 @@ def offset_list(size: int) -> list[tuple[int, int, int]]:
     return [(i, j, k) for k, j, i in grid_of(reach, reach, reach) if (i, j, k) != (0, 0, 0) and (size > 0 or abs(i) + abs(j) + abs(k) == 1)]
 
 
-def pairs(image: DataFrame, s: Scanner, size: int) -> DataFrame:
-    """Each voxel (vox, x) with each neighbour (nbr, xn) in the volume, and gk, the geometrical weight by both spatial weights.
-
-    image: vox, i, j, k, val, and maybe kappa.
-    """
-    image = image if "kappa" in image.columns else image.withColumn("kappa", F.lit(1.0))
-    near = image.select("vox", "i", "j", "k", F.col("val").alias("x"), F.col("kappa").alias("k1"))
-    moved = _spread(near, size)
-    moved = moved.where(inside(s, "i + o.di", "j + o.dj", "k + o.dk")).selectExpr("vox", "x", "k1", "o.g AS g", f"CAST({linear(s, '(i + o.di)', '(j + o.dj)', '(k + o.dk)')} AS INT) AS nbr")
-    other = image.select(F.col("vox").alias("nbr"), F.col("val").alias("xn"), F.col("kappa").alias("k2"))
-    return moved.join(small(other, s.voxels), "nbr").select("vox", "nbr", "x", "xn", (F.col("g") * F.col("k1") * F.col("k2")).alias("gk"))
-
-
-def _spread(rows: DataFrame, size: int, name: str = "o") -> DataFrame:
-    items = ", ".join(f"named_struct('di', {i}, 'dj', {j}, 'dk', {k}, 'g', 1e0 / sqrt({i * i + j * j + k * k}e0))" for i, j, k in offset_list(size))
-    return rows.selectExpr("*", f"explode(array({items})) AS {name}")
-
-
 def surrogate(image: DataFrame, s: Scanner, kind: str = "quad", delta: float = 1.0, size: int = 0, isotropic: bool = False) -> DataFrame:
     """vox, t1 and t2 of the penalty's quadratic surrogate. Each unordered pair counts from both sides: a difference of two
     voxels adds its weight four times (t1), and its weighted difference twice (t2), to each where the weight is symmetric."""
-    if trace.fits(s):
-        return stencil.surrogate(image, s, kind, delta, offset_list(size), isotropic, False)
-    p = pairs(image, s, size)
-    if isotropic:
-        total = p.groupBy("vox").agg(F.sum((F.col("x") - F.col("xn")) ** 2 * F.col("gk")).alias("q")).selectExpr("vox", f"{slope_over_t(kind, 'sqrt(q)', delta)} AS w")
-        p = p.join(total, "vox").selectExpr("vox", "nbr", "x", "xn", "w * gk AS w")
-    else:
-        p = p.selectExpr("vox", "nbr", "x", "xn", f"({slope_over_t(kind, '(x - xn)', delta)}) * gk AS w")
-    both = p.selectExpr("explode(array(named_struct('vox', vox, 't2', (x - xn) * w, 't1', 2e0 * w), named_struct('vox', nbr, 't2', (xn - x) * w, 't1', 2e0 * w))) AS r").select("r.*")
-    return both.groupBy("vox").agg(F.sum("t1").alias("t1"), F.sum("t2").alias("t2"))
+    return stencil.surrogate(image, s, kind, delta, offset_list(size), isotropic, False)
 
 
 def gradient(image: DataFrame, s: Scanner, kind: str = "quad", delta: float = 1.0, size: int = 0, isotropic: bool = False) -> DataFrame:
     """vox and grad of the penalty; a pair counts from both sides."""
-    if isotropic or trace.fits(s):
-        return surrogate(image, s, kind, delta, size, isotropic).select("vox", F.col("t2").alias("grad"))
-    p = pairs(image, s, size).selectExpr("vox", "nbr", f"({slope(kind, '(x - xn)', delta)}) * gk AS d")
-    both = p.selectExpr("explode(array(named_struct('vox', vox, 'd', d), named_struct('vox', nbr, 'd', -d))) AS r").select("r.*")
-    return both.groupBy("vox").agg(F.sum("d").alias("grad"))
+    return surrogate(image, s, kind, delta, size, isotropic).select("vox", F.col("t2").alias("grad"))
 
 
 def mean_surrogate(image: DataFrame, mean: DataFrame) -> DataFrame:
@@ -71,34 +38,9 @@ def mean_surrogate(image: DataFrame, mean: DataFrame) -> DataFrame:
     return image.join(mean.select("vox", F.col("val").alias("_m")), "vox").select("vox", F.lit(1.0).alias("t1"), (F.col("val") - F.col("_m")).alias("t2"))
 
 
-def patch_pairs(image: DataFrame, s: Scanner, size: int) -> DataFrame:
-    """For each voxel, neighbour in the volume and cell of the 3 x 3 x 3 patch with an end in the volume: both ends (null outside), their difference d and n_in."""
-    image = image if "kappa" in image.columns else image.withColumn("kappa", F.lit(1.0))
-    rows = _spread(image.select("vox", "i", "j", "k", F.col("kappa").alias("k1")), size)
-    rows = rows.where(inside(s, "i + o.di", "j + o.dj", "k + o.dk")).selectExpr("vox", "i", "j", "k", "k1", "o", f"CAST({linear(s, '(i + o.di)', '(j + o.dj)', '(k + o.dk)')} AS INT) AS nbr")
-    rows = rows.join(small(image.select(F.col("vox").alias("nbr"), F.col("kappa").alias("k2")), s.voxels), "nbr")
-    cells = ", ".join(f"named_struct('di', {i}, 'dj', {j}, 'dk', {k})" for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1))
-    rows = rows.selectExpr("*", f"explode(array({cells})) AS p")
-    at = lambda *c: f"CASE WHEN {inside(s, *c)} THEN CAST({linear(s, *(f'({x})' for x in c))} AS INT) END"
-    rows = rows.selectExpr("vox", "nbr", "k1 * k2 AS kk", f"{at('i + p.di', 'j + p.dj', 'k + p.dk')} AS a", f"{at('i + o.di + p.di', 'j + o.dj + p.dj', 'k + o.dk + p.dk')} AS b").where("a IS NOT NULL OR b IS NOT NULL")
-    for c in "ab":
-        rows = rows.join(small(image.select(F.col("vox").alias(c), F.col("val").alias(f"v{c}")), s.voxels), c, "left")
-    return rows.selectExpr("vox", "nbr", "kk", "a", "b", "coalesce(va, 0e0) - coalesce(vb, 0e0) AS d", "CAST(a IS NOT NULL AS INT) + CAST(b IS NOT NULL AS INT) AS n_in")
-
-
 def patch_surrogate(image: DataFrame, s: Scanner, kind: str = "quad", delta: float = 1.0, size: int = 0, isotropic: bool = False) -> DataFrame:
     """vox, t1 and t2 for differences of 3 x 3 x 3 patches, zero outside the volume."""
-    if trace.fits(s):
-        return stencil.surrogate(image, s, kind, delta, offset_list(size), isotropic, True)
-    p = patch_pairs(image, s, size)
-    if isotropic:
-        w = p.groupBy("vox").agg(F.sum(F.col("kk") * F.col("d") ** 2).alias("q")).selectExpr("vox", f"{slope_over_t(kind, 'sqrt(q)', delta)} AS w")
-        p = p.join(w, "vox")
-    else:
-        w = p.groupBy("vox", "nbr").agg(F.sum(F.col("d") ** 2).alias("q")).selectExpr("vox", "nbr", f"{slope_over_t(kind, 'sqrt(q)', delta)} AS w")
-        p = p.join(w, ["vox", "nbr"])
-    both = p.selectExpr("explode(array(named_struct('vox', a, 't2', d * w * kk, 't1', n_in * w * kk), named_struct('vox', b, 't2', -d * w * kk, 't1', n_in * w * kk))) AS r").select("r.*").where("vox IS NOT NULL")
-    return both.groupBy("vox").agg(F.sum("t1").alias("t1"), F.sum("t2").alias("t2"))
+    return stencil.surrogate(image, s, kind, delta, offset_list(size), isotropic, True)
 
 
 def patch_gradient(image: DataFrame, s: Scanner, kind: str = "quad", delta: float = 1.0, size: int = 0) -> DataFrame:
@@ -112,4 +54,4 @@ def fov_mask(image: DataFrame, s: Scanner) -> DataFrame:
     return image.selectExpr(*(x for x in image.columns if x != "val"), f"CASE WHEN {far} THEN 0e0 ELSE val END AS val")
 
 
-__all__ = ["fov_mask", "gradient", "mean_surrogate", "offset_list", "offsets", "pairs", "patch_gradient", "patch_pairs", "patch_surrogate", "surrogate", "with_vox"]
+__all__ = ["fov_mask", "gradient", "mean_surrogate", "offset_list", "offsets", "patch_gradient", "patch_surrogate", "surrogate"]

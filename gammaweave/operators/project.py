@@ -1,4 +1,4 @@
-"""Forward and back projection: joins and grouped sums over rays' segments."""
+"""Forward and back projection. An image that fits an array is sent to the rays; larger ones go in tiles, to which the rays are dealt."""
 
 from __future__ import annotations
 
@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scanner import Scanner
-from . import trace
-from .rays import TINY, TRACERS
+from ..plans.store import scratch
+from . import tiles, trace
 
 
 def with_subset(events: DataFrame, subsets: int) -> DataFrame:
@@ -30,32 +30,35 @@ def with_factors(events: DataFrame, add: DataFrame | None = None, mul: DataFrame
     return events
 
 
-def forward(lines: DataFrame, image: DataFrame, s: Scanner, tracer: str = "siddon", keep: tuple[str, ...] = ()) -> DataFrame:
+def forward(lines: DataFrame, image: DataFrame, s: Scanner, tracer: str = "siddon", keep: tuple[str, ...] = (), edge: int | None = None) -> DataFrame:
     """event_id, y, the image's line integral, and the lines' columns keep; 0 for lines that miss.
 
-    With an image that fits an array, each line sums its own integral and nothing is shuffled. Beyond that segments are joined with the image, and sums are combined before
-    their shuffle, one row an event.
+    With an image that fits an array, each line sums its own integral and nothing is shuffled. Larger ones, or any if tiles of some edge are asked for, go in tiles: the lines are dealt by
+    tile, and their parts' sums are merged for each event.
     """
-    if trace.fits(s):
+    if edge is None and trace.fits(s):
         return trace.forward(lines, image, s, tracer, keep)
-    seg = TRACERS[tracer](lines, s, "event_id")
-    sums = seg.join(image.select("vox", "val"), "vox").groupBy("event_id").agg(F.sum(F.col("len") * F.col("val")).alias("y"))
+    dealt = tiles.deal(lines, tiles.Tiles(s, edge or tiles.EDGE), scratch(lines.sparkSession), tracer)
+    return merged(lines, tiles.forward(dealt, image), keep)
+
+
+def merged(lines: DataFrame, sums: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return lines.select("event_id", *keep).join(sums, "event_id", "left").select("event_id", F.coalesce("y", F.lit(0.0)).alias("y"), *keep)
 
 
-def back(lines: DataFrame, s: Scanner, weight: str = "w", tracer: str = "siddon", power: int = 1) -> DataFrame:
+def back(lines: DataFrame, s: Scanner, weight: str = "w", tracer: str = "siddon", power: int = 1, edge: int | None = None) -> DataFrame:
     """vox and val: the sum over lines of length (to the power) times the line's weight, a column of lines; voxels without any have no row.
 
     The weight goes along with its line, so there is no join, and lines of no weight are dropped before they are traced. With an image that fits an array, a task
-    shuffles one row for each voxel that its lines meet.
+    shuffles one row for each voxel that its lines meet; in tiles, one array for each part of a tile's lines.
     """
     if power == 2 and tracer.startswith("tof"):
         raise ValueError("squared lengths have no time-of-flight form")
-    if trace.fits(s):
+    if edge is None and trace.fits(s):
         return trace.back(lines, s, weight, tracer, power)
-    rows = lines.withColumn("_w", F.col(weight).cast("double")).where(F.abs("_w") >= TINY)
-    seg = TRACERS[tracer](rows, s, "_w")
-    return seg.groupBy("vox").agg(F.sum(F.pow("len", F.lit(power)) * F.col("_w") if power != 1 else F.col("len") * F.col("_w")).alias("val"))
+    t = tiles.Tiles(s, edge or tiles.EDGE)
+    rows = lines.withColumn("_w", F.col(weight).cast("double")).where(F.abs("_w") >= trace.TINY_WEIGHT)
+    return tiles.unpack(tiles.back(tiles.deal(rows, t, scratch(lines.sparkSession), tracer, ("_w",)), "_w", power), t)
 
 
 def system_matrix(lines: DataFrame, s: Scanner, tracer: str = "siddon") -> DataFrame:
@@ -68,6 +71,6 @@ def attenuation(lines: DataFrame, image: DataFrame, s: Scanner) -> DataFrame:
     return forward(lines, image, s).select("event_id", F.exp(-F.col("y")).alias("factor"))
 
 
-def sensitivity(lines: DataFrame, s: Scanner) -> DataFrame:
+def sensitivity(lines: DataFrame, s: Scanner, edge: int | None = None) -> DataFrame:
     """The back projection of ones."""
-    return back(lines.withColumn("_one", F.lit(1.0)), s, "_one")
+    return back(lines.withColumn("_one", F.lit(1.0)), s, "_one", edge=edge)

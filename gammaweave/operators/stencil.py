@@ -1,24 +1,22 @@
-"""Neighbourhood and patch stencils in numpy, over slabs of planes of an image that is sent as an array.
+"""Neighbourhood and patch stencils in numpy, over tiles of the image with a halo.
 
-Each task takes some planes with as many beside them as its stencil reaches, so there is no join and no shuffle; a voxel's row is made whole in its slab. Sums over
-patches of 3 x 3 x 3 cells are running sums along the axes.
+Each voxel is sent to its tile and to those that reach it, so a tile has all that its own voxels' stencils need, and their rows are made whole in it: one shuffle,
+and no image on the driver or in one task. Sums over patches of 3 x 3 x 3 cells are running sums along the axes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from itertools import product as grid_of
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from ..plans.scanner import Scanner
-from .trace import as_array
+from .tiles import Block, Tiles, over_tiles
 
 Offset = tuple[int, int, int]
-PLANES = 1 << 18
+#: Voxels along the edge of a stencil's tile, of which some arrays for each neighbour are held at once.
+EDGE = 32
 
 
 def weight(kind: str, t: np.ndarray, delta: float) -> np.ndarray:
@@ -38,26 +36,6 @@ def weight(kind: str, t: np.ndarray, delta: float) -> np.ndarray:
     raise ValueError(kind)
 
 
-class Slab:
-    """Planes first to last (not included) of a volume, with `halo` more on all sides; beyond the volume all is 0. Arrays are indexed k, j, i."""
-
-    def __init__(self, volume: np.ndarray, s: Scanner, first: int, last: int, halo: int):
-        self.first, self.halo = first, halo
-        self.shape = (last - first, s.n, s.n)
-        self.kept = tuple(slice(halo, halo + x) for x in self.shape)
-        self.lacks = first - halo, last + halo - s.nk
-        self.values = self.padded(volume, s)
-        self.inside = self.padded(np.ones(s.voxels), s)
-
-    def padded(self, volume: np.ndarray, s: Scanner) -> np.ndarray:
-        v = volume.reshape(s.nk, s.n, s.n)[max(0, self.first - self.halo) : self.first + self.shape[0] + self.halo]
-        edge = (max(0, -self.lacks[0]), max(0, self.lacks[1]))
-        return np.pad(v.astype(float), (edge, (self.halo, self.halo), (self.halo, self.halo)))
-
-    def voxels(self, s: Scanner) -> np.ndarray:
-        return np.arange(self.first * s.n * s.n, (self.first + self.shape[0]) * s.n * s.n)
-
-
 def shifted(x: np.ndarray, o: Offset) -> np.ndarray:
     """x at each place's neighbour o = (di, dj, dk); wraps at the halo's edge, which no kept place reaches."""
     return np.roll(x, (-o[2], -o[1], -o[0]), (0, 1, 2))
@@ -70,10 +48,10 @@ def box(x: np.ndarray, reach: Offset) -> np.ndarray:
     return x
 
 
-def neighbourhood(slab: Slab, kappa: np.ndarray, offsets: list[Offset], kind: str, delta: float, isotropic: bool) -> tuple[np.ndarray, np.ndarray]:
-    """t1 and t2 of the voxels in the slab (and around it, less the halo)."""
-    x = slab.values
-    pairs = [(x - shifted(x, o), kappa * shifted(kappa, o) / np.sqrt(sum(c * c for c in o))) for o in offsets]  # kappa is 0 outside
+def neighbourhood(block: Block, offsets: list[Offset], kind: str, delta: float, isotropic: bool) -> tuple[np.ndarray, np.ndarray]:
+    """t1 and t2 of the voxels in the tile (and around it, less the halo)."""
+    x = block.values
+    pairs = [(x - shifted(x, o), block.kappa * shifted(block.kappa, o) / np.sqrt(sum(c * c for c in o))) for o in offsets]  # kappa is 0 outside
     if isotropic:
         w = weight(kind, np.sqrt(sum(g * d * d for d, g in pairs)), delta)
         both = [(w + shifted(w, o)) * g for o, (_, g) in zip(offsets, pairs, strict=True)]
@@ -82,10 +60,10 @@ def neighbourhood(slab: Slab, kappa: np.ndarray, offsets: list[Offset], kind: st
     return sum(2 * b for b in both), sum(b * d for b, (d, _) in zip(both, pairs, strict=True))
 
 
-def patches(slab: Slab, kappa: np.ndarray, offsets: list[Offset], kind: str, delta: float, isotropic: bool) -> tuple[np.ndarray, np.ndarray]:
+def patches(block: Block, offsets: list[Offset], kind: str, delta: float, isotropic: bool) -> tuple[np.ndarray, np.ndarray]:
     """The same for differences of 3 x 3 x 3 patches. A cell's difference is in the patches of 27 pairs, whose weights are summed."""
-    x, inside, cell = slab.values, slab.inside, (1, 1, 1)
-    kk = [kappa * shifted(kappa, o) for o in offsets]
+    x, inside, cell = block.values, block.inside, (1, 1, 1)
+    kk = [block.kappa * shifted(block.kappa, o) for o in offsets]
     d = [x - shifted(x, o) for o in offsets]
     if isotropic:
         w = weight(kind, np.sqrt(sum(k * box(e * e, cell) for k, e in zip(kk, d, strict=True))), delta)
@@ -101,39 +79,15 @@ def patches(slab: Slab, kappa: np.ndarray, offsets: list[Offset], kind: str, del
     return t1, t2
 
 
-def slabs(spark: SparkSession, s: Scanner) -> DataFrame:
-    """A row (first, last) for some planes each, PLANES voxels or so, so that what a stencil holds at once doesn't grow with the image."""
-    parts = max(1, min(s.nk, spark.sparkContext.defaultParallelism))
-    thick = max(1, min(-(-s.nk // parts), PLANES // (s.n * s.n)))
-    return spark.range(0, s.nk, thick, numPartitions=min(-(-s.nk // thick), 4 * parts)).selectExpr("CAST(id AS INT) AS first", f"CAST(least(id + {thick}, {s.nk}) AS INT) AS last")
-
-
-def over_slabs(image: DataFrame, s: Scanner, halo: int, schema: str, make: Callable[[Slab, np.ndarray], Iterator[list]]) -> DataFrame:
-    """make gets each slab and its kappa (1 in the volume, or the image's column of that name), and gives columns of the schema."""
-    spark = image.sparkSession
-    send = spark.sparkContext.broadcast
-    val, names = send(as_array(image, s)), [c.split()[0] for c in schema.split(", ")]
-    own = send(as_array(image.select("vox", F.col("kappa").alias("val")), s)) if "kappa" in image.columns else None
-
-    def run(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                slab = Slab(val.value, s, r["first"], r["last"], halo)
-                for columns in make(slab, slab.inside if own is None else slab.padded(own.value, s)):
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
-
-    return slabs(spark, s).mapInArrow(run, schema)
-
-
 def surrogate(image: DataFrame, s: Scanner, kind: str, delta: float, offsets: list[Offset], isotropic: bool, patch: bool) -> DataFrame:
     """vox, t1 and t2."""
     reach = max(max(map(abs, o)) for o in offsets)
 
-    def make(slab, kappa):
-        t1, t2 = (patches if patch else neighbourhood)(slab, kappa, offsets, kind, delta, isotropic)
-        yield [slab.voxels(s).astype(np.int32), t1[slab.kept].ravel(), t2[slab.kept].ravel()]
+    def make(block):
+        t1, t2 = (patches if patch else neighbourhood)(block, offsets, kind, delta, isotropic)
+        return [block.voxels().astype(np.int32), t1[block.kept].ravel(), t2[block.kept].ravel()]
 
-    return over_slabs(image, s, 2 * reach + (2 if patch else 0), "vox int, t1 double, t2 double", make)
+    return over_tiles(image, Tiles(s, EDGE), 2 * reach + (2 if patch else 0), "vox int, t1 double, t2 double", make)
 
 
 def window(h: int, hk: int) -> list[Offset]:
@@ -148,26 +102,25 @@ def distances(image: DataFrame, s: Scanner, patch: Offset, search: list[Offset],
     """
     reach = max(max(map(abs, o)) for o in search)
 
-    def make(slab, _):
-        x, inside = slab.values, slab.inside
-        k, j, i = (a.ravel() for a in np.meshgrid(*(np.arange(a) for a in slab.shape), indexing="ij"))
-        mine = np.flatnonzero((i % strides[0] == 0) & (j % strides[1] == 0) & ((k + slab.first) % strides[2] == 0))
-        vox = slab.voxels(s)[mine]
+    def make(block):
+        x, inside, (i0, j0, k0) = block.values, block.inside, block.start
+        k, j, i = (a.ravel() for a in np.meshgrid(*(np.arange(a) for a in block.shape), indexing="ij"))
+        mine = np.flatnonzero(((i + i0) % strides[0] == 0) & ((j + j0) % strides[1] == 0) & ((k + k0) % strides[2] == 0))
+        vox = block.voxels()[mine]
         found = []
         for o in search:
             e = x - shifted(x, o)
-            found.append(np.where(shifted(inside, o)[slab.kept].ravel()[mine] > 0, box(e * e, patch)[slab.kept].ravel()[mine], np.inf))
+            found.append(np.where(shifted(inside, o)[block.kept].ravel()[mine] > 0, box(e * e, patch)[block.kept].ravel()[mine], np.inf))
         step = np.array([di + dj * s.n + dk * s.n * s.n for di, dj, dk in search])
         d = np.stack(found, 1)
         if nearest is None:
             row, col = np.nonzero(np.isfinite(d))
-            yield [vox[row].astype(np.int32), (vox[row] + step[col]).astype(np.int32), d[row, col]]
-            return
+            return [vox[row].astype(np.int32), (vox[row] + step[col]).astype(np.int32), d[row, col]]
         d = np.round(d, 9)
         order = np.argsort(d, 1, kind="stable")[:, :nearest]
         best = np.take_along_axis(d, order, 1)
         row, rank = np.nonzero(np.isfinite(best))
-        yield [vox[row].astype(np.int32), (vox[row] + step[order[row, rank]]).astype(np.int32), best[row, rank], (rank + 1).astype(np.int32)]
+        return [vox[row].astype(np.int32), (vox[row] + step[order[row, rank]]).astype(np.int32), best[row, rank], (rank + 1).astype(np.int32)]
 
     schema = "vox int, nbr int, d double" + (", rank int" if nearest is not None else "")
-    return over_slabs(image.select("vox", "val"), s, reach + max(patch), schema, make)
+    return over_tiles(image.select("vox", "val"), Tiles(s, EDGE), reach + max(patch), schema, make)

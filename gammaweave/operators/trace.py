@@ -1,7 +1,7 @@
 """Rays through an image held as one array, in numpy: all rays of a batch take their next step together.
 
 An image of up to MOST_ARRAY voxels is sent to the workers as an array. A ray then needs no join and no row for each voxel: its line integral is summed as it goes, and a
-back projection adds to an array of the task's own. Images beyond that go by the joins of `rays` and `project`.
+back projection adds to an array of the task's own. Images beyond that go in `tiles`, and there a ray takes the same steps within a tile's window.
 """
 
 from __future__ import annotations
@@ -15,14 +15,16 @@ from pyspark.sql import functions as F
 
 from ..plans.scanner import LUT_SIZE, Scanner
 
-#: Voxels of an image that is sent as an array: doubles up to EXACT, floats (half a gigabyte at most) beyond.
-MOST_ARRAY, EXACT = 1 << 27, 1 << 22
+#: Voxels of an image that is sent as an array, of doubles (32 MB); larger ones go in tiles.
+MOST_ARRAY = 1 << 22
 #: Rays that step together; after how many steps it is seen which have ended, and how many must be left for the others to stay in the arrays.
 BATCH, CHECK, SHARE = 10_000, 8, 0.85
 TINY_LENGTH, TINY_WEIGHT = 1e-9, 1e-30
 ENDS = ("x0", "y0", "z0", "x1", "y1", "z1")
 
 Step = tuple[np.ndarray, np.ndarray, np.ndarray]
+#: First and last but one i, j and k of a part of the image.
+Window = tuple[int, int, int, int, int, int]
 
 
 class Rays:
@@ -63,25 +65,47 @@ class Rays:
         return np.where(bin_ < LUT_SIZE, lut[np.minimum(bin_, LUT_SIZE - 1)], 0.0)
 
 
-def walk(rays: Rays) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(lanes, voxels, parts) step by step: the exact parts of each ray in the voxels that it passes, as shares of its length.
+    def axes(self, window: Window | None = None) -> list[tuple]:
+        """Place and direction, size of a voxel, the volume's lower end, and the first voxel and the number of voxels of the window, along j, i and k."""
+        s = self.s
+        i0, i1, j0, j1, k0, k1 = window or (0, s.n, 0, s.n, 0, s.nk)
+        flat, deep = -s.n * s.voxel / 2, -s.nk * s.voxel_k / 2
+        return [(self.p[0], self.d[0], s.voxel, flat, j0, j1 - j0), (-self.p[1], -self.d[1], s.voxel, flat, i0, i1 - i0), (self.p[2], self.d[2], s.voxel_k, deep, k0, k1 - k0)]
 
-    A ray's next crossings with the planes of the three axes follow from where it enters; each step goes to the nearest and into the voxel beyond. The arrays are
-    the same in each step, to be used before the next. A ray that has ended has parts of 0, in any voxel (even none), till it is taken out of the arrays.
-    """
-    s, n = rays.s, rays.s.n
+
+def walk(rays: Rays, window: Window | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """march() through the image's voxels, or those of a window, which are then counted within it."""
     t0, t1 = rays.within(3)
+    axes = rays.axes(window)
+    if window:
+        for p, d, v, low, first, count in axes:
+            with np.errstate(invalid="ignore", divide="ignore"):
+                one, two = (low + first * v - p) / d, (low + (first + count) * v - p) / d
+            flat, at = d == 0, np.floor((p - low) / v)
+            inside = (at >= first) & (at < first + count)
+            t0 = np.maximum(t0, np.where(flat, np.where(inside, 0, 2), np.minimum(one, two)))
+            t1 = np.minimum(t1, np.where(flat, np.where(inside, 1, -1), np.maximum(one, two)))
+    j, i, k = axes
+    yield from march(t0, t1, [(*j, i[5]), (*i, 1), (*k, i[5] * j[5])])
+
+
+def march(t0: np.ndarray, t1: np.ndarray, axes: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(lanes, cells, parts) step by step: the exact parts of each ray in the cells that it passes from t0 to t1, as shares of its length.
+
+    A ray's next crossings with the planes of the three axes follow from where it enters; each step goes to the nearest and into the cell beyond. The arrays are
+    the same in each step, to be used before the next. A ray that has ended has parts of 0, in any cell (even none), till it is taken out of the arrays.
+    axes: as Rays.axes() gives them, and what a step along each adds to the cell's number.
+    """
     lanes = np.flatnonzero(t0 < t1)
     t, end, vox, state = t0[lanes], t1[lanes], np.zeros(len(lanes), np.int32), []
-    # along x go columns j, against y rows i
-    for p, d, size, v, by in ((rays.p[0], rays.d[0], n, s.voxel, n), (-rays.p[1], -rays.d[1], n, s.voxel, 1), (rays.p[2], rays.d[2], s.nk, s.voxel_k, n * n)):
+    for p, d, v, low, first, count, by in axes:
         p, d = p[lanes], d[lanes]
-        at = np.clip(np.floor((p + t * d + size * v / 2) / v), 0, size - 1).astype(np.int32)
+        at = np.clip(np.floor((p + t * d - low) / v), first, first + count - 1).astype(np.int32)
         with np.errstate(invalid="ignore", divide="ignore"):
-            following = np.where(d == 0, np.inf, ((at + (d > 0)) * v - size * v / 2 - p) / d)
+            following = np.where(d == 0, np.inf, ((at + (d > 0)) * v + low - p) / d)
             gap = np.where(d == 0, 0.0, v / np.abs(d))
         state.append([following, gap, np.sign(d).astype(np.int32) * np.int32(by)])
-        vox += at * np.int32(by)
+        vox += (at - np.int32(first)) * np.int32(by)
     step = 0
     while len(lanes):
         if step % CHECK == 0:
@@ -107,18 +131,19 @@ def walk(rays: Rays) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
             vox += g
 
 
-def siddon(rays: Rays) -> Iterator[Step]:
+def siddon(rays: Rays, window: Window | None = None) -> Iterator[Step]:
     """(lanes, voxels, lengths) step by step."""
     norm = np.sqrt(sum(d * d for d in rays.d))
-    for lanes, vox, part in walk(rays):
+    for lanes, vox, part in walk(rays, window):
         length = part * norm[lanes]
         some = np.flatnonzero(length > TINY_LENGTH)
         yield lanes[some], vox[some], length[some]
 
 
-def samples(rays: Rays) -> Iterator[Step]:
+def samples(rays: Rays, window: Window | None = None) -> Iterator[Step]:
     """(lanes, voxels, lengths): one nearest voxel for each plane of the ray's major axis; the length is the slope's weight."""
     s, n, v = rays.s, rays.s.n, rays.s.voxel
+    i0, i1, j0, j1, k0, k1 = window or (0, n, 0, n, 0, s.nk)
     h = n * v / 2
     t0, t1 = rays.within(2)
     for flat in (True, False):
@@ -127,6 +152,8 @@ def samples(rays: Rays) -> Iterator[Step]:
         p, d = [x[lanes] for x in rays.p], [x[lanes] for x in rays.d]
         ends = [np.floor((p[major] + t[lanes] * d[major] + h) / v).astype(np.int64) for t in (t0, t1)]
         first, last = np.minimum(*ends), np.maximum(*ends)
+        if window:
+            first, last = np.maximum(first, j0 if flat else n - i1), np.minimum(last, j1 - 1 if flat else n - 1 - i0)
         with np.errstate(invalid="ignore", divide="ignore"):
             weight = np.sqrt(1 + (d[minor] / d[major]) ** 2)
         for step in range(int((last - first).max(initial=-1)) + 1):
@@ -136,19 +163,20 @@ def samples(rays: Rays) -> Iterator[Step]:
                 x, y, z = (a + t * b for a, b in zip(p, d, strict=True))
                 i, j, k = np.floor((h - y) / v), np.floor((x + h) / v), np.floor((z + s.nk * s.voxel_k / 2) / s.voxel_k)
             i, j = (i, m) if flat else (n - 1 - m, j)
-            ok = np.flatnonzero((m <= last) & (i >= 0) & (i < n) & (j >= 0) & (j < n) & (k >= 0) & (k < s.nk))
-            yield lanes[ok], (i[ok] + n * j[ok] + n * n * k[ok]).astype(np.int64), weight[ok]
+            ok = np.flatnonzero((m <= last) & (i >= i0) & (i < i1) & (j >= j0) & (j < j1) & (k >= k0) & (k < k1))
+            yield lanes[ok], (i[ok] - i0 + (i1 - i0) * (j[ok] - j0 + (j1 - j0) * (k[ok] - k0))).astype(np.int64), weight[ok]
 
 
-def steps(rays: Rays, tracer: str, lut: np.ndarray | None = None) -> Iterator[Step]:
+def steps(rays: Rays, tracer: str, lut: np.ndarray | None = None, window: Window | None = None) -> Iterator[Step]:
     """tracer: siddon, bresenham, tof or tof_bresenham; the latter two weigh by time of flight."""
     base = samples if tracer.endswith("bresenham") else siddon
     if not tracer.startswith("tof"):
-        yield from base(rays)
+        yield from base(rays, window)
         return
-    n = rays.s.n
-    for lanes, vox, length in base(rays):
-        w = rays.shares(lanes, vox % n, vox // n % n, vox // (n * n), lut)
+    i0, i1, j0, j1, k0, _ = window or (0, rays.s.n, 0, rays.s.n, 0, rays.s.nk)
+    ni, nj = i1 - i0, j1 - j0
+    for lanes, vox, length in base(rays, window):
+        w = rays.shares(lanes, vox % ni + i0, vox // ni % nj + j0, vox // (ni * nj) + k0, lut)
         some = np.flatnonzero(w)
         yield lanes[some], vox[some], length[some] * w[some]
 
@@ -171,9 +199,8 @@ def cut(batch: pa.RecordBatch, s: Scanner, tracer: str) -> Iterator[tuple[pa.Rec
 
 def as_array(image: DataFrame, s: Scanner) -> np.ndarray:
     """The image as one array on the driver; voxels without a row are 0. Its size is that of the grid, which the caller has checked."""
-    kind = "double" if s.voxels <= EXACT else "float"
-    out = np.zeros(s.voxels, np.float64 if kind == "double" else np.float32)
-    t = image.select(F.col("vox").cast("int").alias("vox"), F.col("val").cast(kind).alias("val")).toArrow()
+    out = np.zeros(s.voxels)
+    t = image.select(F.col("vox").cast("int").alias("vox"), F.col("val").cast("double").alias("val")).toArrow()
     for batch in t.to_batches():
         out[batch.column(0).to_numpy()] = batch.column(1).fill_null(0).to_numpy(zero_copy_only=False)
     return out
@@ -183,14 +210,15 @@ def fits(s: Scanner) -> bool:
     return s.voxels <= MOST_ARRAY
 
 
-def integrals(rays: Rays, image: np.ndarray, tracer: str, lut: np.ndarray | None) -> np.ndarray:
+def integrals(rays: Rays, image: np.ndarray, tracer: str, lut: np.ndarray | None, window: Window | None = None) -> np.ndarray:
+    """Of an image, or of the part of it in a window."""
     y = np.zeros(len(rays.p[0]))
     if tracer != "siddon":
-        for lanes, vox, length in steps(rays, tracer, lut):
+        for lanes, vox, length in steps(rays, tracer, lut, window):
             y[lanes] += length * image[vox]  # a lane is once in a step
         return y
     of, own, value = None, np.zeros(0), np.zeros(0, image.dtype)
-    for lanes, vox, part in walk(rays):
+    for lanes, vox, part in walk(rays, window):
         if lanes is not of:
             if of is not None:
                 y[of] += own
@@ -204,10 +232,10 @@ def integrals(rays: Rays, image: np.ndarray, tracer: str, lut: np.ndarray | None
 
 
 class Sums:
-    """A task's own back projection; rows() are the voxels that some ray has met."""
+    """A back projection of a task's own; rows() are the voxels that some ray has met."""
 
-    def __init__(self, s: Scanner):
-        self.total, self.met = np.zeros(s.voxels), np.zeros(s.voxels, bool)
+    def __init__(self, voxels: int):
+        self.total, self.met = np.zeros(voxels), np.zeros(voxels, bool)
 
     def add(self, vox: np.ndarray, value: np.ndarray) -> None:
         np.add.at(self.total, vox, value)
@@ -239,7 +267,7 @@ def back(lines: DataFrame, s: Scanner, weight: str, tracer: str = "siddon", powe
     lut = table(s, tracer)
 
     def run(batches):
-        own = Sums(s)
+        own = Sums(s.voxels)
         for batch in batches:
             for part, rays in cut(batch, s, tracer):
                 w = part.column("_w").to_numpy(zero_copy_only=False)
@@ -277,7 +305,7 @@ def em_pass(lines: DataFrame, image: DataFrame, s: Scanner, tracer: str = "siddo
     sent, lut = lines.sparkSession.sparkContext.broadcast(as_array(image, s)), table(s, tracer)
 
     def run(batches):
-        own, logs = Sums(s), 0.0
+        own, logs = Sums(s.voxels), 0.0
         for batch in batches:
             for part, rays in cut(batch, s, tracer):
                 kept = list(steps(rays, tracer, lut))

@@ -8,16 +8,16 @@ subset, and traces each ray once for both directions.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formulas import _num
-from ..operators import trace
+from ..operators import tiles, trace
 from ..operators.geometry import grid, lines_of_response, with_vox
 from ..operators.penalty import mean_surrogate, patch_surrogate, surrogate
-from ..operators.project import back, forward, sensitivity, with_factors, with_subset
+from ..operators.project import back, forward, merged, sensitivity, with_factors, with_subset
 from ..operators.sparse import blur, product
 from .scanner import Scanner
 from .store import Scratch, scratch
@@ -25,7 +25,11 @@ from .store import Scratch, scratch
 
 @dataclass
 class Problem:
-    """What a reconstruction needs. sens, if given, is not blurred yet. axial and transaxial: blur matrices or None."""
+    """What a reconstruction needs. sens, if given, is not blurred yet. axial and transaxial: blur matrices or None.
+
+    edge: tiles of so many voxels each way hold the image; without it an image of up to trace.MOST_ARRAY voxels is an array, and a larger one has tiles of tiles.EDGE. Rays are dealt
+    by tile once a subset, and then used in each iteration.
+    """
 
     events: DataFrame
     scanner: Scanner
@@ -37,6 +41,7 @@ class Problem:
     beta: float = 0.0
     penalty: Callable[[DataFrame], DataFrame] | None = None
     log: list = field(default_factory=list)
+    edge: int | None = None
 
     def __post_init__(self):
         s = self.scanner
@@ -44,8 +49,9 @@ class Problem:
             self.events = with_factors(self.events)
         self.events = with_subset(self.events, self.subsets)
         if self.sens is None:
-            self.sens = sensitivity(self.lines, s)
+            self.sens = sensitivity(self.lines, s, self.edge)
         self.s = self._blur(self.sens, True)
+        self._rays: dict[int, tiles.Dealt] = {}
 
     @property
     def lines(self) -> DataFrame:
@@ -53,7 +59,7 @@ class Problem:
 
     def dealt(self, store: Scratch) -> None:
         """Writes the events by subset, and the sensitivity, for iterations to read."""
-        self.events, self.s = store(self.events, "subset_id"), store(self.s)
+        self.events, self.s, self._rays = store(self.events, "subset_id"), store(self.s), {}
 
     def _blur(self, image: DataFrame, transposed: bool) -> DataFrame:
         return image if self.transaxial is None and self.axial is None else blur(image, self.scanner, self.transaxial, self.axial, transposed)
@@ -62,24 +68,28 @@ class Problem:
         return lines_of_response(self.events if subset is None else self.events.where(F.col("subset_id") == subset), self.scanner)
 
     def project(self, x: DataFrame, subset: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-        return forward(self._lines(subset), self._blur(x, False), self.scanner, self.tracer, keep)
+        return forward(self._lines(subset), self._blur(x, False), self.scanner, self.tracer, keep, self.edge)
 
     def ratios(self, x: DataFrame, subset: int) -> DataFrame:
         """event_id, y, expected = y + add_fac and ratio = mul_fac / expected where that is positive, else 0."""
-        rows = self.project(x, subset, ("add_fac", "mul_fac")).selectExpr("event_id", "y", "y + add_fac AS expected", "mul_fac")
-        return rows.selectExpr("event_id", "y", "expected", "CASE WHEN expected > 0e0 THEN mul_fac / expected ELSE 0e0 END AS ratio")
+        return _ratios(self.project(x, subset, ("add_fac", "mul_fac")))
 
     def backproject(self, ratios: DataFrame, subset: int) -> DataFrame:
         lines = self._lines(subset).join(ratios.select("event_id", "ratio"), "event_id")
-        return self._blur(back(lines, self.scanner, "ratio", self.tracer), True)
+        return self._blur(back(lines, self.scanner, "ratio", self.tracer, edge=self.edge), True)
 
     def update(self, x: DataFrame, subset: int, store: Scratch) -> tuple[DataFrame, DataFrame]:
         """The back projected ratios (vox, val) of a subset at x, and the sum l2 of log(expected + 1e-20)."""
-        if trace.fits(self.scanner):
+        if self.edge is None and trace.fits(self.scanner):
             done = store(trace.em_pass(self._lines(subset), self._blur(x, False), self.scanner, self.tracer))
             return self._blur(done.where("vox >= 0"), True), done.where("vox < 0").agg(F.coalesce(F.sum("val"), F.lit(0.0)).alias("l2"))
-        r = store(self.ratios(x, subset))
-        return self.backproject(r, subset), log_sum(r)
+        if subset not in self._rays:
+            self._rays[subset] = tiles.deal(self._lines(subset), tiles.Tiles(self.scanner, self.edge or tiles.EDGE), store, self.tracer)
+        rays = self._rays[subset]
+        sums = merged(self._lines(subset), tiles.forward(rays, self._blur(x, False)), ("add_fac", "mul_fac"))
+        r = store(_ratios(sums))
+        weighed = replace(rays, rays=rays.rays.join(r.select("event_id", "ratio"), "event_id"))
+        return self._blur(store(tiles.unpack(tiles.back(weighed, "ratio"), rays.t)), True), log_sum(r)
 
     def likelihood(self, x: DataFrame, l2: DataFrame) -> DataFrame:
         """l1 = sum of x s, whose terms count as 1e-20 where they aren't finite, l2 as given, and ll = l2 - l1: one row each, which are put side by side."""
@@ -89,6 +99,11 @@ class Problem:
         return both.agg(F.coalesce(F.sum("a"), F.lit(0.0)).alias("l1"), F.coalesce(F.sum("b"), F.lit(0.0)).alias("l2")).selectExpr("l1", "l2", "l2 - l1 AS ll")
 
 
+def _ratios(sums: DataFrame) -> DataFrame:
+    rows = sums.selectExpr("event_id", "y", "y + add_fac AS expected", "mul_fac")
+    return rows.selectExpr("event_id", "y", "expected", "CASE WHEN expected > 0e0 THEN mul_fac / expected ELSE 0e0 END AS ratio")
+
+
 def log_sum(ratios: DataFrame) -> DataFrame:
     """l2 of what ratios() gives: log(expected + 1e-20), 0 where that isn't positive; 1e-20 stands for what isn't finite."""
     x = "CASE WHEN isnan(expected) OR abs(expected) = double('infinity') THEN 1e-20 ELSE expected + 1e-20 END"
@@ -193,7 +208,7 @@ def admm(p: Problem, x: DataFrame, iterations: int, penalty: Callable[[DataFrame
             t = penalty(with_ijk(u, p))
             u = store(u.join(m.withColumnRenamed("val", "m"), "vox").join(t, "vox", "left").selectExpr("vox", f"({_num(mu)} * m + {_num(beta)} * (coalesce(t1, 0e0) * val - coalesce(t2, 0e0))) / ({_num(mu)} + {_num(beta)} * coalesce(t1, 0e0)) AS val"))
         target = store(join(u, d, "val + w"))
-        held = Problem(p.events, p.scanner, p.subsets, p.tracer, p.transaxial, p.axial, sens, mu / 2, lambda v, t=target: mean_surrogate(v, t), p.log)
+        held = Problem(p.events, p.scanner, p.subsets, p.tracer, p.transaxial, p.axial, sens, mu / 2, lambda v, t=target: mean_surrogate(v, t), p.log, p.edge)
         x = em(held, x, 1, phase=f"admm {n}")
         d = store(d.join(x.withColumnRenamed("val", "x"), "vox").join(u.withColumnRenamed("val", "u"), "vox").selectExpr("vox", "val - (x - u) AS val"))
         outputs.iteration(n, x)

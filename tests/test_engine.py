@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gammaweave import queries as Q
 from gammaweave.functions.formulas import POTENTIALS, phi, slope, slope_over_t
-from gammaweave.operators import geometry, knn, penalty, project, rays, sparse, stencil, trace
+from gammaweave.operators import geometry, knn, penalty, project, rays, sparse, stencil, tiles, trace
 from gammaweave.plans import config, log, recon, run, session, store
 from gammaweave.plans.scanner import SMALL, Scanner
 from gammaweave.sources import raw, sinks
@@ -29,18 +29,35 @@ def test_projection_and_back_projection_are_adjoint(spark, tracer):
     assert sum(y[e] * w[e] for e in w) == pytest.approx(sum(v[k] * z.get(k, 0) for k in v))
 
 
+@pytest.mark.parametrize("edge", [3, 5, 16])
 @pytest.mark.parametrize("tracer", ["siddon", "bresenham", "tof", "tof_bresenham"])
-def test_arrays_and_joins_agree(spark, monkeypatch, tracer):
+def test_arrays_and_tiles_agree(spark, monkeypatch, tracer, edge):
     lines, x = Q.lines(spark, D).withColumn("w", F.expr("event_id % 3")), Q.image(spark)
-    run = lambda: (by(project.forward(lines, x, SMALL, tracer), "event_id", "y"), by(project.back(lines, SMALL, "w", tracer), "vox", "val"))
+    run = lambda **options: (by(project.forward(lines, x, SMALL, tracer, **options), "event_id", "y"), by(project.back(lines, SMALL, "w", tracer, **options), "vox", "val"))
     one = run()
-    monkeypatch.setattr(trace, "MOST_ARRAY", 0)
-    two = run()
+    monkeypatch.setattr(tiles, "RAYS", 40)  # many parts a tile, added on two levels
+    monkeypatch.setattr(tiles, "FAN", 3)
+    two = run(edge=edge)
     assert one[0] == pytest.approx(two[0]) and one[1] == pytest.approx(two[1])
 
 
-def test_stencils_and_joins_agree(spark, monkeypatch):
-    x, m = Q.image(spark), knn.Matching(1, 0, 1, 1, 3, 2)
+def test_larger_images_go_in_tiles(spark, monkeypatch):
+    lines, x = Q.lines(spark, D), Q.image(spark)
+    one = by(project.forward(lines, x, SMALL), "event_id", "y")
+    monkeypatch.setattr(trace, "MOST_ARRAY", 0)
+    monkeypatch.setattr(trace, "as_array", None)
+    monkeypatch.setattr(tiles, "EDGE", 6)
+    assert by(project.forward(lines, x, SMALL), "event_id", "y") == pytest.approx(one)
+
+
+def test_an_image_is_the_same_packed(spark):
+    x, t = Q.image(spark).where("vox % 5 <> 2 AND k <> 3"), tiles.Tiles(SMALL, 3)
+    assert by(tiles.unpack(tiles.pack(x, t), t), "vox", "val") == by(x, "vox", "val")
+    assert tiles.pack(x.limit(0), t).count() == 0 and tiles.unpack(tiles.pack(x.limit(0), t), t).count() == 0
+
+
+def test_stencils_in_any_tiles_agree(spark, monkeypatch):
+    x, m = Q.image(spark).where("vox % 11 <> 4"), knn.Matching(1, 0, 1, 1, 3, 2)
     def run():
         rows = [penalty.surrogate(x, SMALL, "fair", 0.3, 2), penalty.surrogate(x, SMALL, "hl", 0.3, 1, True), penalty.patch_surrogate(x, SMALL, "hw", 0.3, 1), penalty.patch_surrogate(x, SMALL, "huber", 0.3, 0, True)]
         out = [{r["vox"]: (r["t1"], r["t2"]) for r in t.collect()} for t in rows]
@@ -48,26 +65,21 @@ def test_stencils_and_joins_agree(spark, monkeypatch):
         return [*out, by(penalty.gradient(x, SMALL, "huber", 0.3, 1), "vox", "grad"), near, by(knn.kernel_weights(x, SMALL, m, 2.0).groupBy("vox").agg(F.sum("w").alias("w")), "vox", "w")]
 
     one = run()
-    monkeypatch.setattr(trace, "MOST_ARRAY", 0)
-    monkeypatch.setattr(stencil, "PLANES", 256)
-    for a, b in zip(one, run(), strict=True):
-        assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
-
-
-def test_a_large_array_is_sent_as_floats(spark, monkeypatch):
-    lines, x = Q.lines(spark, D), Q.image(spark)
-    want = by(project.forward(lines, x, SMALL), "event_id", "y")
-    monkeypatch.setattr(trace, "EXACT", 0)
-    assert by(project.forward(lines, x, SMALL), "event_id", "y") == pytest.approx(want, rel=1e-5)
-
-
-def test_em_by_joins(spark, monkeypatch):
-    p = lambda: recon.Problem(Q.full_events(spark, D), SMALL, subsets=2)
-    a, b = p(), p()
-    one = by(recon.em(a, recon.ones(a), 1), "vox", "val")
-    monkeypatch.setattr(trace, "MOST_ARRAY", 0)
-    assert by(recon.em(b, recon.ones(b), 1), "vox", "val") == pytest.approx(one)
-    ll = [[r["ll"] for r in recon.likelihoods(x.log).orderBy("subset").collect()] for x in (a, b)]
+    assert all(len(x) == SMALL.voxels for x in one[:4])
+    for edge in (3, 7):
+        monkeypatch.setattr(stencil, "EDGE", edge)
+        for a, b in zip(one, run(), strict=True):
+            assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
+
+
+@pytest.mark.parametrize("tracer", ["siddon", "tof"])
+def test_em_in_tiles(spark, monkeypatch, tracer):
+    p = lambda **options: recon.Problem(Q.full_events(spark, D), SMALL, subsets=2, tracer=tracer, transaxial=Q.psf(spark)[0], **options)
+    monkeypatch.setattr(tiles, "RAYS", 100)
+    a, b = p(), p(edge=6)
+    one = by(recon.em(a, recon.ones(a), 2), "vox", "val")
+    assert by(recon.em(b, recon.ones(b), 2), "vox", "val") == pytest.approx(one)
+    ll = [[r["ll"] for r in recon.likelihoods(x.log).orderBy("iter", "subset").collect()] for x in (a, b)]
     assert ll[0] == pytest.approx(ll[1])
 
 
@@ -102,6 +114,8 @@ def test_edge_rays(spark):
     got = by(rays.segments(lines, SMALL, "event_id").groupBy("event_id").agg(F.sum("len").alias("l")), "event_id", "l")
     assert got == pytest.approx({0: 60.0, 3: 60.0})  # a parallel ray, one that misses, one of no length, one on a face
     assert by(project.forward(lines, Q.image(spark), SMALL), "event_id", "y")[1] == 0
+    for edge in (1, 4, 5):
+        assert by(project.forward(lines, Q.image(spark), SMALL, edge=edge), "event_id", "y") == pytest.approx(by(project.forward(lines, Q.image(spark), SMALL), "event_id", "y"))
     assert project.back(lines.withColumn("w", F.lit(0.0)), SMALL).isEmpty()
 
 
