@@ -173,7 +173,7 @@ def deal(lines: DataFrame, t: Tiles, store: Scratch, tracer: str = "siddon", kee
 
 
 def forward(dealt: Dealt, image: DataFrame) -> DataFrame:
-    """event_id and y: the line integrals through an image (vox and val) of the events whose rays pass its tiles."""
+    """event_id and y: the line integrals through an image (vox and val, or packed) of the events whose rays pass its tiles."""
     t, tracer = dealt.t, dealt.tracer
     lut, schema = trace.table(t.s, tracer), pa.schema([("event_id", pa.int64()), ("y", pa.float64())])
 
@@ -188,7 +188,7 @@ def forward(dealt: Dealt, image: DataFrame) -> DataFrame:
         return pa.Table.from_batches(out, schema)
 
     # a row a part, each with its tile's array; the parts' number is that of all rays by RAYS, and that of tiles
-    packed = pack(image, t).join(F.broadcast(dealt.parts), "tile").select("part", "tile", "val")
+    packed = (image if "tile" in image.columns else pack(image, t)).join(F.broadcast(dealt.parts), "tile").select("part", "tile", "val")
     rays = dealt.rays.select("part", "event_id", *trace.columns(tracer))
     return rays.groupBy("part").cogroup(packed.groupBy("part")).applyInArrow(run, "event_id long, y double").groupBy("event_id").agg(F.sum("y").alias("y"))
 

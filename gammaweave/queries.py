@@ -6,6 +6,8 @@ joins, windows and unions, and with formulas and numbers of their own for the sm
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +28,10 @@ WIDE = Scanner(n=64, nk=2)
 _EVENTS = "SELECT event_id, CAST(event_id % 48 AS INT) AS xtal_id_1, CAST((event_id % 48 + 24 + user_id % 17 - 8) % 48 AS INT) AS xtal_id_2, CAST(event_id * 7 % 8 AS INT) AS ring_id_1, CAST(user_id * 3 % 8 AS INT) AS ring_id_2, CAST(event_id % 5 - 2 AS INT) AS tbin_id FROM events"
 _ADD = "SELECT event_id, 0.1e0 * (event_id % 5) AS add_fac FROM events WHERE event_id % 3 <> 0"
 _MUL = "SELECT event_id, 1e0 + 0.05e0 * (event_id % 7) AS mul_fac FROM events WHERE event_id % 4 <> 1"
-_VAL, _KAPPA = "1e0 + (vox * 7919 % 97) / 97e0", "1e0 + (vox % 5) / 10e0"
+#: Of a voxel with c events, whose numbers sum to t.
+_VAL, _KAPPA = "1e0 + coalesce(t / (97e0 * c), (vox * 7919 % 97) / 97e0)", "1e0 + (coalesce(c, 0) % 5) / 10e0"
+#: Events for each eight planes of the images that grow with them.
+_EACH = 10_000
 _DELTA, _BETA = 0.3, 0.02
 _CONFIG = ["# a scanner", "image_size = 16, 16, 8", "", "voxel_size = 4, 4, 4 # mm", "detector_ring_diameter = 120", "crystal_size = 7.9, 7.9, 4, 10", "colour = blue", "a = b = c", "novalue =", "image_size = 1,1,1", "crystal_array_size = 4, 1"]
 
@@ -61,8 +66,21 @@ def full_events(spark, d) -> DataFrame:
     return A.with_factors(events(spark, d), _sql(spark, d, _ADD), _sql(spark, d, _MUL))
 
 
-def image(spark, s: Scanner = S) -> DataFrame:
-    return G.grid(spark, s).selectExpr("*", f"{_VAL} AS val", f"{_KAPPA} AS kappa")
+def image(spark, d: str | None = None, s: Scanner = S) -> DataFrame:
+    """The grid with values and weights from the events that fall to each voxel."""
+    rows = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id") if d else spark.range(0).selectExpr("id AS event_id", "id AS user_id")
+    sums = rows.selectExpr(f"CAST(event_id % {s.voxels} AS INT) AS vox", "(event_id * 31 + user_id) % 97 AS t").groupBy("vox").agg(F.count("*").alias("c"), F.sum("t").alias("t"))
+    return G.grid(spark, s).join(sums, "vox", "left").selectExpr("vox", "i", "j", "k", f"{_VAL} AS val", f"{_KAPPA} AS kappa")
+
+
+def grown(spark, d: str) -> Scanner:
+    """The small scanner with as many planes as the events ask for."""
+    return replace(S, nk=8 * max(1, -(-spark.read.parquet(f"{d}/events.parquet").count() // _EACH)))
+
+
+def volume(spark, d: str) -> tuple[DataFrame, Scanner]:
+    s = grown(spark, d)
+    return image(spark, d, s), s
 
 
 def out(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
@@ -132,7 +150,16 @@ _CR = f"cr AS (SELECT CAST(id AS INT) AS xtal_id, {_num((S.ring_diameter + S.dep
 _RG = f"rg AS (SELECT CAST(id AS INT) AS ring_id, (id - 3.5e0) * {_num(S.ring_pitch)} AS z FROM range({S.rings}) t(id))"
 _EV = f"ev AS ({_EVENTS})"
 _LN = f"{_EV}, {_CR}, {_RG}, ln_ AS (SELECT ev.*, a.x AS x0, a.y AS y0, e.z AS z0, b.x AS x1, b.y AS y1, f.z AS z1 FROM ev JOIN cr a ON a.xtal_id = xtal_id_1 JOIN cr b ON b.xtal_id = xtal_id_2 JOIN rg e ON e.ring_id = ring_id_1 JOIN rg f ON f.ring_id = ring_id_2), ln AS (SELECT *, x1 - x0 AS dx, y1 - y0 AS dy, z1 - z0 AS dz FROM ln_)"
-_IMG = f"img AS (SELECT *, {_VAL} AS val, {_KAPPA} AS kappa FROM (SELECT CAST(id AS INT) AS vox, id % {S.n} AS i, id // {S.n} % {S.n} AS j, id // {S.n * S.n} AS k FROM range({S.voxels}) t(id)))"
+def _img(planes: str, n: int = 16) -> str:
+    return (
+        f"pl AS (SELECT {planes} AS nk FROM events), me AS (SELECT event_id % ({n * n} * nk) AS vox, count(*) AS c, sum((event_id * 31 + user_id) % 97) AS t FROM events, pl GROUP BY ALL), "
+        f"gr AS (SELECT unnest(range({n * n} * nk)) AS vox FROM pl), "
+        f"img AS MATERIALIZED (SELECT CAST(vox AS INT) AS vox, vox % {n} AS i, vox // {n} % {n} AS j, vox // {n * n} AS k, {_VAL} AS val, {_KAPPA} AS kappa FROM gr LEFT JOIN me USING (vox))"
+    )
+
+
+#: Of the small scanner, and with planes by the number of events.
+_IMG, _VIMG = _img("max(8)"), _img(f"8 * greatest(1, (count(*) + {_EACH - 1}) // {_EACH})")
 _FAC = f"fac AS (SELECT ev.event_id, coalesce(add_fac, 0e0) AS add_fac, coalesce(mul_fac, 1e0) AS mul_fac FROM ev LEFT JOIN ({_ADD}) a USING (event_id) LEFT JOIN ({_MUL}) m USING (event_id))"
 
 
@@ -189,9 +216,31 @@ def query(name: str, sql: str | None = None):
 
 
 _SPAN = "SELECT " + _id("event_id") + ", " + ", ".join(_r(c, c) for c in ("x0", "y0", "z0", "x1", "y1", "z1"))
-query("crystal_positions", f"WITH {_CR} SELECT {_id('xtal_id')}, {_r('x', 'x')}, {_r('y', 'y')} FROM cr")(lambda spark, d: out(G.crystal_positions(spark, S)))
-query("ring_positions", f"WITH {_RG} SELECT {_id('ring_id')}, {_r('z', 'z')} FROM rg")(lambda spark, d: out(G.ring_positions(spark, S)))
-query("image_planes", f"SELECT 'x' AS axis, CAST(m AS BIGINT) AS index, (m - 7.5e0) * 4 AS centre FROM range(16) g(m) UNION ALL SELECT 'y', m, (7.5e0 - m) * 4 FROM range(16) g(m) UNION ALL SELECT 'z', m, (m - 3.5e0) * 4 FROM range(8) g(m)")(lambda spark, d: out(G.planes(spark, S)))
+_HITS = "ha AS (SELECT {0}, count(*) AS n_hits FROM (SELECT {0}_1 AS {0} FROM ev UNION ALL SELECT {0}_2 FROM ev) GROUP BY ALL)"
+
+
+def _hits(spark, d, name: str) -> DataFrame:
+    """How many events' ends are in each crystal or ring."""
+    return events(spark, d).selectExpr(f"explode(array({name}_1, {name}_2)) AS {name}").groupBy(name).agg(F.count("*").alias("n_hits"))
+
+
+query("crystal_positions", f"WITH {_EV}, {_CR}, {_HITS.format('xtal_id')} SELECT {_id('xtal_id')}, {_r('x', 'x')}, {_r('y', 'y')}, coalesce(n_hits, 0) AS n_hits FROM cr LEFT JOIN ha USING (xtal_id)")(
+    lambda spark, d: out(G.crystal_positions(spark, S).join(_hits(spark, d, "xtal_id"), "xtal_id", "left").fillna(0, "n_hits")))
+query("ring_positions", f"WITH {_EV}, {_RG}, {_HITS.format('ring_id')} SELECT {_id('ring_id')}, {_r('z', 'z')}, coalesce(n_hits, 0) AS n_hits FROM rg LEFT JOIN ha USING (ring_id)")(
+    lambda spark, d: out(G.ring_positions(spark, S).join(_hits(spark, d, "ring_id"), "ring_id", "left").fillna(0, "n_hits")))
+_PL = "SELECT 'x' AS axis, CAST(m AS BIGINT) AS index, (m - 7.5e0) * 4 AS centre FROM range(16) g(m) UNION ALL SELECT 'y', m, (7.5e0 - m) * 4 FROM range(16) g(m) UNION ALL SELECT 'z', m, (m - 3.5e0) * 4 FROM range(8) g(m)"
+_MI = "SELECT 'x' AS axis, CAST(floor((x0 + x1) / 8e0 + 8e0 + 1e-7) AS BIGINT) AS index FROM ln UNION ALL SELECT 'y', CAST(floor(8e0 - (y0 + y1) / 8e0 + 1e-7) AS BIGINT) FROM ln UNION ALL SELECT 'z', CAST(floor((z0 + z1) / 8e0 + 4e0 + 1e-7) AS BIGINT) FROM ln"
+
+
+def _middles(spark, d) -> DataFrame:
+    """How many lines have their middle in each plane."""
+    at = [("x", "(x0 + x1) / 2e0", S.n, S.voxel), ("y", "-(y0 + y1) / 2e0", S.n, S.voxel), ("z", "(z0 + z1) / 2e0", S.nk, S.voxel_k)]
+    rows = lines(spark, d).selectExpr("inline(array(" + ", ".join(f"named_struct('axis', '{a}', 'index', CAST(floor(({m} + {n * v / 2}e0) / {v}e0 + 1e-7) AS INT))" for a, m, n, v in at) + "))")
+    return rows.groupBy("axis", "index").agg(F.count("*").alias("n_lines"))
+
+
+query("image_planes", f"WITH {_LN}, pl AS ({_PL}), mi AS (SELECT axis, index, count(*) AS n FROM ({_MI}) GROUP BY ALL) SELECT pl.*, coalesce(n, 0) AS n_lines FROM pl LEFT JOIN mi USING (axis, index)")(
+    lambda spark, d: out(G.planes(spark, S).join(_middles(spark, d), ["axis", "index"], "left").fillna(0, "n_lines")))
 query("lor_endpoints", f"WITH {_LN} {_SPAN} FROM ln")(lambda spark, d: out(lines(spark, d), "event_id", "x0", "y0", "z0", "x1", "y1", "z1"))
 for _kind, _name, _axes in (("box", "fov_hit_box3d", "xyz"), ("square", "fov_hit_box2d", "xy")):
     _a, _b = hit(_axes)
@@ -201,29 +250,30 @@ query("siddon_segments", f"WITH {_LN}, {_seg()} SELECT {_id('event_id', 'i', 'j'
 query("sysmat_rows", f"WITH {_LN}, {_seg()} SELECT {_id('event_id', 'vox')}, {_r('sum(len)', 'len')} FROM seg GROUP BY event_id, vox")(lambda spark, d: out(A.system_matrix(lines(spark, d), S)))
 query("sysmat_nnz", f"WITH {_LN}, {_seg()} SELECT {_id('event_id')}, count(DISTINCT vox) AS nnz, {_r('sum(len)', 'len')} FROM seg GROUP BY event_id")(lambda spark, d: out(A.system_matrix(lines(spark, d), S).groupBy("event_id").agg(F.count("*").alias("nnz"), F.sum("len").alias("len"))))
 _FWD = "SELECT " + _id("ev.event_id").replace("AS ev.event_id", "AS event_id") + ", " + _r("coalesce(y, 0e0)", "y") + " FROM ev LEFT JOIN (SELECT event_id, sum(val * len) AS y FROM {} JOIN img USING (vox) GROUP BY event_id) f USING (event_id)"
-query("siddon_forward", f"WITH {_LN}, {_IMG}, {_seg()} {_FWD.format('seg')}")(lambda spark, d: out(A.forward(lines(spark, d), image(spark), S)))
-query("bresenham_forward", f"WITH {_LN}, {_IMG}, {_bres()} {_FWD.format('seg')}")(lambda spark, d: out(A.forward(lines(spark, d), image(spark), S, "bresenham")))
-query("tof_forward", f"WITH {_LN}, {_IMG}, {_tof()} {_FWD.format('ts')}")(lambda spark, d: out(A.forward(lines(spark, d), image(spark), S, "tof")))
-query("tof_bresenham_forward", f"WITH {_LN}, {_IMG}, {_tof(_bres)} {_FWD.format('ts')}")(lambda spark, d: out(A.forward(lines(spark, d), image(spark), S, "tof_bresenham")))
+query("siddon_forward", f"WITH {_LN}, {_IMG}, {_seg()} {_FWD.format('seg')}")(lambda spark, d: out(A.forward(lines(spark, d), image(spark, d), S)))
+query("bresenham_forward", f"WITH {_LN}, {_IMG}, {_bres()} {_FWD.format('seg')}")(lambda spark, d: out(A.forward(lines(spark, d), image(spark, d), S, "bresenham")))
+query("tof_forward", f"WITH {_LN}, {_IMG}, {_tof()} {_FWD.format('ts')}")(lambda spark, d: out(A.forward(lines(spark, d), image(spark, d), S, "tof")))
+query("tof_bresenham_forward", f"WITH {_LN}, {_IMG}, {_tof(_bres)} {_FWD.format('ts')}")(lambda spark, d: out(A.forward(lines(spark, d), image(spark, d), S, "tof_bresenham")))
 query("attenuation_factors", f"WITH {_LN}, {_IMG}, {_seg()} SELECT CAST(ev.event_id AS BIGINT) AS event_id, {_r('exp(-coalesce(y, 0e0) / 100e0)', 'factor', 6)} FROM ev LEFT JOIN (SELECT event_id, sum(val * len) AS y FROM seg JOIN img USING (vox) GROUP BY event_id) f USING (event_id)")(
-    lambda spark, d: out(A.attenuation(lines(spark, d), image(spark).withColumn("val", F.col("val") / 100), S), digits=6))
-query("line_integrals", f"WITH {_LN}, {_IMG}, {_seg()} SELECT * FROM ({_FWD.format('seg')}) WHERE event_id % 2 = 0")(lambda spark, d: out(recon.line_integrals(problem(spark, d, subsets=2), image(spark))))
+    lambda spark, d: out(A.attenuation(lines(spark, d), image(spark, d).withColumn("val", F.col("val") / 100), S), digits=6))
+query("line_integrals", f"WITH {_LN}, {_IMG}, {_seg()} SELECT * FROM ({_FWD.format('seg')}) WHERE event_id % 2 = 0")(lambda spark, d: out(recon.line_integrals(problem(spark, d, subsets=2), image(spark, d))))
 _W = "(0.5e0 + event_id % 4)"
 for _name, _extra, _from, _len, _trace in (("siddon_back", _seg(), "seg", "len", ("siddon", 1)), ("siddon_back_square", _seg(), "seg", "len * len", ("siddon", 2)), ("bresenham_back", _bres(), "seg", "len", ("bresenham", 1)), ("tof_back", _tof(), "ts", "len", ("tof", 1)), ("tof_bresenham_back", _tof(_bres), "ts", "len", ("tof_bresenham", 1))):
     query(_name, f"WITH {_LN}, {_extra} SELECT {_id('vox')}, {_r(f'sum({_len} * {_W})', 'val', 3)} FROM {_from} GROUP BY vox")(lambda spark, d, t=_trace: out(A.back(lines(spark, d).withColumn("w", F.expr(_W)), S, "w", *t), digits=3))
 query("sensitivity", f"WITH {_LN}, {_seg()} SELECT {_id('vox')}, {_r('sum(len)', 'val', 3)} FROM seg GROUP BY vox")(lambda spark, d: out(A.sensitivity(lines(spark, d), S), digits=3))
 query("bresenham_samples", f"WITH {_LN}, {_bres()} SELECT {_id('event_id', 'i', 'j', 'k')}, {_r('len', 'len')} FROM seg")(lambda spark, d: out(T.samples(lines(spark, d), S, "event_id"), "event_id", "i", "j", "k", "len"))
 query("tof_endpoints", f"WITH {_LN}, {_tof()} {_SPAN} FROM te")(lambda spark, d: out(T.tof_lines(lines(spark, d), S), "event_id", "x0", "y0", "z0", "x1", "y1", "z1"))
-query("tof_lut", f"WITH {_LUT} SELECT CAST(bin AS BIGINT) AS bin, {_r('w', 'w', 9)} FROM lut")(lambda spark, d: out(T.tof_lut(spark, S), digits=9))
+_FAR = "sqrt(pow((x0 + x1) / 2e0, 2) + pow((y0 + y1) / 2e0, 2) + pow((z0 + z1) / 2e0, 2))"
+query("tof_lut", f"WITH {_LN}, {_LUT}, fr AS (SELECT CAST(floor({_FAR} * 512e0 / (3e0 * {_SIGMA}) + 1e-7) AS INT) AS bin, count(*) AS n FROM ln GROUP BY ALL) SELECT CAST(bin AS BIGINT) AS bin, {_r('w', 'w', 9)}, coalesce(n, 0) AS n_lines FROM lut LEFT JOIN fr USING (bin)")(
+    lambda spark, d: out(T.tof_lut(spark, S).join(lines(spark, d).selectExpr(f"CAST(floor({_FAR} / {S.lut_step!r} + 1e-7) AS INT) AS bin").groupBy("bin").agg(F.count("*").alias("n_lines")), "bin", "left").fillna(0, "n_lines"), digits=9))
 query("subset_sizes", f"WITH {_EV} SELECT CAST(event_id % 3 AS BIGINT) AS subset_id, count(*) AS n_events FROM ev GROUP BY ALL")(lambda spark, d: out(A.subset_sizes(events(spark, d), 3)))
 query("factor_join", f"WITH {_EV}, {_FAC} SELECT {_id('event_id')}, {_r('add_fac', 'add_fac')}, {_r('mul_fac', 'mul_fac')} FROM fac")(lambda spark, d: out(full_events(spark, d), "event_id", "add_fac", "mul_fac"))
-query("crystal_pairs", "SELECT CAST(a AS BIGINT) AS angle, CAST(b AS BIGINT) AS bin, CAST(((13 - (b + 13) // 2 + 48) % 48 + a) % 48 AS BIGINT) AS xtal_1, CAST((14 + (b + 14) // 2 + a) % 48 AS BIGINT) AS xtal_2 FROM range(24) x(a), range(21) y(b)")(lambda spark, d: out(G.crystal_pairs(spark, S, 20)))
-query("index_round_trip", f"WITH {_IMG} SELECT {_id('vox', 'i', 'j', 'k')} FROM img WHERE i + 16 * j + 256 * k = vox")(lambda spark, d: out(G.with_vox(G.grid(spark, S), S), "vox", "i", "j", "k"))
+query("index_round_trip", f"WITH {_VIMG} SELECT {_id('vox', 'i', 'j', 'k')} FROM img WHERE i + 16 * j + 256 * k = vox")(lambda spark, d: (lambda x, s: out(G.with_vox(x, s), "vox", "i", "j", "k"))(*volume(spark, d)))
 
 # --- blur and sparse matrices
 _PSF = "bt AS (SELECT r AS row, r + o AS col, CASE o WHEN 0 THEN 0.5e0 WHEN 1 THEN 0.3e0 ELSE 0.2e0 END AS a FROM range(256) x(r), (VALUES (-1), (0), (1)) y(o) WHERE r + o BETWEEN 0 AND 255), ba AS (SELECT r AS row, r + o AS col, CASE o WHEN 0 THEN 0.6e0 WHEN 1 THEN 0.25e0 ELSE 0.15e0 END AS a FROM range(8) x(r), (VALUES (-1), (0), (1)) y(o) WHERE r + o BETWEEN 0 AND 7)"
 for _name, _row, _col in (("psf_blur", "row", "col"), ("psf_blur_t", "col", "row")):
-    query(_name, f"WITH {_IMG}, {_PSF} SELECT CAST(bt.{_row} + 256 * ba.{_row} AS BIGINT) AS vox, {_r('sum(val * bt.a * ba.a)', 'val')} FROM img JOIN bt ON bt.{_col} = vox % 256 JOIN ba ON ba.{_col} = vox // 256 GROUP BY ALL")(lambda spark, d, t=_name.endswith("_t"): out(P.blur(image(spark), S, *psf(spark), t)))
+    query(_name, f"WITH {_IMG}, {_PSF} SELECT CAST(bt.{_row} + 256 * ba.{_row} AS BIGINT) AS vox, {_r('sum(val * bt.a * ba.a)', 'val')} FROM img JOIN bt ON bt.{_col} = vox % 256 JOIN ba ON ba.{_col} = vox // 256 GROUP BY ALL")(lambda spark, d, t=_name.endswith("_t"): out(P.blur(image(spark, d), S, *psf(spark), t)))
 _MX = "mx AS (SELECT CAST(event_id % 40 AS INT) AS row, CAST(user_id % 60 AS INT) AS col, sum(1e0 + event_id % 9) AS val FROM events WHERE event_id % 7 <> 3 AND event_id % 40 <> 11 GROUP BY ALL)"
 _X = "1e0 + (id * 31 % 17) / 17e0"
 
@@ -248,14 +298,14 @@ _PR = "pr AS (SELECT a.vox AS v, b.vox AS u, a.val - b.val AS d, g * a.kappa * b
 _AN = lambda kind: f"SELECT CAST(v AS BIGINT) AS vox, {_r(f'sum(4e0 * ({slope_over_t(kind, 'd', _DELTA)}) * gk)', 't1')}, {_r(f'sum(2e0 * ({slope_over_t(kind, 'd', _DELTA)}) * gk * d)', 't2')} FROM pr GROUP BY v"
 _IW = lambda kind: f"iw AS (SELECT v, {slope_over_t(kind, 'sqrt(q)', _DELTA)} AS w FROM (SELECT v, sum(d * d * gk) AS q FROM pr GROUP BY v))"
 for _kind in POTENTIALS:
-    query(f"mrf_{_kind}", f"WITH {_IMG}, {_NB[0]}, {_PR} {_AN(_kind)}")(lambda spark, d, k=_kind: out(R.surrogate(image(spark), S, k, _DELTA)))
-    query(f"potential_{_kind}", f"WITH {_IMG} SELECT vox, {_r(phi(_kind, 't', _DELTA), 'phi')}, {_r(slope(_kind, 't', _DELTA), 'slope')}, {_r(slope_over_t(_kind, 't', _DELTA), 'ratio')} FROM (SELECT CAST(vox AS BIGINT) AS vox, val - 1.4e0 AS t FROM img)")(
-        lambda spark, d, k=_kind: out(image(spark).selectExpr("vox", "val - 1.4e0 AS t").selectExpr("vox", f"{formulas.phi(k, 't', _DELTA)} AS phi", f"{formulas.slope(k, 't', _DELTA)} AS slope", f"{formulas.slope_over_t(k, 't', _DELTA)} AS ratio")))
-query("mrf_t1t2_aniso", f"WITH {_IMG}, {_NB[1]}, {_PR} {_AN('huber')}")(lambda spark, d: out(R.surrogate(image(spark), S, "huber", _DELTA, 1)))
+    query(f"mrf_{_kind}", f"WITH {_VIMG}, {_NB[0]}, {_PR} {_AN(_kind)}")(lambda spark, d, k=_kind: out(R.surrogate(*volume(spark, d), k, _DELTA)))
+    query(f"potential_{_kind}", f"WITH {_VIMG} SELECT vox, {_r(phi(_kind, 't', _DELTA), 'phi')}, {_r(slope(_kind, 't', _DELTA), 'slope')}, {_r(slope_over_t(_kind, 't', _DELTA), 'ratio')} FROM (SELECT CAST(vox AS BIGINT) AS vox, val - 1.4e0 AS t FROM img)")(
+        lambda spark, d, k=_kind: out(volume(spark, d)[0].selectExpr("vox", "val - 1.4e0 AS t").selectExpr("vox", f"{formulas.phi(k, 't', _DELTA)} AS phi", f"{formulas.slope(k, 't', _DELTA)} AS slope", f"{formulas.slope_over_t(k, 't', _DELTA)} AS ratio")))
+query("mrf_t1t2_aniso", f"WITH {_VIMG}, {_NB[1]}, {_PR} {_AN('huber')}")(lambda spark, d: out(R.surrogate(*volume(spark, d), "huber", _DELTA, 1)))
 _ISO = "SELECT CAST(pr.v AS BIGINT) AS vox, " + _r("sum(2e0 * (a.w + b.w) * gk)", "t1") + ", " + _r("sum((a.w + b.w) * gk * d)", "t2") + " FROM pr JOIN iw a ON a.v = pr.v JOIN iw b ON b.v = pr.u GROUP BY pr.v"
-query("mrf_t1t2_iso", f"WITH {_IMG}, {_NB[1]}, {_PR}, {_IW('hyperbola')} {_ISO}")(lambda spark, d: out(R.surrogate(image(spark), S, "hyperbola", _DELTA, 1, True)))
-query("mrf_grad_aniso", f"WITH {_IMG}, {_NB[1]}, {_PR} SELECT CAST(v AS BIGINT) AS vox, {_r(f'sum(2e0 * ({slope('fair', 'd', _DELTA)}) * gk)', 'grad')} FROM pr GROUP BY v")(lambda spark, d: out(R.gradient(image(spark), S, "fair", _DELTA, 1)))
-query("mrf_grad_iso", f"WITH {_IMG}, {_NB[1]}, {_PR}, {_IW('hl')} SELECT CAST(pr.v AS BIGINT) AS vox, {_r('sum((a.w + b.w) * gk * d)', 'grad')} FROM pr JOIN iw a ON a.v = pr.v JOIN iw b ON b.v = pr.u GROUP BY pr.v")(lambda spark, d: out(R.gradient(image(spark), S, "hl", _DELTA, 1, True)))
+query("mrf_t1t2_iso", f"WITH {_VIMG}, {_NB[1]}, {_PR}, {_IW('hyperbola')} {_ISO}")(lambda spark, d: out(R.surrogate(*volume(spark, d), "hyperbola", _DELTA, 1, True)))
+query("mrf_grad_aniso", f"WITH {_VIMG}, {_NB[1]}, {_PR} SELECT CAST(v AS BIGINT) AS vox, {_r(f'sum(2e0 * ({slope('fair', 'd', _DELTA)}) * gk)', 'grad')} FROM pr GROUP BY v")(lambda spark, d: out(R.gradient(*volume(spark, d), "fair", _DELTA, 1)))
+query("mrf_grad_iso", f"WITH {_VIMG}, {_NB[1]}, {_PR}, {_IW('hl')} SELECT CAST(pr.v AS BIGINT) AS vox, {_r('sum((a.w + b.w) * gk * d)', 'grad')} FROM pr JOIN iw a ON a.v = pr.v JOIN iw b ON b.v = pr.u GROUP BY pr.v")(lambda spark, d: out(R.gradient(*volume(spark, d), "hl", _DELTA, 1, True)))
 _CUBE = "cb(pi, pj, pk) AS (SELECT a, b, c FROM (VALUES (-1), (0), (1)) x(a), (VALUES (-1), (0), (1)) y(b), (VALUES (-1), (0), (1)) z(c))"
 _PP = ("pp AS (SELECT v.vox AS v, n.vox AS u, v.kappa * n.kappa AS kk, a.vox AS a, b.vox AS b, coalesce(a.val, 0e0) - coalesce(b.val, 0e0) AS d, CAST(a.vox IS NOT NULL AS INT) + CAST(b.vox IS NOT NULL AS INT) AS c "
        "FROM img v CROSS JOIN nb JOIN img n ON n.i = v.i + di AND n.j = v.j + dj AND n.k = v.k + dk CROSS JOIN cb LEFT JOIN img a ON a.i = v.i + pi AND a.j = v.j + pj AND a.k = v.k + pk LEFT JOIN img b ON b.i = n.i + pi AND b.j = n.j + pj AND b.k = n.k + pk)")
@@ -263,11 +313,11 @@ _PT = "SELECT CAST(x AS BIGINT) AS vox, {t1}{t2} FROM (SELECT a AS x, d * w * kk
 _PA = f"pw AS (SELECT *, {slope_over_t('hyperbola', 'sqrt(sum(d * d) OVER (PARTITION BY v, u))', _DELTA)} AS w FROM pp)"
 _PI = f"pw AS (SELECT *, {slope_over_t('hyperbola', 'sqrt(sum(d * d * kk) OVER (PARTITION BY v))', _DELTA)} AS w FROM pp)"
 _T1, _T2 = _r("sum(t)", "t1") + ", ", _r("sum(s)", "t2")
-query("patch_t1t2_aniso", f"WITH {_IMG}, {_NB[0]}, {_CUBE}, {_PP}, {_PA} {_PT.format(t1=_T1, t2=_T2)}")(lambda spark, d: out(R.patch_surrogate(image(spark), S, "hyperbola", _DELTA)))
-query("patch_t1t2_iso", f"WITH {_IMG}, {_NB[0]}, {_CUBE}, {_PP}, {_PI} {_PT.format(t1=_T1, t2=_T2)}")(lambda spark, d: out(R.patch_surrogate(image(spark), S, "hyperbola", _DELTA, 0, True)))
-query("patch_grad", f"WITH {_IMG}, {_NB[0]}, {_CUBE}, {_PP}, {_PA} {_PT.format(t1='', t2=_r('sum(s)', 'grad'))}")(lambda spark, d: out(R.patch_gradient(image(spark), S, "hyperbola", _DELTA)))
-query("mean_t1t2", f"WITH {_IMG} SELECT CAST(vox AS BIGINT) AS vox, 1e0 AS t1, {_r('val - kappa', 't2')} FROM img")(lambda spark, d: out(R.mean_surrogate(image(spark), image(spark).selectExpr("vox", "kappa AS val"))))
-query("fov_mask", f"SELECT id AS vox, CASE WHEN pow(id % 64 + 1 - 32.5e0, 2) + pow(id // 64 % 64 + 1 - 32.5e0, 2) > 1764 THEN 0e0 ELSE {_r(_VAL.replace('vox', 'id'), 'x').removesuffix(' AS x')} END AS val FROM range(8192) t(id)")(lambda spark, d: out(R.fov_mask(image(spark, WIDE), WIDE), "vox", "val"))
+query("patch_t1t2_aniso", f"WITH {_VIMG}, {_NB[0]}, {_CUBE}, {_PP}, {_PA} {_PT.format(t1=_T1, t2=_T2)}")(lambda spark, d: out(R.patch_surrogate(*volume(spark, d), "hyperbola", _DELTA)))
+query("patch_t1t2_iso", f"WITH {_VIMG}, {_NB[0]}, {_CUBE}, {_PP}, {_PI} {_PT.format(t1=_T1, t2=_T2)}")(lambda spark, d: out(R.patch_surrogate(*volume(spark, d), "hyperbola", _DELTA, 0, True)))
+query("patch_grad", f"WITH {_VIMG}, {_NB[0]}, {_CUBE}, {_PP}, {_PA} {_PT.format(t1='', t2=_r('sum(s)', 'grad'))}")(lambda spark, d: out(R.patch_gradient(*volume(spark, d), "hyperbola", _DELTA)))
+query("mean_t1t2", f"WITH {_VIMG} SELECT CAST(vox AS BIGINT) AS vox, 1e0 AS t1, {_r('val - kappa', 't2')} FROM img")(lambda spark, d: out(R.mean_surrogate(volume(spark, d)[0], volume(spark, d)[0].selectExpr("vox", "kappa AS val"))))
+query("fov_mask", f"WITH {_img('max(2)', 64)} SELECT CAST(vox AS BIGINT) AS vox, CASE WHEN pow(i + 1 - 32.5e0, 2) + pow(j + 1 - 32.5e0, 2) > 1764 THEN 0e0 ELSE {_r('val', 'x').removesuffix(' AS x')} END AS val FROM img")(lambda spark, d: out(R.fov_mask(image(spark, d, WIDE), WIDE), "vox", "val"))
 
 # --- patch matching
 _M, _K = N.Matching(), 4
@@ -276,13 +326,13 @@ _DS = lambda centres: (f"{_CUBE}, wd AS (SELECT v.vox AS v, n.vox AS u, coalesce
 _BL = "WHERE i % 2 = 0 AND j % 2 = 0 AND k % 2 = 0"
 _KN = f"{_DS(_BL)}, kn AS (SELECT * FROM (SELECT v, u, round(d, 9) AS d, row_number() OVER (PARTITION BY v ORDER BY round(d, 9), u) AS rank FROM ds) WHERE rank <= {_K})"
 _FL = "cv AS (SELECT n.vox, count(*) AS n FROM img v CROSS JOIN cb JOIN img n ON n.i = v.i + pi AND n.j = v.j + pj AND n.k = v.k + pk WHERE v.i % 2 = 0 AND v.j % 2 = 0 AND v.k % 2 = 0 GROUP BY n.vox), ce AS (SELECT a.vox AS a, b.vox AS b FROM kn JOIN img x ON x.vox = kn.v JOIN img y ON y.vox = kn.u CROSS JOIN cb JOIN img a ON a.i = x.i + pi AND a.j = x.j + pj AND a.k = x.k + pk JOIN img b ON b.i = y.i + pi AND b.j = y.j + pj AND b.k = y.k + pk)"
-query("nlm_kernel_weights", f"WITH {_IMG}, {_DS('')} SELECT CAST(v AS BIGINT) AS vox, CAST(u AS BIGINT) AS nbr, {_r('exp(-d / 2e0)', 'w', 6)} FROM ds")(lambda spark, d: out(N.kernel_weights(image(spark), S, _M, 2.0), digits=6))
-query("patch_knn", f"WITH {_IMG}, {_KN} SELECT CAST(v AS BIGINT) AS vox, rank, CAST(u AS BIGINT) AS nbr, {_r('d', 'd')} FROM kn")(lambda spark, d: out(N.nearest(image(spark), S, _M, _K)))
-query("patch_coverage", f"WITH {_IMG}, {_KN}, {_FL} SELECT CAST(vox AS BIGINT) AS vox, n FROM cv")(lambda spark, d: out(N.coverage(image(spark), S, _M)))
-query("knn_filter_forward", f"WITH {_IMG}, {_KN}, {_FL} SELECT CAST(img.vox AS BIGINT) AS vox, {_r('CASE WHEN n > 0 THEN coalesce(t, 0e0) / n END', 'val')} FROM img LEFT JOIN cv USING (vox) LEFT JOIN (SELECT a, sum(val / {_K}) AS t FROM ce JOIN img ON vox = b GROUP BY a) s ON s.a = img.vox")(
-    lambda spark, d: out(N.filter_forward(image(spark), N.nearest(image(spark), S, _M, _K), S, _M, _K)))
-query("knn_filter_backward", f"WITH {_IMG}, {_KN}, {_FL} SELECT CAST(img.vox AS BIGINT) AS vox, {_r('coalesce(t, 0e0)', 'val')} FROM img LEFT JOIN (SELECT b, sum(val / n / {_K}) AS t FROM ce JOIN img ON img.vox = a JOIN cv ON cv.vox = a GROUP BY b) s ON s.b = img.vox")(
-    lambda spark, d: out(N.filter_backward(image(spark), N.nearest(image(spark), S, _M, _K), S, _M, _K)))
+query("nlm_kernel_weights", f"WITH {_VIMG}, {_DS('')} SELECT CAST(v AS BIGINT) AS vox, CAST(u AS BIGINT) AS nbr, {_r('exp(-d / 2e0)', 'w', 6)} FROM ds")(lambda spark, d: out(N.kernel_weights(*volume(spark, d), _M, 2.0), digits=6))
+query("patch_knn", f"WITH {_VIMG}, {_KN} SELECT CAST(v AS BIGINT) AS vox, rank, CAST(u AS BIGINT) AS nbr, {_r('d', 'd')} FROM kn")(lambda spark, d: out(N.nearest(*volume(spark, d), _M, _K)))
+query("patch_coverage", f"WITH {_VIMG}, {_KN}, {_FL} SELECT CAST(vox AS BIGINT) AS vox, n FROM cv")(lambda spark, d: out(N.coverage(*volume(spark, d), _M)))
+query("knn_filter_forward", f"WITH {_VIMG}, {_KN}, {_FL} SELECT CAST(img.vox AS BIGINT) AS vox, {_r('CASE WHEN n > 0 THEN coalesce(t, 0e0) / n END', 'val', 7)} FROM img LEFT JOIN cv USING (vox) LEFT JOIN (SELECT a, sum(val / {_K}) AS t FROM ce JOIN img ON vox = b GROUP BY a) s ON s.a = img.vox")(
+    lambda spark, d: (lambda x, s: out(N.filter_forward(x, N.nearest(x, s, _M, _K), s, _M, _K), digits=7))(*volume(spark, d)))
+query("knn_filter_backward", f"WITH {_VIMG}, {_KN}, {_FL} SELECT CAST(img.vox AS BIGINT) AS vox, {_r('coalesce(t, 0e0)', 'val', 7)} FROM img LEFT JOIN (SELECT b, sum(val / n / {_K}) AS t FROM ce JOIN img ON img.vox = a JOIN cv ON cv.vox = a GROUP BY b) s ON s.b = img.vox")(
+    lambda spark, d: (lambda x, s: out(N.filter_backward(x, N.nearest(x, s, _M, _K), s, _M, _K), digits=7))(*volume(spark, d)))
 
 # --- reconstruction
 _SENS = "sn AS MATERIALIZED (SELECT vox, sum(len) AS s FROM seg GROUP BY vox)"
@@ -303,11 +353,11 @@ query("em_update", f"{_START}{_ONE}, {_em('x0', 'xn')} {_OUT}xn")(lambda spark,
 query("osem_2x2", f"{_START}{_ONE}, {_em('x0', 'x1', 2, 0)}, {_em('x1', 'x2', 2, 1)}, {_em('x2', 'x3', 2, 0)}, {_em('x3', 'x4', 2, 1)} {_OUT}x4")(lambda spark, d: (lambda p: out(recon.em(p, recon.ones(p), 2)))(problem(spark, d, subsets=2)))
 _IM = "x0 AS (SELECT vox, val FROM img)"
 query("loglik", f"{_START}{_IM}, {_em('x0', 'xn')} SELECT {_r('l1', 'l1', 2)}, {_r('l2', 'l2', 2)}, {_r('l2 - l1', 'll', 2)} FROM (SELECT (SELECT sum(val * s) FROM x0 JOIN sn USING (vox)) AS l1, (SELECT sum(ln(e + 1e-20)) FROM qxn) AS l2)")(
-    lambda spark, d: (lambda p: out(p.likelihood(image(spark).select("vox", "val"), recon.log_sum(p.ratios(image(spark).select("vox", "val"), 0))), digits=2))(problem(spark, d)))
+    lambda spark, d: (lambda p: out(p.likelihood(image(spark, d).select("vox", "val"), recon.log_sum(p.ratios(image(spark, d).select("vox", "val"), 0))), digits=2))(problem(spark, d)))
 _FLAT = "im AS (SELECT vox, i, j, k, val, 1e0 AS kappa FROM img)"
 _PEN = f"{_NB[0]}, pq AS (SELECT a.vox AS v, a.val - b.val AS d FROM im a, nb, im b WHERE b.i = a.i + di AND b.j = a.j + dj AND b.k = a.k + dk), tt AS (SELECT v AS vox, sum(4e0 * 2) AS t1, sum(2e0 * 2 * d) AS t2 FROM pq GROUP BY v)"
 query("map_em_update", f"{_START}{_IM}, {_em('x0', 'xn')}, {_FLAT}, {_PEN}, ab AS (SELECT vox, {_BETA} * t1 AS a, coalesce(s, 0e0) - {_BETA} * (t1 * x0.val - t2) AS b, x0.val * coalesce(z, 0e0) AS c FROM x0 JOIN tt USING (vox) LEFT JOIN sn USING (vox) LEFT JOIN zxn USING (vox)) SELECT CAST(vox AS BIGINT) AS vox, {_r('CASE WHEN b + sqrt(b * b + 4 * a * c) > 0 THEN 2 * c / (b + sqrt(b * b + 4 * a * c)) ELSE 0e0 END', 'val')} FROM ab")(
-    lambda spark, d: (lambda p: out(recon.em_step(p, image(spark).select("vox", "val"))))(problem(spark, d, beta=_BETA, penalty=recon.mrf(S))))
+    lambda spark, d: (lambda p: out(recon.em_step(p, image(spark, d).select("vox", "val"))))(problem(spark, d, beta=_BETA, penalty=recon.mrf(S))))
 _KM = f"km AS (SELECT r AS row, r + o AS col, CASE o WHEN 0 THEN 0.6e0 ELSE 0.2e0 END AS a FROM range({S.voxels}) x(r), (VALUES (-1), (0), (1)) y(o) WHERE r + o BETWEEN 0 AND {S.voxels - 1})"
 query("kem_update", f"{_START}{_ONE}, {_em('x0', 'xn')}, {_KM}, al AS (SELECT x0.vox, CASE WHEN s > 0 THEN coalesce(t, 0e0) / s ELSE 0e0 END AS val FROM x0 LEFT JOIN (SELECT row AS vox, sum(a * z) AS t FROM km JOIN zxn ON col = vox GROUP BY row) k USING (vox) LEFT JOIN sn USING (vox)) SELECT CAST(row AS BIGINT) AS vox, {_r('sum(a * val)', 'val')} FROM km JOIN al ON col = vox GROUP BY row")(
     lambda spark, d: (lambda p: out(recon.kem(p, kernel(spark), recon.ones(p), 1)))(problem(spark, d)))
@@ -322,16 +372,19 @@ def _admm(inner: int, beta: float) -> str:
 
 
 query("admm_step", f"{_START}{_IM}, {_em('x0', 'xn')}, {_NB[0]}, {_admm(2, 0.5)}, ab AS (SELECT vox, coalesce(s, 0e0) - 0.5e0 * u2.val AS b, x0.val * coalesce(z, 0e0) AS c FROM x0 JOIN u2 USING (vox) LEFT JOIN sn USING (vox) LEFT JOIN zxn USING (vox)) SELECT CAST(vox AS BIGINT) AS vox, {_r('CASE WHEN b + sqrt(b * b + 2 * c) > 0 THEN 2 * c / (b + sqrt(b * b + 2 * c)) ELSE 0e0 END', 'val')} FROM ab")(
-    lambda spark, d: (lambda p: out(recon.admm(p, image(spark).select("vox", "val"), 1, recon.mrf(S), 0.5, 2)))(problem(spark, d)))
-_LINES = ", ".join(f"({n}, '{t}')" for n, t in enumerate(_CONFIG, 1))
-_CL = (f"c0(line, text) AS (VALUES {_LINES}), c1 AS (SELECT *, regexp_replace(split_part(text, '#', 1), '[ \\t\\r\\n\\x08]', '', 'g') AS bare FROM c0), c2 AS (SELECT *, string_split(bare, '=') AS p FROM c1), "
-       f"c3 AS (SELECT *, CASE WHEN text LIKE '#%' THEN 'COMMENT' WHEN bare = '' THEN 'EMPTY' WHEN len(p) <> 2 OR p[1] = '' OR p[2] = '' THEN 'BAD' WHEN p[1] NOT IN ({', '.join(repr(k) for k in config.KEYS)}) THEN 'UNKNOWN' ELSE 'OK' END AS state FROM c2)")
-query("config_validate", f"WITH {_CL} SELECT CAST(line AS BIGINT) AS line, state, CASE WHEN state IN ('OK', 'UNKNOWN') THEN p[1] END AS key, CASE WHEN state IN ('OK', 'UNKNOWN') THEN p[2] END AS value FROM c3")(lambda spark, d: out(config.classify(_config(spark)), "line", "state", "key", "value"))
-query("config_problems", f"WITH {_CL} SELECT 'duplicate' AS kind, p[1] AS key FROM c3 WHERE state = 'OK' GROUP BY p[1] HAVING count(*) > 1 UNION ALL SELECT 'missing', k FROM (VALUES {', '.join(f'({k!r})' for k in config.MANDATORY)}) t(k) WHERE k NOT IN (SELECT p[1] FROM c3 WHERE state = 'OK')")(lambda spark, d: config.problems(config.classify(_config(spark))))
-
-
-def _config(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(_CONFIG, 1)), "line int, text string")
+    lambda spark, d: (lambda p: out(recon.admm(p, image(spark, d).select("vox", "val"), 1, recon.mrf(S), 0.5, 2)))(problem(spark, d)))
+_LINES = "[" + ", ".join(f"'{t}'" for t in _CONFIG) + "]"
+_CL = (f"c0 AS (SELECT event_id AS line, {_LINES}[event_id % {len(_CONFIG)} + 1] || CASE WHEN user_id % 3 = 0 THEN ' # ' || user_id ELSE '' END AS text FROM events), c1 AS (SELECT *, regexp_replace(split_part(text, '#', 1), '[ \\t\\r\\n\\x08]', '', 'g') AS bare FROM c0), c2 AS (SELECT *, string_split(bare, '=') AS p FROM c1), "
+       f"c3 AS (SELECT *, CASE WHEN ltrim(text) LIKE '#%' THEN 'COMMENT' WHEN bare = '' THEN 'EMPTY' WHEN len(p) <> 2 OR p[1] = '' OR p[2] = '' THEN 'BAD' WHEN p[1] NOT IN ({', '.join(repr(k) for k in config.KEYS)}) THEN 'UNKNOWN' ELSE 'OK' END AS state FROM c2)")
+query("config_validate", f"WITH {_CL} SELECT CAST(line AS BIGINT) AS line, state, CASE WHEN state IN ('OK', 'UNKNOWN') THEN p[1] END AS key, CASE WHEN state IN ('OK', 'UNKNOWN') THEN p[2] END AS value FROM c3")(lambda spark, d: out(config.classify(_config(spark, d)), "line", "state", "key", "value"))
+query("config_problems", f"WITH {_CL} SELECT 'duplicate' AS kind, p[1] AS key FROM c3 WHERE state = 'OK' GROUP BY p[1] HAVING count(*) > 1 UNION ALL SELECT 'missing', k FROM (VALUES {', '.join(f'({k!r})' for k in config.MANDATORY)}) t(k) WHERE k NOT IN (SELECT p[1] FROM c3 WHERE state = 'OK')")(lambda spark, d: config.problems(config.classify(_config(spark, d))))
+
+
+def _config(spark: SparkSession, d: str) -> DataFrame:
+    """A line of settings for each event, some with a remark."""
+    rows = spark.read.parquet(f"{d}/events.parquet")
+    items = ", ".join(f"'{t}'" for t in _CONFIG)
+    return rows.selectExpr("event_id AS line", f"concat(get(array({items}), CAST(event_id % {len(_CONFIG)} AS INT)), CASE WHEN user_id % 3 = 0 THEN concat(' # ', user_id) ELSE '' END) AS text")
 
 
 assert LUT_SIZE == len(S.lut())

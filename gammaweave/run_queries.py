@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import queries as Q
-from .operators import geometry, knn, project, sparse
+from .operators import geometry, knn, project, sinogram, sparse, subsets
 from .plans import config, recon, run
 from .plans.scanner import SMALL, Scanner
 from .plans.store import shared_folder
@@ -45,7 +45,7 @@ def scan(spark: SparkSession, d: str) -> str:
             e.tofile(f"{f}/{name}")
         for c in ("add_fac", "mul_fac"):
             t[c].to_numpy().astype("<f4").tofile(f"{f}/scan.{c}")
-        x = Q.image(spark)
+        x = Q.image(spark, d)
         for name, value in (("guess", "val"), ("kappa", "kappa"), ("sens", _SENS)):
             raw.write_raw(x.selectExpr("vox", f"{value} AS v"), f"{f}/{name}.img", "vox", "v")
         with open(f"{f}/guess.img", "rb") as a, open(f"{f}/short.img", "wb") as b:
@@ -90,7 +90,7 @@ for _name, _levels, _long in (("quantised_scan", 131071, False), ("quantised_sca
 
 
 def _kernel_files(spark: SparkSession, d: str) -> DataFrame:
-    f, x = scan(spark, d), Q.image(spark)
+    f, x = scan(spark, d), Q.image(spark, d)
     sinks.write_kernel(knn.kernel_weights(x, SMALL, Q._M, 2.0), knn.nearest(x, SMALL, Q._M, Q._K), f)
     w, n = spark.read.parquet(f"{f}/ker_weight"), spark.read.parquet(f"{f}/ker_ind")
     return Q.out(n.join(w, ["vox", "nbr"]), "vox", "rank", "nbr", "w", digits=6)
@@ -98,71 +98,87 @@ def _kernel_files(spark: SparkSession, d: str) -> DataFrame:
 
 query("kernel_files", f"WITH {Q._IMG}, {Q._KN} SELECT CAST(v AS BIGINT) AS vox, rank, CAST(u AS BIGINT) AS nbr, {Q._r('exp(-d / 2e0)', 'w', 6)} FROM kn")(_kernel_files)
 
-# --- settings
-_LISTS = ["1,2,3", "1,2,", "a,,b", ",", "x", "1,2,,"]
-query("list_split", f"WITH t AS (SELECT text, string_split(text, ',') AS p FROM (VALUES {', '.join(f'({x!r})' for x in _LISTS)}) t(text)), q AS (SELECT text, CASE WHEN p[-1] = '' THEN p[:-2] ELSE p END AS p FROM t) SELECT text, CAST(len(p) AS BIGINT) AS n, array_to_string(p, '|') AS parts FROM q")(
-    lambda spark, d: spark.createDataFrame([(x, len(config.split_list(x)), "|".join(config.split_list(x))) for x in _LISTS], "text string, n long, parts string"))
-_TYPED = [
-    ("image_size", "16,16,8,9", "16|16|8"), ("image_size", "16,16", None), ("image_size", "16,0,8", None), ("voxel_size", "4,4.5,1e1", "4.0|4.5|10.0"), ("crystal_gap_size", "0,0,0.5", "0.0|0.0|0.5"), ("crystal_size", "1,2,3,-4", None), ("crystal_array_size", "4,x", None),
-    ("TOF_information", "300,0", None), ("regularizer_strength", "0", "0.0"), ("regularizer_buildin_parameter_list", "1,-2,0.5", "1.0|0.0|0.5"), ("regularizer_potential_function_type", "6", None), ("iteration_setting", "2,0,1", "2|0|1"), ("iteration_setting", "2,1,0", None), ("sensitivity", "a/b.img", "a/b.img"),
-]
+# --- sinogram bins
+_CP = "SELECT CAST(a AS BIGINT) AS angle, CAST(b AS BIGINT) AS bin, CAST((({f} - (b + {p}) // 2 + {n}) % {n} + a) % {n} AS BIGINT) AS xtal_1, CAST(({g} + (b + {p} + 1) // 2 + a) % {n} AS BIGINT) AS xtal_2 FROM range({h}) x(a), range(21) y(b)"
 
 
-def _try(key: str, value: str) -> str | None:
-    try:
-        return "|".join(map(str, config.typed(key, value)))
-    except config.SettingsError:
-        return None
+def _pairs_sql(keep: str = "", **numbers) -> str:
+    """Bins with their crystals, and how many events fall to each."""
+    cp = f"cp AS ({_CP.format(**numbers)}{keep})"
+    hits = "hi AS (SELECT angle, bin, count(*) AS n FROM ev JOIN cp ON least(xtal_id_1, xtal_id_2) = least(xtal_1, xtal_2) AND greatest(xtal_id_1, xtal_id_2) = greatest(xtal_1, xtal_2) GROUP BY ALL)"
+    return f"WITH {Q._EV}, {cp}, {hits} SELECT cp.*, coalesce(n, 0) AS n_events FROM cp LEFT JOIN hi USING (angle, bin)"
 
 
-def _values(rows: list[tuple]) -> str:
-    return ", ".join("(" + ", ".join("NULL" if x is None else repr(x) for x in r) + ")" for r in rows)
+def _pairs(spark: SparkSession, d: str, s: Scanner, compressed: bool = False) -> DataFrame:
+    pairs = geometry.crystal_pairs(spark, s, 20, compressed)
+    counts = sinogram.placed(Q.events(spark, d), pairs, s).groupBy("angle", "bin").agg(F.count("*").alias("n_events"))
+    return Q.out(pairs.join(counts, ["angle", "bin"], "left").fillna(0, "n_events"))
 
 
-query("typed_values", f"SELECT * FROM (VALUES {_values(_TYPED)}) t(key, value, typed)")(lambda spark, d: spark.createDataFrame([(k, v, _try(k, v)) for k, v, _ in _TYPED], "key string, value string, typed string"))
+_SMALL_BINS = {"f": 13, "p": 13, "g": 14, "n": 48, "h": 24}
+query("crystal_pairs", _pairs_sql(**_SMALL_BINS))(lambda spark, d: _pairs(spark, d, SMALL))
+query("crystal_pairs_half_step", _pairs_sql(f=10, p=11, g=13, n=48, h=24))(lambda spark, d: _pairs(spark, d, replace(SMALL, half_step=True)))
+query("crystal_pairs_odd", _pairs_sql(f=16, p=18, g=18, n=60, h=30))(lambda spark, d: _pairs(spark, d, replace(SMALL, crystals=5)))
+query("crystal_pairs_compressed", _pairs_sql(" WHERE a < 7 AND b <= 10", **_SMALL_BINS))(lambda spark, d: _pairs(spark, d, SMALL, True))
+_IN_BINS = (f"cp AS ({_CP.format(**_SMALL_BINS)}), sb AS (SELECT event_id, angle, bin, CASE WHEN xtal_id_1 = xtal_1 THEN ring_id_1 ELSE ring_id_2 END AS ring_1, CASE WHEN xtal_id_1 = xtal_1 THEN ring_id_2 ELSE ring_id_1 END AS ring_2 "
+            "FROM ev JOIN cp ON xtal_id_1 = xtal_1 AND xtal_id_2 = xtal_2 OR xtal_id_1 = xtal_2 AND xtal_id_2 = xtal_1)")
 
 
-def _numbers(spark: SparkSession, d: str) -> DataFrame:
-    plain, full = config.parse(_BASE).scanner, config.parse(_BASE + "TOF_information = 300, 200\ncrystal_gap_size = 0.1, 0, 0.5\ndetector_module_angular_offset = 15\n").scanner
-    rows = [(w, n, round(float(getattr(s, n)), 6)) for w, s in (("plain", plain), ("full", full)) for n in ("per_ring", "rings", "voxels", "pitch", "ring_pitch", "half_step", "tof_fwhm_ps", "tof_bin_ps")]
-    s = config.parse(_BASE)
-    return spark.createDataFrame([*rows, ("plain", "subsets", float(s.subsets)), ("plain", "warmup_subsets", float(s.warmup_subsets)), ("full", "sigma", round(full.sigma, 6)), ("full", "spacing", full.spacing)], "what string, name string, value double")
+def _bins(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    pairs = geometry.crystal_pairs(spark, SMALL, 20)
+    return sinogram.histogram(Q.events(spark, d), pairs, SMALL), pairs
 
 
-_NUMBERS = [(w, n, float(v)) for w, ns in (("plain", (48, 8, 2048, 7.9, 4, 0, -1, -1)), ("full", (48, 8, 2048, 8.0, 4.5, 1, 300, 200))) for n, v in zip(("per_ring", "rings", "voxels", "pitch", "ring_pitch", "half_step", "tof_fwhm_ps", "tof_bin_ps"), ns, strict=True)]
-query("settings_numbers", f"SELECT what, name, CAST(value AS DOUBLE) AS value FROM (VALUES {_values([*_NUMBERS, ('plain', 'subsets', 1.0), ('plain', 'warmup_subsets', 1.0), ('full', 'sigma', 19.10828), ('full', 'spacing', 30.0)])}) t(what, name, value)")(_numbers)
-_BAD = {
-    "good": "", "twice": "image_size = 1, 1, 1\n", "two signs": "a = b = c\n", "no value": "sensitivity =\n", "potential": "regularizer_model_type = 0\nregularizer_potential_function_type = 2\n", "penalty": "regularizer_model_type = 7\n",
-    "algorithm": "iterative_algorithm_type = 5\n", "unknown": "colour = blue\n", "ring": "detector_ring_diameter_ = 3\n",
-}
+query("sinogram_histogram", f"WITH {Q._EV}, {_IN_BINS} SELECT {Q._id('angle', 'bin', 'ring_1', 'ring_2')}, count(*) AS n FROM sb GROUP BY ALL")(lambda spark, d: Q.out(_bins(spark, d)[0]))
+query("sinogram_forward", f"WITH {Q._LN}, {Q._IMG}, {Q._seg()}, {_IN_BINS}, fw AS (SELECT event_id, sum(val * len) AS y FROM seg JOIN img USING (vox) GROUP BY event_id) SELECT {Q._id('angle', 'bin', 'ring_1', 'ring_2')}, {Q._r('max(coalesce(y, 0e0))', 'y')} FROM sb LEFT JOIN fw USING (event_id) GROUP BY ALL")(
+    lambda spark, d: _sinogram_forward(spark, d))
+query("sinogram_back", f"WITH {Q._LN}, {Q._seg()}, {_IN_BINS} SELECT {Q._id('vox')}, {Q._r('sum(len)', 'val', 3)} FROM seg JOIN sb USING (event_id) GROUP BY vox")(
+    lambda spark, d: Q.out(project.back(geometry.lines_of_response(sinogram.as_events(*_bins(spark, d), SMALL), SMALL), SMALL, "mul_fac"), digits=3))
 
 
-def _checked(spark: SparkSession, d: str) -> DataFrame:
-    def fails(f) -> bool:
-        try:
-            f()
-        except ValueError:
-            return True
-        return False
+def _sinogram_forward(spark: SparkSession, d: str) -> DataFrame:
+    """Line integrals of the bins that have events."""
+    counts, pairs = _bins(spark, d)
+    y = project.forward(geometry.lines_of_response(sinogram.as_events(counts, pairs, SMALL), SMALL), Q.image(spark, d), SMALL)
+    of = sinogram.as_events(counts.withColumn("n", F.lit(1)), pairs, SMALL).selectExpr("event_id", "xtal_id_1 AS xtal_1", "xtal_id_2 AS xtal_2", "ring_id_1 AS ring_1", "ring_id_2 AS ring_2")
+    return Q.out(y.join(of, "event_id").join(pairs, ["xtal_1", "xtal_2"]), "angle", "bin", "ring_1", "ring_2", "y")
 
-    whole = lambda text: (lambda s: (s.scanner, s.algorithm, run.penalty(spark, s)))(config.parse(_BASE + ("" if "algorithm" in text else "iterative_algorithm_type = 0\n") + ("" if "model" in text else "regularizer_model_type = 0\n") + text))
-    rows = [(f"settings: {k}", fails(lambda t=t: whole(t))) for k, t in _BAD.items()]
-    rows += [(f"scanner: {n}", fails(lambda n=n: replace(SMALL, **{n: 0}))) for n in ("modules", "crystals", "rings", "ring_diameter", "ring_pitch", "n", "nk", "voxel", "voxel_k", "tof_fwhm_ps")]
-    rows += [("empty kernel", fails(lambda: recon.kem(Q.problem(spark, d), Q.kernel(spark).limit(0), Q.image(spark), 1))), ("odd modules", fails(lambda: geometry.crystal_pairs(spark, Scanner(modules=11), 9)))]
-    return spark.createDataFrame(rows, "what string, fails boolean")
 
+# --- other subsets
+_AT = f"CAST(floor(((atan2(dy, dx) + pi()) - pi() * floor((atan2(dy, dx) + pi()) / pi())) * {subsets.STEPS} / pi() + 0.37e0) AS INT) % {subsets.STEPS}"
+query("angle_subsets", f"WITH {Q._LN}, an AS (SELECT event_id, {_AT} AS st FROM ln), hs AS (SELECT st, count(*) AS n FROM an GROUP BY st), cu AS (SELECT st, sum(n) OVER (ORDER BY st) - n AS b, sum(n) OVER () AS t FROM hs) SELECT {Q._id('event_id')}, CAST(b * 12 // t AS BIGINT) AS angle_range, CAST(b * 12 // t % 3 AS BIGINT) AS subset_id FROM an JOIN cu USING (st)")(
+    lambda spark, d: Q.out(subsets.by_angle(Q.lines(spark, d), 3, 12), "event_id", "angle_range", "subset_id"))
 
-query("checks", "SELECT what, what NOT IN ('settings: good', 'settings: unknown', 'settings: ring', 'scanner: tof_fwhm_ps') AS fails FROM (VALUES " + _values([(f"settings: {k}",) for k in _BAD] + [(f"scanner: {n}",) for n in ("modules", "crystals", "rings", "ring_diameter", "ring_pitch", "n", "nk", "voxel", "voxel_k", "tof_fwhm_ps")] + [("empty kernel",), ("odd modules",)]) + ") t(what)")(_checked)
-_CP = "SELECT CAST(a AS BIGINT) AS angle, CAST(b AS BIGINT) AS bin, CAST((({f} - (b + {p}) // 2 + {n}) % {n} + a) % {n} AS BIGINT) AS xtal_1, CAST(({g} + (b + {p} + 1) // 2 + a) % {n} AS BIGINT) AS xtal_2 FROM range({h}) x(a), range(21) y(b)"
-query("crystal_pairs_half_step", _CP.format(f=10, p=11, g=13, n=48, h=24))(lambda spark, d: Q.out(geometry.crystal_pairs(spark, replace(SMALL, half_step=True), 20)))
-query("crystal_pairs_odd", _CP.format(f=16, p=18, g=18, n=60, h=30))(lambda spark, d: Q.out(geometry.crystal_pairs(spark, replace(SMALL, crystals=5), 20)))
-query("crystal_pairs_compressed", _CP.format(f=13, p=13, g=14, n=48, h=24) + " WHERE a < 7 AND b <= 10")(lambda spark, d: Q.out(geometry.crystal_pairs(spark, SMALL, 20, True)))
+
+def _permuted_sql() -> str:
+    """The same turns of a rectangle, step by step: 4 rounds, and 12 more passes for what falls outside."""
+    mixed = lambda x, k: f"((({x} * 48271 + {k}) % 2147483647) * 16807 + {k % 7919} + (({x} + {k}) % 8191) * 7907) % 2147483647"
+    parts = ["nn AS (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS h FROM events)", "p0 AS (SELECT event_id, event_id AS v, n, h, (n + h - 1) // h AS w, false AS done FROM events, nn)"]
+    for k in range(13):
+        at = f"SELECT event_id, v, n, h, w, done, v // w AS a, v % w AS b FROM p{k}"
+        for r in range(4):
+            x, y = ((1_000_003 + i * 7_919 + 12_345) % 2147483647 for i in (2 * r, 2 * r + 1))
+            at = f"SELECT * REPLACE ((a + {mixed('b', x)}) % h AS a) FROM ({at})"
+            at = f"SELECT * REPLACE ((b + {mixed('a', y)}) % w AS b) FROM ({at})"
+        parts.append(f"p{k + 1} AS MATERIALIZED (SELECT event_id, CASE WHEN done THEN v ELSE a * w + b END AS v, n, h, w, done OR a * w + b < n AS done FROM ({at}))")
+    return f"WITH {', '.join(parts)} SELECT CAST(event_id AS BIGINT) AS event_id, CAST(v AS BIGINT) AS place, CAST(v % 4 AS BIGINT) AS subset_id FROM p13"
+
+
+query("permuted_subsets", _permuted_sql())(lambda spark, d: Q.out(subsets.permuted(Q.events(spark, d), 4), "event_id", "place", "subset_id"))
+
+# --- the same in tiles, which cut the small image into several
+for _name, _options, _of in (("siddon_forward", (), "tiled_forward"), ("tof_forward", ("tof",), "tiled_tof_forward")):
+    query(_of, Q.ORACLES[_name])(lambda spark, d, o=_options: Q.out(project.forward(Q.lines(spark, d), Q.image(spark, d), SMALL, *o, edge=6)))
+for _name, _options, _of in (("siddon_back", ("siddon",), "tiled_back"), ("bresenham_back", ("bresenham",), "tiled_bresenham_back"), ("siddon_back_square", ("siddon", 2), "tiled_back_square")):
+    query(_of, Q.ORACLES[_name])(lambda spark, d, o=_options: Q.out(project.back(Q.lines(spark, d).withColumn("w", F.expr(Q._W)), SMALL, "w", *o, edge=6), digits=3))
+query("tiled_osem_2x2", Q.ORACLES["osem_2x2"])(lambda spark, d: (lambda p: Q.out(recon.em(p, recon.ones(p), 2)))(Q.problem(spark, d, subsets=2, edge=6)))
 
 # --- guards
 query("back_zero_weights", f"WITH {Q._LN}, {Q._seg()} SELECT {Q._id('vox')}, {Q._r('sum(len * (event_id % 4))', 'val', 3)} FROM seg WHERE event_id % 4 > 0 GROUP BY vox")(
     lambda spark, d: Q.out(project.back(Q.lines(spark, d).withColumn("w", F.expr("CASE event_id % 4 WHEN 0 THEN 1e-40 ELSE event_id % 4 END")), SMALL), digits=3))
-_TERMS = [(0, 2.5), (1, 0.0), (2, -3.0), (3, float("nan")), (4, float("inf")), (5, float("-inf")), (6, 1e-30)]
-query("log_terms", f"SELECT {Q._r('ln(2.5e0 + 1e-20) + 4 * ln(1e-20) + ln(1e-30 + 1e-20)', 'l2')}")(lambda spark, d: Q.out(recon.log_sum(spark.createDataFrame(_TERMS, "event_id long, expected double"))))
+_TERM = "CASE event_id % 7 WHEN 0 THEN value WHEN 1 THEN 0e0 WHEN 2 THEN -3e0 WHEN 3 THEN CAST('nan' AS DOUBLE) WHEN 4 THEN CAST('inf' AS DOUBLE) WHEN 5 THEN CAST('-inf' AS DOUBLE) ELSE 1e-30 END"
+query("log_terms", f"SELECT {Q._r('sum(CASE WHEN isnan(x) OR isinf(x) OR x = 0 THEN ln(1e-20) WHEN x > 0 THEN ln(x + 1e-20) ELSE 0e0 END)', 'l2', 3)} FROM (SELECT {_TERM} AS x FROM events)")(
+    lambda spark, d: Q.out(recon.log_sum(spark.read.parquet(f"{d}/events.parquet").selectExpr("event_id", f"{_TERM} AS expected")), digits=3))
 
 # --- whole runs; x0, fac, sn and kappa are what the files hold
 _FACF = "fac AS (SELECT event_id, " + _float("add_fac") + " AS add_fac, " + _float("mul_fac") + f" AS mul_fac FROM (WITH {Q._FAC} SELECT * FROM fac))"
@@ -212,8 +228,8 @@ _MAP_SQL = f"{_PSF_SQL}, {Q._NB[1]}, im AS (SELECT img.vox, i, j, k, x0.val, {_f
 query("run_map_em", f"{_MAP_SQL}, ab AS (SELECT vox, 0.02e0 * t1 AS a, s - 0.02e0 * (t1 * x0.val - t2) AS b, x0.val * coalesce(z, 0e0) AS c FROM x0 JOIN tt USING (vox) JOIN sn USING (vox) LEFT JOIN zb USING (vox)) SELECT CAST(vox AS BIGINT) AS vox, {Q._r('CASE WHEN b + sqrt(b * b + 4 * a * c) > 0 THEN 2 * c / (b + sqrt(b * b + 4 * a * c)) ELSE 0e0 END', 'val')} FROM ab")(
     lambda spark, d: Q.out(run.reconstruct(spark, _settings(spark, d, _MAP.replace("{{}}", "3")))[0]))
 _PATCH = "regularizer_model_type = 1\nregularizer_potential_function_type = 1\nregularizer_neighborhood_properties = 0, 0\nregularizer_buildin_parameter_list = 0.3\nregularizer_spatial_variant_weight = {f}/kappa.img\n"
-query("run_patch_penalty", f"WITH {Q._IMG.replace('AS kappa FROM', 'AS kappa_ FROM').replace('img AS (', 'img_ AS (')}, img AS (SELECT vox, i, j, k, val, {_float('kappa_')} AS kappa FROM img_), {Q._NB[0]}, {Q._CUBE}, {Q._PP}, {Q._PA} {Q._PT.format(t1=Q._T1, t2=Q._T2)}")(
-    lambda spark, d: Q.out(run.penalty(spark, _settings(spark, d, _PATCH))(Q.image(spark).drop("kappa"))))
+query("run_patch_penalty", f"WITH {Q._IMG.replace('AS kappa FROM', 'AS kappa_ FROM').replace('img AS MATERIALIZED (', 'img_ AS MATERIALIZED (')}, img AS (SELECT vox, i, j, k, val, {_float('kappa_')} AS kappa FROM img_), {Q._NB[0]}, {Q._CUBE}, {Q._PP}, {Q._PA} {Q._PT.format(t1=Q._T1, t2=Q._T2)}")(
+    lambda spark, d: Q.out(run.penalty(spark, _settings(spark, d, _PATCH))(Q.image(spark, d).drop("kappa"))))
 _KMF = f"km AS (SELECT row, col, {_float('a')} AS a FROM (WITH {Q._KM} SELECT * FROM km))"
 _KEM = "iterative_algorithm_type = 2\nkernel_matrix = {f}/kernel.mat\niteration_setting = 2, 1, 1\n"
 
