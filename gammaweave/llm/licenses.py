@@ -3,8 +3,8 @@
 Words are runs of a-z and 0-9 once A-Z are lower-cased; everything else parts words, so how a notice is wrapped, indented or commented out
 doesn't matter. A unit is a run of a text's lines; lines without words are passed over, and count for nothing. A unit matches a template when
 200 * common distinct bigrams >= PERCENT * (those of the unit + those of the template). Units are, for a template of n words: each single line, and
-from each line on the fewest lines that have n words (or all that are left), and the same without the last of them. So a notice
-is met whether it stands in one line, is wrapped, lies within a larger block, or is the whole text.
+from each line on the fewest lines that have n words (or all that are left), and the same without the last of them; and each n words in a row that begin with one of the template's bigrams. So a notice
+is met whether it stands in one line, is wrapped, lies within a longer line or a larger block, or is the whole text.
 
 Sizes bound what can match: of a template's m bigrams at least low(m) are in any unit that does. A text is only looked into for templates of which it
 has so many of the longest bigrams that this is possible; these are met by a broadcast join of hashes, whose size is that of the templates, which is checked.
@@ -21,6 +21,8 @@ from .sampling import column
 PERCENT = 80
 #: Bytes of all templates' bigrams together.
 MOST_TEMPLATE_BYTES = 4 << 20
+#: Lines whose units are looked at together.
+LINES = 256
 #: Short notices of well-known licences, and the full texts of the shorter ones.
 NOTICES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -62,8 +64,8 @@ def least_common(size: int, percent: int) -> int:
     return -(-percent * size // (200 - percent))
 
 
-def _templates(templates: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(template, license, words, m, g), g the hashes of its m bigrams; and (h, template, need): the bigrams to look for first, and how many of them there must be."""
+def _templates(templates: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, int]:
+    """(template, license, words, m, g), g the hashes of its m bigrams; (h, template, need): the bigrams to look for first, and how many of them there must be; and the longest template's words."""
     spark = templates.sparkSession
     words = templates.select("license", _words(F.coalesce(column("text").cast("string"), F.lit(""))).alias("w")).where("size(w) > 1").distinct()
     # before any template comes to the driver; this bounds their number too
@@ -79,7 +81,7 @@ def _templates(templates: DataFrame, percent: int) -> tuple[DataFrame, DataFrame
         spare = m - least_common(m, percent)
         c = min(m, 2 * spare + 1)
         first += [(x["h"], i, c - spare) for x in r["g"][:c]]
-    return spark.createDataFrame(rows, "template int, license string, words int, m int, g array<long>"), spark.createDataFrame(first, "h long, template int, need int")
+    return spark.createDataFrame(rows, "template int, license string, words int, m int, g array<long>"), spark.createDataFrame(first, "h long, template int, need int"), max((r[2] for r in rows), default=2)
 
 
 def scan(documents: DataFrame, templates: DataFrame, *, text: str = "text", doc: str = "doc_id", percent: int = PERCENT) -> DataFrame:
@@ -87,17 +89,17 @@ def scan(documents: DataFrame, templates: DataFrame, *, text: str = "text", doc:
 
     templates: license and text; several may have one license. line is the place of the unit's first line in the text, from 0, and n_lines
     counts its lines with words. Templates and units of fewer than two words match nothing. Null and empty texts have no matches; a very long text is
-    scanned whole, but what lies within one line with more is no unit; rows equal in doc_id and text get equal results; no documents,
-    no rows; other columns are not read.
+    scanned whole, LINES lines at a time with as many after them as a template may reach, so what a task holds follows the text and not its lines times the templates; rows equal in doc_id and text get
+    equal results; no documents, no rows; other columns are not read.
     """
-    known, first = _templates(templates, percent)
+    known, first, longest = _templates(templates, percent)
     texts = documents.select(column(doc).alias("doc_id"), F.xxhash64(column(text)).alias("t"), column(text).cast("string").alias("text"))
     met = texts.where("text is not null").select("doc_id", "t", _words(F.col("text")).alias("w")).where("size(w) > 1").selectExpr("doc_id", "t", f"inline({_pairs('w')})")
     met = met.selectExpr("doc_id", "t", "xxhash64(`0`, `1`) AS h").join(F.broadcast(first), "h")
     likely = met.groupBy("doc_id", "t", "template", "need").agg(F.size(F.collect_set("h")).alias("k")).where("k >= need")
     likely = likely.groupBy(F.col("doc_id").alias("_d"), F.col("t").alias("_t")).agg(F.collect_list("template").alias("templates"))
     some = texts.join(likely, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t"))).select("doc_id", "t", "text", "templates")  # of equal rows, the units meet below
-    units = _units(some.select("doc_id", "t", "text", F.explode("templates").alias("template")).join(F.broadcast(known), "template"), percent)
+    units = _units(some, known, longest, percent)
     best = units.groupBy("doc_id", "t", "license", "a", "z", "line").agg(F.max("dice").alias("dice"))
     # in each line the best of those that hold it; what is the best in all of its lines stays
     order = F.struct("dice", (F.col("a") - F.col("z")).alias("size"), (-F.col("a")).alias("first"), "line")
@@ -108,19 +110,31 @@ def scan(documents: DataFrame, templates: DataFrame, *, text: str = "text", doc:
     return texts.select("doc_id", "t").join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t")), "left").select("doc_id", F.coalesce("matches", empty).alias("matches"))
 
 
-def _units(rows: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, t, license, a, z, line, dice) of the units that match their row's template; a and z: first and last line among those with words."""
-    rows = rows.withColumn("lines", F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), _words(x).alias("w"))), lambda x: F.size(x["w"]) > 0))
-    rows = rows.selectExpr("doc_id", "t", "license", "words", "m", "g", "transform(lines, x -> x.line) AS line", "flatten(transform(lines, x -> x.w)) AS w", "flatten(transform(lines, (x, i) -> array_repeat(i, size(x.w)))) AS of")
-    # each line's first word, and one beyond the last line's end
-    rows = rows.selectExpr("*", f"transform({_pairs('w')}, x -> xxhash64(x.`0`, x.`1`)) AS h", "concat(filter(sequence(0, size(of) - 1), p -> p = 0 OR get(of, p) <> get(of, p - 1)), array(size(of))) AS start")
-    rows = rows.selectExpr("*", "transform(line, (x, a) -> get(of, least(get(start, a) + words, size(of)) - 1)) AS until")
-    rows = rows.selectExpr("doc_id", "t", "license", "m", "g", "line", "h", "start", "flatten(transform(until, (z, a) -> array_distinct(array(named_struct('a', a, 'z', a), named_struct('a', a, 'z', z), named_struct('a', a, 'z', greatest(a, z - 1)))))) AS units")
-    least = f"m * {percent} <= {200 - percent} * (get(start, x.z + 1) - get(start, x.a) - 1)"
-    rows = rows.selectExpr("*", f"transform(filter(units, x -> {least}), x -> named_struct('a', x.a, 'z', x.z, 'own', array_distinct(slice(h, get(start, x.a) + 1, get(start, x.z + 1) - get(start, x.a) - 1)))) AS sized")
-    fits = f"size(x.own) * {percent} <= {200 - percent} * m AND m * {percent} <= {200 - percent} * size(x.own)"
-    rows = rows.selectExpr("doc_id", "t", "license", "m", "line", f"explode(transform(filter(sized, x -> {fits}), x -> named_struct('a', x.a, 'z', x.z, 'n', size(x.own), 'k', size(array_intersect(x.own, g))))) AS u")
-    return rows.where(f"200 * u.k >= {percent} * (u.n + m)").selectExpr("doc_id", "t", "license", "u.a", "u.z", "get(line, u.a) AS line", "CAST((200 * u.k) div (u.n + m) AS BIGINT) AS dice")
+def _units(some: DataFrame, known: DataFrame, longest: int, percent: int) -> DataFrame:
+    """(doc_id, t, license, a, z, line, dice) of the units of texts that match one of their templates; a and z: first and last line among those with words."""
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), _words(x).alias("w"))), lambda x: F.size(x["w"]) > 0)
+    rows = some.select("doc_id", "t", "templates", lines.alias("lines")).where("size(lines) > 0")
+    # LINES lines that units begin at, and `longest` more: enough words for any template, or all that are left
+    cut = f"explode(transform(sequence(0, size(lines) - 1, {LINES}), c -> named_struct('c', c, 'lines', slice(lines, c + 1, {LINES + longest})))) AS x"
+    rows = rows.selectExpr("doc_id", "t", "templates", cut).selectExpr("doc_id", "t", "templates", "x.c", "x.lines")
+    rows = rows.selectExpr("doc_id", "t", "templates", "c", "transform(lines, x -> x.line) AS line", "flatten(transform(lines, x -> x.w)) AS w", "flatten(transform(lines, (x, i) -> array_repeat(i, size(x.w)))) AS of")
+    # each line's first word, and one beyond the last line's end; and each line's own bigrams' number
+    rows = rows.selectExpr("doc_id", "t", "templates", "c", "line", "of", f"transform({_pairs('w')}, x -> xxhash64(x.`0`, x.`1`)) AS h", "concat(filter(sequence(0, size(of) - 1), p -> p = 0 OR get(of, p) <> get(of, p - 1)), array(size(of))) AS start")
+    bigrams = lambda a, z: f"array_distinct(slice(h, {a} + 1, greatest({z} - {a} - 1, 0)))"
+    rows = rows.selectExpr("*", f"transform(line, (x, a) -> size({bigrams('get(start, a)', 'get(start, a + 1)')})) AS own")
+    # a template only where the lines have enough of its bigrams for some unit
+    rows = rows.selectExpr("*", "explode(templates) AS template").drop("templates").join(F.broadcast(known), "template").where(f"{200 - percent} * size(array_intersect(h, g)) >= {percent} * m")
+    rows = rows.selectExpr("*", f"transform(slice(line, 1, {LINES}), (x, a) -> get(of, least(get(start, a) + words, size(of)) - 1)) AS until")
+    pieces = "array_distinct(array(named_struct('a', a, 'z', a), named_struct('a', a, 'z', z), named_struct('a', a, 'z', greatest(a, z - 1))))"
+    runs = f"transform(flatten(transform(until, (z, a) -> {pieces})), x -> named_struct('a', x.a, 'z', x.z, 'from', get(start, x.a), 'to', get(start, x.z + 1)))"
+    # a line with more bigrams than a unit may have is in none
+    runs = f"filter({runs}, x -> {percent} * m <= {200 - percent} * (x.to - x.from - 1) AND {percent} * get(own, x.z) <= {200 - percent} * m)"
+    within = f"filter(sequence(0, greatest(size(h) - 1, 0)), p -> p + words <= size(of) AND get(of, p) < {LINES} AND array_contains(g, get(h, p)))"
+    within = f"transform({within}, p -> named_struct('a', get(of, p), 'z', get(of, p + words - 1), 'from', p, 'to', p + words))"
+    sized = f"transform(concat({runs}, {within}), x -> named_struct('a', x.a, 'z', x.z, 'own', {bigrams('x.from', 'x.to')}))"
+    counted = f"transform({sized}, x -> named_struct('a', x.a, 'z', x.z, 'n', size(x.own), 'k', size(array_intersect(x.own, g))))"
+    rows = rows.selectExpr("doc_id", "t", "license", "m", "c", "line", f"explode(filter({counted}, x -> 200 * x.k >= {percent} * (x.n + m))) AS u")
+    return rows.selectExpr("doc_id", "t", "license", "c + u.a AS a", "c + u.z AS z", "get(line, u.a) AS line", "CAST((200 * u.k) div (u.n + m) AS BIGINT) AS dice")
 
 
 def notices(spark) -> DataFrame:

@@ -140,7 +140,7 @@ FROM documents d LEFT JOIN x USING (doc_id) LEFT JOIN g USING (doc_id)
 
 
 def _op9() -> str:
-    """Texts and templates whose common bigrams are enough for any unit, then all units of the text's lines with words; s and f: a line's first word, and the one after its last."""
+    """Texts and templates whose common bigrams are enough for any unit, then all units of the text's lines with words, and as many words in a row as the template has from each of its bigrams on; s and f: a line's first word, and the one after its last."""
     from .licenses import NOTICES
 
     rows = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in NOTICES)
@@ -157,7 +157,10 @@ l AS MATERIALIZED (SELECT *, f - k AS s FROM l2),
 e AS (SELECT c.*, x.a, x.line, x.s, y.a AS z FROM c JOIN l x USING (doc_id) JOIN l y ON y.doc_id = x.doc_id AND y.s <= least(x.s + size, x.total) - 1 AND least(x.s + size, x.total) - 1 < y.f),
 u AS (SELECT DISTINCT * FROM (SELECT doc_id, template, a, unnest([a, z, greatest(a, z - 1)]) AS z FROM e)),
 v AS (SELECT u.*, e.license, e.line, e.g, e.w[CAST(e.s AS BIGINT) + 1:CAST(y.f AS BIGINT)] AS w FROM u JOIN e USING (doc_id, template, a) JOIN l y ON y.doc_id = u.doc_id AND y.a = u.z),
-vg AS (SELECT doc_id, license, line, a, z, g, {grams('w')} AS o FROM v WHERE len(w) > 1),
+r AS (SELECT *, unnest(range(0, len(w) - size + 1)) AS p FROM c WHERE len(w) >= size),
+q AS (SELECT r.doc_id, r.license, x.line, x.a, y.a AS z, r.g, r.w[CAST(p AS BIGINT) + 1:CAST(p AS BIGINT) + size] AS w FROM (FROM r WHERE list_contains(g, w[p + 1] || ' ' || w[p + 2])) r
+      JOIN l x ON x.doc_id = r.doc_id AND x.s <= p AND p < x.f JOIN l y ON y.doc_id = r.doc_id AND y.s <= p + size - 1 AND p + size - 1 < y.f),
+vg AS (SELECT doc_id, license, line, a, z, g, {grams('w')} AS o FROM (SELECT doc_id, license, line, a, z, g, w FROM v UNION ALL FROM q) WHERE len(w) > 1),
 m AS (SELECT doc_id, license, line, a, z, max((200 * len(list_intersect(o, g))) // (len(o) + len(g))) AS dice FROM vg WHERE 200 * len(list_intersect(o, g)) >= 80 * (len(o) + len(g)) GROUP BY ALL),
 b AS (SELECT * FROM m WHERE NOT EXISTS (FROM m o WHERE o.doc_id = m.doc_id AND o.license = m.license AND o.a <= m.z AND m.a <= o.z AND (o.dice > m.dice OR o.dice = m.dice AND (o.z - o.a < m.z - m.a OR o.z - o.a = m.z - m.a AND o.a < m.a)))),
 x AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS l, string_agg(license || ':' || line || ':' || z - a + 1, ',' ORDER BY license, line) AS s, max(dice) AS d FROM b GROUP BY doc_id)

@@ -53,6 +53,15 @@ def test_lines_sets_and_notices(spark, docs, texts):
     assert got == {k: [("Apache-2.0", 12_000)] if k == 1 else [] for k, _ in texts}
 
 
+def test_notices_after_very_many_lines(spark):
+    """300,000 lines of a word, then a long notice, wrapped; and the notice 400 times."""
+    notice = licenses.NOTICES[4][1]
+    wrapped = "\n".join(" ".join(notice.split()[k : k + 9]) for k in range(0, len(notice.split()), 9))
+    texts = spark.createDataFrame([(1, "\n".join(["word"] * 300_000) + "\n" + wrapped), (2, "\n".join([wrapped] * 400)), (3, "word " * 300_000 + notice)], "doc_id long, text string")
+    got = {x["doc_id"]: [(m["license"], m["line"]) for m in x["matches"]] for x in licenses.scan(texts.repartition(3), licenses.notices(spark)).collect()}
+    assert ("BSD", 300_000) in got[1] and ("BSD", 0) in got[3] and sum(k == "BSD" for k, _ in got[2]) >= 400
+
+
 def test_tokens(spark, docs, texts):
     import public_tokenizers as P
 

@@ -468,6 +468,12 @@ def brute_licences(t, templates):
     for name, y in templates:
         y = re.findall("[a-z0-9]+", low(y))
         m = grams(y)
+        flat = [(k, x) for k, (_, w) in enumerate(lines) for x in w]
+        for p in range(len(flat) - len(y) + 1):  # as many words in a row, wherever they begin
+            o = grams([x for _, x in flat[p : p + len(y)]])
+            if len(y) > 1 and (flat[p][1], flat[p + 1][1]) in m and 200 * len(o & m) >= 80 * (len(o) + len(m)):
+                at = name, flat[p][0], flat[p + len(y) - 1][0]
+                found[at] = max(found.get(at, 0), 200 * len(o & m) // (len(o) + len(m)))
         for a in range(len(lines)):
             z = a
             while z < len(lines) - 1 and sum(len(w) for _, w in lines[a : z + 1]) < len(y):
@@ -489,11 +495,12 @@ def test_license_scan(spark):
     texts += [notice["MIT"][1].replace(",", "\n"), notice["Apache-2.0"][1] + "\n" + notice["BSD"][0], "All rights reserved.\n" * 40, notice["GPL-3.0"][2].replace(". ", ".\n\n")]
     texts += ["\r\n \r\n".join([sentence(r, 20), wrap(notice["MIT"][2], 9, "// "), sentence(r, 20)]), sentence(r, 9) + "\n" + wrap(notice["BSD"][1], 12, " * ") + "\n" + sentence(r, 9), wrap(notice["BSD"][0], 11), sentence(r, 12) + "\n" + wrap(notice["ISC"][0], 7) + "\n" + sentence(r, 12)]
     texts += [wrap(notice["zlib"][0], 10), wrap(notice["zlib"][0].replace("software", "library"), 8), "\n".join([notice["MIT"][0], sentence(r, 4)] * 3)]
+    texts += ["Copyright 2020 A. Author. Released under the MIT License.", "foo bar baz qux Licensed under the Apache License, Version 2.0.", sentence(r, 30) + " " + wrap(notice["BSD"][0], 9) + " " + sentence(r, 30), "The MIT License. All rights reserved. " * 5]
     docs = documents(spark, [(900 + k, t, *[None] * 11) for k, t in enumerate(texts)])
     got = licenses.scan(docs, licenses.notices(spark)).collect()
     assert Counter((x["doc_id"], tuple(tuple(m) for m in x["matches"])) for x in got) == Counter((x["doc_id"], brute_licences(x["text"], licenses.NOTICES)) for x in docs.collect())
     found = {x["doc_id"]: {m["license"] for m in x["matches"]} for x in got}
-    for k, name in ((2, "proprietary"), (3, "CC-BY-NC-4.0"), (11, "GPL-3.0"), (12, "MIT"), (13, "BSD"), (14, "BSD"), (15, "ISC"), (16, "zlib"), (17, "zlib")):
+    for k, name in ((2, "proprietary"), (3, "CC-BY-NC-4.0"), (11, "GPL-3.0"), (12, "MIT"), (13, "BSD"), (14, "BSD"), (15, "ISC"), (16, "zlib"), (17, "zlib"), (19, "MIT"), (20, "Apache-2.0"), (21, "BSD")):
         assert name in found[900 + k], name
     assert licenses.scan(empty(spark), licenses.notices(spark)).count() == 0
     assert licenses.scan(docs, licenses.notices(spark).limit(0)).where("size(matches) > 0").isEmpty()
@@ -502,6 +509,18 @@ def test_license_scan(spark):
     assert licenses.scan(same, spark.createDataFrame(two, "license string, text string")).first()["matches"][0]["dice"] == 100
 
 
+def test_license_scan_by_few_lines_at_a_time(spark, monkeypatch):
+    r = random.Random(16)
+    notice = [t for _, t in licenses.NOTICES]
+    words = " ".join(notice).split()
+    texts = ["\n".join(" ".join(r.choice([w, w, "other"]) for w in words[k : k + r.randrange(1, 12)]) for k in range(0, 900, 9)) for _ in range(6)] + ["\n".join(sentence(r, 5) for _ in range(40)) + "\n" + "\n".join(notice[4].split()) + "\nend"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for n in (1, 7, 256):
+        monkeypatch.setattr(licenses, "LINES", n)
+        got = {x["doc_id"]: tuple(tuple(m) for m in x["matches"]) for x in licenses.scan(docs, licenses.notices(spark)).collect()}
+        assert got == {k: brute_licences(t, licenses.NOTICES) for k, t in enumerate(texts)}
+
+
 def test_license_scan_checks_all_templates(spark):
     # 62 bytes of bigrams each: 65,536 of them would be under the limit
     many = spark.range(70_000).select(F.lit("own").alias("license"), F.concat(F.lit("own notice "), F.lpad(F.col("id").cast("string"), 45, "0")).alias("text"))
