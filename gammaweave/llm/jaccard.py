@@ -10,7 +10,7 @@ contracted, and groups that lie in one component are done. The first rounds take
 do link ends after a round or two with about as many pairs as members, and any other group has had all its pairs when its pivots
 run out: no link is lost, nothing is capped.
 
-No task holds a group that may be large. The members of an n-gram that is not frequent lie together, and are numbered there. Those of a frequent one are
+No task holds a group that may be large. The sets that have an n-gram in their prefixes are counted exactly. The members of an n-gram of few lie together, and are numbered there. Those of any other are
 dealt by (n-gram, salt); its first member and its size are grouped sums, and its other members' numbers are drawn from the hash of the
 class, which is as good an order of pivots as any.
 """
@@ -27,7 +27,7 @@ from .shared import scratch
 from .text import NONBLANK, lean, mix, pieces, words
 
 NGRAM, PERCENT = 4, 85
-#: An n-gram in so many sets of a part is counted; in so many in all, it is frequent. Any choice gives the same links.
+#: An n-gram in so many sets of a part is counted; in so many in all, it is frequent and goes behind the others; in as many prefixes, it is dealt by salts. Any choice gives the same links.
 LOCAL, FREQUENT, MOST_FREQUENT = 3, 24, 1 << 20
 #: Fragments of the global order, salts of a frequent n-gram, and the most bits of a filter of documents that have candidates; a full one lets more through, no less.
 FRAGMENTS, SALTS, MOST_FILTER_BITS = 4, 64, 1 << 30
@@ -139,17 +139,20 @@ def _measured(docs: DataFrame, ngram: int) -> DataFrame:
     return docs.mapInArrow(lean(run), "doc_id long, t long, n long, a long, fine array<long>, coarse array<long>")
 
 
-def _prefixes(docs: DataFrame, frequent, ngram: int, percent: int) -> DataFrame:
-    """(token, a, n, i, hot), i the place in the order, for the prefix of each set: its first n - ceil(percent n) + 1 n-grams, those that aren't frequent (hot) before the others."""
+def _within(known: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Which are in a sorted array."""
+    return known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own if len(known) and len(own) else np.zeros(len(own), bool)
+
+
+def _prefixes(docs: DataFrame, frequent, crowded, ngram: int, percent: int) -> DataFrame:
+    """(token, a, n, i, hot), i the place in the order, for the prefix of each set: its first n - ceil(percent n) + 1 n-grams, those that aren't frequent before the others; hot: frequent or crowded."""
 
     def run(batches):
-        known = frequent.value
+        known, many = frequent.value, crowded.value
         for _, code, begin, d in _parts(batches, ngram):
             rows = _once(d, np.diff(begin))
             own, begin = _take(code, begin, rows)
-            late = np.zeros(len(own), bool)
-            if len(known) and len(own):
-                late = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
+            late = _within(known, own)
             n = np.diff(begin)
             size = n - (n * percent + 99) // 100 + 1
             early = np.append(0, np.cumsum(~late))
@@ -159,7 +162,7 @@ def _prefixes(docs: DataFrame, frequent, ngram: int, percent: int) -> DataFrame:
             pick = np.flatnonzero(np.where(late, after <= np.repeat(size - first, n), place <= np.repeat(size, n)))
             row = np.repeat(np.arange(len(rows)), n)[pick]
             at = np.where(late, np.repeat(first, n) + after, place)[pick] - 1
-            yield pa.RecordBatch.from_arrays([_signed(own[pick]), _signed(d[0][rows][row]), pa.array(n[row].astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(late[pick])], ["token", "a", "n", "i", "hot"])
+            yield pa.RecordBatch.from_arrays([_signed(own[pick]), _signed(d[0][rows][row]), pa.array(n[row].astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(late[pick] | _within(many, own[pick]))], ["token", "a", "n", "i", "hot"])
 
     return docs.mapInArrow(lean(run), "token long, a long, n int, i int, hot boolean")
 
@@ -297,7 +300,10 @@ def linked(documents: DataFrame, *, ngram: int = NGRAM, percent: int = PERCENT,
     classes = store(own.where("n > 0").groupBy("a", "n").agg(F.min(F.struct(F.col("doc_id").alias("doc"), "fine", "coarse")).alias("p")))
     send = spark.sparkContext.broadcast
     common = _frequent(measured.where("n < 0").groupBy(F.col("a").alias("gram")).agg(F.sum(-F.col("n")).alias("c")), FREQUENT)
-    shared = _shared(_prefixes(docs, send(common), ngram, percent), store)
+    sent = send(common)
+    # an n-gram may be in a few sets of each part, and in very many in all
+    counted = _prefixes(docs, sent, send(common[:0]), ngram, percent).where("not hot").groupBy(F.col("token").alias("gram")).agg(F.count("*").alias("c"))
+    shared = _shared(_prefixes(docs, sent, send(_frequent(store(counted.where(F.col("c") >= FREQUENT)), FREQUENT)), ngram, percent), store)
     # sets whose first common n-gram this is don't share what comes before it
     fits = f"100L * least(nx, ny) >= {percent}L * greatest(nx, ny) and {100 + percent}L * (ix + iy) <= {100 - percent}L * (nx + ny)"
     pairs = shared.selectExpr("x", "nx", "ix", "a AS y", "n AS ny", "i AS iy").where("x != y").where(fits).select("x", "y", "nx", "ny").distinct()

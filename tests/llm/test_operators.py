@@ -460,6 +460,26 @@ def test_trees_against_a_walk():
         assert m.scores(x[k : k + 1])[0] == pytest.approx(1 / (1 + np.exp(-total)))
 
 
+def test_ngrams_of_few_sets_in_each_of_many_parts_are_dealt_by_salts(spark):
+    """A shingle in two sets of each of 120 parts: no part knows it as frequent, and no group is larger than those that stay together."""
+    r = random.Random(31)
+    texts = [(k, "the very same four words " + sentence(r, 12)) for k in range(240)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(120)
+    rows = docs.selectExpr("doc_id", "xxhash64(text) AS t", "text")
+    send = spark.sparkContext.broadcast
+    none = np.zeros(0, np.uint64)
+    plain = jaccard._prefixes(rows, send(none), send(none), 4, 60)
+    counted = plain.groupBy(F.col("token").alias("gram")).agg(F.count("*").alias("c"))
+    crowded = jaccard._frequent(counted, jaccard.FREQUENT)
+    assert len(crowded) and counted.agg(F.max("c")).first()[0] > 3 * jaccard.FREQUENT
+    kept = jaccard._prefixes(rows, send(none), send(crowded), 4, 60)
+    assert kept.where("not hot").groupBy("token").count().agg(F.max("count")).first()[0] < jaccard.FREQUENT
+    assert kept.drop("hot").exceptAll(plain.drop("hot")).isEmpty() and kept.count() == plain.count()
+    copies = [(1000 + k, texts[k][1] + " end") for k in range(0, 240, 3)]
+    got = {x["doc_id"]: x["component_id"] for x in jaccard.linked(spark.createDataFrame([*texts, *copies], "doc_id long, text string").repartition(120), percent=60).collect()}
+    assert all(got[1000 + k] == k for k in range(0, 240, 3))
+
+
 def brute_licences(t, templates):
     """All units of the text's lines with words, for each template; of overlapping ones the best."""
     grams = lambda w: {*zip(w, w[1:], strict=False)}
