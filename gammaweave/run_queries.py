@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import queries as Q
-from .operators import geometry, knn, project, sinogram, sparse, subsets
+from .operators import geometry, knn, project, sinogram, sparse, stored, subsets
 from .plans import config, recon, run
 from .plans.scanner import SMALL, Scanner
-from .plans.store import shared_folder
+from .plans.store import scratch, shared_folder
 from .queries import query
 from .sources import raw, sinks
 
@@ -173,6 +173,15 @@ for _name, _options, _of in (("siddon_back", ("siddon",), "tiled_back"), ("brese
     query(_of, Q.ORACLES[_name])(lambda spark, d, o=_options: Q.out(project.back(Q.lines(spark, d).withColumn("w", F.expr(Q._W)), SMALL, "w", *o, edge=6), digits=3))
 query("tiled_osem_2x2", Q.ORACLES["osem_2x2"])(lambda spark, d: (lambda p: Q.out(recon.em(p, recon.ones(p), 2)))(Q.problem(spark, d, subsets=2, edge=6)))
 
+
+def _stored(spark: SparkSession, d: str) -> stored.StoredMatrix:
+    return stored.write(project.system_matrix(Q.lines(spark, d), SMALL), scratch(spark), 8)
+
+
+query("stored_forward", Q.ORACLES["siddon_forward"])(lambda spark, d: Q.out(project.merged(Q.events(spark, d), _stored(spark, d).forward(Q.image(spark, d)))))
+query("stored_back", Q.ORACLES["siddon_back"])(lambda spark, d: Q.out(_stored(spark, d).back(Q.events(spark, d).withColumn("w", F.expr(Q._W))), digits=3))
+query("stored_em", Q.ORACLES["em_update"])(lambda spark, d: Q.out(stored.em(_stored(spark, d), Q.full_events(spark, d), geometry.grid(spark, SMALL).selectExpr("vox", "1e0 AS val"), 1)))
+
 # --- guards
 query("back_zero_weights", f"WITH {Q._LN}, {Q._seg()} SELECT {Q._id('vox')}, {Q._r('sum(len * (event_id % 4))', 'val', 3)} FROM seg WHERE event_id % 4 > 0 GROUP BY vox")(
     lambda spark, d: Q.out(project.back(Q.lines(spark, d).withColumn("w", F.expr("CASE event_id % 4 WHEN 0 THEN 1e-40 ELSE event_id % 4 END")), SMALL), digits=3))
