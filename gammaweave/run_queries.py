@@ -93,10 +93,10 @@ def _kernel_files(spark: SparkSession, d: str) -> DataFrame:
     f, x = scan(spark, d), Q.image(spark, d)
     sinks.write_kernel(knn.kernel_weights(x, SMALL, Q._M, 2.0), knn.nearest(x, SMALL, Q._M, Q._K), f)
     w, n = spark.read.parquet(f"{f}/ker_weight"), spark.read.parquet(f"{f}/ker_ind")
-    return Q.out(n.join(w, ["vox", "nbr"]), "vox", "rank", "nbr", "w", digits=6)
+    return Q.out(n.join(w, ["vox", "nbr"]), "vox", "rank", "nbr", "w")
 
 
-query("kernel_files", f"WITH {Q._IMG}, {Q._KN} SELECT CAST(v AS BIGINT) AS vox, rank, CAST(u AS BIGINT) AS nbr, {Q._r('exp(-d / 2e0)', 'w', 6)} FROM kn")(_kernel_files)
+query("kernel_files", f"WITH {Q._IMG}, {Q._KN} SELECT CAST(v AS BIGINT) AS vox, rank, CAST(u AS BIGINT) AS nbr, {Q._r('exp(-d / 2e0)', 'w')} FROM kn")(_kernel_files)
 
 # --- sinogram bins
 _CP = "SELECT CAST(a AS BIGINT) AS angle, CAST(b AS BIGINT) AS bin, CAST((({f} - (b + {p}) // 2 + {n}) % {n} + a) % {n} AS BIGINT) AS xtal_1, CAST(({g} + (b + {p} + 1) // 2 + a) % {n} AS BIGINT) AS xtal_2 FROM range({h}) x(a), range(21) y(b)"
