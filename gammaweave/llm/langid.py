@@ -2,8 +2,8 @@
 
 A word's features are itself (the lexicon), the byte n-grams in it, and its affixes, the n-grams with its first or last place;
 each is hashed to one of BUCKETS weights per language. The transitions between the languages of consecutive words are
-learned with them, by gradient ascent on the likelihood of code-switched training sequences: stretches of documents whose
-language is known, in a random but repeatable order. Forward-backward then gives each word the probabilities of its languages, over the
+learned with them, by gradient ascent on the likelihood of code-switched training sequences: all words of the sampled documents, whose
+language is known, cut into stretches in a random but repeatable order. Forward-backward then gives each word the probabilities of its languages, over the
 whole text; all texts of a part take each step together.
 """
 
@@ -23,12 +23,14 @@ from .toxicity import lower_words
 
 BUCKETS = 1 << 18
 ORDERS = (2, 3, 4)
-#: The sample that is learned from: documents in all (as many of each language), and words of each, which are stretches spread evenly over the whole text.
-SAMPLE_DOCS, SAMPLE_WORDS = 2000, 2400
+#: The sample that is learned from: documents in all, as many of each language, whole texts.
+SAMPLE_DOCS = 2000
 #: Languages; more are an error, as each has its weights.
 MOST_LANGS = 500
-#: Training sequences: words in each, most words of a stretch, sequences, steps, and the penalty on weights.
+#: Training sequences: words in each, most words of a stretch, sequences that a step takes, least steps, and the penalty on weights.
 LENGTH, STRETCH, SEQUENCES, STEPS, PENALTY = 48, 24, 6000, 40, 1e-4
+#: Parts of a language that are sorted apart when its sample is chosen.
+_APART = 256
 _SHARD = 4 << 20
 
 
@@ -112,49 +114,66 @@ class Field:
         return forward_backward(e[inverse], np.exp(self.trans), w.first)[0]
 
 
+def switched(w: Words, lang: np.ndarray, rng) -> np.ndarray:
+    """Indices of words in code-switched sequences of LENGTH, one after the other; lang is that of each row.
+
+    Every row is cut into stretches of 1 to STRETCH words. Each language has as many of them as that with the most: all, then again from the first on.
+    All are put in random order, in as many passes, cut anew each, as SEQUENCES sequences need; the last sequence is filled with the first words.
+    """
+    rows, parts, held = np.unique(w.row), [], 0
+    while held < SEQUENCES * LENGTH:
+        cuts = np.cumsum(rng.integers(1, STRETCH + 1, len(w)))
+        start = np.union1d(cuts[: np.searchsorted(cuts, len(w))], w.first[rows])
+        size, of = np.diff(np.append(start, len(w))), lang[w.row[start]]
+        by = [np.flatnonzero(of == i) for i in np.unique(of)]
+        most = max(map(len, by))
+        pick = rng.permutation(np.concatenate([np.resize(rng.permutation(x), most) for x in by]))
+        parts.append(_ranges(start[pick], size[pick]))
+        held += len(parts[-1])
+    seq = np.concatenate(parts)
+    return np.resize(seq, -(-len(seq) // LENGTH) * LENGTH)
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of each range, one after the other."""
+    return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
 def fit(texts: list[str], langs: list[str], seed: int = 11) -> Field:
+    """Learns from every word of the texts: a step takes about SEQUENCES sequences, and all of them are taken equally often, in STEPS steps or more."""
     labels = sorted(set(langs))
     k = len(labels)
     w = lower_words(pa.array(texts, pa.string()))
     field = Field(labels, np.zeros((BUCKETS, k), np.float32), np.zeros((k, k)))
-    docs = np.flatnonzero(w.counts())
-    if k < 2 or not len(docs):
+    if k < 2 or not len(w):
         return field
     _, index, inverse = np.unique(w.hashes(), return_index=True, return_inverse=True)
     code, at = features(w, index)
     size = np.diff(np.append(at, len(code)))
-    rng = np.random.default_rng(seed)
     lang = np.array([labels.index(x) for x in langs])
-    by = [docs[lang[docs] == i] for i in range(k)]
-    by = [x for x in by if len(x)]
-    # code-switched sequences: stretches of random documents, each of a language drawn evenly
-    stretches = SEQUENCES * LENGTH // (STRETCH // 2) + 1
-    pick = np.array([x[int(r * len(x))] for x, r in zip((by[i] for i in rng.integers(len(by), size=stretches)), rng.random(stretches), strict=True)])
-    long_ = rng.integers(1, STRETCH + 1, stretches)
-    long_ = np.minimum(long_, w.counts()[pick])
-    begin = w.first[:-1][pick] + (rng.random(stretches) * (w.counts()[pick] - long_ + 1)).astype(int)
-    seq = np.concatenate([np.arange(a, a + n) for a, n in zip(begin, long_, strict=True)])
-    seq = seq[: len(seq) // LENGTH * LENGTH]
-    x, y = inverse[seq], lang[w.row[seq]]
-    first = np.arange(0, len(seq) + 1, LENGTH)
-    inner = np.flatnonzero(np.arange(len(seq)) % LENGTH != 0)
+    seq = switched(w, lang, np.random.default_rng(seed))
+    parts = -(-len(seq) // (SEQUENCES * LENGTH))
+    parts = [p.ravel() for p in np.array_split(seq.reshape(-1, LENGTH), parts)]
     g2, t2 = np.full((BUCKETS, k), 1e-8, np.float32), np.full((k, k), 1e-8)
-    of = np.repeat(np.arange(len(index)), size)
-    hot = np.zeros((len(seq), k))
-    hot[np.arange(len(seq)), y] = 1
-    for _ in range(STEPS):
-        e = np.add.reduceat(field.weights[code], at, axis=0).astype(float)
+    for step in range(-(-STEPS // len(parts)) * len(parts)):
+        part = parts[step % len(parts)]
+        met, x = np.unique(inverse[part], return_inverse=True)
+        n, y = size[met], lang[w.row[part]]
+        own = code[_ranges(at[met], n)]  # the features of the words met
+        first, inner = np.arange(0, len(part) + 1, LENGTH), np.flatnonzero(np.arange(len(part)) % LENGTH != 0)
+        e = np.add.reduceat(field.weights[own], np.cumsum(n) - n, axis=0).astype(float)
         e = np.exp(np.clip(e - e.max(1, keepdims=True), -30, 0))
         trans = np.exp(field.trans)
-        p, _ = forward_backward(e[x], trans, first)
-        delta = hot - p
-        word = np.stack([np.bincount(x, delta[:, j], len(index)) for j in range(k)], 1)
-        grad = np.stack([np.bincount(code, word[of, j], BUCKETS) for j in range(k)], 1) / len(seq) - PENALTY * field.weights
+        delta, _ = forward_backward(e[x], trans, first)
+        delta *= -1
+        delta[np.arange(len(part)), y] += 1
+        word, of = np.stack([np.bincount(x, delta[:, j], len(met)) for j in range(k)], 1), np.repeat(np.arange(len(met)), n)
+        grad = np.stack([np.bincount(own, word[of, j], BUCKETS) for j in range(k)], 1) / len(part) - PENALTY * field.weights
         # expected transitions by the pairwise probabilities
         pair = _pairs(e[x], trans, first, inner)
         seen = np.zeros((k, k))
         np.add.at(seen, (y[inner - 1], y[inner]), 1)
-        tgrad = (seen - pair) / len(seq) - PENALTY * field.trans
+        tgrad = (seen - pair) / len(part) - PENALTY * field.trans
         g2 += grad**2
         t2 += tgrad**2
         field.weights += (0.5 * grad / np.sqrt(g2)).astype(np.float32)
@@ -178,23 +197,10 @@ def _pairs(potential, trans, first, inner) -> np.ndarray:
     return (joint / joint.sum((2, 3), keepdims=True)).sum((0, 1))
 
 
-def spread_words(column: pa.Array, most: int) -> pa.Array:
-    """Of each text at most so many words, blanks between: all, or stretches of STRETCH words at even distances from the first word to the last."""
-    w, out = lower_words(column), []
-    for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
-        n = b - a
-        at = np.arange(n)
-        if n > most:
-            k = max(1, most // STRETCH)
-            at = (np.linspace(0, n - STRETCH, k).astype(np.int64)[:, None] + np.arange(STRETCH)).ravel()
-        out.append(b" ".join(w.text(a + i) for i in at.tolist()).decode())
-    return pa.array(out, pa.string())
-
-
-def train(documents: DataFrame, *, text: str = "text", lang: str = "lang", doc: str = "doc_id", use=None, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> Field:
+def train(documents: DataFrame, *, text: str = "text", lang: str = "lang", doc: str = "doc_id", use=None, sample_docs: int = SAMPLE_DOCS) -> Field:
     """Fits on at most sample_docs documents of known language, as many of each, with the smallest hashes of their ids; use is a condition on doc_id.
 
-    Of a longer text sample_words words count, from all over it. Rows of null language, id or text are left out, so are texts without letters; ties go by id;
+    Whole texts are learned from, however long. Rows of null language, id or text are left out, so are texts without letters; ties go by id;
     rows that share an id and a text are learned from once. Without any rows nothing is learned.
     """
     rows = documents.select(column(doc).alias("doc_id"), column(lang).cast("string").alias("lang"), column(text).cast("string").alias("text")).where("lang is not null and doc_id is not null")
@@ -205,18 +211,14 @@ def train(documents: DataFrame, *, text: str = "text", lang: str = "lang", doc:
     if not langs:
         return Field([], np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0)))
     each = max(1, sample_docs // len(langs))
-    # those of a text with a letter; a limit within the window's tasks, so that a language of very many documents isn't sorted by one
-    fit_for = rows.where(F.col("text").rlike(r"\p{L}")).select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
-    first = fit_for.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= each).select("lang", "doc_id").distinct()
-    chosen = documents.sparkSession.createDataFrame([tuple(r) for r in first.collect()], first.schema)
-
-    def run(batches):
-        for batch in batches:
-            for part in pieces(batch, "text", _SHARD):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), spread_words(part.column("text"), sample_words)], ["doc_id", "lang", "text"])
-
-    sample = rows.join(F.broadcast(chosen), ["lang", "doc_id"]).where("text is not null").select("doc_id", "lang", "text")
-    t = sample.mapInArrow(lean(run), sample.schema).distinct().toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
+    # those of a text with a letter; first the least of each part of a language, so that no task sorts a language of very many documents
+    found = rows.where(F.col("text").rlike(r"\p{L}")).select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(_APART)).alias("part"))
+    for by in (("lang", "part"), ("lang",)):
+        found = found.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))).where(F.col("k") <= each)
+    first = found.select("lang", "doc_id").distinct()
+    picked = documents.sparkSession.createDataFrame([tuple(r) for r in first.collect()], first.schema)
+    sample = rows.join(F.broadcast(picked), ["lang", "doc_id"]).where("text is not null").select("doc_id", "lang", "text")
+    t = sample.distinct().toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
     return fit(t["text"].to_pylist(), t["lang"].to_pylist())
 
 

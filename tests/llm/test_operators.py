@@ -198,8 +198,22 @@ def test_a_language_of_long_texts_is_learned(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string, lang string")
     field = langid.train(d)
     assert field.labels == ["aa", "bb"] and langid.label(d, field).join(d, "doc_id").where("lang != lang_pred").isEmpty()
-    got = langid.spread_words(pa.array([docs[0][1], "One two 3", None, ""]), 2400).to_pylist()
-    assert len(got[0].split()) == 2400 and got[1:] == ["one two", "", ""] and got[0].split()[:24] == re.findall("[a-z]+", docs[0][1])[:24] and got[0].split()[-24:] == re.findall("[a-z]+", docs[0][1])[-24:]
+
+
+def test_every_word_of_a_text_is_learned_from(monkeypatch):
+    """A very long text among short ones: each pass has every word of it, and of the other languages as many stretches; the sequences are whole."""
+    monkeypatch.setattr(langid, "SEQUENCES", 50)
+    texts = [" ".join(f"a{chr(97 + j % 26)}" for j in range(9000)), "bb " * 70, "", "ccc", "bbb"]
+    w = toxicity.lower_words(pa.array(texts))
+    lang = np.array([0, 1, 1, 2, 1])
+    seq = langid.switched(w, lang, np.random.default_rng(3))
+    assert set(seq.tolist()) == set(range(len(w))) and len(seq) % langid.LENGTH == 0
+    n = np.bincount(lang[w.row[seq]])
+    assert (np.bincount(seq, minlength=len(w))[:9000] <= 2).all() and n[0] < 9000 + langid.LENGTH and n[1] > 0.6 * n[0] and n[2] > n[0] / langid.STRETCH
+    few = langid.switched(toxicity.lower_words(pa.array(["one", "zwei"])), np.array([0, 1]), np.random.default_rng(3))
+    assert set(few.tolist()) == {0, 1} and len(few) == 50 * langid.LENGTH
+    again = langid.switched(w, lang, np.random.default_rng(3))
+    assert (seq == again).all()
 
 
 def test_forward_backward_against_all_paths():
