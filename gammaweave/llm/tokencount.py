@@ -1,15 +1,17 @@
 """Token counts under a unigram model, by dynamic programming over a trie of pre-tokens.
 
 A text's spaces become the space mark, one is put before it, and it is cut before each mark that follows another character; no piece
-goes over such a cut. The distinct pre-tokens of a large part of a task's rows are put in a trie, level by level. The best score of the
-pieces up to a node needs only its ancestors, so what pre-tokens share is computed once, for all nodes of a level together;
-a pre-token's count is that of its last node. A pre-token beyond ALONE characters shares little with others, so it goes by itself: one step a character, in
-bounded memory. Counts are remembered by the worker, up to a bounded number. There is no shuffle.
+goes over such a cut.
+The distinct pre-tokens of a large part of a task's rows are put in a trie, level by level. The best score of the pieces up to a node needs only its
+ancestors, no more levels up than the longest piece has characters, so what pre-tokens share is computed once, and older levels are dropped. A level
+of many pre-tokens is computed in arrays, all of its nodes together; where WIDE or fewer are left, the trie goes on by chains, its stretches without a branch, one step a character. So a
+pre-token of any length is in the trie, in memory that grows with its text only. Counts are remembered by the worker, up to a bounded number. There is no shuffle.
 """
 
 from __future__ import annotations
 
 import re
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,8 @@ from .text import lean, pieces
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-ALONE = 256
+#: Pre-tokens that are left when a trie goes on by chains.
+WIDE = 128
 _PART, _REMEMBER, _LONG = 12 << 20, 300_000, 4 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 _CUT = re.compile(" *[^ ]+| +")
@@ -52,81 +55,92 @@ class Unigram:
 
     def counts(self, words: list[str]) -> np.ndarray:
         """How many tokens the best segmentation of each of the distinct words has; of equal ones the one with the longer last piece."""
-        if any(len(w) > ALONE for w in words):
-            out = np.zeros(len(words), np.int64)
-            short = [i for i, w in enumerate(words) if len(w) <= ALONE]
-            out[short] = self.counts([words[i] for i in short])
-            for i, w in enumerate(words):
-                if len(w) > ALONE:
-                    out[i] = self.count_alone(w)
-            return out
         order = sorted(range(len(words)), key=words.__getitem__)
         text = "".join(words[i] for i in order)
-        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         size = np.array([len(words[i]) for i in order], np.int64)
         at = np.cumsum(size) - size
-        n = int(size.sum()) + 1
-        parent, prefix, best, count = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n), np.zeros(n, np.int64)
-        node, used, out, d = np.zeros(len(words), np.int64), 1, np.zeros(len(words), np.int64), 0
+        # of each level kept: each node's parent in the level before, the hash of its prefix, best score and count
+        levels = deque([(np.zeros(1, np.int64), np.zeros(1, np.uint64), np.zeros(1), np.zeros(1, np.int64))], maxlen=self.longest + 1)
+        node, out, d = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), 0
         live = np.flatnonzero(size > 0)
-        while len(live):
-            c, above = code[at[live] + d], node[live]
+        while len(live) > WIDE:
+            c, above = code[at[live] + d].astype(np.uint64), node[live]
             new = np.ones(len(live), bool)  # words are sorted, so those that share the node stand together
             new[1:] = (c[1:] != c[:-1]) | (above[1:] != above[:-1])
-            ids = used + np.cumsum(new) - 1
-            node[live] = ids
-            own = np.arange(used, used + int(new.sum()))
-            parent[own], chars = above[new], c[new]
-            prefix[own] = prefix[parent[own]] * _P + chars + np.uint64(1)
-            used += len(own)
-            self._level(own, chars, d + 1, parent, prefix, best, count)
+            node[live] = np.cumsum(new) - 1
+            levels.append(self._level(above[new], c[new], levels))
             d += 1
             done = size[live] == d
-            out[live[done]] = count[node[live[done]]]
+            out[live[done]] = levels[-1][3][node[live[done]]]
             live = live[~done]
+        for own in np.split(live, np.flatnonzero(np.diff(node[live])) + 1) if len(live) else []:
+            best, count = [0.0] * (self.longest + 1), [0] * (self.longest + 1)
+            up = int(node[own[0]])
+            for k in range(min(len(levels), self.longest + 1)):
+                parent, _, score, total = levels[-1 - k]
+                best[(d - k) % len(best)], count[(d - k) % len(best)] = float(score[up]), int(total[up])
+                up = int(parent[up])
+            self._chains([words[order[i]] for i in own], code, at[own], d, best, count, out, own)
         back = np.empty(len(words), np.int64)
         back[order] = out
         return back
 
-    def count_alone(self, word: str) -> int:
-        """The same for one word, of which only the last places are kept."""
-        get, lengths = self.scores.get, [n for n in sorted(self.by, reverse=True)]
-        size = self.longest + 1
-        best, count = [0.0] * size, [0] * size
-        for end in range(1, len(word) + 1):
-            top, tokens = -np.inf, 0
-            for n in lengths:
-                if n <= end and (s := get(word[end - n : end])) is not None and (s := best[(end - n) % size] + s) > top:
-                    top, tokens = s, count[(end - n) % size] + 1
-            c = word[end - 1]
-            if c not in self.scores and (s := best[(end - 1) % size] + self.unknown) > top:
-                top, tokens = s, count[(end - 1) % size] + len(c.encode("utf-8", "surrogatepass"))
-            best[end % size], count[end % size] = top, tokens
-        return count[len(word) % size]
-
-    def _level(self, own, chars, depth, parent, prefix, best, count):
-        """Best scores and counts of the nodes of a level; pieces from long to short, as a longer last piece wins a tie."""
-        up = [own]
-        for _ in range(min(depth, self.longest)):
-            up.append(parent[up[-1]])
-        power = [np.uint64(pow(int(_P), k, 1 << 64)) for k in range(len(up))]
-        score, total, single = np.full(len(own), -np.inf), np.zeros(len(own), np.int64), np.zeros(len(own), bool)
-        for length in range(len(up) - 1, 0, -1):
+    def _chains(self, words, code, at, depth, best, count, out, own):
+        """Counts of sorted words that share their first depth characters, into out at own. best and count are of the last prefixes, by length modulo their size."""
+        get, lengths, size, singles = self.scores.get, sorted(self.by, reverse=True), self.longest + 1, self.scores
+        stack = [(0, len(words), depth, best, count)]
+        while stack:
+            lo, hi, d, best, count = stack.pop()
+            word, last = words[lo], words[hi - 1]
+            end = len(word)
+            if hi - lo > 1:  # what the first and the last share, all between share
+                n = min(end, len(last)) - d
+                differ = code[at[lo] + d : at[lo] + d + n] != code[at[hi - 1] + d : at[hi - 1] + d + n]
+                end = d + (int(differ.argmax()) if differ.any() else n)
+            for e in range(d + 1, end + 1):
+                top, tokens = -np.inf, 0
+                for n in lengths:
+                    if n <= e and (s := get(word[e - n : e])) is not None and (s := best[(e - n) % size] + s) > top:
+                        top, tokens = s, count[(e - n) % size] + 1
+                c = word[e - 1]
+                if c not in singles and (s := best[(e - 1) % size] + self.unknown) > top:
+                    top, tokens = s, count[(e - 1) % size] + len(c.encode("utf-8", "surrogatepass"))
+                best[e % size], count[e % size] = top, tokens
+            while lo < hi and len(words[lo]) == end:
+                out[own[lo]] = count[end % size]
+                lo += 1
+            while lo < hi:  # a branch for each next character
+                to = lo + 1
+                while to < hi and words[to][end] == words[lo][end]:
+                    to += 1
+                stack.append((lo, to, end, best.copy(), count.copy()))
+                lo = to
+
+    def _level(self, above, chars, levels) -> tuple:
+        """A level's nodes: parents, prefixes, best scores and counts; pieces from long to short, as a longer last piece wins a tie."""
+        up = [above]
+        for k in range(1, min(len(levels), self.longest)):
+            up.append(levels[-k][0][up[-1]])
+        prefix = levels[-1][1][above] * _P + chars + np.uint64(1)
+        score, total, single = np.full(len(above), -np.inf), np.zeros(len(above), np.int64), np.zeros(len(above), bool)
+        for length in range(len(up), 0, -1):
             if length in self.by:
                 keys, values = self.by[length]
-                h = prefix[own] - prefix[up[length]] * power[length]
+                _, hashes, best, count = levels[-length]
+                h = prefix - hashes[up[length - 1]] * np.uint64(pow(int(_P), length, 1 << 64))
                 k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
                 found = keys[k] == h
-                s = np.where(found, best[up[length]] + values[k], -np.inf)
+                s = np.where(found, best[up[length - 1]] + values[k], -np.inf)
                 better = s > score
                 score = np.where(better, s, score)
-                total = np.where(better, count[up[length]] + 1, total)
+                total = np.where(better, count[up[length - 1]] + 1, total)
                 if length == 1:
                     single = found
         width = 1 + (chars >= 0x80).astype(int) + (chars >= 0x800) + (chars >= 0x10000)
-        s = np.where(single, -np.inf, best[up[1]] + self.unknown)
+        s = np.where(single, -np.inf, levels[-1][2][above] + self.unknown)
         better = s > score
-        best[own], count[own] = np.where(better, s, score), np.where(better, count[up[1]] + width, total)
+        return above, prefix, np.where(better, s, score), np.where(better, levels[-1][3][above] + width, total)
 
 
 def load(path: str) -> list[tuple[str, float]]:

@@ -192,25 +192,34 @@ def test_the_first_split_is_the_best_one():
     assert score(s) + score(~s) == pytest.approx(best[0]) and m.feature[0] == best[1]
 
 
-def test_long_words_without_blanks():
+def brute_count(model, word):
+    best = [(0.0, 0)]
+    for e in range(1, len(word) + 1):
+        options = [(best[a][0] + model.scores[word[a:e]], best[a][1] + 1) for a in range(max(0, e - model.longest), e) if word[a:e] in model.scores]
+        if word[e - 1] not in model.scores:
+            options.append((best[e - 1][0] + model.unknown, best[e - 1][1] + len(word[e - 1].encode())))
+        top = max(o[0] for o in options)
+        best.append(next(o for o in options if o[0] == top))
+    return best[-1][1]
+
+
+def test_long_words_without_blanks(monkeypatch):
+    """Levels in arrays, chains, and the change from one to the other at any depth give the counts of plain dynamic programming."""
     import time
 
     r = random.Random(5)
     pieces = {c: -10.0 - k for k, c in enumerate("▁abcd")} | {"".join(r.choices("abcd", k=r.randrange(2, 9))): -round(r.random() * 15, 3) for _ in range(80)}
     model = tokencount.Unigram(list(pieces.items()))
-    words = ["".join(r.choices("abcdéx🙂", k=n)) for n in (1, 7, 255, 256, 257, 300, 900)]
-    for w in words:
-        short = [x for x in (w[:200], w)]
-        assert [model.count_alone(x) for x in short] == [int(v) for v in _by_levels(model, short)]
-    assert model.counts(words).tolist() == [model.count_alone(w) for w in words]
+    word = lambda n: "".join(r.choices("abcdéx🙂", k=n))
+    stem = word(700)
+    words = [word(n) for n in (1, 7, 255, 256, 257, 300, 900)] + [stem[:k] + word(r.randrange(1, 40)) for k in (0, 3, 200, 200, 500, 699)] + [stem, stem[:350]]
+    words = sorted(set(words) | {word(r.randrange(1, 6)) for _ in range(60)}, key=lambda _: r.random())
+    want = [brute_count(model, w) for w in words]
+    for wide in (0, 1, 2, 5, 8, 20, 10**9):
+        monkeypatch.setattr(tokencount, "WIDE", wide)
+        assert model.counts(words).tolist() == want, wide
+    monkeypatch.undo()
+    assert model.counts(words).tolist() == want and model.counts([]).tolist() == [] and model.counts([""]).tolist() == [0]
     began = time.perf_counter()
     assert tokencount.Counter(list(pieces.items())).count(["ab" * 500_000])[1][0] > 0
     assert time.perf_counter() - began < 20
-
-
-def _by_levels(model, words):
-    before, tokencount.ALONE = tokencount.ALONE, 10**9
-    try:
-        return model.counts(words)
-    finally:
-        tokencount.ALONE = before
