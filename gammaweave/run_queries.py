@@ -6,7 +6,6 @@ that names it. What the files hold as floats, the oracles cast to floats.
 
 from __future__ import annotations
 
-import os
 import re
 import uuid
 from dataclasses import replace
@@ -35,21 +34,16 @@ def scan(spark: SparkSession, d: str) -> str:
     key = spark.sparkContext.applicationId, d
     if key not in _WRITTEN:
         _WRITTEN.clear()
-        f = re.sub("^file:/+", "/", shared_folder(spark)) + f"/scan-{uuid.uuid4().hex}"
-        os.makedirs(f)
-        t = Q.full_events(spark, d).orderBy("event_id").toPandas()
-        e = np.zeros(len(t), raw.EVENT)
-        for c in raw.EVENT.names:
-            e[c] = t[c]
-        for name in ("scan.lm", "scan"):
-            e.tofile(f"{f}/{name}")
+        f, store = re.sub("^file:/+", "/", shared_folder(spark)) + f"/scan-{uuid.uuid4().hex}", scratch(spark)
+        t = store(Q.full_events(spark, d))
+        raw.write_events(t, f"{f}/scan")
+        raw.write_events(t, f"{f}/scan", "")
         for c in ("add_fac", "mul_fac"):
-            t[c].to_numpy().astype("<f4").tofile(f"{f}/scan.{c}")
-        x = Q.image(spark, d)
+            raw.write_raw(t, f"{f}/scan.{c}", "event_id", c)
+        x = store(Q.image(spark, d))
         for name, value in (("guess", "val"), ("kappa", "kappa"), ("sens", _SENS)):
             raw.write_raw(x.selectExpr("vox", f"{value} AS v"), f"{f}/{name}.img", "vox", "v")
-        with open(f"{f}/guess.img", "rb") as a, open(f"{f}/short.img", "wb") as b:
-            b.write(a.read(4 * _SHORT))
+        raw.write_raw(x.where(f"vox < {_SHORT}"), f"{f}/short.img", "vox")
         for name, m, n in zip(("trans", "axial", "kernel"), (*Q.psf(spark), Q.kernel(spark)), (256, 8, SMALL.voxels), strict=True):
             raw.write_sparse(m, f"{f}/{name}.mat", n, n)
         m = Q.matrix(spark, d)

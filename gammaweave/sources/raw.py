@@ -1,14 +1,12 @@
 """Headerless little-endian files: events, factors, volumes and sparse matrices, read into DataFrames and written from them.
 
-Files are read by ranges of records, each by a task that opens the file at its range; neither the driver nor any task holds a file. A written file has one
-writer, the driver, which gets packed blocks in their order, one partition at a time.
+Files are read by ranges of records, each by a task that opens the file at its range; neither the driver nor any task holds a file. They are written
+so too: each task puts its blocks at their places (see ranges), and a job that fails leaves no file.
 """
 
 from __future__ import annotations
 
-import os
-import shutil
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.scanner import Scanner
+from ..plans.store import scratch
+from . import ranges
 
 EVENT = np.dtype([("xtal_id_1", "<i2"), ("ring_id_1", "<i2"), ("xtal_id_2", "<i2"), ("ring_id_2", "<i2"), ("tbin_id", "<i2")])
 #: Bits of i, j, k and weight in an entry of a quantised matrix, lowest first; 48 in all, without padding. By whether the axial field of view is long.
@@ -149,42 +149,77 @@ def _planned(spark: SparkSession, ranges: list) -> DataFrame:
     return spark.createDataFrame(ranges, "first long, rows long, entry long").repartition(max(1, len(ranges)))
 
 
-def _in_order(df: DataFrame, order: list[str], columns: dict[str, str]) -> Iterator[tuple[bytes, ...]]:
-    """Packed blocks of the columns (name and numpy type), in the order given; one partition at a time is with the driver."""
+def _dense(counts: DataFrame, rows: int, base: int, running: bool) -> DataFrame:
+    """(place, block) of an int32 for each row from 0 on: its count, or with running, how many the rows before it have, and one more at the end; counts: row and n.
+
+    The rows before a block of BATCH rows are added up by block, so the driver gets one number for each of at most 2^31 / BATCH blocks.
+    """
+    spark, n = counts.sparkSession, rows + running
+    blocks = counts.groupBy(F.floor(F.col("row") / BATCH).alias("b")).agg(F.sum("n").alias("n")).collect() if running else []
+    sums = np.zeros(-(-n // BATCH) + 1, np.int64)
+    for b, k in blocks:
+        sums[b + 1] = k
+    sums = np.cumsum(sums)
+    kind = pa.schema([("place", pa.int64()), ("block", pa.binary())])
+
+    def make(key, table):
+        b = key[0].as_py()
+        out = np.zeros(min(BATCH, n - b * BATCH), np.int64)
+        row, k = (table.column(c).to_numpy() for c in ("row", "n"))
+        real = k > 0
+        np.add.at(out, row[real] - b * BATCH, k[real])
+        if running:
+            out = sums[b] + np.cumsum(out) - out
+        return pa.table([[base + 4 * b * BATCH], [out.astype("<i4").tobytes()]], schema=kind)
+
+    marks = spark.range(0, n, BATCH).select(F.col("id").alias("row"), F.lit(0).cast("long").alias("n"))  # a row for each block, so that none is missing
+    all_rows = counts.select(F.col("row").cast("long").alias("row"), F.col("n").cast("long").alias("n")).unionByName(marks)
+    return all_rows.withColumn("b", F.floor(F.col("row") / BATCH)).groupBy("b").applyInArrow(make, ranges.ROWS)
+
+
+def _placed(df: DataFrame, order: list[str], make: Callable[[dict[str, np.ndarray], int, int], Iterator[tuple[int, bytes]]]) -> tuple[DataFrame, DataFrame, int]:
+    """The rows in their order as blocks: make(columns, number of the first of them, number of all) gives (place, block); with the ordered table and the number of its rows.
+
+    Ranges of the order are written, each with the number of its rows; ranges are of rows, not of keys, so a key that holds most of them is in many. The driver gets a number for each range.
+    """
+    spark = df.sparkSession
+    cut = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    table = scratch(spark)(cut)
+    sizes = dict(table.groupBy("_range").count().collect())
+    starts, total = {}, 0
+    for k in sorted(sizes):
+        starts[k], total = total, total + sizes[k]
 
     def run(batches):
+        at: dict[int, int] = {}
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column(c).to_numpy(zero_copy_only=False).astype(t).tobytes()], pa.binary()) for c, t in columns.items()], list(columns))
-
-    packed = df.select(*dict.fromkeys([*order, *columns])).orderBy(*order).mapInArrow(run, ", ".join(f"`{c}` binary" for c in columns))
-    for r in packed.toLocalIterator(prefetchPartitions=True):
-        yield tuple(bytes(x) for x in r)
-
-
-def _write_rows(path: str, blocks: Iterator[tuple[bytes, ...]], rows: int, head) -> None:
-    """head(counts of each row, entries), then the second column's blocks, then the third's, and so on; the first column is the row."""
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    counts, parts = np.zeros(rows, np.int64), []
-    for row, *rest in blocks:
-        at, n = np.unique(np.frombuffer(row, "<i4"), return_counts=True)
-        counts[at] += n
-        parts = parts or [open(f"{path}.{k}", "w+b") for k in range(len(rest))]  # noqa: SIM115
-        for f, block in zip(parts, rest, strict=True):
-            f.write(block)
-    with open(path, "wb") as out:
-        out.write(head(counts))
-        for f in parts:
-            f.seek(0)
-            shutil.copyfileobj(f, out)
-            f.close()
-            os.unlink(f.name)
+            of = batch.column(batch.num_columns - 1).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1), len(of)]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                if x < y:
+                    k = int(of[x])
+                    first = at.get(k, starts[k])
+                    at[k] = first + int(y - x)
+                    part = {name: batch.column(c).to_numpy(zero_copy_only=False)[x:y] for c, name in enumerate(batch.schema.names[:-1])}
+                    places, blocks = zip(*make(part, first, total), strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(blocks, pa.binary())], ["place", "block"])
+
+    rows = table.repartition(max(1, len(starts)), "_range").sortWithinPartitions("_range", *order)
+    return rows.mapInArrow(run, ranges.ROWS), table, total
 
 
 def write_sparse(matrix: DataFrame, path: str, rows: int, cols: int) -> None:
     """The format that read_sparse reads."""
-    one = matrix.selectExpr("CAST(row AS INT) AS row", "CAST(col + 1 AS INT) AS col", "CAST(val AS FLOAT) AS val")
-    head = lambda n: np.array([rows, cols], "<i4").tobytes() + np.array([n.sum()], "<i8").tobytes() + n.astype("<i4").tobytes()
-    _write_rows(path, _in_order(one, ["row", "col"], {"row": "<i4", "col": "<i4", "val": "<f4"}), rows, head)
+    one, base = matrix.selectExpr("CAST(row AS INT) AS row", "CAST(col + 1 AS INT) AS col", "CAST(val AS FLOAT) AS val"), 16 + 4 * rows
+
+    def entries(part, first, total):
+        yield base + 4 * first, part["col"].astype("<i4").tobytes()
+        yield base + 4 * (total + first), part["val"].astype("<f4").tobytes()
+
+    blocks, table, n = _placed(one, ["row", "col"], entries)
+    head = np.array([rows, cols], "<i4").tobytes() + np.array([n], "<i8").tobytes()
+    counts = table.groupBy("row").agg(F.count("*").alias("n"))
+    ranges.write(ranges.single(matrix.sparkSession, head).union(_dense(counts, rows, 16, False)).union(blocks), path, base + 8 * n)
 
 
 def pack(i, j, k, w, long_axial: bool = False) -> np.ndarray:
@@ -232,32 +267,48 @@ def read_quantised(spark: SparkSession, path: str, long_axial: bool = False) ->
 
 def write_quantised(matrix: DataFrame, path: str, rows: int, cols: int, long_axial: bool = False) -> None:
     """The format that read_quantised reads; the scale is that of the rows, 0 without any."""
+    spark, base = matrix.sparkSession, 16 + 4 * (rows + 1)
     scale = matrix.agg(F.max("scale")).first()[0] or 0.0
 
-    def entries(blocks):
-        for row, *ijkw in blocks:
-            yield row, pack(*(np.frombuffer(x, "<i4") for x in ijkw), long_axial).tobytes()
+    def entries(part, first, total):
+        yield base + ENTRY_BYTES * first, pack(*(part[c] for c in ("i", "j", "k", "w")), long_axial).tobytes()
 
-    head = lambda n: np.array([rows, cols, n.sum()], "<i4").tobytes() + np.array([scale], "<f4").tobytes() + np.append(0, n.cumsum()).astype("<i4").tobytes()
-    _write_rows(path, entries(_in_order(matrix, ["row", "k", "j", "i"], {c: "<i4" for c in ("row", "i", "j", "k", "w")})), rows, head)
+    blocks, table, n = _placed(matrix.select(*(F.col(c).cast("int").alias(c) for c in ("row", "k", "j", "i", "w"))), ["row", "k", "j", "i"], entries)
+    head = np.array([rows, cols, n], "<i4").tobytes() + np.array([scale], "<f4").tobytes()
+    counts = table.groupBy("row").agg(F.count("*").alias("n"))
+    ranges.write(ranges.single(spark, head).union(_dense(counts, rows, 16, True)).union(blocks), path, base + ENTRY_BYTES * n)
 
 
-def write_raw(df: DataFrame, path: str, id_name: str, value: str = "val") -> None:
-    """float32 values, that of id k at place k; 0 for ids between that have no row.
+def write_records(df: DataFrame, path: str, kind: np.dtype, id_name: str) -> None:
+    """Fixed-length records, that of id k at place k, fields by name (val where the type has none); zeros for ids between that have no row.
 
-    Blocks of ids are dealt by their numbers, so df is computed once, and no order over all of it is needed: the driver puts each run of values where it belongs.
+    Blocks of ids are dealt by their numbers, so df is computed once, and no order over all of it is needed.
     """
-    rows = df.select(F.col(id_name).cast("long").alias("id"), F.col(value).cast("float").alias("val")).repartition(F.floor(F.col("id") / BATCH)).sortWithinPartitions("id")
+    names = kind.names or ("val",)
+    fields = [F.col(n).cast(_SQL[(kind[n] if kind.names else kind).str[1:]]).alias(n) for n in names]
+    rows = df.select(F.col(id_name).cast("long").alias("_id"), *fields).repartition(F.floor(F.col("_id") / BATCH)).sortWithinPartitions("_id")
 
     def run(batches):
         for batch in batches:
-            ids, val = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype("<f4")
+            ids = batch.column(0).to_numpy()
+            if not len(ids):
+                continue
+            packed = np.zeros(len(ids), kind)
+            for c, name in enumerate(names, 1):
+                target = packed[name] if kind.names else packed
+                target[:] = batch.column(c).to_numpy(zero_copy_only=False)
             cuts = np.append(0, np.flatnonzero(np.diff(ids) != 1) + 1)
-            ends = np.append(cuts[1:], len(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[cuts] if len(ids) else ids), pa.array([val[x:y].tobytes() for x, y in zip(cuts, ends, strict=True)] if len(ids) else [], pa.binary())], ["first", "block"])
-
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "wb") as f:
-        for r in rows.mapInArrow(run, "first long, block binary").toLocalIterator(prefetchPartitions=True):
-            f.seek(4 * r["first"])
-            f.write(r["block"])
+            blocks = [packed[x:y].tobytes() for x, y in zip(cuts, np.append(cuts[1:], len(ids)), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[cuts] * kind.itemsize), pa.array(blocks, pa.binary())], ["place", "block"])
+
+    ranges.write(rows.mapInArrow(run, ranges.ROWS), path)
+
+
+def write_raw(df: DataFrame, path: str, id_name: str, value: str = "val") -> None:
+    """float32 values, that of id k at place k; 0 for ids between that have no row."""
+    write_records(df.select(id_name, F.col(value).alias("val")), path, np.dtype("<f4"), id_name)
+
+
+def write_events(events: DataFrame, prefix: str, suffix: str = ".lm") -> None:
+    """The format that read_events reads, by event_id."""
+    write_records(events, prefix + suffix, EVENT, "event_id")

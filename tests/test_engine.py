@@ -9,7 +9,7 @@ from gammaweave.functions.formulas import POTENTIALS, phi, slope, slope_over_t
 from gammaweave.operators import geometry, knn, penalty, project, rays, sparse, stencil, tiles, trace
 from gammaweave.plans import config, log, recon, run, session, store
 from gammaweave.plans.scanner import SMALL, Scanner
-from gammaweave.sources import raw, sinks
+from gammaweave.sources import ranges, raw, sinks
 from gammaweave.streaming import live
 from tests.conftest import DATA
 
@@ -251,6 +251,52 @@ def test_files_in_many_ranges(spark, tmp_path, monkeypatch):
     assert raw.read_sparse(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_written_files_by_hand(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(raw, "BATCH", 5)
+    # half of all entries lie in one row, and rows 0, 3 and 22 have none
+    rows = sorted({(7, c) for c in range(200)} | {(1 + c % 21, c) for c in range(200)} - {(3, c) for c in range(200)})
+    m = spark.createDataFrame([(r, c, r + c / 4) for r, c in rows], "row int, col int, val double").repartition(7)
+    raw.write_sparse(m, f"{tmp_path}/m", 23, 200)
+    n = [sum(r == k for r, _ in rows) for k in range(23)]
+    want = np.array([23, 200], "<i4").tobytes() + np.array([len(rows)], "<i8").tobytes() + np.array(n, "<i4").tobytes()
+    want += np.array([c + 1 for _, c in rows], "<i4").tobytes() + np.array([r + c / 4 for r, c in rows], "<f4").tobytes()
+    assert (tmp_path / "m").read_bytes() == want
+    q = sparse.quantise(m, SMALL)
+    raw.write_quantised(q, f"{tmp_path}/q", 23, 200)
+    got = (tmp_path / "q").read_bytes()
+    assert got[:12] == np.array([23, 200, len(rows)], "<i4").tobytes() and got[16 : 16 + 4 * 24] == np.append(0, np.cumsum(n)).astype("<i4").tobytes()
+    assert len(got) == 16 + 4 * 24 + 6 * len(rows)
+    events = spark.range(3, 40).selectExpr("id AS event_id", "id AS xtal_id_1", "id % 5 AS ring_id_1", "id + 1 AS xtal_id_2", "id % 7 AS ring_id_2", "-id AS tbin_id").repartition(4)
+    raw.write_events(events, f"{tmp_path}/a")
+    e = np.fromfile(tmp_path / "a.lm", raw.EVENT)
+    k = np.arange(40) * (np.arange(40) >= 3)  # the first three places have no event
+    assert np.array_equal(e["xtal_id_1"], k) and np.array_equal(e["tbin_id"], -k) and np.array_equal(e["ring_id_2"], k % 7)
+    assert {p.name for p in tmp_path.iterdir()} == {"m", "q", "a.lm"}
+
+
+def test_a_failed_write_leaves_the_old_file(spark, tmp_path):
+    raw.write_raw(spark.range(4).selectExpr("id", "1 AS val"), f"{tmp_path}/v", "id")
+    old = (tmp_path / "v").read_bytes()
+    with pytest.raises(Exception, match="a bad one"):
+        raw.write_raw(spark.range(900).selectExpr("id", "CASE WHEN id = 700 THEN raise_error('a bad one') ELSE 2 END AS val"), f"{tmp_path}/v", "id")
+    assert (tmp_path / "v").read_bytes() == old and len([*tmp_path.iterdir()]) == 1
+    with pytest.raises(Exception, match="append"):
+        spark.createDataFrame([(0, b"x")], ranges.ROWS).write.format("byte_ranges").mode("append").save(f"{tmp_path}/v")
+    raw.write_raw(spark.range(0), f"{tmp_path}/none", "id", "id")
+    assert (tmp_path / "none").read_bytes() == b""
+
+
+def test_a_store_without_places_gets_blocks_in_order(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(6, b"cd"), (0, b"ab"), (8, b"e")], ranges.ROWS).repartition(3)
+    monkeypatch.setattr(ranges, "local", lambda path: None)
+    ranges.write(rows, f"{tmp_path}/s", 12)
+    assert (tmp_path / "s").read_bytes() == b"ab\0\0\0\0cde\0\0\0"
+    monkeypatch.undo()
+    ranges.write(rows, f"file://{tmp_path}/t", 12)
+    assert (tmp_path / "t").read_bytes() == (tmp_path / "s").read_bytes()
+    assert ranges.local("viewfs://a/b") is None and ranges.local("file:///a/b") == ranges.local("/a/b") == "/a/b"
+
+
 def test_log_and_session(spark, tmp_path):
     with log.log_file(str(tmp_path / "scanner.log"), screen=False), log.timed("a step"):
         pass
