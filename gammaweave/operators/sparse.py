@@ -47,10 +47,14 @@ def quantise(matrix: DataFrame, s: Scanner, levels: int = LEVELS) -> DataFrame:
     return matrix.withColumn("scale", F.lit(None if top is None else float(top) / levels).cast("double")).selectExpr("row", f"CAST(col % {s.n} AS INT) AS i", f"CAST(col div {s.n} % {s.n} AS INT) AS j", f"CAST(col div {s.n * s.n} AS INT) AS k", "CAST(floor(val / nullif(scale, 0e0)) AS INT) AS w", "scale")
 
 
-def quantised_product(matrix: DataFrame, x: DataFrame, s: Scanner) -> DataFrame:
-    """A x for quantised rows."""
-    plain = matrix.selectExpr("row", f"CAST(i + j * {s.n} + k * {s.n * s.n} AS INT) AS col", "w * scale AS val")
-    return product(plain, x)
+def unquantised(matrix: DataFrame, s: Scanner) -> DataFrame:
+    """row, col and val of quantised rows."""
+    return matrix.selectExpr("row", f"CAST(i + j * {s.n} + k * {s.n * s.n} AS INT) AS col", "w * scale AS val")
+
+
+def quantised_product(matrix: DataFrame, x: DataFrame, s: Scanner, transposed: bool = False) -> DataFrame:
+    """A x, or its transpose's, for quantised rows."""
+    return product(unquantised(matrix, s), x, transposed)
 
 
 def blur(image: DataFrame, s: Scanner, transaxial: DataFrame | None, axial: DataFrame | None, transposed: bool = False) -> DataFrame:

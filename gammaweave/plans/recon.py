@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formulas import _num
-from ..operators import tiles, trace
+from ..operators import blocks, tiles, trace
 from ..operators.geometry import grid, lines_of_response, with_vox
 from ..operators.penalty import mean_surrogate, patch_surrogate, surrogate
 from ..operators.project import back, forward, merged, sensitivity, with_factors, with_subset
-from ..operators.sparse import blur, product
+from ..operators.sparse import blur
 from .scanner import Scanner
 from .store import Scratch, scratch
 
@@ -179,20 +179,20 @@ def likelihoods(log: list) -> DataFrame | None:
 
 
 def kem(p: Problem, kernel: DataFrame, x: DataFrame, iterations: int, outputs: Outputs | None = None) -> DataFrame:
-    """Kernel EM: alpha from 1; x = K alpha. kernel: row, col, val, symmetric. The first projection uses x as given."""
+    """Kernel EM: alpha from 1; x = K alpha. kernel: row, col, val, symmetric; it is written in blocks. The first projection uses x as given."""
     store, outputs = scratch(p.events.sparkSession), outputs or Outputs()
     if kernel.isEmpty():
         raise ValueError("the kernel matrix is missing or empty")
     p.dealt(store)
-    alpha, as_id = ones(p), lambda v: v.select(F.col("vox").alias("id"), "val")
+    matrix, alpha, as_id = blocks.write(kernel, store), ones(p), lambda v: v.select(F.col("vox").alias("id"), "val")
     for n in range(1, iterations + 1):
         for m in range(p.subsets):
             z, l2 = p.update(x, m, store)
             p.log.append(("kernel", n, m, p.likelihood(x, l2)))
-            ab = product(kernel, as_id(z)).select(F.col("id").alias("vox"), F.col("val").alias("ab"))
+            ab = matrix.product(as_id(z)).select(F.col("id").cast("int").alias("vox"), F.col("val").alias("ab"))
             rows = alpha.join(ab, "vox", "left").join(p.s.withColumnRenamed("val", "s"), "vox", "left")
             alpha = store(rows.selectExpr("vox", f"CASE WHEN s > 0e0 THEN val * coalesce(ab, 0e0) / nullif(s / {p.subsets}, 0e0) ELSE 0e0 END AS val"))
-            x = store(product(kernel, as_id(alpha)).select(F.col("id").cast("int").alias("vox"), "val"))
+            x = store(matrix.product(as_id(alpha)).select(F.col("id").cast("int").alias("vox"), "val"))
         outputs.iteration(n, x, alpha)
     return x
 

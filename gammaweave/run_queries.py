@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import queries as Q
-from .operators import geometry, knn, project, sinogram, sparse, stored, subsets
+from .operators import blocks, geometry, knn, project, sinogram, sparse, stored, subsets
 from .plans import config, recon, run
 from .plans.scanner import SMALL, Scanner
 from .plans.store import scratch, shared_folder
@@ -176,6 +176,14 @@ query("stored_forward", Q.ORACLES["siddon_forward"])(lambda spark, d: Q.out(proj
 query("stored_back", Q.ORACLES["siddon_back"])(lambda spark, d: Q.out(_stored(spark, d).back(Q.events(spark, d).withColumn("w", F.expr(Q._W))), digits=3))
 query("stored_em", Q.ORACLES["em_update"])(lambda spark, d: Q.out(stored.em(_stored(spark, d), Q.full_events(spark, d), geometry.grid(spark, SMALL).selectExpr("vox", "1e0 AS val"), 1)))
 
+# --- sparse products in blocks, which cut the small matrix into many
+_BY_COL = Q.ORACLES["csr_quantised_forward"].replace("CAST(row AS BIGINT) AS id", "CAST(col AS BIGINT) AS id").replace("range(60)", "range(40)").replace("ON col = id GROUP BY row", "ON row = id GROUP BY col")
+query("csr_quantised_back", _BY_COL)(lambda spark, d: Q.out(sparse.quantised_product(sparse.quantise(Q.matrix(spark, d), SMALL), Q._x(spark, 40), SMALL, True)))
+for _name, _n, _transposed in (("csr_forward", 60, False), ("csr_back", 40, True)):
+    query(_name.replace("csr", "blocked"), Q.ORACLES[_name])(lambda spark, d, n=_n, t=_transposed: Q.out(blocks.write(Q.matrix(spark, d), scratch(spark), 7, t, 20).product(Q._x(spark, n))))
+query("blocked_quantised_back", _BY_COL)(
+    lambda spark, d: Q.out(blocks.write(sparse.unquantised(sparse.quantise(Q.matrix(spark, d), SMALL), SMALL), scratch(spark), 16, True, 20).product(Q._x(spark, 40))))
+
 # --- guards
 query("back_zero_weights", f"WITH {Q._LN}, {Q._seg()} SELECT {Q._id('vox')}, {Q._r('sum(len * (event_id % 4))', 'val', 3)} FROM seg WHERE event_id % 4 > 0 GROUP BY vox")(
     lambda spark, d: Q.out(project.back(Q.lines(spark, d).withColumn("w", F.expr("CASE event_id % 4 WHEN 0 THEN 1e-40 ELSE event_id % 4 END")), SMALL), digits=3))

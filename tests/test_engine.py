@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gammaweave import queries as Q
 from gammaweave.functions.formulas import POTENTIALS, phi, slope, slope_over_t
-from gammaweave.operators import geometry, knn, penalty, project, rays, sparse, stencil, tiles, trace
+from gammaweave.operators import blocks, geometry, knn, penalty, project, rays, sparse, stencil, tiles, trace
 from gammaweave.plans import config, log, recon, run, session, store
 from gammaweave.plans.scanner import SMALL, Scanner
 from gammaweave.sources import ranges, raw, sinks
@@ -92,6 +92,31 @@ def test_blur_is_adjoint(spark):
     assert by(sparse.blur(x, SMALL, None, None), "vox", "val") == pytest.approx(xs)
 
 
+@pytest.mark.parametrize("edge,piece", [(1 << 16, 1 << 18), (50, 40), (7, 3)])
+def test_products_in_blocks(spark, monkeypatch, edge, piece):
+    monkeypatch.setattr(blocks, "FAN", 3)
+    # a third of all entries in one row, a third in one column, the same entry twice, rows and columns that meet nothing
+    entries = [(5, c, c / 7) for c in range(150)] + [(r, 90, 1 - r / 9) for r in range(150)] + [(k * 37 % 150, k * 11 % 150, k / 3) for k in range(150)] + [(3, 4, 2.0), (3, 4, 2.0), (200, 7, 0.0), (201, 160, 1.0)]
+    m = spark.createDataFrame([*entries, (None, 1, 1.0), (1, None, 1.0), (1, 1, None)], "row int, col int, val double").repartition(5)
+    for x in (spark.range(0, 150, 2), spark.range(150), spark.range(0)):
+        x = x.selectExpr("id", "CAST(id + 1 AS DOUBLE) / 3 AS val")
+        for transposed in (False, True):
+            want = by(sparse.product(m.dropna(), x, transposed), "id", "val")
+            got = blocks.write(m, store.scratch(spark), edge, transposed, piece).product(x)
+            assert by(got, "id", "val") == pytest.approx(want) and len(got.collect()) == len(want)
+    assert blocks.write(m.limit(0), store.scratch(spark), edge).product(spark.range(5).selectExpr("id", "1e0 AS val")).isEmpty()
+
+
+def test_no_group_of_pieces_is_large(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "FAN", 4)
+    m = spark.range(20_000).selectExpr("CAST(id div 200 AS INT) AS row", "CAST(id % 200 AS INT) AS col", "1e0 AS val")  # one dense block
+    b = blocks.write(m, store.scratch(spark), 256, piece=100)
+    entries = b.pieces.selectExpr("to", "of", "salt", "length(row) / 4 AS n")
+    assert entries.count() == 200 and entries.agg(F.max("n")).first()[0] < 200
+    assert entries.groupBy("of", "salt").count().agg(F.max("count")).first()[0] <= 16
+    assert {*by(b.product(spark.range(200).selectExpr("id", "1e0 AS val")), "id", "val").values()} == {200.0}
+
+
 def test_filters_are_adjoint(spark):
     m, x = knn.Matching(), Q.image(spark)
     y = x.withColumn("val", F.expr("1e0 + vox % 13"))
