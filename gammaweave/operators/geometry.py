@@ -10,8 +10,8 @@ from ..plans.scanner import MOST_BROADCAST, Scanner
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
-    """Marked for broadcast if it has few enough rows."""
-    return F.broadcast(df) if rows <= MOST_BROADCAST else df
+    """Marked for broadcast if it has few enough rows, else for a merge join, as Spark's own choice goes by estimates, which miss what functions and explosions make on the other side."""
+    return F.broadcast(df) if rows <= MOST_BROADCAST else df.hint("merge")
 
 
 def crystal_positions(spark: SparkSession, s: Scanner) -> DataFrame:
