@@ -24,6 +24,8 @@ PACKED_BITS = {False: (11, 11, 9, 17), True: (11, 11, 17, 9)}
 ENTRY_BYTES = 6
 #: Records of a task's range, and of a batch.
 RANGE, BATCH = 1 << 22, 1 << 18
+#: Rows of a file that a join may still broadcast.
+MOST_JOINED = 1 << 16
 _SQL = {"i2": "smallint", "i4": "int", "i8": "bigint", "f4": "float", "f8": "double"}
 
 
@@ -53,7 +55,12 @@ def records(spark: SparkSession, path: str, kind: np.dtype, id_name: str) -> Dat
                         a = _read(f, at * kind.itemsize, kind, min(BATCH, first + RANGE - at, total - at))
                         yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(a))), *(pa.array(np.ascontiguousarray(a[n] if kind.names else a)) for n in names)], [id_name, *names])
 
-    return _ranges(spark, total).mapInArrow(run, ", ".join(fields))
+    return _sized(_ranges(spark, total).mapInArrow(run, ", ".join(fields)), total)
+
+
+def _sized(df: DataFrame, rows: int) -> DataFrame:
+    """The rows of a file, which Spark takes for as few as the ranges that they come from: beyond MOST_JOINED they are marked, so that no join sends them through the driver."""
+    return df.hint("merge") if rows > MOST_JOINED else df
 
 
 def _ranges(spark: SparkSession, total: int) -> DataFrame:
@@ -142,7 +149,7 @@ def read_sparse(spark: SparkSession, path: str) -> DataFrame:
                     for at in range(0, len(row), BATCH):
                         yield pa.RecordBatch.from_arrays([pa.array(x[at : at + BATCH]) for x in (row, col - 1, val)], ["row", "col", "val"])
 
-    return _planned(spark, ranges).mapInArrow(run, "row int, col int, val float")
+    return _sized(_planned(spark, ranges).mapInArrow(run, "row int, col int, val float"), n)
 
 
 def _planned(spark: SparkSession, ranges: list) -> DataFrame:
@@ -262,7 +269,7 @@ def read_quantised(spark: SparkSession, path: str, long_axial: bool = False) ->
                     for at in range(0, len(row), BATCH):
                         yield pa.RecordBatch.from_arrays([pa.array(row[at : at + BATCH]), *(pa.array(x) for x in unpack(own[at : at + BATCH], long_axial))], ["row", "i", "j", "k", "w"])
 
-    return _planned(spark, ranges).mapInArrow(run, "row int, i int, j int, k int, w int"), scale
+    return _sized(_planned(spark, ranges).mapInArrow(run, "row int, i int, j int, k int, w int"), n), scale
 
 
 def write_quantised(matrix: DataFrame, path: str, rows: int, cols: int, long_axial: bool = False) -> None:
