@@ -43,7 +43,7 @@ def forward(lines: DataFrame, image: DataFrame, s: Scanner, tracer: str = "siddo
 
 
 def merged(lines: DataFrame, sums: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    return lines.select("event_id", *keep).join(sums, "event_id", "left").select("event_id", F.coalesce("y", F.lit(0.0)).alias("y"), *keep)
+    return lines.select("event_id", *keep).join(sums.hint("merge"), "event_id", "left").select("event_id", F.coalesce("y", F.lit(0.0)).alias("y"), *keep)
 
 
 def back(lines: DataFrame, s: Scanner, weight: str = "w", tracer: str = "siddon", power: int = 1, edge: int | None = None) -> DataFrame:

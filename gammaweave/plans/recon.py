@@ -75,7 +75,7 @@ class Problem:
         return _ratios(self.project(x, subset, ("add_fac", "mul_fac")))
 
     def backproject(self, ratios: DataFrame, subset: int) -> DataFrame:
-        lines = self._lines(subset).join(ratios.select("event_id", "ratio"), "event_id")
+        lines = self._lines(subset).join(ratios.select("event_id", "ratio").hint("merge"), "event_id")
         return self._blur(back(lines, self.scanner, "ratio", self.tracer, edge=self.edge), True)
 
     def update(self, x: DataFrame, subset: int, store: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -88,7 +88,7 @@ class Problem:
         rays = self._rays[subset]
         sums = merged(self._lines(subset), tiles.forward(rays, self._blur(x, False)), ("add_fac", "mul_fac"))
         r = store(_ratios(sums))
-        weighed = replace(rays, rays=rays.rays.join(r.select("event_id", "ratio"), "event_id"))
+        weighed = replace(rays, rays=rays.rays.join(r.select("event_id", "ratio").hint("merge"), "event_id"))
         return self._blur(store(tiles.unpack(tiles.back(weighed, "ratio"), rays.t)), True), log_sum(r)
 
     def likelihood(self, x: DataFrame, l2: DataFrame) -> DataFrame:

@@ -169,7 +169,7 @@ query("tiled_osem_2x2", Q.ORACLES["osem_2x2"])(lambda spark, d: (lambda p: Q.out
 
 
 def _stored(spark: SparkSession, d: str) -> stored.StoredMatrix:
-    return stored.write(project.system_matrix(Q.lines(spark, d), SMALL), scratch(spark), 8)
+    return stored.traced(Q.events(spark, d), SMALL, scratch(spark))
 
 
 query("stored_forward", Q.ORACLES["siddon_forward"])(lambda spark, d: Q.out(project.merged(Q.events(spark, d), _stored(spark, d).forward(Q.image(spark, d)))))

@@ -65,3 +65,19 @@ def test_a_stored_matrix_is_not_shuffled(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     m.drop()
+
+
+def test_buckets_of_a_stored_matrix_follow_the_events_and_its_rows_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(stored, "EVENTS", 50)
+    events = Q.events(spark, D)
+    m = stored.traced(events, SMALL, scratch(spark))
+    assert spark.sql(f"DESCRIBE EXTENDED {m.by_event}").where("col_name = 'Num Buckets'").first()["data_type"] == str(-(-events.count() // 50))
+    x, lines = Q.image(spark, D), Q.lines(spark, D).withColumn("w", F.expr("event_id % 3"))
+    want = {k: v for k, v in by(project.forward(lines, x, SMALL), "event_id", "y").items() if v}
+    assert by(m.forward(x), "event_id", "y") == pytest.approx(want)
+    assert by(m.back(lines).where("val <> 0"), "vox", "val") == pytest.approx(by(project.back(lines, SMALL, "w"), "vox", "val"))
+    text = m.forward(x)._jdf.queryExecution().executedPlan().toString().split("\n")
+    at = next(k for k, line in enumerate(text) if "by_event" in line)
+    depth = len(text[at]) - len(text[at].lstrip(" :+-"))
+    assert "Bucketed: true" in text[at] and not [line for line in text[:at] if "Exchange" in line and len(line) - len(line.lstrip(" :+-")) < depth]
+    m.drop()
