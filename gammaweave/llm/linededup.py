@@ -55,10 +55,15 @@ def _stretches(active: DataFrame, least: int) -> DataFrame:
     return rows.select("doc", "t", F.explode(F.array_distinct(F.filter(both, lambda x: x.isNotNull()))).alias("s")).select("doc", "t", "s.start", "s.m")
 
 
+def _many(rows: DataFrame) -> DataFrame:
+    """Rows of lines, marked for a merge join: written, they take few bytes each (ids and texts' hashes repeat), so Spark would take millions of them for few and send them through the driver."""
+    return rows.hint("merge")
+
+
 def _null_safe(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
     """An inner join on doc (which may be null), t and the column, each of which stays once."""
     r = right.select(F.col("doc").alias("_d"), F.col("t").alias("_t"), F.col(column).alias("_c"), *(c for c in right.columns if c not in ("doc", "t", column)))
-    return left.join(r, F.col("doc").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t")) & (F.col(column) == F.col("_c"))).drop("_d", "_t", "_c")
+    return left.join(_many(r), F.col("doc").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t")) & (F.col(column) == F.col("_c"))).drop("_d", "_t", "_c")
 
 
 def _texts(documents: DataFrame, text: str, doc: str) -> DataFrame:
@@ -77,7 +82,7 @@ def repeated_lines(documents: DataFrame, *, text: str = "text", doc: str = "doc_
     docs = _texts(documents, text, doc).where("text is not null")
     lines = store(_lines(docs, min_chars))
     ids = _numbers(lines, ["h", "g"], "r0", store)
-    active = store(lines.join(ids, ["h", "g"]).select("doc", "t", "pos", "w", "r0").distinct())
+    active = store(lines.join(_many(ids), ["h", "g"]).select("doc", "t", "pos", "w", "r0").distinct())
     store.drop(1)
     spans = store(_stretches(active, min_chars))
     longest = spans.agg(F.max("m")).first()[0] or 0
@@ -89,7 +94,7 @@ def repeated_lines(documents: DataFrame, *, text: str = "text", doc: str = "doc_
         pairs = ranks.withColumn("next", F.when(follows & F.col(f"r{top}").isNotNull(), F.lead(f"r{top}", step).over(order)))
         own, top = f"r{top}", top + 1
         pairs = store(pairs)
-        ranks = store(pairs.join(_numbers(pairs.where("next is not null"), [own, "next"], f"r{top}", store), [own, "next"], "left").drop("next"))
+        ranks = store(pairs.join(_many(_numbers(pairs.where("next is not null"), [own, "next"], f"r{top}", store)), [own, "next"], "left").drop("next"))
     m = F.col("m")
     size = F.lit(1)
     for k in range(1, top + 1):
@@ -101,7 +106,7 @@ def repeated_lines(documents: DataFrame, *, text: str = "text", doc: str = "doc_
     place = F.struct("doc", "t", "start")
     first = named.groupBy("m", "x", "y").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").drop("last")
     first = store(first)  # then both sides of the join are plain shuffles, and a line of very many copies can be split
-    later = named.join(first, ["m", "x", "y"]).where(place != F.col("first")).select("doc", "t", "start", F.expr("start + m - 1").alias("end"), F.col("first.doc").alias("fd"), F.col("first.t").alias("ft"), F.expr("start - first.start").alias("shift"))
+    later = named.join(_many(first), ["m", "x", "y"]).where(place != F.col("first")).select("doc", "t", "start", F.expr("start + m - 1").alias("end"), F.col("first.doc").alias("fd"), F.col("first.t").alias("ft"), F.expr("start - first.start").alias("shift"))
     # stretches of one shift from one text that overlap or adjoin are one run; all is within a document, by which the rows are dealt once
     along = Window.partitionBy("doc", "t", "fd", "ft", "shift").orderBy("start", "end")
     before = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
