@@ -21,12 +21,12 @@ def subset_sizes(events: DataFrame, subsets: int) -> DataFrame:
 
 
 def with_factors(events: DataFrame, add: DataFrame | None = None, mul: DataFrame | None = None) -> DataFrame:
-    """Adds add_fac (0 where the table has none) and mul_fac (1), by event_id."""
+    """Adds add_fac (0 where the table has none) and mul_fac (1), by event_id. Factors may be as many as events, however few bytes their files take, so no join sends them through the driver."""
     for df, name, default in ((add, "add_fac", 0.0), (mul, "mul_fac", 1.0)):
         if df is None:
             events = events.withColumn(name, F.lit(default))
         else:
-            events = events.join(df.select("event_id", F.col(name).cast("double").alias(name)), "event_id", "left").withColumn(name, F.coalesce(name, F.lit(default)))
+            events = events.join(df.select("event_id", F.col(name).cast("double").alias(name)).hint("merge"), "event_id", "left").withColumn(name, F.coalesce(name, F.lit(default)))
     return events
 
 
