@@ -133,12 +133,12 @@ def with_ijk(x: DataFrame, p: Problem) -> DataFrame:
 
 @dataclass
 class Outputs:
-    """What iterations give out on their way, each if there is a function for it: image(n, x), alpha(n, x), both each step-th time, and projection(name, n, subset, rows)."""
+    """What iterations give out on their way, each if there is a function for it: image(n, x), alpha(n, x), both each step-th time, and projection(n, subset, rows), whose rows have a name."""
 
     step: int = 0
     image: Callable[[int, DataFrame], None] | None = None
     alpha: Callable[[int, DataFrame], None] | None = None
-    projection: Callable[[str, int, int, DataFrame], None] | None = None
+    projection: Callable[[int, int, DataFrame], None] | None = None
 
     def iteration(self, n: int, x: DataFrame, alpha: DataFrame | None = None) -> None:
         if self.step > 0 and n % self.step == 0:
@@ -148,11 +148,9 @@ class Outputs:
                 self.alpha(n, alpha)
 
     def subset(self, p: Problem, x: DataFrame, n: int, m: int) -> None:
-        """Line integrals at x, and those with the background."""
+        """Line integrals at x, and those with the background, traced once."""
         if self.projection:
-            rows = p.ratios(x, m)
-            self.projection("Px", n, m, rows.select("event_id", F.col("y").alias("val")))
-            self.projection("Px_r_s", n, m, rows.select("event_id", F.col("expected").alias("val")))
+            self.projection(n, m, p.ratios(x, m).selectExpr("event_id", "stack(2, 'Px', y, 'Px_r_s', expected) AS (name, val)"))
 
 
 def em(p: Problem, x: DataFrame, iterations: int, outputs: Outputs | None = None, phase: str = "main") -> DataFrame:

@@ -60,7 +60,7 @@ def _outputs(folder: str | None, step: int, projections: bool, phase: str = "mai
         return recon.Outputs()
     return recon.Outputs(
         step, lambda n, x: sinks.write_image(x, folder, "intermediate", n), lambda n, x: sinks.write_image(x, folder, "intermediate_alpha", n),
-        (lambda name, n, m, rows: sinks.write_projection(rows, folder, n, m, phase, name)) if projections else None,
+        (lambda n, m, rows: sinks.write_projection(rows, folder, n, m, phase, None)) if projections else None,
     )
 
 

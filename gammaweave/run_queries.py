@@ -1,7 +1,7 @@
 """Registered queries of files, settings and whole runs, and their DuckDB oracles.
 
-A scan is written once for each session and folder of tables: events, factors, volumes and matrices, in the shared folder. The queries read it, or run by a settings file
-that names it. What the files hold as floats, the oracles cast to floats.
+A scan is written for each session and folder of tables, in the shared folder: events, factors, volumes and matrices, each file once, when a query first reads it or runs by a settings
+file that names it. What the files hold as floats, the oracles cast to floats.
 """
 
 from __future__ import annotations
@@ -29,34 +29,60 @@ _BASE = "image_size = 16, 16, 8\nvoxel_size = 4, 4, 4\ndetector_ring_diameter =
 _INPUT = "input_raw_data_file = {f}/scan\ninput_raw_data_format_type = 0\ninitial_guess = {f}/guess.img\nsensitivity = {f}/sens.img\nreconstruction_output_setting = {f}/out, image\n"
 
 
-def scan(spark: SparkSession, d: str) -> str:
-    """The folder of the scan's files."""
+class Scan:
+    """The scan of a folder of tables. Its files are written as they are asked for, each once, from tables that are written once: what a query doesn't read costs its driver no plans."""
+
+    def __init__(self, spark: SparkSession, d: str):
+        self.spark, self.d, self.store, self.tables, self.written = spark, d, scratch(spark), {}, set()
+        self.folder = re.sub("^file:/+", "/", shared_folder(spark)) + f"/scan-{uuid.uuid4().hex}"
+
+    def table(self, make) -> DataFrame:
+        if make not in self.tables:
+            self.tables[make] = self.store(make(self.spark, self.d))
+        return self.tables[make]
+
+    def write(self, *names: str) -> None:
+        for name in names:
+            if name not in self.written:
+                _WRITERS[name](self, f"{self.folder}/{name}")
+                self.written.add(name)
+
+
+def _matrix(s: Scan) -> DataFrame:
+    return Q.matrix(s.spark, s.d)
+
+
+#: How each file is written, by its name.
+_WRITERS = {
+    **{f"scan{suffix}": lambda s, path: raw.write_events(s.table(Q.full_events), path, "") for suffix in (".lm", "")},
+    **{f"scan.{c}": lambda s, path, c=c: raw.write_raw(s.table(Q.full_events), path, "event_id", c) for c in ("add_fac", "mul_fac")},
+    **{f"{name}.img": lambda s, path, v=value: raw.write_raw(s.table(Q.image).selectExpr("vox", f"{v} AS v"), path, "vox", "v") for name, value in (("guess", "val"), ("kappa", "kappa"), ("sens", _SENS))},
+    "short.img": lambda s, path: raw.write_raw(s.table(Q.image).where(f"vox < {_SHORT}"), path, "vox"),
+    "trans.mat": lambda s, path: raw.write_sparse(Q.psf(s.spark)[0], path, 256, 256),
+    "axial.mat": lambda s, path: raw.write_sparse(Q.psf(s.spark)[1], path, 8, 8),
+    "kernel.mat": lambda s, path: raw.write_sparse(Q.kernel(s.spark), path, SMALL.voxels, SMALL.voxels),
+    "matrix.mat": lambda s, path: raw.write_sparse(_matrix(s), path, 40, 60),
+    "matrix.quant": lambda s, path: raw.write_quantised(sparse.quantise(_matrix(s), SMALL), path, 40, 60),
+    # without the wide axial indices, weights have nine bits
+    "long.quant": lambda s, path: raw.write_quantised(sparse.quantise(_matrix(s), SMALL, 511), path, 40, 60, True),
+}
+
+
+def scan(spark: SparkSession, d: str, *names: str) -> str:
+    """The folder of the scan's files, in which those named are."""
     key = spark.sparkContext.applicationId, d
     if key not in _WRITTEN:
         _WRITTEN.clear()
-        f, store = re.sub("^file:/+", "/", shared_folder(spark)) + f"/scan-{uuid.uuid4().hex}", scratch(spark)
-        t = store(Q.full_events(spark, d))
-        raw.write_events(t, f"{f}/scan")
-        raw.write_events(t, f"{f}/scan", "")
-        for c in ("add_fac", "mul_fac"):
-            raw.write_raw(t, f"{f}/scan.{c}", "event_id", c)
-        x = store(Q.image(spark, d))
-        for name, value in (("guess", "val"), ("kappa", "kappa"), ("sens", _SENS)):
-            raw.write_raw(x.selectExpr("vox", f"{value} AS v"), f"{f}/{name}.img", "vox", "v")
-        raw.write_raw(x.where(f"vox < {_SHORT}"), f"{f}/short.img", "vox")
-        for name, m, n in zip(("trans", "axial", "kernel"), (*Q.psf(spark), Q.kernel(spark)), (256, 8, SMALL.voxels), strict=True):
-            raw.write_sparse(m, f"{f}/{name}.mat", n, n)
-        m = Q.matrix(spark, d)
-        raw.write_sparse(m, f"{f}/matrix.mat", 40, 60)
-        raw.write_quantised(sparse.quantise(m, SMALL), f"{f}/matrix.quant", 40, 60)
-        # without the wide axial indices, weights have nine bits
-        raw.write_quantised(sparse.quantise(m, SMALL, 511), f"{f}/long.quant", 40, 60, True)
-        _WRITTEN[key] = f
-    return _WRITTEN[key]
-
-
-def _settings(spark: SparkSession, d: str, more: str) -> config.Settings:
-    return config.parse((_BASE + _INPUT + more).format(f=scan(spark, d)))
+        _WRITTEN[key] = Scan(spark, d)
+    _WRITTEN[key].write(*names)
+    return _WRITTEN[key].folder
+
+
+def _settings(spark: SparkSession, d: str, more: str, events: str = "scan.lm") -> config.Settings:
+    """Settings of a run, with the files that they name; events: the file that the run reads."""
+    text = _BASE + _INPUT + more
+    named = [n for n in re.findall(r"\{f\}/([\w.]+)", text) if n in _WRITERS and n != "scan"]
+    return config.parse(text.format(f=scan(spark, d, events, "scan.add_fac", "scan.mul_fac", *named)))
 
 
 def _float(x: str) -> str:
@@ -64,23 +90,23 @@ def _float(x: str) -> str:
 
 
 # --- files
-query("event_scan", f"WITH {Q._EV} SELECT {Q._id('event_id', 'xtal_id_1', 'ring_id_1', 'xtal_id_2', 'ring_id_2', 'tbin_id')} FROM ev")(lambda spark, d: Q.out(raw.read_events(spark, f"{scan(spark, d)}/scan")))
-query("event_scan_bare", f"WITH {Q._EV} SELECT {Q._id('event_id', 'xtal_id_1', 'ring_id_1', 'xtal_id_2', 'ring_id_2', 'tbin_id')} FROM ev")(lambda spark, d: Q.out(raw.read_events(spark, f"{scan(spark, d)}/scan", "")))
+query("event_scan", f"WITH {Q._EV} SELECT {Q._id('event_id', 'xtal_id_1', 'ring_id_1', 'xtal_id_2', 'ring_id_2', 'tbin_id')} FROM ev")(lambda spark, d: Q.out(raw.read_events(spark, f"{scan(spark, d, "scan.lm")}/scan")))
+query("event_scan_bare", f"WITH {Q._EV} SELECT {Q._id('event_id', 'xtal_id_1', 'ring_id_1', 'xtal_id_2', 'ring_id_2', 'tbin_id')} FROM ev")(lambda spark, d: Q.out(raw.read_events(spark, f"{scan(spark, d, "scan")}/scan", "")))
 for _name in ("add_fac", "mul_fac"):
     query(f"factor_scan_{_name}", f"WITH {Q._EV}, {Q._FAC} SELECT {Q._id('event_id')}, {Q._r(_float(_name), _name, 6)} FROM fac")(
-        lambda spark, d, c=_name: Q.out(raw.read_factor(spark, f"{scan(spark, d)}/scan.{c}", c).withColumn(c, F.col(c).cast("double")), digits=6))
+        lambda spark, d, c=_name: Q.out(raw.read_factor(spark, f"{scan(spark, d, f"scan.{c}")}/scan.{c}", c).withColumn(c, F.col(c).cast("double")), digits=6))
 query("factors_missing", f"WITH {Q._EV} SELECT {Q._id('event_id')}, 0e0 AS add_fac, 1e0 AS mul_fac FROM ev")(
     lambda spark, d: Q.out(project.with_factors(Q.events(spark, d), *(raw.read_factor(spark, f"{scan(spark, d)}/none.{c}", c) for c in ("add_fac", "mul_fac"))), "event_id", "add_fac", "mul_fac"))
 _VOLUME = "SELECT CAST(vox AS BIGINT) AS vox, {} FROM img"
-query("volume_scan", f"WITH {Q._IMG} {_VOLUME.format(Q._r(_float('val'), 'val', 6))}")(lambda spark, d: Q.out(raw.read_volume(spark, f"{scan(spark, d)}/guess.img", SMALL), digits=6))
-query("volume_scan_short", f"WITH {Q._IMG} {_VOLUME.format(Q._r(f'CASE WHEN vox < {_SHORT} THEN {_float("val")} ELSE 0e0 END', 'val', 6))}")(lambda spark, d: Q.out(raw.read_volume(spark, f"{scan(spark, d)}/short.img", SMALL), digits=6))
+query("volume_scan", f"WITH {Q._IMG} {_VOLUME.format(Q._r(_float('val'), 'val', 6))}")(lambda spark, d: Q.out(raw.read_volume(spark, f"{scan(spark, d, "guess.img")}/guess.img", SMALL), digits=6))
+query("volume_scan_short", f"WITH {Q._IMG} {_VOLUME.format(Q._r(f'CASE WHEN vox < {_SHORT} THEN {_float("val")} ELSE 0e0 END', 'val', 6))}")(lambda spark, d: Q.out(raw.read_volume(spark, f"{scan(spark, d, "short.img")}/short.img", SMALL), digits=6))
 query("volume_missing", f"WITH {Q._IMG} {_VOLUME.format('1e0 AS val')}")(lambda spark, d: Q.out(raw.read_volume(spark, f"{scan(spark, d)}/none.img", SMALL, 1.0)))
 query("file_lengths", f"WITH {Q._EV} SELECT * FROM (VALUES ('none', 0), ('sens.img', 8192), ('short.img', {4 * _SHORT})) t(name, bytes) UNION ALL SELECT 'scan.lm', 10 * count(*) FROM ev UNION ALL SELECT 'scan.add_fac', 4 * count(*) FROM ev")(
-    lambda spark, d: spark.createDataFrame([(n, raw.file_length(spark, f"{scan(spark, d)}/{n}")) for n in ("none", "sens.img", "short.img", "scan.lm", "scan.add_fac")], "name string, bytes long"))
-query("csr_scan", f"WITH {Q._MX} SELECT {Q._id('row', 'col')}, {Q._r(_float('val'), 'val')} FROM mx")(lambda spark, d: Q.out(raw.read_sparse(spark, f"{scan(spark, d)}/matrix.mat").withColumn("val", F.col("val").cast("double"))))
+    lambda spark, d: spark.createDataFrame([(n, raw.file_length(spark, f"{scan(spark, d, "sens.img", "short.img", "scan.lm", "scan.add_fac")}/{n}")) for n in ("none", "sens.img", "short.img", "scan.lm", "scan.add_fac")], "name string, bytes long"))
+query("csr_scan", f"WITH {Q._MX} SELECT {Q._id('row', 'col')}, {Q._r(_float('val'), 'val')} FROM mx")(lambda spark, d: Q.out(raw.read_sparse(spark, f"{scan(spark, d, "matrix.mat")}/matrix.mat").withColumn("val", F.col("val").cast("double"))))
 for _name, _levels, _long in (("quantised_scan", 131071, False), ("quantised_scan_long", 511, True)):
     query(_name, f"WITH {Q._MX}, qu AS (SELECT row, col, floor(val / ((SELECT max(val) FROM mx) / {_levels})) AS w, (SELECT max(val) FROM mx) / {_levels} AS scale FROM mx) SELECT CAST(row AS BIGINT) AS row, CAST(col % 16 AS BIGINT) AS i, CAST(col // 16 % 16 AS BIGINT) AS j, CAST(col // 256 AS BIGINT) AS k, CAST(w AS BIGINT) AS w, {Q._r(_float('scale'), 'scale', 6)} FROM qu")(
-        lambda spark, d, n="long" if _long else "matrix", long=_long: (lambda got: Q.out(got[0].withColumn("scale", F.lit(got[1])), digits=6))(raw.read_quantised(spark, f"{scan(spark, d)}/{n}.quant", long)))
+        lambda spark, d, n="long" if _long else "matrix", long=_long: (lambda got: Q.out(got[0].withColumn("scale", F.lit(got[1])), digits=6))(raw.read_quantised(spark, f"{scan(spark, d, f"{n}.quant")}/{n}.quant", long)))
 
 
 def _kernel_files(spark: SparkSession, d: str) -> DataFrame:
@@ -267,7 +293,7 @@ query("run_admm", f"{_FILES}{Q._em('x0', 'xn')}, {Q._NB[0]}, {Q._admm(10, 0.5).r
 def _lines_run(spark: SparkSession, d: str, exponential: bool) -> DataFrame:
     """The values that a run of line integrals has written, read again."""
     f = scan(spark, d)
-    run.lines(spark, _settings(spark, d, "warmup_setting = 1, 1\n"), exponential, folder=f"{f}/lines{int(exponential)}")
+    run.lines(spark, _settings(spark, d, "warmup_setting = 1, 1\n", "scan"), exponential, folder=f"{f}/lines{int(exponential)}")
     return Q.out(raw.records(spark, f"{f}/lines{int(exponential)}/image", np.dtype("<f4"), "event_id").withColumn("val", F.col("val").cast("double")), digits=3)
 
 

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_projection(y: DataFrame, folder: str, iteration: int, subset: int, phase: str = "main", name: str = "Px") -> None:
-    """A subset's values by event: line integrals (Px), or those with the background (Px_r_s)."""
-    y.withColumns({"name": F.lit(name), "phase": F.lit(phase), "iter": F.lit(iteration), "subset": F.lit(subset)}).write.mode("append").partitionBy("name", "phase", "iter", "subset").parquet(f"{folder}/projection")
+def write_projection(y: DataFrame, folder: str, iteration: int, subset: int, phase: str = "main", name: str | None = "Px") -> None:
+    """A subset's values by event: line integrals (Px), or those with the background (Px_r_s); without a name, y has a column of names."""
+    named = y if name is None else y.withColumn("name", F.lit(name))
+    named.withColumns({"phase": F.lit(phase), "iter": F.lit(iteration), "subset": F.lit(subset)}).write.mode("append").partitionBy("name", "phase", "iter", "subset").parquet(f"{folder}/projection")
 
 
 def write_kernel(weights: DataFrame, nearest: DataFrame, folder: str) -> None:
