@@ -93,13 +93,28 @@ class ByteRanges(DataSource):
 
 
 def write(rows: DataFrame, path: str, least: int = 0) -> None:
-    """Fills the file from the tasks of rows. A store without files that are opened at any place gets the blocks in order instead, from the driver, one partition at a time."""
+    """Fills the file from the tasks of rows. A store without files that are opened at any place gets the blocks in order instead, from the driver, one partition at a time.
+
+    The writer's steps are those of the data source, but the driver takes them itself: Spark would start Python workers beside it for them, which stay and take more memory than all that the
+    driver holds of a file.
+    """
     spark = rows.sparkSession
     if local(path) is None:
         _stream(spark, rows, path, least)
         return
     spark.dataSource.register(ByteRanges)
-    rows.select("place", "block").write.format("byte_ranges").mode("overwrite").option("least", least).save(path)
+    writer = Writer(local(path), least)
+
+    def run(batches):
+        done = writer.write(batches)
+        yield pa.RecordBatch.from_pydict({"bytes": [done.bytes], "end": [done.end]})
+
+    try:
+        messages = [Written(*r) for r in rows.select("place", "block").mapInArrow(run, "bytes bigint, end bigint").collect()]
+    except BaseException:
+        writer.abort([])
+        raise
+    writer.commit(messages)
 
 
 def _stream(spark: SparkSession, rows: DataFrame, path: str, least: int) -> None:
