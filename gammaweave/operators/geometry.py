@@ -14,16 +14,26 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MOST_BROADCAST else df.hint("merge")
 
 
-def crystal_positions(spark: SparkSession, s: Scanner) -> DataFrame:
-    """xtal_id, x, y of crystal centres: module by module, along its tangent."""
-    a = f"radians((id div {s.crystals}) * {_num(360 / s.modules)} + {_num(180 / s.modules if s.half_step else 0)})"
-    t = f"({_num(s.pitch)} * (id % {s.crystals} - {_num(s.crystals / 2 - 0.5)}))"
+def _crystal(s: Scanner, id_: str) -> tuple[str, str]:
+    """SQL expressions of the x and y of a crystal's centre: module by module, along its tangent."""
+    a = f"radians(({id_} div {s.crystals}) * {_num(360 / s.modules)} + {_num(180 / s.modules if s.half_step else 0)})"
+    t = f"({_num(s.pitch)} * ({id_} % {s.crystals} - {_num(s.crystals / 2 - 0.5)}))"
     r = _num((s.ring_diameter + s.depth) / 2)
-    return spark.range(s.per_ring).selectExpr("CAST(id AS INT) AS xtal_id", f"{r} * cos({a}) - {t} * sin({a}) AS x", f"{r} * sin({a}) + {t} * cos({a}) AS y")
+    return f"{r} * cos({a}) - {t} * sin({a})", f"{r} * sin({a}) + {t} * cos({a})"
+
+
+def _ring(s: Scanner, id_: str) -> str:
+    return f"({id_} - {_num(s.rings / 2 - 0.5)}) * {_num(s.ring_pitch)}"
+
+
+def crystal_positions(spark: SparkSession, s: Scanner) -> DataFrame:
+    """xtal_id, x, y of crystal centres."""
+    x, y = _crystal(s, "id")
+    return spark.range(s.per_ring).selectExpr("CAST(id AS INT) AS xtal_id", f"{x} AS x", f"{y} AS y")
 
 
 def ring_positions(spark: SparkSession, s: Scanner) -> DataFrame:
-    return spark.range(s.rings).selectExpr("CAST(id AS INT) AS ring_id", f"(id - {_num(s.rings / 2 - 0.5)}) * {_num(s.ring_pitch)} AS z")
+    return spark.range(s.rings).selectExpr("CAST(id AS INT) AS ring_id", f"{_ring(s, 'id')} AS z")
 
 
 def planes(spark: SparkSession, s: Scanner) -> DataFrame:
@@ -46,18 +56,17 @@ def unknown_ids(events: DataFrame, s: Scanner) -> int:
 
 
 def lines_of_response(events: DataFrame, s: Scanner) -> DataFrame:
-    """events with both ends x0, y0, z0 and x1, y1, z1 and the differences dx, dy, dz. The dimension tables are broadcast.
+    """events with both ends x0, y0, z0 and x1, y1, z1 and the differences dx, dy, dz, computed in the event's own row: no join, and nothing for the driver to broadcast.
 
     An event that names a crystal or ring that the scanner lacks, or none, is an error where its ends are used.
     """
-    spark = events.sparkSession
-    xy, z, names = crystal_positions(spark, s), ring_positions(spark, s), events.columns
-    for end in ("0", "1"):
-        id_ = str(int(end) + 1)
-        events = events.join(small(xy.toDF(f"xtal_id_{id_}", f"x{end}", f"y{end}"), s.per_ring), f"xtal_id_{id_}", "left")
-        events = events.join(small(z.toDF(f"ring_id_{id_}", f"z{end}"), s.rings), f"ring_id_{id_}", "left")
-    known = lambda c: f"coalesce({c}, CAST(raise_error('an event names a crystal or ring that the scanner lacks') AS DOUBLE)) AS {c}"
-    return events.selectExpr(*(f"`{c}`" for c in names), *(known(f"{a}{e}") for e in "01" for a in "xyz")).selectExpr("*", "x1 - x0 AS dx", "y1 - y0 AS dy", "z1 - z0 AS dz")
+    known = lambda x, id_, n: f"CASE WHEN {id_} BETWEEN 0 AND {n - 1} THEN {x} ELSE CAST(raise_error('an event names a crystal or ring that the scanner lacks') AS DOUBLE) END"
+    ends = []
+    for end, id_ in (("0", "1"), ("1", "2")):
+        xtal, ring = f"CAST(xtal_id_{id_} AS BIGINT)", f"CAST(ring_id_{id_} AS BIGINT)"
+        ends += [f"{known(x, xtal, s.per_ring)} AS {a}{end}" for a, x in zip("xy", _crystal(s, xtal), strict=True)]
+        ends.append(f"{known(_ring(s, ring), ring, s.rings)} AS z{end}")
+    return events.selectExpr(*(f"`{c}`" for c in events.columns), *ends).selectExpr("*", "x1 - x0 AS dx", "y1 - y0 AS dy", "z1 - z0 AS dz")
 
 
 def crystal_pairs(spark: SparkSession, s: Scanner, bins: int, compressed: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +31,10 @@ def with_factors(events: DataFrame, add: DataFrame | None = None, mul: DataFrame
     return events
 
 
-def forward(lines: DataFrame, image: DataFrame, s: Scanner, tracer: str = "siddon", keep: tuple[str, ...] = (), edge: int | None = None) -> DataFrame:
+def forward(lines: DataFrame, image: DataFrame | Broadcast, s: Scanner, tracer: str = "siddon", keep: tuple[str, ...] = (), edge: int | None = None) -> DataFrame:
     """event_id, y, the image's line integral, and the lines' columns keep; 0 for lines that miss.
 
-    With an image that fits an array, each line sums its own integral and nothing is shuffled. Larger ones, or any if tiles of some edge are asked for, go in tiles: the lines are dealt by
+    With an image that fits an array, or is sent already (trace.sent), each line sums its own integral and nothing is shuffled. Larger ones, or any if tiles of some edge are asked for, go in tiles: the lines are dealt by
     tile, and their parts' sums are merged for each event.
     """
     if edge is None and trace.fits(s):

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -206,6 +207,11 @@ def as_array(image: DataFrame, s: Scanner) -> np.ndarray:
     return out
 
 
+def sent(image: DataFrame | Broadcast, s: Scanner) -> Broadcast:
+    """The image as an array that tasks have; one that was sent already is used again."""
+    return image if isinstance(image, Broadcast) else image.sparkSession.sparkContext.broadcast(as_array(image, s))
+
+
 def fits(s: Scanner) -> bool:
     return s.voxels <= MOST_ARRAY
 
@@ -247,16 +253,16 @@ class Sums:
             yield at[a : a + (1 << 20)].astype(np.int32), self.total[at[a : a + (1 << 20)]]
 
 
-def forward(lines: DataFrame, image: DataFrame, s: Scanner, tracer: str = "siddon", keep: tuple[str, ...] = ()) -> DataFrame:
+def forward(lines: DataFrame, image: DataFrame | Broadcast, s: Scanner, tracer: str = "siddon", keep: tuple[str, ...] = ()) -> DataFrame:
     """event_id, y and keep, in the lines' own rows: no shuffle."""
-    sent, lut = lines.sparkSession.sparkContext.broadcast(as_array(image, s)), table(s, tracer)
+    held, lut = sent(image, s), table(s, tracer)
     rows = lines.select(F.col("event_id").cast("long").alias("event_id"), *columns(tracer), *(F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)))
     kept = [f"k_{i}" for i in range(len(keep))]
 
     def run(batches):
         for batch in batches:
             for part, rays in cut(batch, s, tracer):
-                yield pa.RecordBatch.from_arrays([part.column("event_id"), pa.array(integrals(rays, sent.value, tracer, lut)), *(part.column(c) for c in kept)], ["event_id", "y", *kept])
+                yield pa.RecordBatch.from_arrays([part.column("event_id"), pa.array(integrals(rays, held.value, tracer, lut)), *(part.column(c) for c in kept)], ["event_id", "y", *kept])
 
     done = rows.mapInArrow(run, rows.select("event_id", F.lit(None).cast("double").alias("y"), *kept).schema)
     return done.select("event_id", "y", *(F.col(f"k_{i}").alias(c) for i, c in enumerate(keep)))
@@ -297,12 +303,12 @@ def matrix(lines: DataFrame, s: Scanner, tracer: str = "siddon") -> DataFrame:
     return lines.select(F.col("event_id").cast("long").alias("event_id"), *columns(tracer)).mapInArrow(run, "event_id long, vox int, len double")
 
 
-def em_pass(lines: DataFrame, image: DataFrame, s: Scanner, tracer: str = "siddon") -> DataFrame:
+def em_pass(lines: DataFrame, image: DataFrame | Broadcast, s: Scanner, tracer: str = "siddon") -> DataFrame:
     """One pass of a subset's lines (with add_fac and mul_fac): forward, ratio and back while the ray is at hand.
 
-    Rows are (vox, val) of the back projected ratios, and one of vox -1 a task with its part of the sum of log(expected + 1e-20), which is 0 where that isn't positive.
+    Rows are (vox, val) of the back projected ratios, one a voxel and task, to be added, and one of vox -1 a task with its part of the sum of log(expected + 1e-20), which is 0 where that isn't positive.
     """
-    sent, lut = lines.sparkSession.sparkContext.broadcast(as_array(image, s)), table(s, tracer)
+    held, lut = sent(image, s), table(s, tracer)
 
     def run(batches):
         own, logs = Sums(s.voxels), 0.0
@@ -311,7 +317,7 @@ def em_pass(lines: DataFrame, image: DataFrame, s: Scanner, tracer: str = "siddo
                 kept = list(steps(rays, tracer, lut))
                 y = np.zeros(part.num_rows)
                 for lanes, vox, length in kept:
-                    y[lanes] += length * sent.value[vox]
+                    y[lanes] += length * held.value[vox]
                 get = lambda c: part.column(c).to_numpy(zero_copy_only=False).astype(float)  # noqa: B023, E731
                 expected, mul = y + get("add_fac"), get("mul_fac")
                 ratio = ratios(expected, mul)
@@ -322,7 +328,7 @@ def em_pass(lines: DataFrame, image: DataFrame, s: Scanner, tracer: str = "siddo
         for vox, val in own.rows():
             yield pa.RecordBatch.from_arrays([pa.array(vox), pa.array(val)], ["vox", "val"])
 
-    return lines.select("add_fac", "mul_fac", *columns(tracer)).mapInArrow(run, "vox int, val double").groupBy("vox").agg(F.sum("val").alias("val"))
+    return lines.select("add_fac", "mul_fac", *columns(tracer)).mapInArrow(run, "vox int, val double")
 
 
 def ratios(expected: np.ndarray, mul: np.ndarray) -> np.ndarray:

@@ -52,6 +52,12 @@ class Problem:
             self.sens = sensitivity(self.lines, s, self.edge)
         self.s = self._blur(self.sens, True)
         self._rays: dict[int, tiles.Dealt] = {}
+        self._sent: tuple | None = None
+
+    @property
+    def arrays(self) -> bool:
+        """Whether images are sent to the rays as arrays."""
+        return self.edge is None and trace.fits(self.scanner)
 
     @property
     def lines(self) -> DataFrame:
@@ -67,8 +73,16 @@ class Problem:
     def _lines(self, subset: int | None) -> DataFrame:
         return lines_of_response(self.events if subset is None else self.events.where(F.col("subset_id") == subset), self.scanner)
 
+    def _traced(self, x: DataFrame):
+        """What is traced of x: blurred, and as an array sent to the tasks where that is how images go, once for all that is traced of x."""
+        if not self.arrays:
+            return self._blur(x, False)
+        if self._sent is None or self._sent[0] is not x:
+            self._sent = x, trace.sent(self._blur(x, False), self.scanner)
+        return self._sent[1]
+
     def project(self, x: DataFrame, subset: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-        return forward(self._lines(subset), self._blur(x, False), self.scanner, self.tracer, keep, self.edge)
+        return forward(self._lines(subset), self._traced(x), self.scanner, self.tracer, keep, self.edge)
 
     def ratios(self, x: DataFrame, subset: int) -> DataFrame:
         """event_id, y, expected = y + add_fac and ratio = mul_fac / expected where that is positive, else 0."""
@@ -80,8 +94,8 @@ class Problem:
 
     def update(self, x: DataFrame, subset: int, store: Scratch) -> tuple[DataFrame, DataFrame]:
         """The back projected ratios (vox, val) of a subset at x, and the sum l2 of log(expected + 1e-20)."""
-        if self.edge is None and trace.fits(self.scanner):
-            done = store(trace.em_pass(self._lines(subset), self._blur(x, False), self.scanner, self.tracer))
+        if self.arrays:
+            done = store(self._pass(x, subset).groupBy("vox").agg(F.sum("val").alias("val")))
             return self._blur(done.where("vox >= 0"), True), done.where("vox < 0").agg(F.coalesce(F.sum("val"), F.lit(0.0)).alias("l2"))
         if subset not in self._rays:
             self._rays[subset] = tiles.deal(self._lines(subset), tiles.Tiles(self.scanner, self.edge or tiles.EDGE), store, self.tracer)
@@ -91,12 +105,29 @@ class Problem:
         weighed = replace(rays, rays=rays.rays.join(r.select("event_id", "ratio").hint("merge"), "event_id"))
         return self._blur(store(tiles.unpack(tiles.back(weighed, "ratio"), rays.t)), True), log_sum(r)
 
+    def _pass(self, x: DataFrame, subset: int) -> DataFrame:
+        return trace.em_pass(self._lines(subset), self._traced(x), self.scanner, self.tracer)
+
+    def passed(self, x: DataFrame, subset: int, store: Scratch) -> DataFrame:
+        """What update() gives, as rows of vox and val that are still to be added by vox, l2 those of vox -1. Without a blur none of it is written: who adds the rows has all of them."""
+        if self.arrays and self.transaxial is None and self.axial is None:
+            return self._pass(x, subset)
+        z, l2 = self.update(x, subset, store)
+        return z.select(F.col("vox").cast("int").alias("vox"), "val").union(l2.selectExpr("-1 AS vox", "l2 AS val"))
+
     def likelihood(self, x: DataFrame, l2: DataFrame) -> DataFrame:
         """l1 = sum of x s, whose terms count as 1e-20 where they aren't finite, l2 as given, and ll = l2 - l1: one row each, which are put side by side."""
-        term = "val * sv"
-        l1 = x.join(self.s.withColumnRenamed("val", "sv"), "vox").selectExpr(f"CASE WHEN isnan({term}) OR abs({term}) = double('infinity') THEN 1e-20 ELSE {term} END AS term")
-        both = l1.selectExpr("term AS a", "CAST(NULL AS DOUBLE) AS b").unionByName(l2.selectExpr("CAST(NULL AS DOUBLE) AS a", "l2 AS b"))
-        return both.agg(F.coalesce(F.sum("a"), F.lit(0.0)).alias("l1"), F.coalesce(F.sum("b"), F.lit(0.0)).alias("l2")).selectExpr("l1", "l2", "l2 - l1 AS ll")
+        l1 = x.join(self.s.withColumnRenamed("val", "sv"), "vox").selectExpr(f"{_term('val', 'sv')} AS a", "CAST(NULL AS DOUBLE) AS b")
+        return _likelihood(l1.unionByName(l2.selectExpr("CAST(NULL AS DOUBLE) AS a", "l2 AS b")))
+
+
+def _term(x: str, s: str) -> str:
+    return f"CASE WHEN isnan({x} * {s}) OR abs({x} * {s}) = double('infinity') THEN 1e-20 ELSE {x} * {s} END"
+
+
+def _likelihood(terms: DataFrame) -> DataFrame:
+    """l1, l2 and ll of the terms a of l1 and b of l2."""
+    return terms.agg(F.coalesce(F.sum("a"), F.lit(0.0)).alias("l1"), F.coalesce(F.sum("b"), F.lit(0.0)).alias("l2")).selectExpr("l1", "l2", "l2 - l1 AS ll")
 
 
 def _ratios(sums: DataFrame) -> DataFrame:
@@ -116,14 +147,32 @@ def ones(p: Problem) -> DataFrame:
 
 def em_step(p: Problem, x: DataFrame, subset: int = 0, z: DataFrame | None = None) -> DataFrame:
     """One (penalised) update of x by a subset, whose back projected ratios are z."""
-    z = p.update(x, subset, scratch(x.sparkSession))[0] if z is None else z
-    rows = x.join(z.withColumnRenamed("val", "z"), "vox", "left").join(p.s.withColumnRenamed("val", "s"), "vox", "left").selectExpr("vox", "val AS x", "val * coalesce(z, 0e0) AS xem", "coalesce(s, 0e0) AS s")
+    z = p.passed(x, subset, scratch(x.sparkSession)) if z is None else z
+    return _stepped(p, x, z).where("vox >= 0").select("vox", "val")
+
+
+def _stepped(p: Problem, x: DataFrame, z: DataFrame) -> DataFrame:
+    """vox, val after the update and a, the term of l1 before it (null where s has none), from rows of z that are still to be added; what z has for vox -1 stays, as val.
+
+    Images and sums are put under each other and added by voxel, where joins would send them through the driver.
+    """
+    none = "CAST(NULL AS DOUBLE)"
+    under = x.selectExpr("vox", "val AS x", f"{none} AS z", f"{none} AS s", "1 AS own").union(z.selectExpr("vox", none, "val", none, "0")).union(p.s.selectExpr("vox", none, none, "val", "0"))
+    sums = under.groupBy("vox").agg(F.max("x").alias("x"), F.sum("z").alias("z"), F.max("s").alias("s"), F.max("own").alias("own")).where("own = 1 OR vox < 0")
+    term = f"CASE WHEN s IS NOT NULL THEN {_term('x', 's')} END AS term"
+    step = _step(p, x, sums.selectExpr("vox", "x", "x * coalesce(z, 0e0) AS xem", "coalesce(s, 0e0) AS s", term, "z"))
+    return step.selectExpr("vox", "CASE WHEN vox < 0 THEN z ELSE val END AS val", "term AS a")
+
+
+def _step(p: Problem, x: DataFrame, rows: DataFrame) -> DataFrame:
+    """vox, val, term and z from rows of x, xem = x z, s, term and z."""
+    kept = ("vox", "term", "z")
     if p.beta > 0 and p.penalty is not None:
         t = p.penalty(with_ijk(x, p))
-        rows = rows.join(t, "vox", "left").selectExpr("vox", f"{_num(p.beta)} * coalesce(t1, 0e0) AS a", f"s - {_num(p.beta)} * (coalesce(t1, 0e0) * x - coalesce(t2, 0e0)) AS b", f"{p.subsets} * xem AS c")
+        rows = rows.join(t, "vox", "left").selectExpr(*kept, f"{_num(p.beta)} * coalesce(t1, 0e0) AS a", f"s - {_num(p.beta)} * (coalesce(t1, 0e0) * x - coalesce(t2, 0e0)) AS b", f"{p.subsets} * xem AS c")
         rows = rows.selectExpr("*", "sqrt(b * b + 4e0 * a * c) AS det")
-        return rows.selectExpr("vox", "CASE WHEN a = 0e0 THEN CASE WHEN b <> 0e0 THEN c / nullif(b, 0e0) ELSE 0e0 END WHEN b + det > 0e0 THEN 2e0 * c / nullif(b + det, 0e0) ELSE 0e0 END AS val")
-    return rows.selectExpr("vox", f"CASE WHEN s > 0e0 THEN xem / nullif(s / {p.subsets}, 0e0) ELSE 0e0 END AS val")
+        return rows.selectExpr(*kept, "CASE WHEN a = 0e0 THEN CASE WHEN b <> 0e0 THEN c / nullif(b, 0e0) ELSE 0e0 END WHEN b + det > 0e0 THEN 2e0 * c / nullif(b + det, 0e0) ELSE 0e0 END AS val")
+    return rows.selectExpr(*kept, f"CASE WHEN s > 0e0 THEN xem / nullif(s / {p.subsets}, 0e0) ELSE 0e0 END AS val")
 
 
 def with_ijk(x: DataFrame, p: Problem) -> DataFrame:
@@ -160,9 +209,9 @@ def em(p: Problem, x: DataFrame, iterations: int, outputs: Outputs | None = None
     for n in range(1, iterations + 1):
         for m in range(p.subsets):
             outputs.subset(p, x, n, m)
-            z, l2 = p.update(x, m, store)
-            p.log.append((phase, n, m, p.likelihood(x, l2)))
-            x = store(em_step(p, x, m, z))
+            done = store(_stepped(p, x, p.passed(x, m, store)))
+            p.log.append((phase, n, m, _likelihood(done.selectExpr("a", "CASE WHEN vox < 0 THEN val END AS b"))))
+            x = done.where("vox >= 0").select("vox", "val")
         outputs.iteration(n, x)
     return x
 

@@ -72,7 +72,7 @@ class Writer(DataSourceArrowWriter):
 
 
 class ByteRanges(DataSource):
-    """df.write.format("byte_ranges").mode("overwrite").option("least", bytes).save(path), for rows of place and block."""
+    """df.write.format("byte_ranges").mode("overwrite").option("least", bytes).save(path), for rows of place and block; found by the module pyspark_byte_ranges, where that is on the driver's path."""
 
     @classmethod
     def name(cls) -> str:
@@ -95,14 +95,13 @@ class ByteRanges(DataSource):
 def write(rows: DataFrame, path: str, least: int = 0) -> None:
     """Fills the file from the tasks of rows. A store without files that are opened at any place gets the blocks in order instead, from the driver, one partition at a time.
 
-    The writer's steps are those of the data source, but the driver takes them itself: Spark would start Python workers beside it for them, which stay and take more memory than all that the
-    driver holds of a file.
+    The writer's steps are those of the data source, but the driver takes them itself, and nothing is registered: Spark would start Python workers beside it for either, which stay and take
+    more memory than all that the driver holds of a file.
     """
     spark = rows.sparkSession
     if local(path) is None:
         _stream(spark, rows, path, least)
         return
-    spark.dataSource.register(ByteRanges)
     writer = Writer(local(path), least)
 
     def run(batches):

@@ -41,18 +41,24 @@ def _read(f, offset: int, kind: np.dtype, n: int) -> np.ndarray:
     return np.frombuffer(f.read_at(n * kind.itemsize, offset), kind)
 
 
-def records(spark: SparkSession, path: str, kind: np.dtype, id_name: str) -> DataFrame:
-    """One row for each fixed-length record, numbered by its place in the file, which is split among tasks; what follows the last whole record is not read."""
+def records(spark: SparkSession, path: str, kind: np.dtype, id_name: str, rows: int | None = None) -> DataFrame:
+    """One row for each fixed-length record, numbered by its place in the file, which is split among tasks; what follows the last whole record is not read.
+
+    rows: so many records, those beyond the end of the file zeros, and none of what it has more.
+    """
     names = kind.names or ("val",)
     fields = [f"{id_name} bigint", *(f"{n} {_SQL[(kind[n] if kind.names else kind).str[1:]]}" for n in names)]
-    total = file_length(spark, path) // kind.itemsize
+    whole = file_length(spark, path) // kind.itemsize
+    total = whole if rows is None else rows
 
     def run(batches):
         for batch in batches:
             with _opened(path) as f:
                 for first in batch.column(0).to_pylist():
                     for at in range(first, min(first + RANGE, total), BATCH):
-                        a = _read(f, at * kind.itemsize, kind, min(BATCH, first + RANGE - at, total - at))
+                        n = min(BATCH, first + RANGE - at, total - at)
+                        a = _read(f, at * kind.itemsize, kind, max(0, min(n, whole - at)))
+                        a = np.append(a, np.zeros(n - len(a), kind)) if len(a) < n else a
                         yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(a))), *(pa.array(np.ascontiguousarray(a[n] if kind.names else a)) for n in names)], [id_name, *names])
 
     return _sized(_ranges(spark, total).mapInArrow(run, ", ".join(fields)), total)
@@ -82,13 +88,11 @@ def read_factor(spark: SparkSession, path: str, name: str) -> DataFrame | None:
 
 def read_volume(spark: SparkSession, path: str, s: Scanner, missing: float | None = None) -> DataFrame:
     """vox and val of all voxels: 0 beyond the end of a short file, `missing` throughout if there is no file."""
-    grid = spark.range(s.voxels).selectExpr("CAST(id AS INT) AS vox")
     if not _exists(spark, path):
         if missing is None:
             raise FileNotFoundError(path)
-        return grid.withColumn("val", F.lit(float(missing)))
-    read = records(spark, path, np.dtype("<f4"), "id").where(F.col("id") < s.voxels).selectExpr("CAST(id AS INT) AS vox", "CAST(val AS DOUBLE) AS val")
-    return grid.join(read, "vox", "left").select("vox", F.coalesce("val", F.lit(0.0)).alias("val"))
+        return spark.range(s.voxels).select(F.col("id").cast("int").alias("vox"), F.lit(float(missing)).alias("val"))
+    return records(spark, path, np.dtype("<f4"), "id", s.voxels).selectExpr("CAST(id AS INT) AS vox", "CAST(val AS DOUBLE) AS val")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
