@@ -64,9 +64,11 @@ def lines_of_response(events: DataFrame, s: Scanner) -> DataFrame:
     ends = []
     for end, id_ in (("0", "1"), ("1", "2")):
         xtal, ring = f"CAST(xtal_id_{id_} AS BIGINT)", f"CAST(ring_id_{id_} AS BIGINT)"
-        ends += [f"{known(x, xtal, s.per_ring)} AS {a}{end}" for a, x in zip("xy", _crystal(s, xtal), strict=True)]
-        ends.append(f"{known(_ring(s, ring), ring, s.rings)} AS z{end}")
-    return events.selectExpr(*(f"`{c}`" for c in events.columns), *ends).selectExpr("*", "x1 - x0 AS dx", "y1 - y0 AS dy", "z1 - z0 AS dz")
+        ends += [f"'{a}{end}', {known(x, xtal, s.per_ring)}" for a, x in zip("xy", _crystal(s, xtal), strict=True)]
+        ends.append(f"'z{end}', {known(_ring(s, ring), ring, s.rings)}")
+    # made by a generator of one row, as Spark would repeat plain expressions wherever a later one names an end
+    rows = events.selectExpr(*(f"`{c}`" for c in events.columns), f"inline(array(named_struct({', '.join(ends)})))")
+    return rows.selectExpr("*", "x1 - x0 AS dx", "y1 - y0 AS dy", "z1 - z0 AS dz")
 
 
 def crystal_pairs(spark: SparkSession, s: Scanner, bins: int, compressed: bool = False) -> DataFrame:
