@@ -34,6 +34,8 @@ FRAGMENTS, SALTS, MOST_FILTER_BITS = 4, 64, 1 << 30
 #: Bits of a set's sketch, from 1.5 for each n-gram on (powers of two). A bit tells whether the n-grams that fall on it are odd in number, so where two sketches
 #: differ, there are at least as many n-grams that the pair doesn't share. A coarse sketch is the same, folded to a half; small ones stay as they are.
 LEAST_SKETCH, MOST_SKETCH = 64, 1 << 15
+#: Beyond so many rows, classes, pairs (a row for each fragment) and labels are joined by merges.
+MOST_SENT = 1 << 16
 #: Text bytes of a part, and words of sketches that are made at once.
 _PART, _SKETCHED = 3 << 20, 1 << 13
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -233,16 +235,23 @@ def _filter(ids: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
+def _many(rows: DataFrame, n: int) -> DataFrame:
+    """Rows of written tables, n of them, marked for a merge join if that is many: Spark goes by the files' bytes, so it would take millions for few and send them through the driver."""
+    return rows.hint("merge") if n > MOST_SENT else rows
+
+
 def components(edges: DataFrame, store) -> DataFrame:
     """(v, c) for each vertex of the edges (x, y): c is the smallest vertex that reaches v. Rounds of minimum and pointer jump, each written."""
     both = store(edges.select("x", "y").union(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
     labels = store(both.groupBy(F.col("x").alias("v")).agg(F.least(F.min("y"), F.first("x")).alias("c")))
+    n = labels.count()
+    labels = _many(labels, n)
     while True:
         near = both.join(labels, F.col("y") == F.col("v")).groupBy("x").agg(F.min("c").alias("m"))
         low = labels.join(near, F.col("v") == F.col("x")).select("v", "c", F.least("c", "m").alias("low"))
         up = labels.select(F.col("v").alias("low"), F.col("c").alias("top"))
         new = store(low.join(up, "low").select("v", F.col("c").alias("old"), F.least("low", "top").alias("c")))
-        labels = new.select("v", "c")
+        labels = _many(new.select("v", "c"), n)
         if new.where("old != c").isEmpty():
             return labels
 
@@ -276,7 +285,7 @@ def _links(docs: DataFrame, both: DataFrame, ngram: int, percent: int, store) ->
     """Those of close pairs whose overlap, summed over the fragments, is large enough."""
     s = store(_segments(docs, _filter(both.select("dx")), _filter(both.select("dy")), ngram))
     left, right = (s.where(side).select(F.col("a").alias(v), F.col("doc_id").alias(f"d{v}"), "fragment", F.col("grams").alias(f"g{v}")) for v, side in zip("xy", ("left", "right"), strict=True))
-    cut = both.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
+    cut = _many(both.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1)))), FRAGMENTS * both.count())
     met = cut.join(left, ["x", "dx", "fragment"]).join(right, ["y", "dy", "fragment"])
     part = met.select("x", "y", "nx", "ny", "fragment", F.size(F.array_intersect("gx", "gy")).cast("long").alias("overlap"))
     # a row that stands twice in documents meets twice
@@ -298,6 +307,7 @@ def linked(documents: DataFrame, *, ngram: int = NGRAM, percent: int = PERCENT,
     measured = store(_measured(docs, ngram))
     own = measured.where("n >= 0")
     classes = store(own.where("n > 0").groupBy("a", "n").agg(F.min(F.struct(F.col("doc_id").alias("doc"), "fine", "coarse")).alias("p")))
+    classes = _many(classes, classes.count())
     send = spark.sparkContext.broadcast
     common = _frequent(measured.where("n < 0").groupBy(F.col("a").alias("gram")).agg(F.sum(-F.col("n")).alias("c")), FREQUENT)
     sent = send(common)
@@ -324,7 +334,7 @@ def linked(documents: DataFrame, *, ngram: int = NGRAM, percent: int = PERCENT,
         # all conditions are part of the join, so it gives out only what is close and not in one component
         later = (y.ry > x.rx) | ((y.ry == x.rx) & (y.y > x.x))
         pairs = x.join(y, (x.token == y.token) & later & (x.cx != y.cy) & F.expr(fits) & _apart(percent)).select("x", "y", "nx", "ny").distinct()
-        pairs = store(_close(pairs.join(checked, ["x", "y"], "left_anti"), classes, percent))
+        pairs = store(_close(pairs.join(_many(checked, checked.count()), ["x", "y"], "left_anti"), classes, percent))
         if not pairs.isEmpty():
             checked = checked.unionByName(pairs)
             more = store(_links(docs, pairs, ngram, percent, store))
